@@ -42,7 +42,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    marked = f"\x02{word}\x03"
+    marked = f"\x02{word}\x03" if n > 1 else word
     return [marked[i : i + n] for i in range(max(1, len(marked) - n + 1))]
 
 

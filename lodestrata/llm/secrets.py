@@ -63,7 +63,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def labelled_samples(docs: DataFrame, ordinary_docs: int = ORDINARY_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
     """sample, is_random. Random: digests in hex and base64, and their letters in one case. Ordinary: the words of about
-    ordinary_docs documents, chosen by a hash of doc_id, singly and joined in pairs as identifiers are."""
+    ordinary_docs documents, chosen by a hash of doc_id, singly and joined in pairs as in snake_case and camelCase."""
     spark = docs.sparkSession
     raw = spark.range(random_strings).select(F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256).alias("hex"), F.col("id"))
     key = F.translate(F.base64(F.unhex("hex")), "=\r\n", "")
@@ -72,7 +72,7 @@ def labelled_samples(docs: DataFrame, ordinary_docs: int = ORDINARY_DOCS, random
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     words = docs.select("doc_id", "text").filter(place < share).select(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w) > 3).alias("w"))
     plain = words.select(F.explode("w").alias("sample"))
-    pairs = words.select(F.explode(F.transform("w", lambda w, i: F.concat_ws("_", w, F.get(F.col("w"), i + 1)))).alias("sample"))
+    pairs = words.select(F.explode(F.transform("w", lambda w, i: F.when(i % 2 == 0, F.concat_ws("_", w, F.get(F.col("w"), i + 1))).otherwise(F.concat(F.lower(w), F.initcap(F.get(F.col("w"), i + 1)))))).alias("sample")).filter("sample is not null")
     return made.unionByName(plain.unionByName(pairs).withColumn("is_random", F.lit(False)))
 
 
