@@ -37,28 +37,36 @@ ORDINARY_DOCS, RANDOM_STRINGS = 400, 4000
 THRESHOLD = 0.5
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: what a lambda captures would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _starts(lengths: Column) -> Column:
-    """The sum of all lengths before each place."""
-    n = F.size(lengths)
+    """The sum of all lengths before each place; lengths is a lambda's variable."""
     zero = F.lit(0).cast("int")
 
     def total(start, size):
         return F.aggregate(F.slice(lengths, start, size), zero, lambda a, x: a + x)
 
+    n = F.size(lengths)
     blocks = F.transform(F.sequence(zero, F.floor((F.greatest(n, F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: total(b * BLOCK + 1, F.lit(BLOCK)))
     before = F.aggregate(blocks, F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
     places = F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.get(before, F.floor(i / BLOCK).cast("int")) + total(F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+    return let(before, lambda before: F.transform(places, lambda i: F.get(before, F.floor(i / BLOCK).cast("int")) + total(F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array of (start, end, match) of a pattern's matches, leftmost first, in code points."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    starts = _starts(F.zip_with(gaps, hits, lambda g, h: F.char_length(F.coalesce(g, F.lit(""))) + F.char_length(F.coalesce(h, F.lit("")))))
-    found = F.transform(hits, lambda h, i: F.struct((F.get(starts, i) + F.char_length(F.get(gaps, i))).alias("start"), h.alias("match")))
-    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.char_length(s["match"])).alias("end"), s["match"].alias("match")))
-    return found
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
+
+    def placed(v):
+        lengths = F.zip_with(v["gaps"], F.transform(v["hits"], lambda h: F.char_length(h)), lambda g, h: F.coalesce(g, F.lit(0)) + F.coalesce(h, F.lit(0)))
+        starts = F.zip_with(let(lengths, _starts), v["gaps"], lambda s, g: s + g)
+        return F.zip_with(F.slice(starts, 1, F.size(v["hits"])), v["hits"], lambda s, h: F.struct(s.alias("start"), (s + F.char_length(h)).alias("end"), h.alias("match")))
+
+    return let(F.struct(hits.alias("hits"), gaps.alias("gaps")), placed)
 
 
 def labelled_samples(docs: DataFrame, ordinary_docs: int = ORDINARY_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
@@ -94,9 +102,13 @@ def train(samples: DataFrame) -> list[float]:
 def ratio(token: Column, model: list[float]) -> Column:
     """The mean log-likelihood ratio of a token's transitions; null for fewer than two characters."""
     table = F.split(F.lit(",".join(f"{x:.5f}" for x in model)), ",").cast("array<double>")
-    code = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
-    steps = F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.greatest(F.size(code) - 1, F.lit(0))), lambda a, b: F.coalesce(F.get(table, a * SIZE + b), F.lit(0.0)))
-    return F.when(F.size(code) > 1, F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (F.size(code) - 1))
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
+
+    def mean(code):
+        steps = F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda a, b: F.coalesce(F.get(table, a * SIZE + b), F.lit(0.0)))
+        return F.when(F.size(code) > 1, F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (F.size(code) - 1))
+
+    return let(codes, mean)
 
 
 def scan_secrets(docs: DataFrame, model: list[float], keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
