@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ._common import map_texts
 
-MEMO = 200_000
+MEMO = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,11 +38,25 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of: dict[int, bytes] = {i: t for t, i in ranks.items()}
-        self.ends = {t[i:]: -1 for t in ranks for i in range(1, len(t))} | ranks  # what a token can end with; -1 if no token itself
+        self.token_at, self.back = self._reversed()
         self.stable: dict[tuple[int, int], bool] = {}
         self.whole: dict[bytes, bool] = {}
         self.spines: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
 
+    def _reversed(self) -> tuple[list[int], dict[int, int]]:
+        """A trie of the tokens read backwards: the token (or -1) of each node, and from node * 256 + byte the next node."""
+        token_at, back = [-1], {}
+        for token, i in self.ranks.items():
+            node = 0
+            for byte in reversed(token):
+                key = node << 8 | byte
+                node = back.get(key, 0)
+                if not node:
+                    node = back[key] = len(token_at)
+                    token_at.append(-1)
+            token_at[node] = i
+        return token_at, back
+
     def merge(self, data: bytes, least: int = 1) -> list[bytes]:
         """The plain merge loop down to so many parts, for the few bytes of a token."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -104,16 +118,16 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """last holds the last token of each prefix of data up to some length; gets those of the longer prefixes."""
-        ends, stable = self.ends, self.stable
+        step, token_at, stable = self.back.get, self.token_at, self.stable
         for end in range(len(last) + 1, len(data) + 1):
-            ids, start = [], end - 1
-            while start >= 0:
-                token = ends.get(data[start:end])
-                if token is None:
-                    break
-                if token >= 0:
-                    ids.append((start, token))
+            ids, start, node = [], end, 0
+            while start:
                 start -= 1
+                node = step(node << 8 | data[start])
+                if node is None:
+                    break
+                if token_at[node] >= 0:
+                    ids.append((start, token_at[node]))
             while ids:  # a longer token is more often the right one
                 start, token = ids.pop()
                 if start:
@@ -161,7 +175,7 @@ class TextEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.encoder, self.pattern = PrefixEncoder(ranks), regex.compile(pattern)
-        self.known: dict[str, tuple[list[int], str, bytes]] = {}
+        self.known: dict[str, tuple[int, str, bytes]] = {}
 
     def _learn(self, pieces: set[str]) -> None:
         encoder, bytes_of = self.encoder, self.encoder.bytes_of
@@ -172,10 +186,10 @@ class TextEncoder:
                 same += 1
             before, table = data, encoder.extend(data, table[:same])
             ids = encoder.tokens(table)
-            self.known[piece] = ids, ",".join(map(str, ids)), b"".join(map(bytes_of.__getitem__, ids))
+            self.known[piece] = len(ids), ",".join(map(str, ids)), b"".join(map(bytes_of.__getitem__, ids))
 
     def batch(self, texts: list[str]):
-        """For each text its pieces: token ids, these as text, and the bytes that they decode to."""
+        """For each text its pieces: number of tokens, their ids as text, and the bytes that these decode to."""
         pieces = [self.pattern.findall(t) for t in texts]
         new = set().union(*pieces).difference(self.known)
         self._learn(new)
@@ -187,12 +201,17 @@ class TextEncoder:
                 del self.known[p]
 
     def encode(self, text: str) -> list[int]:
-        return [i for pieces in self.batch([text]) for ids, _, _ in pieces for i in ids]
+        (pieces,) = self.batch([text])
+        return ids_of(pieces)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.encoder.bytes_of.__getitem__, ids))
 
 
+def ids_of(pieces: list[tuple[int, str, bytes]]) -> list[int]:
+    return [int(i) for _, ids, _ in pieces for i in ids.split(",")]
+
+
 _encoders: dict[tuple[str, str], TextEncoder] = {}
 
 
@@ -213,7 +232,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, fields: list[T.StructField
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, and ids: the token ids of the whole text."""
-    return _mapped(docs, path, pattern, [T.StructField("ids", T.ArrayType(T.IntegerType()))], lambda pieces: ([i for ids, _, _ in pieces for i in ids],), keep)
+    return _mapped(docs, path, pattern, [T.StructField("ids", T.ArrayType(T.IntegerType()))], lambda pieces: (ids_of(pieces),), keep)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -233,7 +252,7 @@ def digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
     def make(found):
         ids = ",".join([x[1] for x in found])
         decoded = b"".join([x[2] for x in found])
-        return sum([len(x[0]) for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return _mapped(docs, path, pattern, fields, make, keep)
