@@ -39,6 +39,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: Offers for each partition of the state. A partition is a RocksDB instance with files of its own, so their number
+#: follows the rows, not the session's shuffle partitions. It holds for all later offers as well.
+OFFERS = 500_000
+
+
 class DedupState:
     """The keyed state of one deduplication, in a shared folder; further offers may follow at any time."""
 
@@ -48,8 +53,10 @@ class DedupState:
     def offer(self, offers: DataFrame) -> None:
         """Takes rows (digest, doc_id, locator) into the state. offers is written first: that is the stream's source."""
         offers.write.mode("append").parquet(f"{self.folder}/offers")
-        before = {k: self.spark.conf.get(k, None) for k in STATE_CONF}
-        for k, v in STATE_CONF.items():
+        n = self.spark.read.schema(offers.schema).parquet(f"{self.folder}/offers").count()
+        settings = STATE_CONF | {"spark.sql.streaming.internal.stateStore.partitions": str(max(self.spark.sparkContext.defaultParallelism, n // OFFERS))}
+        before = {k: self.spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
             self.spark.conf.set(k, v)
         try:
             groups = (
