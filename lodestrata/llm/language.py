@@ -29,6 +29,8 @@ from ._common import fresh_name, map_texts
 
 ORDERS = (5, 4, 3, 2, 1)
 PER_LANGUAGE, WORDS, GRAMS = 800, 50_000, 60_000
+#: Labels that are learned at most, the most frequent ones; this bounds the table of counts that is broadcast.
+LANGUAGES = 1000
 #: Added for each order that an unseen word steps down.
 STEP = math.log(0.4)
 #: Unseen words that a worker remembers.
@@ -130,7 +132,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learns from labelled rows outside the held-out part; per_language bounds the sample (in the mean)."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count()
+    counts = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES))
     place = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11)) / float(1 << 53)  # even in 0 to 1
     chosen = rows.withColumn("place", place).join(counts, "lang").filter(F.col("place") * F.col("count") < per_language)
     return LanguageModel.fit((r.lang, r.text) for r in chosen.select("doc_id", "lang", "text").toLocalIterator())
