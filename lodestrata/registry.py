@@ -1,4 +1,4 @@
 """All queries of the library's own operators, by the operator's number, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import graphs, merging, reports, retrieval, texts  # noqa: F401  they register their queries
+from .plans.catalog import ORACLES, QUERIES  # noqa: F401
