@@ -142,3 +142,82 @@ def sk1_upsert(spark, d):
 def sk3_cascade(spark, d):
     gone = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return R.cascade(table(spark, d, "lineitem"), gone, ["l_orderkey"]).select("l_orderkey", "l_linenumber")
+
+
+@query("""WITH s AS (SELECT user_id AS gr_id, event_id % 40 AS line, min(event_type) AS hash FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), i AS (SELECT user_id AS gr_id, event_id % 40 AS line, max(event_type) AS hash FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)
+    SELECT coalesce(s.gr_id, i.gr_id) AS gr_id, coalesce(s.line, i.line) AS line, coalesce(i.hash, s.hash) AS hash, (s.gr_id IS NULL OR (i.gr_id IS NOT NULL AND i.hash <> s.hash)) AS moved FROM s FULL JOIN i ON s.gr_id = i.gr_id AND s.line = i.line""")
+def m6_citation_upsert(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("gr_id"), (F.col("event_id") % 40).alias("line"), "event_id", "event_type")
+    stored = e.filter("event_id % 2 = 0").groupBy("gr_id", "line").agg(F.min("event_type").alias("old"))
+    incoming = e.filter("event_id % 3 = 0").groupBy("gr_id", "line").agg(F.max("event_type").alias("new"))
+    both = stored.join(incoming, ["gr_id", "line"], "full_outer")
+    moved = F.col("old").isNull() | F.coalesce(F.col("new") != F.col("old"), F.lit(False))
+    return both.select("gr_id", "line", F.coalesce("new", "old").alias("hash"), moved.alias("moved"))
+
+
+@query(f"""WITH c AS ({_maj}), t AS (SELECT id, sum(c) AS total, max(c) AS top FROM c GROUP BY 1), w AS (SELECT t.id AS user_id, CASE WHEN top * 2 > total THEN (SELECT min(v) FROM c WHERE c.id = t.id AND c.c = t.top) END AS winner FROM t),
+    o AS (SELECT user_id, max_by(event_type, event_id) AS old FROM events GROUP BY 1) SELECT user_id, old, winner FROM o JOIN w USING (user_id) WHERE old IS DISTINCT FROM winner""")
+def m10_rederive_changed(spark, d):
+    e = table(spark, d, "events")
+    old = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("old"))
+    now = R.majority(e, "user_id", "event_type", ()).select("user_id", "winner")
+    return old.join(now, "user_id").filter(~F.col("old").eqNullSafe(F.col("winner"))).select("user_id", "old", "winner")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 11 = 0) THEN 'retired' ELSE o_orderstatus END AS state FROM orders")
+def m12_set_field(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", F.when(F.col("o_custkey") % 11 == 0, "retired").otherwise(F.col("o_orderstatus")).alias("state"))
+
+
+@query("""SELECT event_id, list_count(list_filter([event_id % 3, event_id % 4], lambda x: x >= 0)) = CASE WHEN event_id % 5 = 0 THEN 3 ELSE 2 END AS valid, concat('{"columns":', CASE WHEN event_id % 5 = 0 THEN 3 ELSE 2 END, ',"rules":[', event_id % 3, ',', event_id % 4, ']}') AS canonical FROM events""")
+def m13_structured_body(spark, d):
+    i = F.col("event_id")
+    raw = F.format_string('{"rules": [%d, %d], "columns": %d}', i % 3, i % 4, F.when(i % 5 == 0, 3).otherwise(2))
+    body = F.from_json(raw, "columns int, rules array<int>")
+    rows = table(spark, d, "events").select("event_id", body.alias("b"))
+    return rows.select("event_id", (F.size("b.rules") == F.col("b.columns")).alias("valid"), F.to_json("b", {"ignoreNullFields": "false"}).alias("canonical"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'a' END AS rules FROM nation")
+def m16_either_key(spark, d):
+    i = F.col("n_nationkey") % 4
+    return table(spark, d, "nation").select("n_nationkey", F.coalesce(F.when(i == 0, "a"), F.when(i == 1, "b"), F.when(i == 2, "a")).alias("rules"))
+
+
+@query("SELECT d.doc_id, sha256(d.text) AS content_hash FROM documents d JOIN documents e ON d.doc_id = e.doc_id AND sha256(d.text) = sha256(CASE WHEN e.doc_id % 7 = 0 THEN concat(e.text, 'x') ELSE e.text END) WHERE d.doc_id % 3 = 0")
+def m18_hash_backfill(spark, d):
+    docs = table(spark, d, "documents")
+    disk = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha"))
+    stored = docs.filter("doc_id % 3 = 0").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return stored.join(disk, ["doc_id", "sha"]).select("doc_id", F.col("sha").alias("content_hash"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'callable' WHEN 'view' THEN 'type' ELSE 'other' END AS entity_class FROM events")
+def m19_kind_shim(spark, d):
+    shim = spark.createDataFrame([("click", "callable"), ("view", "type")], "event_type string, entity_class string")
+    return table(spark, d, "events").select("event_id", "event_type").join(F.broadcast(shim), "event_type", "left").select("event_id", F.coalesce("entity_class", F.lit("other")).alias("entity_class"))
+
+
+@query("SELECT vec_id, concat('label=', label, ';domain=', coalesce(source, 'unassigned')) AS meta FROM embeddings LEFT JOIN documents ON vec_id = doc_id")
+def sk9_merge_metadata(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    meta = F.map_concat(F.create_map(F.lit("label"), F.col("label").cast("string")), F.create_map(F.lit("domain"), F.coalesce("source", F.lit("unassigned"))))
+    rows = table(spark, d, "embeddings").select("vec_id", "label").join(docs, "vec_id", "left").select("vec_id", meta.alias("m"))
+    return rows.select("vec_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("meta"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def st1_windowed_counts(spark, d):
+    from ..streaming.incremental import event_counts
+
+    return event_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT page_id, length(regexp_extract(lower(url), '(\\.[a-z]+)/', 1)) > 0 AS kept FROM pages WHERE NOT regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^(.*/)?de/.*(/.*)?$')")
+def sc1_discovery(spark, d):
+    from ..functions.text import glob_regex
+
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    rows = table(spark, d, "pages").filter(~path.rlike(glob_regex("**/de/**")))
+    return rows.select("page_id", (F.length(F.regexp_extract(F.lower("url"), r"(\.[a-z]+)/", 1)) > 0).alias("kept"))

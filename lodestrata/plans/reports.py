@@ -14,7 +14,12 @@ def _labelled(spark, d):
 
 
 _lab = "(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
-n_rows = F.count(F.lit(1)).alias("n")
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
+
+
+def _order():
+    return [F.col("prio"), F.desc("o_totalprice"), F.col("o_orderkey")]
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM events) AS events, (SELECT array_to_string(list_sort(list(DISTINCT lang)), ',') FROM documents) AS languages")
@@ -65,7 +70,7 @@ def a7_fill_rates(spark, d):
 
 @query("SELECT event_type, count(DISTINCT user_id) FILTER (value > 50) AS users, count(*) AS n, count(DISTINCT user_id) AS all_users FROM events GROUP BY 1")
 def a8_distinct_filtered(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count_distinct(F.when(F.col("value") > 50, F.col("user_id"))).alias("users"), n_rows, F.count_distinct("user_id").alias("all_users"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.count_distinct(F.when(F.col("value") > 50, F.col("user_id"))).alias("users"), n_rows(), F.count_distinct("user_id").alias("all_users"))
 
 
 @query("SELECT event_type, count(*) FILTER (value >= 50) AS high, count(*) FILTER (value < 50) AS low FROM events GROUP BY 1")
@@ -87,7 +92,7 @@ def a11_forall(spark, d):
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
 def a14_counts_by_key(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(n_rows)
+    return table(spark, d, "orders").groupBy("o_custkey").agg(n_rows())
 
 
 @query("SELECT tier, count(doc_id) AS files, coalesce(sum(n_chars), 0)::BIGINT AS bytes, coalesce(sum(lines), 0)::BIGINT AS total_lines FROM (SELECT unnest(['core', 'small', 'foreign', 'vendored']) AS tier) LEFT JOIN (SELECT doc_id, n_chars, len(string_split(text, chr(10))) AS lines, CASE WHEN source = 'src0' THEN 'core' WHEN n_chars < 500 THEN 'small' WHEN lang <> 'en' THEN 'foreign' END AS tier FROM documents) USING (tier) GROUP BY 1")
@@ -101,18 +106,18 @@ def sc2_tiers(spark, d):
 
 @query("SELECT regexp_extract(url, '([a-z]+)(/|[?#]|$)', 1) AS suffix, count(*) AS n FROM pages GROUP BY 1")
 def a18_suffix_histogram(spark, d):
-    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "([a-z]+)(/|[?#]|$)", 1).alias("suffix")).agg(n_rows)
+    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "([a-z]+)(/|[?#]|$)", 1).alias("suffix")).agg(n_rows())
 
 
 @query("SELECT event_type AS provenance, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM events")
 def a20_provenance_total(spark, d):
-    by = table(spark, d, "events").groupBy(F.col("event_type").alias("provenance")).agg(n_rows)
+    by = table(spark, d, "events").groupBy(F.col("event_type").alias("provenance")).agg(n_rows())
     return by.unionByName(by.agg(F.lit("total").alias("provenance"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
 
 
 @query("SELECT event_type, value >= 50 AS evaluated, count(*) AS n, event_type = 'error' AND value >= 50 AS blocking FROM events GROUP BY 1, 2, 4")
 def a21_findings_tally(spark, d):
-    e = table(spark, d, "events").groupBy("event_type", (F.col("value") >= 50).alias("evaluated")).agg(n_rows)
+    e = table(spark, d, "events").groupBy("event_type", (F.col("value") >= 50).alias("evaluated")).agg(n_rows())
     return e.withColumn("blocking", (F.col("event_type") == "error") & F.col("evaluated"))
 
 
@@ -134,17 +139,14 @@ def _listed(spark, d):
     return o.join(kids.filter("returned > 0"), "o_orderkey").select("o_orderkey", "items", "returned", prio.alias("prio"), "o_totalprice")
 
 
-_order = [F.col("prio"), F.desc("o_totalprice"), F.col("o_orderkey")]
-
-
 @query(f"WITH {_list} SELECT o_orderkey, items, returned, prio, o_totalprice FROM s ORDER BY prio, o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 25")
 def f2_list_page(spark, d):
-    return R.page(_listed(spark, d), _order, 2)
+    return R.page(_listed(spark, d), _order(), 2)
 
 
 @query(f"WITH {_list} SELECT o_orderkey, row_number() OVER (ORDER BY prio, o_totalprice DESC, o_orderkey) AS place FROM s ORDER BY place LIMIT 50")
 def s1_case_sort(spark, d):
-    return R.numbered(R.page(_listed(spark, d), _order, 1, 50), _order, "place").select("o_orderkey", "place")
+    return R.numbered(R.page(_listed(spark, d), _order(), 1, 50), _order(), "place").select("o_orderkey", "place")
 
 
 @query(f"WITH {_list} SELECT count(*) AS total, ceil(count(*) / 25)::BIGINT AS pages FROM s")
@@ -233,7 +235,7 @@ def j10_unhashed(spark, d):
 
 @query("SELECT c_mktsegment, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS n_orders FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def j12_domain_counts(spark, d):
-    per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(n_rows)
+    per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(n_rows())
     return table(spark, d, "customer").join(per, "c_custkey").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"), F.sum("n").alias("n_orders"))
 
 
@@ -278,7 +280,7 @@ def j16_leaked_terms(spark, d):
 @query("SELECT count(*) AS n, min(c_custkey) AS first_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def j18_not_in(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(o, "c_custkey", "left_anti").agg(n_rows, F.min("c_custkey").alias("first_id"))
+    return table(spark, d, "customer").join(o, "c_custkey", "left_anti").agg(n_rows(), F.min("c_custkey").alias("first_id"))
 
 
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS n_closed FROM customer")
