@@ -20,12 +20,12 @@ SUFFIXES = {
 
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
 def token_estimate(text: Column) -> Column:
     """Parts between white space and punctuation."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), ESTIMATE_SPLIT), lambda x: x != "")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), ESTIMATE_SPLIT), "")).cast("long")
 
 
 def lines(text: Column) -> Column:

@@ -17,7 +17,7 @@ K1, B, FUSION = 1.2, 0.75, 60
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score of the documents with all terms; the text is cut into tokens once, nothing is exploded."""
     words = docs.select(key, tokens(F.col(text)).alias("w"))
-    counted = words.select(key, F.size("w").alias("len"), *(F.size(F.filter("w", _is(t))).alias(f"f{i}") for i, t in enumerate(terms)))
+    counted = words.select(key, F.size("w").alias("len"), *((F.size("w") - F.size(F.array_remove("w", t))).alias(f"f{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))))
     rows = counted.filter(" AND ".join(f"f{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row of sums
     score = F.lit(0.0)
@@ -28,10 +28,6 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     return rows.select(key, F.round(score, 6).alias("score"))
 
 
-def _is(term: str):
-    return lambda x: x == term
-
-
 def prefix_and(docs: DataFrame, prefixes: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key of the documents that have a token with each of the prefixes."""
     words = docs.select(key, tokens(F.col(text)).alias("w"))

@@ -20,3 +20,10 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def busy_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work on each row (tokens of texts): dealt out anew only if its files' splits would leave half of the
+    cores idle."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)

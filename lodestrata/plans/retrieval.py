@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import search as S
-from .catalog import query, table
+from .catalog import busy_table, query, table
 
 _tok = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
 _bm = f"""
@@ -48,20 +48,20 @@ def r1_query_tokens(spark, d):
 
 @query(f"WITH {_bm} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY rank LIMIT 40")
 def r2_bm25_topk(spark, d):
-    return _lexical(table(spark, d, "documents"))
+    return _lexical(busy_table(spark, d, "documents"))
 
 
 @query(f"WITH {_bm}, t AS (SELECT doc_id, lang, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY rank LIMIT 20) SELECT doc_id, score, rank FROM t WHERE lang = 'en'")
 def r3_filter_after_rank(spark, d):
-    docs = table(spark, d, "documents")
+    docs = busy_table(spark, d, "documents")
     top = S.ranked(S.bm25(docs, ["the", "and"]), [F.desc("score"), F.col("doc_id")], 20)
     return docs.filter("lang = 'en'").select("doc_id").join(F.broadcast(top), "doc_id").select("doc_id", "score", "rank")  # 20 rows
 
 
 @query(f"WITH w AS (SELECT doc_id, {_tok} AS w FROM documents) SELECT doc_id FROM w WHERE len(list_filter(w, lambda x: starts_with(x, 'tion'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'ever'))) = 0 AND len(list_filter(w, lambda x: starts_with(x, 'the'))) > 0")
 def r4_prefix_and(spark, d):
-    found = S.prefix_and(table(spark, d, "documents"), ["tion", "the"])
-    return found.join(S.prefix_and(table(spark, d, "documents"), ["ever"]), "doc_id", "left_anti")
+    found = S.prefix_and(busy_table(spark, d, "documents"), ["tion", "the"])
+    return found.join(S.prefix_and(busy_table(spark, d, "documents"), ["ever"]), "doc_id", "left_anti")
 
 
 @query(f"WITH {_knn} SELECT vec_id, dist, row_number() OVER (ORDER BY dist, vec_id) AS rank FROM d ORDER BY rank LIMIT 40")
@@ -84,12 +84,12 @@ def r6_vector_shortfall(spark, d):
 
 @query(f"WITH {_bm}, {_lex.format(where='')}, {_knn}, {_vec.format(where='')}, {_rrf.strip()}")
 def r7_rrf(spark, d):
-    return S.fuse(_lexical(table(spark, d, "documents")), _vector(table(spark, d, "embeddings")), "doc_id", 10)
+    return S.fuse(_lexical(busy_table(spark, d, "documents")), _vector(table(spark, d, "embeddings")), "doc_id", 10)
 
 
 @query(f"WITH {_bm}, {_lex.format(where='WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = $$en$$)')}, {_knn}, {_vec.format(where='WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = $$en$$)')}, {_rrf.strip()}")
 def r8_rrf_scoped(spark, d):
-    docs = table(spark, d, "documents")
+    docs = busy_table(spark, d, "documents")
     scope = docs.filter("lang = 'en'").select("doc_id")
     return S.fuse(_lexical(docs, scope), _vector(table(spark, d, "embeddings"), scope), "doc_id", 10)
 

@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import extract as E
 from ..operators import intervals as I
 from ..operators import report as R
-from .catalog import query, table
+from .catalog import busy_table, query, table
 
 _win = """w AS (SELECT doc_id, l, unnest(range(0, CAST(ceil(greatest(len(l) - 20, 0) / 16) AS BIGINT) + 1)) AS chunk FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
     c AS (SELECT doc_id, chunk, chunk * 16 + 1 AS start_line, chunk * 16 + len(l[chunk * 16 + 1:chunk * 16 + 20]) AS end_line, array_to_string(l[chunk * 16 + 1:chunk * 16 + 20], chr(10)) AS chunk_text FROM w)"""
@@ -25,20 +25,20 @@ def ch1_line_windows(spark, d):
     k AS (SELECT * FROM s WHERE tokens <= 260), n AS (SELECT doc_id, len(string_split(text, chr(10))) AS total FROM documents)
     SELECT doc_id, sum(end_line - start_line + 1)::BIGINT AS symbol_lines, any_value(total)::BIGINT AS total_lines, sum(end_line - start_line + 1) / any_value(total) >= 0.3 AS accepted FROM k JOIN n USING (doc_id) GROUP BY doc_id""")
 def ch2_symbol_gate(spark, d):
-    docs = table(spark, d, "documents")
+    docs = busy_table(spark, d, "documents")
     spans = I.windows(docs, "doc_id", "text", 20, 4).filter("chunk_text != ''")
     return E.symbol_gate(spans.withColumn("tokens", X.token_estimate(F.col("chunk_text"))), docs.select("doc_id", F.size(X.lines(F.col("text"))).alias("total")), "doc_id", 130)
 
 
 @query(f"SELECT doc_id, {_est} AS tokens FROM documents")
 def ch4_token_estimate(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+    return busy_table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query(f"SELECT doc_id, ({_est} >= 80 OR {_logic}) AS embed, {_logic} AS logic FROM documents")
 def f9_embed_filter(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.should_embed(t, 80).alias("embed"), X.has_logic(t).alias("logic"))
+    return busy_table(spark, d, "documents").select("doc_id", X.should_embed(t, 80).alias("embed"), X.has_logic(t).alias("logic"))
 
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS first_id, count(*) AS members FROM documents GROUP BY 1")

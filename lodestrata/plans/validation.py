@@ -16,7 +16,8 @@ SENTENCES = (
 def _rows(spark, d):
     k = F.col("o_orderkey")
     pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (k % n).cast("int"))
-    return table(spark, d, "orders").select(k.alias("gr_id"), pick(SENTENCES, len(SENTENCES)).alias("statement"), F.when(k % 3 == 0, "behavioral").when(k % 3 == 1, "definitional").alias("rule_class"), F.when(k % 5 != 0, pick(sorted(V.PATTERNS), len(V.PATTERNS))).alias("pattern"),
+    cores = spark.sparkContext.defaultParallelism  # few bytes, much work a row: every core takes part
+    return table(spark, d, "orders").repartition(cores).select(k.alias("gr_id"), pick(SENTENCES, len(SENTENCES)).alias("statement"), F.when(k % 3 == 0, "behavioral").when(k % 3 == 1, "definitional").alias("rule_class"), F.when(k % 5 != 0, pick(sorted(V.PATTERNS), len(V.PATTERNS))).alias("pattern"),
         F.when(k % 2 == 0, "Calculation").otherwise("Validation").alias("category"), F.when(k % 4 == 0, "strict").when(k % 4 == 1, "wrong").alias("enforcement_level"), F.array(F.lit("vendors")).alias("terms"))
 
 
