@@ -6,13 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.catalog import busy_table as table
 from . import byte_bpe, chat, exact_dedup, language, licenses, media, ngram_join, packing, pii, secrets
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def base_count(kind: int | str) -> Column:
     """The number of base spans of a kind."""
     return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
