@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written and read again; the last one's rows."""
-    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), work_folder(spark), None
+    docs, folder, before = queries.table(spark, sf_dir, "documents"), work_folder(spark), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
