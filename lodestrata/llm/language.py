@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
         predictor = Predictor(LanguageModel(*sent.value))
         return lambda texts: [predictor.predict(t) for t in texts]
 
-    return map_texts(docs, start, [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())], list(keep))
+    return map_texts(docs, start, [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())], list(keep), most=4_000_000)
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ one; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -91,11 +92,9 @@ class Tokens:
     """
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.plain = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.path, self.plain = path, None
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -104,6 +103,11 @@ class Tokens:
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
+            if self.plain is None:  # most workers never need its memory
+                os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+                from tokenizers import Tokenizer
+
+                self.plain = Tokenizer.from_file(self.path)
             return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.fast.encode_to_numpy(text)
 
