@@ -58,9 +58,28 @@ def ranked(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def ranks_side_by_side(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key, r1, r2 of all rows of two rankings (key, rank); null where a ranking lacks the row."""
+    return left.select(key, F.col("rank").alias("r1")).join(right.select(key, F.col("rank").alias("r2")), key, "full_outer")
+
+
+def overfetched(rows: DataFrame, order: list[Column], where: Column, k: int, factor: int = 5, most: int = 500) -> DataFrame:
+    """The first k rows that pass where, out of the min(k * factor, most) best ones, with ranks of their own."""
+    pool = ranked(rows, order, min(k * factor, most)).drop("rank")
+    return ranked(pool.filter(where), order, k)
+
+
+def shortfall_text(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """n_rows, n_vectors and, in words, how many rows have no vector."""
+    n = rows.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(vectors.agg(F.count(F.lit(1)).alias("n_vectors")))  # two single rows
+    missing = F.col("n_rows") - F.col("n_vectors")
+    some = F.concat(F.col("n_vectors").cast("string"), F.lit(" of "), F.col("n_rows").cast("string"), F.lit(" rows have vectors; "), missing.cast("string"), F.lit(" cannot be found by meaning"))
+    return n.withColumn("notice", F.when(F.col("n_rows") == 0, "no rows").when(F.col("n_vectors") == 0, "no row has a vector").when(missing > 0, some).otherwise("all rows have vectors"))
+
+
 def fuse(lexical: DataFrame, vector: DataFrame, key: str, k: int, constant: int = FUSION) -> DataFrame:
     """Reciprocal rank fusion of two rankings (key, rank): key, score, best."""
-    both = lexical.select(key, F.col("rank").alias("r1")).join(vector.select(key, F.col("rank").alias("r2")), key, "full_outer")
+    both = ranks_side_by_side(lexical, vector, key)
     part = lambda c: F.coalesce(1.0 / (constant + F.col(c)), F.lit(0.0))
     both = both.select(key, F.round(part("r1") + part("r2"), 9).alias("score"), F.least("r1", "r2").alias("best"))
     return ranked(both, [F.desc("score"), F.col("best"), F.col(key)], k)

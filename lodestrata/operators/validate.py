@@ -230,30 +230,74 @@ _when("V-ENF-02", "ERROR", lambda r: r.level is not None and r.level not in LEVE
 _when("V-ENF-03", "WARN", lambda r: r.level is None and r.cls == "behavioral")
 
 
-def findings_of(text, cls=None, pattern=None, category=None, level=None, terms=()) -> list[tuple[str, str, str, bool]]:
+def _reading(text, cls=None, pattern=None, category=None, level=None, terms=()) -> Reading:
+    return Reading(text or "", cls, pattern, category, level, frozenset(terms or ()))
+
+
+def findings_of(*row, **fields) -> list[tuple[str, str, str, bool]]:
     """(check, severity, span, evaluated) by check, then place; a span is start-end, empty for the whole row."""
-    r, out = Reading(text or "", cls, pattern, category, level, frozenset(terms or ())), set()
+    r, out = _reading(*row, **fields), set()
     for name, severity, spans in CHECKS:
         for s in spans(r):
             out.add((name, severity, (-1, -1) if s is None or s is OPEN else s, s is not OPEN))
     return [(n, v, f"{s[0]}-{s[1]}" if s[0] >= 0 else "", e) for n, v, s, e in sorted(out)]
 
 
-def validate(rows: DataFrame, key: str) -> DataFrame:
-    """key, finding_id, severity, span, evaluated of rows (statement, rule_class, pattern, category, enforcement_level, terms)."""
+def keywords_of(*row, **fields) -> list[tuple[str, str | None, str, str]]:
+    """(keyword, class, kind, span) in order of place; a pair (may ... only) has two spans, comma-joined."""
+    return [(m.word, m.cls, m.kind, ",".join(f"{a}-{b}" for a, b in m.parts)) for m in _reading(*row, **fields).marks]
+
+
+def slots_of(*row, **fields) -> list[tuple[str, str, str, bool]]:
+    """(slot, span, words, unsure) of the slots that are filled, by name; unsure if no template applies."""
+    r = _reading(*row, **fields)
+    return [(n, f"{s[0]}-{s[1]}", r.text[s[0] : s[1]], r.unsure) for n, s in sorted(r.slots.items()) if s]
+
+
+def leaks_of(*row, **fields) -> list[tuple[str, str]]:
+    """(span, words) of technical terms: of the row, by shape, or of a framework; none within a slot that may hold them."""
+    r = _reading(*row, **fields)
+    return [(f"{a}-{b}", r.text[a:b]) for a, b in sorted(_leakage(r))]
+
+
+COLUMNS = ("statement", "rule_class", "pattern", "category", "enforcement_level", "terms")
+
+
+def _each(rows: DataFrame, key: str, tell: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """key and what tell gives for each row's COLUMNS, a row each, in Arrow batches."""
     import pandas as pd
 
     from ..shipping import ship
 
     ship(rows.sparkSession)
-    columns = ["statement", "rule_class", "pattern", "category", "enforcement_level", "terms"]
+    names = [key, *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches):
         for b in batches:
-            out = [(k, *x) for k, *v in zip(b[key], *(b[c] for c in columns), strict=True) for x in findings_of(*(None if isinstance(y, float) else y for y in v[:5]), [] if v[5] is None else list(v[5]))]
-            yield pd.DataFrame(out, columns=[key, "finding_id", "severity", "span", "evaluated"])
+            out = [(k, *x) for k, *v in zip(b[key], *(b[c] for c in COLUMNS), strict=True) for x in tell(*(None if isinstance(y, float) else y for y in v[:5]), [] if v[5] is None else list(v[5]))]
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.select(key, *COLUMNS).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
+
+
+def validate(rows: DataFrame, key: str) -> DataFrame:
+    """key, finding_id, severity, span, evaluated of rows (statement, rule_class, pattern, category, enforcement_level, terms)."""
+    return _each(rows, key, findings_of, "finding_id string, severity string, span string, evaluated boolean")
+
+
+def keywords(rows: DataFrame, key: str) -> DataFrame:
+    """key, keyword, keyword_class, kind, span of the modal keywords."""
+    return _each(rows, key, keywords_of, "keyword string, keyword_class string, kind string, span string")
+
+
+def slots(rows: DataFrame, key: str) -> DataFrame:
+    """key, slot, span, words, unsure of the slots of each statement."""
+    return _each(rows, key, slots_of, "slot string, span string, words string, unsure boolean")
+
 
-    return rows.select(key, *columns).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, finding_id string, severity string, span string, evaluated boolean")
+def leaks(rows: DataFrame, key: str) -> DataFrame:
+    """key, span, words of the technical terms in each statement."""
+    return _each(rows, key, leaks_of, "span string, words string")
 
 
 def blocking(findings: DataFrame, key: str) -> DataFrame:

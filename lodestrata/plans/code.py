@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import markup as M
+from ..sources.files import parsed_domains
 from .catalog import query, table
 
 JAVA = "public class C%d extends Base%d implements I%d, Shared<T> {\n  private Order%d order;\n  int plain;\n}"
@@ -93,3 +94,11 @@ def u2_candidate_union(spark, d):
     a = table(spark, d, "documents").filter("doc_id < 60").select(F.col("doc_id").alias("k"), F.lit(True).alias("x"))
     b = table(spark, d, "embeddings").filter("vec_id BETWEEN 30 AND 90").select(F.col("vec_id").alias("k"), F.lit(True).alias("y"))
     return a.join(b, "k", "full_outer").select("k", F.col("x").isNotNull().alias("lexical"), F.col("y").isNotNull().alias("vector"))
+
+
+@query("SELECT n_regionkey AS catalogue, concat('d', n_nationkey) AS domain_id, n_name AS name, 2::BIGINT AS n_globs FROM nation")
+def sc4_domains_json(spark, d):
+    """A domain catalogue a region as JSON text, read back with the fixed schema."""
+    domain = F.struct(F.concat(F.lit("d"), "n_nationkey").alias("domain_id"), F.col("n_name").alias("name"), F.array(F.concat("n_name", F.lit("/**")), F.lit("**/*.md")).alias("path_globs"))
+    texts = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("catalogue")).agg(F.to_json(F.struct(F.collect_list(domain).alias("domains"))).alias("c"))
+    return parsed_domains(texts, "c").select("catalogue", F.explode("c.domains").alias("x")).select("catalogue", "x.domain_id", "x.name", F.size("x.path_globs").cast("long").alias("n_globs"))

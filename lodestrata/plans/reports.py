@@ -352,3 +352,16 @@ def sk4_changed_children(spark, d):
     new = F.when(F.col("l_orderkey") % 9 == 0, F.col("l_partkey") + 1).otherwise(F.col("l_partkey"))
     sides = kids.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("before"), F.array_sort(F.collect_list(F.struct("l_linenumber", new.alias("l_partkey")))).alias("after"))
     return sides.filter(~F.col("before").eqNullSafe(F.col("after"))).select("l_orderkey")
+
+
+@query("SELECT coalesce(source, 'none') AS tier, count(*) AS files, coalesce(sum(n_chars), 0)::BIGINT AS total_chars, coalesce(sum(len(string_split(text, chr(10)))), 0)::BIGINT AS total_lines FROM documents GROUP BY 1")
+def a17_tier_totals(spark, d):
+    rows = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("tier"), "n_chars", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).alias("lines"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("files"), total("n_chars").alias("total_chars"), total("lines").alias("total_lines"))
+
+
+@query("SELECT l_orderkey, l_linenumber, p_brand AS path FROM lineitem JOIN part ON l_partkey = p_partkey")
+def j2_refs_with_files(spark, d):
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(files, "l_partkey").drop("l_partkey")

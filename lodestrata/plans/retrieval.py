@@ -124,3 +124,35 @@ def r12_hash_embedding(spark, d):
 def r13_dimension(spark, d):
     size = F.size("embedding")
     return table(spark, d, "embeddings").agg((F.min(size) == F.max(size)).alias("consistent"), F.max(size).cast("long").alias("dim"))
+
+
+@query("""SELECT count(*) AS n_rows, (SELECT count(*) FROM embeddings) AS n_vectors, CASE WHEN count(*) = 0 THEN 'no rows' WHEN (SELECT count(*) FROM embeddings) = 0 THEN 'no row has a vector'
+    WHEN count(*) > (SELECT count(*) FROM embeddings) THEN concat((SELECT count(*) FROM embeddings), ' of ', count(*), ' rows have vectors; ', count(*) - (SELECT count(*) FROM embeddings), ' cannot be found by meaning') ELSE 'all rows have vectors' END AS notice FROM documents""")
+def r14_shortfall_text(spark, d):
+    return S.shortfall_text(table(spark, d, "documents"), table(spark, d, "embeddings"))
+
+
+_dear = "ORDER BY o_totalprice DESC, o_orderkey"
+
+
+def _orders(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")]
+
+
+@query(f"SELECT o_orderkey, o_totalprice, row_number() OVER ({_dear}) AS rank FROM orders {_dear} LIMIT 40")
+def w1_enumerated(spark, d):
+    rows, order = _orders(spark, d)
+    return S.ranked(rows.drop("o_orderstatus"), order, 40)
+
+
+@query(f"WITH pool AS (SELECT * FROM orders {_dear} LIMIT 200) SELECT o_orderkey, o_totalprice, row_number() OVER ({_dear}) AS rank FROM pool WHERE o_orderstatus = 'O' {_dear} LIMIT 40")
+def l3_overfetch(spark, d):
+    rows, order = _orders(spark, d)
+    return S.overfetched(rows, order, F.col("o_orderstatus") == "O", 40).select("o_orderkey", "o_totalprice", "rank")
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, row_number() OVER ({_dear}) AS r FROM orders {_dear} LIMIT 40), b AS (SELECT o_orderkey, row_number() OVER ({_dear}) AS r FROM orders WHERE o_orderstatus = 'O' {_dear} LIMIT 40)
+    SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.r AS r1, b.r AS r2 FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""")
+def j17_two_rankings(spark, d):
+    rows, order = _orders(spark, d)
+    return S.ranks_side_by_side(S.ranked(rows, order, 40), S.ranked(rows.filter("o_orderstatus = 'O'"), order, 40), "o_orderkey")

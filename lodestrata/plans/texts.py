@@ -160,3 +160,10 @@ def m17_entity_body(spark, d):
     none = F.lit(None).cast("int")
     rows = table(spark, d, "documents").select("doc_id", "text", F.when(k == 0, 0).otherwise(none).alias("a"), F.when(k == 0, 20).otherwise(none).alias("b"), F.when(k == 1, 1).otherwise(none).alias("s"), F.when(k == 1, 2).otherwise(none).alias("e"))
     return rows.select("doc_id", E.entity_body(F.col("text"), F.col("a"), F.col("b"), F.col("s"), F.col("e")).alias("entity"))
+
+
+@query("SELECT 0.9::DOUBLE AS confidence, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|h2|title)[ >]', 1)) AS tag FROM pages) HAVING count(*) > 0")
+def ex10_confidence(spark, d):
+    """Facts that patterns find, by how sure they are."""
+    found = E.facts(table(spark, d, "pages"), "page_id", "html", "<(h1|h2|title)[ >]", {"h1": "heading", "h2": "heading", "title": "heading"})
+    return found.groupBy("confidence").agg(F.sum("n").alias("n"))

@@ -36,3 +36,18 @@ def v1_native_checks(spark, d):
 @query()
 def v5_blocked_rows(spark, d):
     return V.blocking(V.validate(_rows(spark, d), "gr_id"), "gr_id")
+
+
+@query()
+def v2_keywords(spark, d):
+    return V.keywords(_rows(spark, d), "gr_id")
+
+
+@query()
+def v3_slots(spark, d):
+    return V.slots(_rows(spark, d), "gr_id")
+
+
+@query()
+def v4_leaks(spark, d):
+    return V.leaks(_rows(spark, d), "gr_id")

@@ -42,6 +42,11 @@ def read_domains(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOMAINS).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
+def parsed_domains(lines: DataFrame, column: str) -> DataFrame:
+    """lines with column, the text of a domain catalogue a row, parsed by the same schema; a text that is no JSON fails."""
+    return lines.withColumn(column, F.from_json(column, DOMAINS, {"mode": "FAILFAST"}))
+
+
 def read_payload(spark: SparkSession, path: str) -> DataFrame:
     """ordinal and the fields of each rule of an extractor payload; rules may stand under either of two keys."""
     rows = spark.read.schema(PAYLOAD).option("multiLine", "true").option("mode", "FAILFAST").json(path)

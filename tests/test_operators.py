@@ -230,6 +230,34 @@ def test_validator():
     assert "V-ENF-01" in ids("x", "definitional", level="strict") and "V-ENF-02" in ids("x", "behavioral", level="soft") and "V-ENF-03" in ids("x", "behavioral")
 
 
+def test_keywords_slots_and_leaks(spark):
+    restrict = ("A clerk may close an order only if the manager agrees.", "behavioral", "B-RESTRICT")
+    assert validate.keywords_of(*restrict) == [("may ... only", "behavioral", "restricted", "8-11,27-31")]
+    assert [x[0] for x in validate.keywords_of("It must not be; it may be. Only then.")] == ["must not", "may"]
+    assert validate.slots_of(*restrict) == [("action", "12-26", "close an order", False), ("condition", "35-53", "the manager agrees", False), ("subject", "0-7", "A clerk", False)]
+    assert validate.slots_of("A must do b.") == [("action", "7-11", "do b", True)] and validate.slots_of(None) == []
+    assert validate.leaks_of("A must call getUser in Ledger by jdbc.", terms=["Ledger", "by"]) == [("12-19", "getUser"), ("23-29", "Ledger"), ("33-37", "jdbc")]
+    assert validate.leaks_of("Rate is to be computed as baseRate.", "definitional", "D-COMPUTE") == []
+    rows_ = spark.createDataFrame([(1, *restrict, None, None, None), (2, None, None, None, None, None, None)], "k long, statement string, rule_class string, pattern string, category string, enforcement_level string, terms array<string>")
+    assert rows(validate.keywords(rows_, "k")) == [(1, "may ... only", "behavioral", "restricted", "8-11,27-31")]
+    assert len(rows(validate.slots(rows_, "k"))) == 3 and rows(validate.leaks(rows_, "k")) == [] and rows(validate.keywords(rows_.limit(0), "k")) == []
+
+
+def test_overfetch_and_shortfall(spark):
+    found = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(20)], "k long, v string")
+    assert rows(search.overfetched(found, [F.col("k")], F.col("v") == "a", 2)) == [(1, "a", 1), (3, "a", 2)]
+    assert rows(search.overfetched(found, [F.col("k")], F.col("k") > 8, 2, factor=5)) == [(9, "a", 1)]  # the pool is 10 rows
+    notice = lambda a, b: search.shortfall_text(found.limit(a), found.limit(b)).first().notice
+    assert [notice(0, 0), notice(3, 0), notice(3, 2), notice(3, 3)] == ["no rows", "no row has a vector", "2 of 3 rows have vectors; 1 cannot be found by meaning", "all rows have vectors"]
+
+
+def test_domains_in_a_column_fail_if_they_are_no_json(spark):
+    good = spark.createDataFrame([('{"domains": [{"domain_id": "x", "path_globs": ["a/**"]}]}',), (None,)], "c string")
+    assert [r.c and r.c.domains[0].domain_id for r in files.parsed_domains(good, "c").collect()] == ["x", None]
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        files.parsed_domains(spark.createDataFrame([("{",)], "c string"), "c").collect()
+
+
 # --- extraction and sources ----------------------------------------------------------------------------------------
 
 
