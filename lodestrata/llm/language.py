@@ -48,10 +48,28 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(max(1, len(marked) - n + 1))]
 
 
+class Logs:
+    """Log frequencies by name: a row of one array for each, with a column a language. Workers hold many names; an array
+    takes a fraction of the memory of a list for each."""
+
+    def __init__(self, names: list[str], values: np.ndarray):
+        self.names, self.values = names, values
+        self.row = {x: i for i, x in enumerate(names)}
+
+    @staticmethod
+    def of(counts: dict[str, Counter], most: int, least: int) -> Logs:
+        """What occurs least times in some language, the most frequent of each first; add-one smoothed."""
+        names = sorted({x for c in counts.values() for x, k in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:most] if k >= least})
+        values = np.zeros((len(names), len(counts)))
+        for j, c in enumerate(counts.values()):
+            values[:, j] = np.log((np.array([c[x] for x in names], dtype=float) + 1) / (sum(c.values()) + len(names) or 1))
+        return Logs(names, values)
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams, one value for each of langs."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[float]], grams: dict[str, list[float]]):
+    def __init__(self, langs: list[str], words: Logs, grams: Logs):
         self.langs, self.words, self.grams = langs, words, grams
 
     @staticmethod
@@ -68,40 +86,36 @@ class LanguageModel:
                 for n in ORDERS:
                     for g in grams_of(w, n):
                         c[g] += 1
-        return LanguageModel(list(words), LanguageModel._logs(words, WORDS, 2), LanguageModel._logs(grams, GRAMS, 2))
-
-    @staticmethod
-    def _logs(counts: dict[str, Counter], most: int, least: int) -> dict[str, list[float]]:
-        """What occurs least times in some language, the most frequent of each first; add-one smoothed."""
-        chosen = {x for c in counts.values() for x, k in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:most] if k >= least}
-        totals = [sum(c.values()) + len(chosen) for c in counts.values()]
-        return {x: [math.log((c[x] + 1) / t) for c, t in zip(counts.values(), totals, strict=True)] for x in chosen}
+        return LanguageModel(list(words), Logs.of(words, WORDS, 2), Logs.of(grams, GRAMS, 2))
 
     def unseen(self, word: str) -> list[float]:
         for down, n in enumerate(ORDERS):
-            known = [v for g in grams_of(word, n) if (v := self.grams.get(g))]
+            known = [i for g in grams_of(word, n) if (i := self.grams.row.get(g)) is not None]
             if known:
-                return [down * STEP + sum(v) / len(known) for v in zip(*known, strict=True)]
+                return (down * STEP + self.grams.values[known].mean(axis=0)).tolist()
         return [len(ORDERS) * STEP] * len(self.langs)
 
 
 class Predictor:
+    """Predicts by a model; adds the words that it has not seen to the model's rows, MEMO at a time at most."""
+
     def __init__(self, model: LanguageModel):
-        self.model, self.row = model, {w: i for i, w in enumerate(model.words)}
-        self.known = len(self.row)
+        self.model, self.known = model, len(model.words.names)
+        self.row, self.used = dict(model.words.row), self.known
         self.values = np.zeros((self.known + MEMO, len(model.langs)))
-        if self.known:
-            self.values[: self.known] = list(model.words.values())
-        self.used = self.known
-
-    def _new(self, word: str) -> int:
-        if self.used == len(self.values):
-            self.row = {w: i for w, i in self.row.items() if i < self.known}
-            self.used = self.known
-        self.values[self.used] = self.model.unseen(word)
-        self.row[word] = self.used
-        self.used += 1
-        return self.used - 1
+        self.values[: self.known] = model.words.values
+
+    def _rows(self, words: list[str]) -> list[int]:
+        """The rows of MEMO distinct words at most."""
+        if self.used + len(words) > len(self.values):
+            self.row, self.used = dict(self.model.words.row), self.known
+        rows = [*map(self.row.get, words)]
+        for at, i in enumerate(rows):
+            if i is None:
+                rows[at] = self.row[words[at]] = self.used
+                self.values[self.used] = self.model.unseen(words[at])
+                self.used += 1
+        return rows
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
@@ -109,15 +123,9 @@ class Predictor:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.model.langs))
         counts = Counter(words)
-        get, rows, weights = self.row.get, [], []
-        for w, k in counts.items():
-            i = get(w)
-            if i is None:
-                total += np.multiply(self.model.unseen(w), k) if self.used == len(self.values) else self.values[self._new(w)] * k
-            else:
-                rows.append(i)
-                weights.append(k)
-        total += np.array(weights, dtype=float) @ self.values[rows]
+        distinct, times = [*counts], np.fromiter(counts.values(), float, len(counts))
+        for at in range(0, len(distinct), MEMO):
+            total += times[at : at + MEMO] @ self.values[self._rows(distinct[at : at + MEMO])]
         # The share of the best, tempered by the root of the number of words: neighbouring words are not independent.
         p = np.exp((total - total.max()) / math.sqrt(len(words)))
         best = int(total.argmax())
@@ -140,10 +148,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """The columns in keep, the predicted language, and a score of 0 to 1."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))  # bounded by WORDS and GRAMS
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, *((x.names, x.values) for x in (model.words, model.grams))))  # bounded by WORDS and GRAMS
 
     def start():
-        predictor = Predictor(LanguageModel(*sent.value))
+        langs, words, grams = sent.value
+        predictor = Predictor(LanguageModel(langs, Logs(*words), Logs(*grams)))
         return lambda texts: [predictor.predict(t) for t in texts]
 
     return map_texts(docs, start, [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())], list(keep), most=4_000_000)
