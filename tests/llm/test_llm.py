@@ -417,6 +417,21 @@ def test_chat(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def chat_links(spark, rows):
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    return {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_turn, r.reply_by) for r in got}
+
+
+def test_chat_links_parts_of_a_message(spark):
+    rows = [
+        (1, 0, "user", "Ok\nbut no"), (1, 1, "user", "First one.\n\nSecond\nand more.\n\nThird.\nOk"), (1, 2, "x", "b"), (1, 3, "x", "> first one.\n>\n> Second\n> and more.\nyes"), (1, 4, "x", "> and more.\n>\n> Third."),
+        (1, 5, "x", "> Third.\n> Ok"), (1, 6, "x", "> First one.\n> [...]\n> Third.\n> Ok\nmixed"), (1, 7, "x", "> nothing\n> of this"), (2, 0, "x", "> Second\n> and more.\n>\n> Third."),
+    ]
+    got = chat_links(spark, rows)
+    assert all(got[1, t] == (1, 1, 1, "quote") for t in (3, 4, 5, 6)) and got[2, 0] == (1, 1, 1, "quote")
+    assert got[1, 7] == (0, 1, 6, "turn")
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
