@@ -432,6 +432,12 @@ def test_chat_links_parts_of_a_message(spark):
     assert got[1, 7] == (0, 1, 6, "turn")
 
 
+def test_chat_links_past_its_own_conversation(spark):
+    rows = [(1, 0, "user", "> Same line.\nSame line."), (1, 1, "x", "> Later on.\nhm"), (1, 2, "x", "Later on."), (4, 3, "x", "Same line."), (4, 1, "x", "Same line."), (5, 0, "x", "Same line."), (6, 0, "x", "Later on.")]
+    got = chat_links(spark, rows)
+    assert got[1, 0] == (1, 4, 1, "quote") and got[1, 1] == (1, 6, 0, "quote")
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
