@@ -397,6 +397,17 @@ def test_pii(spark, docs, odd, none):
     assert out.columns == odd.columns and {r.text for r in out.filter("doc_id = 8").collect()} == {"É é 😀 <email> \x00 "}
 
 
+def test_pii_ends_ibans_and_finds_neighbouring_cards():
+    found = lambda kind, text: [text[a:b] for k, a, b, *_ in pii.find_spans(text) if k == kind]
+    es, be, at, de = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "DE89370400440532013000"
+    for text, want in ((f"{es} BIC X", [es]), (f"{be} EUR 20", [be]), (f"{at} 2024", [at]), (f"REF AB12 CDEF {es} {be}. {de} EUR", [es, be, de]), ("ES91 2100 0418 4502 0005 1333 BIC", [])):
+        assert found("iban", text) == want and found("card", text) == []
+    a, b = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    assert found("card", f"{a} {b}") == [a, b] and found("card", f"12 {a} 7") == [a]
+    assert found("card", "378282246310005") == ["378282246310005"] and found("card", "3782 822463 10005") == ["3782 822463 10005"]
+    assert found("card", "378282246310006") == [] and pii.redact(f"{a} {b}, {be} EUR") == "<card> <card>, <iban> EUR"
+
+
 # --- chats ---------------------------------------------------------------------------------------------------------
 
 
