@@ -88,15 +88,38 @@ def fuse(lexical: DataFrame, vector: DataFrame, key: str, k: int, constant: int
 def near_pairs(incoming: DataFrame, stored: DataFrame, most: float, k: int, key: str = "vec_id", bound: int = 100_000) -> DataFrame:
     """For each incoming row, the k nearest stored ones within a distance, and similarity 1 / (1 + distance).
 
-    incoming is a stated query set; it is sent to all tasks, so its size is checked. More must come in blocks."""
+    incoming is a stated query set; it is sent to all tasks, so its size is checked. near_pairs_in_blocks takes any size."""
     if incoming.limit(bound + 1).count() > bound:
         raise ValueError(f"more than {bound} incoming rows: pass them in blocks")
+    return _near(incoming, stored, most, k, key)
+
+
+def _near(incoming: DataFrame, stored: DataFrame, most: float, k: int, key: str) -> DataFrame:
     q = F.broadcast(incoming.select(F.col(key).alias("incoming_id"), F.col("embedding").alias("q")))
     pairs = stored.join(q, F.col(key) != F.col("incoming_id")).select("incoming_id", F.col(key).alias("stored_id"), F.round(distance(F.col("embedding"), F.col("q")), 6).alias("dist")).filter(F.col("dist") <= most)
     place = F.row_number().over(Window.partitionBy("incoming_id").orderBy("dist", "stored_id"))
     return pairs.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k).withColumn("similarity", F.round(1 / (1 + F.col("dist")), 6))
 
 
+def near_pairs_in_blocks(incoming: DataFrame, stored: DataFrame, most: float, k: int, key: str = "vec_id", bound: int = 100_000) -> DataFrame:
+    """near_pairs for any number of incoming rows: they are dealt by key into blocks of at most bound rows, each of which
+    is sent to all tasks in turn. More than bound rows of one key are refused; rows without a key have no pairs."""
+    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    incoming = incoming.filter(F.col(key).isNotNull())
+    rows, n = incoming.count(), 1
+    if rows > bound:
+        n = -(-2 * rows // bound)
+        while incoming.groupBy(block(n).alias("b")).count().agg(F.max("count")).first()[0] > bound:
+            if n > rows * rows:
+                raise ValueError(f"more than {bound} incoming rows of one key")
+            n *= 2
+    parts = [_near(incoming if n == 1 else incoming.filter(block(n) == i), stored, most, k, key) for i in range(n)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def hash_embedding(docs: DataFrame, dim: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, embedding: tokens hashed by an 8-byte blake2b into dim places, scaled to unit length (all 0 without tokens)."""
     import re

@@ -112,7 +112,7 @@ def r10_snippet(spark, d):
     SELECT incoming_id, stored_id, dist, rank, round(1 / (1 + dist), 6) AS similarity FROM r WHERE rank <= 5""")
 def r11_near_dup_pairs(spark, d):
     v = table(spark, d, "embeddings")
-    return S.near_pairs(v.filter("vec_id % 20 = 0"), v, 1.2, 5)
+    return S.near_pairs_in_blocks(v.filter("vec_id % 20 = 0"), v, 1.2, 5)
 
 
 @query()

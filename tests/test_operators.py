@@ -70,6 +70,24 @@ def test_near_pairs_check_the_size_of_the_query_set(spark):
         search.near_pairs(v, v, 1.0, 5, bound=3)
 
 
+def test_near_pairs_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5)]) for i in range(40)], "vec_id long, embedding array<float>")
+    want = rows(search.near_pairs(v, v, 3.0, 4))
+    assert want and all(rows(search.near_pairs_in_blocks(v, v, 3.0, 4, bound=b)) == want for b in (6, 40))
+    twice = v.filter("vec_id = 3").unionAll(v.filter("vec_id = 3"))
+    with pytest.raises(ValueError):
+        search.near_pairs_in_blocks(twice, v, 3.0, 4, bound=1)
+
+
+def test_query_of_near_pairs_has_no_bound(spark, monkeypatch):
+    from lodestrata.plans import retrieval
+
+    want = rows(retrieval.r11_near_dup_pairs(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(search.near_pairs, "__defaults__", ("vec_id", 2))
+    monkeypatch.setattr(search.near_pairs_in_blocks, "__defaults__", ("vec_id", 2))
+    assert want and rows(retrieval.r11_near_dup_pairs(spark, "/root/testdata/sf0.001")) == want
+
+
 def test_hash_embedding(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.embedding for r in search.hash_embedding(docs).collect()}
