@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import exact_dedup, language, ngram_join, pii, queries
-from lodestrata.llm._common import drop_folder, materialise, work_folder
+from lodestrata.llm._common import drop_folder, drop_made, folders_made, materialise, work_folder
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written and read again; the last one's rows."""
+    """The stages over documents, each written and read again; the last one's rows. What a stage wrote on its way goes
+    when its result is written."""
     docs, folder, before = queries.table(spark, sf_dir, "documents"), work_folder(spark), None
     for i, (_, stage) in enumerate(STAGES):
+        mark = folders_made()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs, f"{folder}/{i}")
+            drop_made(spark, mark)
             if before:
                 drop_folder(spark, before)
             before = f"{folder}/{i}"

@@ -21,10 +21,13 @@ ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 
 
 _local: list[str] = []
+#: Work folders that are still there, in the order in which they were made.
+_made: list[str] = []
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share. The tables in it back the frames that
+    operators return; it goes with drop_made, or when the driver ends.
 
     Only a local master may leave that setting unset (as in tests); a temporary folder is then made.
     """
@@ -36,7 +39,27 @@ def work_folder(spark: SparkSession) -> str:
             _local.append(tempfile.mkdtemp(prefix="lodestrata-"))
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         base = "file://" + _local[0]
-    return f"{base.rstrip('/')}/lodestrata/{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_drop_rest, spark)
+    _made.append(f"{base.rstrip('/')}/lodestrata/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def folders_made() -> int:
+    return len(_made)
+
+
+def drop_made(spark: SparkSession, since: int) -> None:
+    """Deletes the work folders made since folders_made() gave that number; no frame that reads them may be used later."""
+    while len(_made) > since:
+        drop_folder(spark, _made.pop())
+
+
+def _drop_rest(spark: SparkSession) -> None:
+    try:
+        drop_made(spark, 0)
+    except Exception:  # the JVM may have ended before the driver's Python
+        _made.clear()
 
 
 def materialise(df: DataFrame, path: str) -> DataFrame:

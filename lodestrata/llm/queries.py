@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import busy_table as table
-from . import byte_bpe, chat, exact_dedup, language, licenses, media, ngram_join, packing, pii, secrets
+from . import byte_bpe, chat, chat_sql, exact_dedup, language, licenses, media, ngram_join, packing, pii, secrets
 
 
 def base_count(kind: int | str) -> Column:
@@ -74,6 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_chat, op3_language, op4_ngram_join, op5_byte_bpe, op6_media, op7_secrets, op8_licenses, op9_pii, op10_exact_dedup)}
 
 ORACLES = {
+    "op2_chat": chat_sql.SQL,
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256

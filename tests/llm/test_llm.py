@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 
-from lodestrata.llm import byte_bpe, chat, exact_dedup, language, licenses, media, ngram_join, packing, pii, queries, secrets
+from lodestrata.llm import byte_bpe, exact_dedup, language, licenses, media, ngram_join, packing, pii, queries, secrets
 from lodestrata.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -408,47 +408,6 @@ def test_pii_ends_ibans_and_finds_neighbouring_cards():
     assert found("card", "378282246310006") == [] and pii.redact(f"{a} {b}, {be} EUR") == "<card> <card>, <iban> EUR"
 
 
-# --- chats ---------------------------------------------------------------------------------------------------------
-
-
-def test_chat(spark):
-    rows = [
-        (1, 0, "user", "How do I sort a list?\nIt is long."), (1, 1, "assistant", "> how do I sort  a list?\nUse sorted().\n\nIt is stable."), (1, 2, "user", ">> How do I sort a list?\n> Use sorted().\nThanks"),
-        (1, 3, "user", "> never said\nhm"), (2, 0, "user", "> It is stable.\nIs it?"), (2, 1, "user", None), (None, 0, "user", "> It is stable."), (2, None, "x", ""), (3, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "user", "> a"),
-    ]
-    got = [tuple(r) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS key", "2 AS body")).collect()]
-    assert len(got) == len(rows)
-    by = {r[:2]: r[3:] for r in got}
-    assert by[1, 0] == ("How do I sort a list?\nIt is long.", 0, 0, 0, None, None, None)
-    assert by[1, 1] == ("Use sorted().\n\nIt is stable.", 1, 1, 1, 1, 0, "quote")
-    assert by[1, 2] == ("Thanks", 2, 2, 2, 1, 1, "quote")
-    assert by[1, 3] == ("hm", 1, 0, 1, 1, 2, "turn")
-    assert by[2, 0] == ("Is it?", 1, 1, 1, 1, 1, "quote")
-    assert by[2, 1][:4] == ("", 0, 0, 0) and by[3, 1][3:] == (1, 3, 0, "quote") and by[None, 0][4:] == (None, None, None)
-    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-
-
-def chat_links(spark, rows):
-    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    return {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_turn, r.reply_by) for r in got}
-
-
-def test_chat_links_parts_of_a_message(spark):
-    rows = [
-        (1, 0, "user", "Ok\nbut no"), (1, 1, "user", "First one.\n\nSecond\nand more.\n\nThird.\nOk"), (1, 2, "x", "b"), (1, 3, "x", "> first one.\n>\n> Second\n> and more.\nyes"), (1, 4, "x", "> and more.\n>\n> Third."),
-        (1, 5, "x", "> Third.\n> Ok"), (1, 6, "x", "> First one.\n> [...]\n> Third.\n> Ok\nmixed"), (1, 7, "x", "> nothing\n> of this"), (2, 0, "x", "> Second\n> and more.\n>\n> Third."),
-    ]
-    got = chat_links(spark, rows)
-    assert all(got[1, t] == (1, 1, 1, "quote") for t in (3, 4, 5, 6)) and got[2, 0] == (1, 1, 1, "quote")
-    assert got[1, 7] == (0, 1, 6, "turn")
-
-
-def test_chat_links_past_its_own_conversation(spark):
-    rows = [(1, 0, "user", "> Same line.\nSame line."), (1, 1, "x", "> Later on.\nhm"), (1, 2, "x", "Later on."), (4, 3, "x", "Same line."), (4, 1, "x", "Same line."), (5, 0, "x", "Same line."), (6, 0, "x", "Later on.")]
-    got = chat_links(spark, rows)
-    assert got[1, 0] == (1, 4, 1, "quote") and got[1, 1] == (1, 6, 0, "quote")
-
-
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
