@@ -1,25 +1,31 @@
 """N-gram Jaccard join: documents whose word-shingle sets have a similarity of 0.8 or more, as components.
 
 Signatures (PartEnum). If two sets of sizes a and b have a similarity of 0.8, they differ in at most (a + b) / 9
-elements, so in at most a / 4. The domain of element hashes is cut into parts, their number fixed for a band of sizes; each part's
-content in a set is one signature. Sets that differ in h elements differ in at most h parts, so of a set's non-empty
-parts all but h stand in the other as they are. Each set enumerates only its first a / 4 + extra parts, those with the
-most elements first (an order that depends on a part's content alone): by the prefix argument two similar sets then
-share `extra` signatures at least. A band covers sizes L to 2.5 L, and sets in the lowest quarter of a band also sign
-in the band below, so that any two sets of similar size have a band in common. A set with too few non-empty parts signs
-all of them, and all again in an eight times finer cut, until it has enough; if two similar sets both fall short, they
-meet in the finer cut.
+elements, so in at most a / 4 of the smaller one's. The domain of element hashes is cut into groups of PARTS parts, the
+number of groups fixed for a band of sizes. A signature is the content of a subset of a group's parts: all subsets that
+leave out MAY parts are enumerated. Of a / 4 / (MAY + 1) + 1 groups one has MAY differing elements at most, and there two
+similar sets agree in a whole subset. A group counts if more than MAY of its parts hold elements, so that a subset with
+elements is among those on which they agree; a set enumerates groups in order until enough of them count. A band covers
+sizes L to 2.5 L, and sets in the lowest quarter of a band also sign in the band below, so that any two sets of similar
+size have a band in common. A set with too few groups that count signs them all, and again in cuts into single parts
+(none may differ, a / 4 + 1 count), each finer than the last, until it has enough; if two similar sets both fall short,
+they meet in the next cut.
 
 Then, each step exact:
-1. Only signatures of two different sets count, and only sets with as many shared signatures as any link needs.
-2. Of those, only sets of which 80 % of the elements stand in another one.
+1. Only signatures of two different sets count.
+2. Of their sets, only those of which 80 % of the elements stand in another one.
 3. In each signature's bucket all members are compared with a hub, the member that shares most; links give components.
 4. In buckets that still hold several components, members of different ones are compared: small buckets pair by pair,
    large ones in blocks of bounded size, gathered by hub, by counting common elements; a block reports no more links
    than join its components. So no link between components is lost, and large groups of near copies, which mostly
    link to their hub, cost rows in proportion to their size.
 
-Equal sets are one set from the beginning (by a 64-bit sum over their element hashes), however many documents have it.
+Equal sets are one set from the beginning, however many documents have it. Sets are named by a 64-bit sum over their
+element hashes. A second sum is compared for all documents of a name; where it differs (for 10^10 documents about three
+names are expected to), the others get a name of their own, so that different sets are never taken for one.
+
+A key that very many sets have is no single task's work: rows whose key a batch of texts holds twice are known to be
+shared, so they are dealt by set, and one row a batch tells the key's own task that it is shared.
 
 Memory: a task holds a batch of texts, or two blocks of BLOCK elements each. What is sent to all tasks is one bit map of
 BITS bits at most. Intermediate tables lie in the shared folder.
@@ -32,6 +38,7 @@ row each; an empty table gives an empty one; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +47,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from ._common import drop_folder, materialise, small, work_folder
+from ._common import drop_folder, fresh_name, materialise, small, work_folder
 from .components import components
 from .shingles import mix, shingle_sets
 
 WORDS = 5
+#: Parts of a group, and how many of them may differ.
+PARTS, MAY = 3, 1
 #: Bytes of text that are worked on at a time; elements of a block; members of a small bucket; bits of the map.
 SLICE, BLOCK, SMALL, BITS = 2_000_000, 1 << 19, 24, 1 << 27
 
@@ -53,41 +62,82 @@ def linked(a: int, b: int, common: int) -> bool:
     return 100 * common >= 80 * (a + b - common)
 
 
-def set_ids(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each set; 0 for an empty one."""
+def _sums(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n = np.diff(bounds)
     total = np.zeros(len(n), np.uint64)
-    if len(elements):
-        total[n > 0] = np.add.reduceat(mix(elements + np.uint64(1)), bounds[:-1][n > 0])
+    if len(hashes):
+        total[n > 0] = np.add.reduceat(hashes, bounds[:-1][n > 0])
         total[n > 0] = mix(total[n > 0] + n[n > 0].astype(np.uint64))
-    return total.view(np.int64)
+    return total
+
+
+def set_checks(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A second hash of each set."""
+    return _sums(mix(elements ^ np.uint64(0xA5A5A5A55A5A5A5B)), bounds).view(np.int64)
 
 
-def signatures(elements: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(band and cut, least number of shared signatures, signatures) of one sorted set of 4 elements or more."""
+def set_ids(elements: np.ndarray, bounds: np.ndarray, names: dict[int, int] | None = None) -> np.ndarray:
+    """A hash of each set; 0 for an empty one. names: of a name that several sets have, the second hash of the set that
+    keeps it; the others get new names."""
+    ids = _sums(mix(elements + np.uint64(1)), bounds).view(np.int64)
+    if names:
+        checks = set_checks(elements, bounds)
+        for i in np.flatnonzero(np.isin(ids, np.array([*names], np.int64))):
+            while (keeps := names.get(int(ids[i]))) is not None and keeps != checks[i]:
+                ids[i] = mix(ids[i : i + 1].view(np.uint64) + checks[i : i + 1].view(np.uint64)).view(np.int64)[0]
+    return ids
+
+
+def _subsets(parts: int, may: int) -> np.ndarray:
+    """A column for each subset that leaves out may of the parts: 1 where a part is in it."""
+    out = np.ones((parts, len([*combinations(range(parts), may)])), np.uint64)
+    for i, left in enumerate(combinations(range(parts), may)):
+        out[list(left), i] = 0
+    return out
+
+
+_kept = {(PARTS, MAY): _subsets(PARTS, MAY), (1, 0): _subsets(1, 0)}
+
+
+def _enumerated(elements: np.ndarray, groups: int, parts: int, may: int, key: np.uint64) -> tuple[np.ndarray, bool]:
+    """The signatures of a sorted set in one cut, and whether enough groups counted."""
+    slot = ((elements >> np.uint64(32)) * np.uint64(groups * parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+    slot = slot[first].astype(np.int64)
+    content = np.add.reduceat(mix(elements + key), first)
+    group = slot // parts
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    filled = np.diff(np.append(start, len(group)))
+    counted = np.cumsum(filled > may)
+    need = len(elements) // 4 // (may + 1) + 1
+    enough = bool(counted[-1] >= need)
+    last = int(np.searchsorted(counted, need)) + 1 if enough else len(start)
+    end = int(start[last]) if last < len(start) else len(group)
+    row, column = np.repeat(np.arange(last), filled[:last]), slot[:end] % parts
+    dense, has = np.zeros((last, parts), np.uint64), np.zeros((last, parts), np.uint64)
+    dense[row, column], has[row, column] = content[:end], 1
+    kept = _kept[parts, may]
+    place = (group[start[:last]].astype(np.uint64) * np.uint64(8))[:, None] + np.arange(kept.shape[1], dtype=np.uint64)[None, :]
+    return mix(dense @ kept + place * np.uint64(2) + key)[has @ kept > 0], enough
+
+
+def signatures(elements: np.ndarray) -> Iterator[np.ndarray]:
+    """The signatures of one sorted set of 4 elements or more, by band and cut."""
     a = len(elements)
-    most, extra, need = a // 4, a // 50 + 1, 2 * a // 125 + 1
     own = a.bit_length() - 1
-    high = elements >> np.uint64(32)
     for band in (own, own - 1) if 4 * a < 5 << own else (own,):
-        parts, cut, enough = max(8, (5 << band) * 10 // 68 + 1), 0, False
+        most = (5 << band) // 8  # elements in which the band's largest sets can differ
+        groups, parts, may, cut, enough = (most // (MAY + 1) + 1) * 6 // 5 + 1, PARTS, MAY, 0, False
         while not enough:
-            part = (high * np.uint64(parts)) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            key = np.uint64((band << 8) + cut + 1)
-            sig = mix(np.add.reduceat(mix(elements + key), first) + part[first] * np.uint64(2) + key)
-            enough = len(sig) >= most + extra
-            if enough:
-                size = np.diff(np.append(first, a))
-                sig = sig[np.lexsort((sig, -size))[: most + extra]]
-            elif parts >= 1 << 31:  # as fine as the hashes are; each element is alone
+            sigs, enough = _enumerated(elements, groups, parts, may, np.uint64((band << 8) + cut + 1))
+            yield sigs
+            if groups >= 1 << 31:  # as fine as the hashes are; each element is alone
                 enough = True
-            yield (band << 4) + cut, need, sig
-            parts, cut = min(parts * 8, 1 << 31), cut + 1
+            groups, parts, may, cut = min(max(8, 4 << band) * 8**cut, 1 << 31), 1, 0, cut + 1
 
 
-def _sets(docs: DataFrame, make, schema: str) -> DataFrame:
-    """make(column of identifiers, elements, bounds, ids) gives the columns of each batch."""
+def _sets(docs: DataFrame, make, schema: str, names: dict[int, int] | None = None) -> DataFrame:
+    """make() gives a function from (batch, elements, bounds, ids) to the columns of each batch; the text is its last column."""
     ship(docs.sparkSession)
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
@@ -96,7 +146,7 @@ def _sets(docs: DataFrame, make, schema: str) -> DataFrame:
         for b in batches:
             for part in small(b, SLICE):
                 elements, bounds = shingle_sets(part.column(part.num_columns - 1).to_pylist(), WORDS)
-                columns = work(part.column(0), elements, bounds, set_ids(elements, bounds))
+                columns = work(part, elements, bounds, set_ids(elements, bounds, names))
                 if len(columns[0]):
                     yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
@@ -120,40 +170,59 @@ class _Seen:
         return out
 
 
-def memberships(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id of each row."""
+def memberships(docs: DataFrame, names: dict[int, int] | None = None) -> DataFrame:
+    """doc_id, h1, h2 (hashes of the text), n_shingles, set_id, check of each row."""
 
     def make():
-        return lambda keys, elements, bounds, ids: [keys, pa.array(np.diff(bounds)), pa.array(ids)]
+        return lambda part, elements, bounds, ids: [part.column(0), part.column(1), part.column(2), pa.array(np.diff(bounds)), pa.array(ids), pa.array(set_checks(elements, bounds))]
+
+    out = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("h1", "h2", "n_shingles", "set_id", "check"))])
+    return _sets(docs.select("doc_id", *text_hashes("h1", "h2"), "text"), make, out, names)
+
+
+def text_hashes(first: str, second: str) -> list:
+    return [F.xxhash64("text").alias(first), F.xxhash64("text", F.lit(1)).alias(second)]
 
-    out = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType())])
-    return _sets(docs.select("doc_id", "text"), make, out)
 
+def _told(keys: np.ndarray, sets: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
+    """Rows of a batch as (key, set_id, tag * 4 + kind): of a key that two sets of the batch have, kind 1, and one row more
+    of kind 2 that says so; else 0."""
+    order = np.lexsort((sets, keys))
+    keys, sets, tags = keys[order], sets[order], tags[order].astype(np.int32) * 4
+    if len(keys):
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        run = np.cumsum(new) - 1
+        several = np.zeros(run[-1] + 1, bool)
+        several[run[1:][(sets[1:] != sets[:-1]) & ~new[1:]]] = True
+        tags += several[run].astype(np.int32)
+        tell = np.flatnonzero(new)[several]
+        keys, sets, tags = np.concatenate((keys, keys[tell])), np.concatenate((sets, sets[tell])), np.concatenate((tags, tags[tell] + 1))
+    return [keys, sets, tags]
 
-def signature_rows(docs: DataFrame) -> DataFrame:
-    """sig, set_id, tag of each set's signatures, each set once a task; tag is need * 4096 + band and cut."""
+
+def signature_rows(docs: DataFrame, names: dict[int, int] | None = None) -> DataFrame:
+    """sig, set_id, tag (kind) of each set's signatures, each set once a task."""
 
     def make():
         seen = _Seen()
 
         def work(_, elements, bounds, ids):
-            sigs, owner, tags = [np.zeros(0, np.uint64)], [], []
+            sigs, owner = [np.zeros(0, np.uint64)], []
             for i in seen.new(ids):
                 if bounds[i + 1] - bounds[i] >= 4:  # smaller sets link with equal ones only
-                    for band, need, sig in signatures(elements[bounds[i] : bounds[i + 1]]):
+                    for sig in signatures(elements[bounds[i] : bounds[i + 1]]):
                         sigs.append(sig)
                         owner.append((ids[i], len(sig)))
-                        tags.append(need * 4096 + band)
-            count = [n for _, n in owner]
-            return [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array([x for x, _ in owner], np.int64), count)), pa.array(np.repeat(np.array(tags, np.int32), count))]
+            sets = np.repeat(np.array([x for x, _ in owner], np.int64), [n for _, n in owner])
+            return [pa.array(x) for x in _told(np.concatenate(sigs).view(np.int64), sets, np.zeros(len(sets), np.int32))]
 
         return work
 
-    return _sets(docs.select("text"), make, "sig long, set_id long, tag int")
+    return _sets(docs.select("text"), make, "sig long, set_id long, tag int", names)
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Of rows (key, set_id, tag: the first three columns) those whose key two different sets have, each once.
+    """Of rows (key, set_id, tag as _told gives it) those whose key two different sets have; tag without its kind.
 
     The rows are dealt and sorted by key in the JVM, which spills; a task then streams over them and holds one batch."""
     key, sid, tag = rows.columns[:3]
@@ -161,8 +230,9 @@ def shared(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, and whether the one before has its key
 
-        def out(k, s, t, keep):
-            return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(s[keep]), pa.array(t[keep])], names=[key, sid, tag])
+        def out(k, s, t, near):
+            keep = (near & (t % 4 == 0)) | (t % 4 == 1)
+            return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(s[keep]), pa.array(t[keep] // 4)], names=[key, sid, tag])
 
         for b in batches:
             k, s, t = (b.column(i).to_numpy() for i in range(3))
@@ -177,17 +247,17 @@ def shared(rows: DataFrame) -> DataFrame:
             same = np.concatenate(([False], (k[1:] == k[:-1])))
             prev = same.copy()
             prev[0] = before
-            keep = prev.copy()
-            keep[:-1] |= same[1:]
+            near = prev.copy()
+            near[:-1] |= same[1:]
             held = (k[-1], s[-1], t[-1]), bool(prev[-1])
-            if keep[:-1].any():
-                yield out(k[:-1], s[:-1], t[:-1], keep[:-1])
-        if held is not None and held[1]:
-            (hk, hs, ht), _ = held
-            yield pa.RecordBatch.from_arrays([pa.array([hk], pa.int64()), pa.array([hs], pa.int64()), pa.array([ht], pa.int32())], names=[key, sid, tag])
+            if len(k) > 1:
+                yield out(k[:-1], s[:-1], t[:-1], near[:-1])
+        if held is not None:
+            (hk, hs, ht), before = held
+            yield out(np.array([hk], np.int64), np.array([hs], np.int64), np.array([ht], np.int32), np.array([before]))
 
-    dealt = rows.repartition(key).sortWithinPartitions(key, sid, tag)
-    return dealt.mapInArrow(run, rows.select(key, sid, tag).schema)
+    deal = F.when(F.col(tag) % 4 == 1, F.xxhash64(sid)).otherwise(F.col(key))
+    return rows.repartition(deal).sortWithinPartitions(key, sid, tag).mapInArrow(run, rows.select(key, sid, tag).schema)
 
 
 def _bit_map(ids: DataFrame) -> np.ndarray:
@@ -199,7 +269,7 @@ def _bit_map(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, names: dict[int, int] | None = None) -> DataFrame:
     """set_id, n, elements of the sets in ids (set_id), made again from the texts: only they move."""
     sent = docs.sparkSession.sparkContext.broadcast(_bit_map(ids))
 
@@ -218,7 +288,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
         return work
 
-    rows = _sets(docs.select("text"), make, "set_id long, n int, elements array<long>")
+    rows = _sets(docs.select("text"), make, "set_id long, n int, elements array<long>", names)
     return rows.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
 
 
@@ -228,7 +298,8 @@ def _element_rows(sets: DataFrame) -> DataFrame:
             for part in small(b, 4_000_000):
                 lists = part.column(2)
                 n = np.diff(lists.offsets.to_numpy())
-                yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(part.column(1).to_numpy(), n))], names=["element", "set_id", "tag"])
+                told = _told(lists.flatten().to_numpy(), np.repeat(part.column(0).to_numpy(), n), np.repeat(part.column(1).to_numpy(), n))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["element", "set_id", "tag"])
 
     return sets.mapInArrow(run, "element long, set_id long, tag int")
 
@@ -297,12 +368,11 @@ def _close(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def links(docs: DataFrame, folder: str) -> DataFrame:
+def links(docs: DataFrame, folder: str, names: dict[int, int] | None = None) -> DataFrame:
     """set_id pairs (a, b) whose components are those of all links between different sets."""
     spark = docs.sparkSession
-    rows = materialise(shared(signature_rows(docs)), f"{folder}/shared")
-    near = rows.groupBy("set_id", "tag").count().filter(F.col("count") >= F.floor(F.col("tag") / 4096)).select("set_id").distinct()
-    sets = materialise(sets_of(docs, materialise(near, f"{folder}/near")), f"{folder}/sets")
+    rows = materialise(shared(signature_rows(docs, names)).select("sig", "set_id"), f"{folder}/shared")
+    sets = materialise(sets_of(docs, materialise(rows.select("set_id").distinct(), f"{folder}/near"), names), f"{folder}/sets")
     backed = shared(_element_rows(sets)).groupBy("set_id", F.col("tag").alias("n")).count().filter(F.col("count") * 5 >= F.col("n") * 4)
     backed = materialise(backed.select("set_id", "n"), f"{folder}/backed")
     sets = sets.join(backed.select("set_id"), "set_id", "left_semi")
@@ -338,23 +408,48 @@ def links(docs: DataFrame, folder: str) -> DataFrame:
     return found.unionByName(rest)
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included)."""
+def _named(docs: DataFrame, folder: str) -> tuple[DataFrame, dict[int, int]]:
+    """memberships in which no two different sets have one name, and the names that several sets would have had."""
+    names: dict[int, int] = {}
+    while True:
+        members = materialise(memberships(docs, names), f"{folder}/members{len(names)}")
+        clash = members.groupBy("set_id").agg(F.min("check").alias("least"), F.max("check").alias("most")).filter("least != most")
+        found = {r.set_id: r.least for r in clash.select("set_id", "least").collect()}  # about n * n / 2 ** 65 of n sets
+        if not found:
+            return members, names
+        drop_folder(docs.sparkSession, f"{folder}/members{len(names)}")
+        names |= found
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, h1, h2, n_shingles and label: the same for all rows that links join."""
     folder = work_folder(docs.sparkSession)
-    members = materialise(memberships(docs), f"{folder}/members")
-    labels = components(links(docs, folder), f"{folder}/labels")
-    known = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label"))
+    members, names = _named(docs, folder)
+    labels = components(links(docs, folder, names), f"{folder}/labels")
+    known = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "h1", "h2", "n_shingles", F.coalesce("label", "set_id").alias("label"))
     known = materialise(known, f"{folder}/labelled")
-    least = materialise(known.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least")), f"{folder}/least")
+    for name in (f"members{len(names)}", "labels", "stars", "rest"):
+        drop_folder(docs.sparkSession, f"{folder}/{name}")
+    return known
+
+
+def ngram_components(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included)."""
+    known = _labelled(docs)
+    least = known.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     named = known.join(least, "label", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; with their own columns.
+    """docs with one row of each component, one with the smallest doc_id; with their own columns.
 
-    Rows without an identifier stay; so does one row only of rows that share the identifier that stays."""
+    Rows without an identifier stay; of rows without words that share identifier and text one stays."""
     names = docs.columns
-    stay = ngram_components(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*names)
-
+    h1, h2 = fresh_name("h1", names), fresh_name("h2", names)
+    known = _labelled(docs).filter("doc_id is not null")
+    row = F.struct("doc_id", "h1", "h2")
+    stay = known.filter("n_shingles > 0").groupBy("label").agg(F.min(row).alias("r")).unionByName(known.filter("n_shingles = 0").select("label", row.alias("r")))
+    stay = stay.select(F.col("r.doc_id").alias("doc_id"), F.col("r.h1").alias(h1), F.col("r.h2").alias(h2)).distinct()
+    rows = docs.filter("doc_id is not null").select("*", *text_hashes(h1, h2)).join(stay, ["doc_id", h1, h2], "left_semi")
+    return rows.dropDuplicates(["doc_id", h1, h2]).select(*names).unionByName(docs.filter("doc_id is null"))

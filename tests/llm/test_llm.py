@@ -148,6 +148,52 @@ def test_ngram_near_copies_of_all_sizes(spark, monkeypatch):
     assert Counter(rows_of(found)) == brute_components(rows)
 
 
+def test_signatures_of_similar_sets_meet():
+    """For sets of all sizes with as many differences as a link allows, some signature is common; unlike sets share few."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    every = lambda s: {int(x) for sigs in ngram_join.signatures(np.sort(s)) for x in sigs}
+    for size in [*range(4, 60), 63, 64, 65, 79, 80, 81, 127, 128, 129, 160, 300, 1000, 5000]:
+        for _ in range(20 if size < 200 else 3):
+            base = rng.integers(0, 1 << 64, size * 2, dtype=np.uint64)
+            out = int(rng.integers(0, size // 4 + 1))
+            a, b = base[:size], base[out : out + int(rng.integers(size - out, max(size - out, size * 5 // 4) + 1))]
+            common = len(np.intersect1d(a, b))
+            if ngram_join.linked(len(a), len(b), common) and len(b) >= 4:
+                assert every(a) & every(b), (size, len(b), common)
+    assert not every(base[:5000]) & every(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+
+
+def test_different_sets_of_one_name_get_two():
+    import numpy as np
+
+    elements, bounds = np.array([3, 9, 5], np.uint64), np.array([0, 2, 3, 3])
+    plain, checks = ngram_join.set_ids(elements, bounds), ngram_join.set_checks(elements, bounds)
+    assert plain[2] == 0 and len({*plain.tolist()}) == 3
+    again = ngram_join.set_ids(elements, bounds, {int(plain[0]): int(checks[0]), int(plain[1]): int(checks[0])})
+    assert again[0] == plain[0] and again[1] not in plain
+
+
+def test_rows_of_one_key_far_apart(spark):
+    """A key of all rows of one batch, a key of two batches, and keys of one set only."""
+    import numpy as np
+
+    tell = lambda rows: [*zip(*(x.tolist() for x in ngram_join._told(*(np.array(c, np.int64) for c in zip(*rows, strict=True)))), strict=True)]
+    batches = [[(1, s, 7) for s in range(50)] + [(2, 0, 7), (3, 0, 7)], [(2, 99, 7), (4, 99, 7)], [(1, 100, 7), (3, 0, 7)]]
+    rows = [r for b in batches for r in tell(b)]
+    assert len([r for r in rows if r[2] % 4 == 2]) == 1
+    got = rows_of(ngram_join.shared(spark.createDataFrame(rows, "key long, set_id long, tag int")))
+    assert sorted(got) == sorted([(1, s, 7) for s in range(50)] + [(1, 100, 7), (2, 0, 7), (2, 99, 7)])
+
+
+def test_one_row_of_a_component_stays(spark):
+    a, b = " ".join(f"t{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(2, b), (5, a), (5, b), (7, a + " x"), (5, a), (None, a), (8, ""), (8, ""), (9, None)]
+    kept = ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(rows_of(kept)) == Counter([(2, b), (5, a), (None, a), (8, ""), (9, None)])
+
+
 def test_components(spark, tmp_path):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, rng.randrange(200, 400)) for _ in range(150)] + [(700 - i, 701 - i) for i in range(90)]
