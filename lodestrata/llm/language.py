@@ -5,9 +5,11 @@ which any is known (ORDERS, longest first, of the word between boundary marks):
 frequencies and a penalty for each order stepped down. All languages are compared by the sum.
 
 The model is fitted on a bounded sample of labelled rows: about PER_LANGUAGE documents of each language, chosen by a
-hash of doc_id (the share is PER_LANGUAGE over the language's count, which is taken over all rows). Its size does not
-depend on the input: WORDS words and GRAMS n-grams a language at most. Predictions see every whole text, and nothing
-but the text; they are map-only.
+hash of doc_id (the share is PER_LANGUAGE over the language's count, which is taken over all rows). Words and n-grams are
+counted in Spark; a language keeps its most frequent ones, and what it does not keep counts as not occurring there. How
+many it keeps is WORDS words and GRAMS n-grams, or less with many languages, so that ENTRIES of each are kept in all: the
+model's size depends neither on the input nor on the number of languages. No label is left out. Predictions see every
+whole text, and nothing but the text; they are map-only.
 
 Defined results: a text that is null or has no letter gets und with score 0; so do all texts if there is nothing to
 learn from. Ties go to the language that sorts first. Null labels and null identifiers are never learned from. An empty
@@ -21,20 +23,22 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import fresh_name, map_texts
+from ..shipping import ship
+from ._common import drop_folder, fresh_name, map_texts, materialise, small, work_folder
 
 ORDERS = (5, 4, 3, 2, 1)
 PER_LANGUAGE, WORDS, GRAMS = 800, 50_000, 60_000
-#: Labels that are learned at most, the most frequent ones; this bounds the table of counts that is broadcast.
-LANGUAGES = 1000
+#: Words, and n-grams, that all languages keep together; times that a word or n-gram must occur in a language.
+ENTRIES, LEAST = 1_000_000, 2
 #: Added for each order that an unseen word steps down.
 STEP = math.log(0.4)
-#: Unseen words that a worker remembers.
-MEMO = 100_000
+#: Numbers (words times languages) that a worker remembers of unseen words.
+MEMO = 2_000_000
 UNKNOWN = "und"
 _word = re.compile(r"[^\W\d_]+")
 
@@ -49,83 +53,101 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Logs:
-    """Log frequencies by name: a row of one array for each, with a column a language. Workers hold many names; an array
-    takes a fraction of the memory of a list for each."""
+    """Log frequencies, add-one smoothed, of names in languages, sparse: a name has a slice of (language, log of count + 1);
+    where a language is not in it the log is 0. floor is what all names of a language share: minus the log of all counts."""
 
-    def __init__(self, names: list[str], values: np.ndarray):
-        self.names, self.values = names, values
+    def __init__(self, names: list[str], bounds: np.ndarray, langs: np.ndarray, logs: np.ndarray, floor: np.ndarray):
+        self.names, self.bounds, self.langs, self.logs, self.floor = names, bounds, langs, logs, floor
         self.row = {x: i for i, x in enumerate(names)}
 
     @staticmethod
-    def of(counts: dict[str, Counter], most: int, least: int) -> Logs:
-        """What occurs least times in some language, the most frequent of each first; add-one smoothed."""
-        names = sorted({x for c in counts.values() for x, k in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:most] if k >= least})
-        values = np.zeros((len(names), len(counts)))
-        for j, c in enumerate(counts.values()):
-            values[:, j] = np.log((np.array([c[x] for x in names], dtype=float) + 1) / (sum(c.values()) + len(names) or 1))
-        return Logs(names, values)
+    def of(rows: list[tuple[int, str, int]], totals: np.ndarray) -> Logs:
+        """rows: (language, name, count); totals: the sum of all counts of each language, kept or not."""
+        rows = sorted(rows, key=lambda r: (r[1], r[0]))
+        new = [i for i, r in enumerate(rows) if i == 0 or rows[i - 1][1] != r[1]]
+        langs = np.fromiter((r[0] for r in rows), np.int32, len(rows))
+        logs = np.log1p(np.fromiter((r[2] for r in rows), float, len(rows)))
+        return Logs([rows[i][1] for i in new], np.array([*new, len(rows)]), langs, logs, -np.log(totals + max(1, len(new))))
+
+    def summed(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weighted sum over these names of what they have above the floor, by language."""
+        first, n = self.bounds[rows], self.bounds[rows + 1] - self.bounds[rows]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.langs[at], weights=self.logs[at] * np.repeat(weights, n), minlength=len(self.floor))
+
+    def parts(self) -> tuple:
+        return self.names, self.bounds, self.langs, self.logs, self.floor
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams, one value for each of langs."""
+    """Log frequencies of words and n-grams by language."""
 
     def __init__(self, langs: list[str], words: Logs, grams: Logs):
         self.langs, self.words, self.grams = langs, words, grams
 
     @staticmethod
-    def fit(rows) -> LanguageModel:
-        """rows: (lang, text)."""
+    def of_rows(rows) -> LanguageModel:
+        """The model of (lang, text) in memory, as fit makes it in Spark."""
         words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in rows:
             words[lang].update(words_of(text))
-        words = {k: words[k] for k in sorted(words) if words[k]}
-        grams: dict[str, Counter] = {}
-        for lang, found in words.items():
-            grams[lang] = c = Counter()
-            for w in found:  # each word once: n-grams stand for words that were not seen
-                for n in ORDERS:
-                    for g in grams_of(w, n):
-                        c[g] += 1
-        return LanguageModel(list(words), Logs.of(words, WORDS, 2), Logs.of(grams, GRAMS, 2))
-
-    def unseen(self, word: str) -> list[float]:
+        langs = sorted(k for k in words if words[k])
+        grams = {k: Counter(g for w in words[k] for g in all_grams(w)) for k in langs}
+
+        def logs(counts, most):
+            kept = [(j, x, n) for j, k in enumerate(langs) for x, n in sorted(counts[k].items(), key=lambda p: (-p[1], p[0]))[:most] if n >= LEAST]
+            return Logs.of(kept, np.array([float(sum(counts[k].values())) for k in langs]))
+
+        return LanguageModel(langs, logs(words, kept_of(WORDS, langs)), logs(grams, kept_of(GRAMS, langs)))
+
+    def unseen(self, word: str) -> np.ndarray:
+        """What a word that is not known adds to each language."""
         for down, n in enumerate(ORDERS):
             known = [i for g in grams_of(word, n) if (i := self.grams.row.get(g)) is not None]
             if known:
-                return (down * STEP + self.grams.values[known].mean(axis=0)).tolist()
-        return [len(ORDERS) * STEP] * len(self.langs)
+                return down * STEP + self.grams.floor + self.grams.summed(np.array(known), np.full(len(known), 1 / len(known)))
+        return np.full(len(self.langs), len(ORDERS) * STEP)
+
+
+def kept_of(most: int, langs: list[str]) -> int:
+    return max(1, min(most, ENTRIES // max(1, len(langs))))
+
+
+def all_grams(word: str) -> list[str]:
+    return [g for n in ORDERS for g in grams_of(word, n)]
 
 
 class Predictor:
-    """Predicts by a model; adds the words that it has not seen to the model's rows, MEMO at a time at most."""
+    """Predicts by a model; remembers what unseen words add, MEMO numbers at most."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.known = model, len(model.words.names)
-        self.row, self.used = dict(model.words.row), self.known
-        self.values = np.zeros((self.known + MEMO, len(model.langs)))
-        self.values[: self.known] = model.words.values
-
-    def _rows(self, words: list[str]) -> list[int]:
-        """The rows of MEMO distinct words at most."""
-        if self.used + len(words) > len(self.values):
-            self.row, self.used = dict(self.model.words.row), self.known
-        rows = [*map(self.row.get, words)]
-        for at, i in enumerate(rows):
-            if i is None:
-                rows[at] = self.row[words[at]] = self.used
-                self.values[self.used] = self.model.unseen(words[at])
-                self.used += 1
-        return rows
+        self.model, self.most = model, max(1, MEMO // max(1, len(model.langs)))
+        self.memo: dict[str, np.ndarray] = {}
+
+    def _unseen(self, word: str) -> np.ndarray:
+        found = self.memo.get(word)
+        if found is None:
+            if len(self.memo) >= self.most:
+                self.memo.clear()
+            found = self.memo[word] = self.model.unseen(word)
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not self.model.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
+        known, rows, times = self.model.words, [], []
         total = np.zeros(len(self.model.langs))
-        counts = Counter(words)
-        distinct, times = [*counts], np.fromiter(counts.values(), float, len(counts))
-        for at in range(0, len(distinct), MEMO):
-            total += times[at : at + MEMO] @ self.values[self._rows(distinct[at : at + MEMO])]
+        for w, n in Counter(words).items():
+            row = known.row.get(w)
+            if row is None:
+                total += n * self._unseen(w)
+            else:
+                rows.append(row)
+                times.append(n)
+        if rows:
+            weights = np.array(times, float)
+            total += known.summed(np.array(rows), weights) + weights.sum() * known.floor
         # The share of the best, tempered by the root of the number of words: neighbouring words are not independent.
         p = np.exp((total - total.max()) / math.sqrt(len(words)))
         best = int(total.argmax())
@@ -137,18 +159,49 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _counted(rows: DataFrame, names, text: str) -> DataFrame:
+    """lang, name, n: names(text) of the rows (lang, text), counted in each batch, then in all."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for part in small(b, 8_000_000):
+                found: dict[str, Counter] = defaultdict(Counter)
+                for lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    found[lang].update(names(t))
+                flat = [(k, x, n) for k, c in found.items() for x, n in c.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.string()), pa.array([r[1] for r in flat], pa.string()), pa.array([r[2] for r in flat], pa.int64())], names=["lang", "name", "n"])
+
+    return rows.select("lang", text).mapInArrow(run, "lang string, name string, n long").groupBy("lang", "name").agg(F.sum("n").alias("n"))
+
+
+def _logs(counts: DataFrame, langs: list[str], most: int) -> Logs:
+    totals = {r.lang: float(r.t) for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}  # a row a language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "name"))
+    top = counts.filter(F.col("n") >= LEAST).withColumn("place", place).filter(F.col("place") <= most).select("lang", "name", "n").toArrow()  # ENTRIES rows at most
+    at = {k: j for j, k in enumerate(langs)}
+    rows = [(at[k], x, n) for k, x, n in zip(*(c.to_pylist() for c in top.columns), strict=True)]
+    return Logs.of(rows, np.array([totals.get(k, 0.0) for k in langs]))
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learns from labelled rows outside the held-out part; per_language bounds the sample (in the mean)."""
+    spark, folder = docs.sparkSession, work_folder(docs.sparkSession)
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES))
+    counts = materialise(rows.groupBy("lang").count(), f"{folder}/counts")  # Spark sees its size, and broadcasts it if small
     place = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11)) / float(1 << 53)  # even in 0 to 1
     chosen = rows.withColumn("place", place).join(counts, "lang").filter(F.col("place") * F.col("count") < per_language)
-    return LanguageModel.fit((r.lang, r.text) for r in chosen.select("doc_id", "lang", "text").toLocalIterator())
+    words = materialise(_counted(chosen, words_of, "text"), f"{folder}/words")
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
+    grams = materialise(_counted(words, all_grams, "name"), f"{folder}/grams")  # each word once: n-grams stand for words that were not seen
+    model = LanguageModel(langs, _logs(words, langs, kept_of(WORDS, langs)), _logs(grams, langs, kept_of(GRAMS, langs)))
+    drop_folder(spark, folder)
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """The columns in keep, the predicted language, and a score of 0 to 1."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, *((x.names, x.values) for x in (model.words, model.grams))))  # bounded by WORDS and GRAMS
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words.parts(), model.grams.parts()))  # ENTRIES entries of each at most
 
     def start():
         langs, words, grams = sent.value
@@ -159,7 +212,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """docs without those in no learned language (no letters, or no text), with their own columns."""
-    names = docs.columns
+    """docs without those in no language (no letters, or no text), with their own columns. Where nothing is labelled,
+    nothing can be learned: then all documents with letters stay."""
+    names, model = docs.columns, fit(docs)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     lang, score = fresh_name("lang_pred", names), fresh_name("score", [*names, "lang_pred"])
-    return identify(docs, fit(docs), tuple(names), lang, score).filter(F.col(lang) != UNKNOWN).select(*names)
+    return identify(docs, model, tuple(names), lang, score).filter(F.col(lang) != UNKNOWN).select(*names)

@@ -219,12 +219,88 @@ def test_language(spark, docs, odd, none):
     assert language.with_known_language(odd).columns == odd.columns
 
 
+def brute_language(train, texts):
+    """An independent scorer: plain dictionaries, one language and one word at a time."""
+    import math
+
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w, n: [("\x02" + w + "\x03" if n > 1 else w)[i : i + n] for i in range(max(1, len(w) + (2 if n > 1 else 0) - n + 1))]
+    words, parts = defaultdict(Counter), defaultdict(Counter)
+    for lang, text in train:
+        words[lang].update(split(text))
+    words = {k: c for k, c in words.items() if c}
+    for lang, c in words.items():
+        for w in c:
+            for n in (5, 4, 3, 2, 1):
+                parts[lang].update(grams(w, n))
+    kept = lambda table: {k: {x: n for x, n in c.items() if n >= 2} for k, c in table.items()}
+    known, known_parts = kept(words), kept(parts)
+    all_words, all_parts = set().union(*known.values()), set().union(*known_parts.values())
+
+    def log(table, own, names, lang, x):
+        return math.log((own[lang].get(x, 0) + 1) / (sum(table[lang].values()) + len(names)))
+
+    def score(lang, w):
+        if w in all_words:
+            return log(words, known, all_words, lang, w)
+        for down, n in enumerate((5, 4, 3, 2, 1)):
+            found = [g for g in grams(w, n) if g in all_parts]
+            if found:
+                return down * math.log(0.4) + sum(log(parts, known_parts, all_parts, lang, g) for g in found) / len(found)
+        return 5 * math.log(0.4)
+
+    out = []
+    for t in texts:
+        found = split(t)
+        if not any(c.isalpha() for w in found for c in w):
+            out.append(("und", 0.0))
+            continue
+        sums = {k: sum(score(k, w) for w in found) for k in sorted(words)}
+        best = max(sums, key=lambda k: (sums[k], [-ord(c) for c in k]))
+        out.append((best, 1 / sum(math.exp((v - sums[best]) / math.sqrt(len(found))) for v in sums.values())))
+    return out
+
+
+def test_language_against_brute_force(spark, docs, odd):
+    rows = docs.collect()
+    train = [(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    model = language.fit(docs, 10**9)  # all rows that may be learned from
+    predictor = language.Predictor(model)
+    texts = [r.text for r in rows][:120] + [r[1] for r in odd_rows()] + ["qxyzzk wvvx", "der und q\U0001f600z"]
+    for text, (lang, score) in zip(texts, brute_language(train, texts), strict=True):
+        got = predictor.predict(text)
+        assert got[0] == lang and got[1] == pytest.approx(score, abs=1e-7)
+    local = language.LanguageModel.of_rows(train)
+    assert local.langs == model.langs and local.words.names == model.words.names and (local.grams.logs == model.grams.logs).all()
+
+
+def test_three_hundred_languages_stay_small(spark, monkeypatch):
+    """Every label is learned; what the model keeps is bounded in all."""
+    monkeypatch.setattr(language, "ENTRIES", 60_000)
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)]
+        rows += [(len(rows) + i, " ".join(rng.choices(own, k=30)), f"l{k:03}", "a", 1) for i in range(8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = language.fit(df)
+    assert len(model.langs) == 300 and len(model.words.logs) <= 60_000 and len(model.grams.logs) <= 60_000
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, model).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert sum(got[r[0]] == r[2] for r in held) >= 0.97 * len(held)
+
+
+def test_a_corpus_without_labels_stays(spark):
+    df = spark.createDataFrame([(1, "one two", None), (2, "12 3", None), (3, None, None), (4, "drei", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language.with_known_language(df).collect()} == {1, 4}
+
+
 def test_language_backs_off_by_order():
-    model = language.LanguageModel.fit([("x", "lumina luminare"), ("x", "lumina luminare"), ("y", "kraken krakel"), ("y", "kraken krakel")])
+    model = language.LanguageModel.of_rows([("x", "lumina luminare"), ("x", "lumina luminare"), ("y", "kraken krakel"), ("y", "kraken krakel")])
     for word, best in (("luminatus", 0), ("krakow", 1)):
         values = model.unseen(word)
         assert values[best] == max(values)
-    assert model.unseen("日本") == [len(language.ORDERS) * language.STEP] * 2
+    assert model.unseen("日本").tolist() == [len(language.ORDERS) * language.STEP] * 2
 
 
 # --- tokens and packing --------------------------------------------------------------------------------------------
