@@ -4,16 +4,16 @@ Signatures (PartEnum). If two sets of sizes a and b have a similarity of 0.8, th
 elements, so in at most a / 4 of the smaller one's. The domain of element hashes is cut into groups of PARTS parts, the
 number of groups fixed for a band of sizes. A signature is the content of a subset of a group's parts: all subsets that
 leave out MAY parts are enumerated. Of a / 4 / (MAY + 1) + 1 groups one has MAY differing elements at most, and there two
-similar sets agree in a whole subset. A group counts if more than MAY of its parts hold elements, so that a subset with
+similar sets agree in a whole subset; of a / 50 groups more, in as many more. A group counts if more than MAY of its parts hold elements, so that a subset with
 elements is among those on which they agree; a set enumerates groups in order until enough of them count. A band covers
 sizes L to 2.5 L, and sets in the lowest quarter of a band also sign in the band below, so that any two sets of similar
 size have a band in common. A set with too few groups that count signs them all, and again in cuts into single parts
-(none may differ, a / 4 + 1 count), each finer than the last, until it has enough; if two similar sets both fall short,
+(none may differ), each finer than the last, until it has enough; if two similar sets both fall short,
 they meet in the next cut.
 
 Then, each step exact:
-1. Only signatures of two different sets count.
-2. Of their sets, only those of which 80 % of the elements stand in another one.
+1. Only signatures of two different sets count, and only sets with as many shared signatures as any link needs.
+2. Of those, only sets of which 80 % of the elements stand in another one.
 3. In each signature's bucket all members are compared with a hub, the member that shares most; links give components.
 4. In buckets that still hold several components, members of different ones are compared: small buckets pair by pair,
    large ones in blocks of bounded size, gathered by hub, by counting common elements; a block reports no more links
@@ -109,7 +109,7 @@ def _enumerated(elements: np.ndarray, groups: int, parts: int, may: int, key: np
     start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     filled = np.diff(np.append(start, len(group)))
     counted = np.cumsum(filled > may)
-    need = len(elements) // 4 // (may + 1) + 1
+    need = len(elements) // 4 // (may + 1) + len(elements) // 50 + 1
     enough = bool(counted[-1] >= need)
     last = int(np.searchsorted(counted, need)) + 1 if enough else len(start)
     end = int(start[last]) if last < len(start) else len(group)
@@ -121,16 +121,18 @@ def _enumerated(elements: np.ndarray, groups: int, parts: int, may: int, key: np
     return mix(dense @ kept + place * np.uint64(2) + key)[has @ kept > 0], enough
 
 
-def signatures(elements: np.ndarray) -> Iterator[np.ndarray]:
-    """The signatures of one sorted set of 4 elements or more, by band and cut."""
+def signatures(elements: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(tag, signatures) of one sorted set of 4 elements or more, by band and cut. tag is need * 4096 + band and cut; need
+    is the least number of signatures that the set shares with a similar one, which has 0.8 a elements at least."""
     a = len(elements)
+    need = 2 * a // 125 + 1
     own = a.bit_length() - 1
     for band in (own, own - 1) if 4 * a < 5 << own else (own,):
-        most = (5 << band) // 8  # elements in which the band's largest sets can differ
-        groups, parts, may, cut, enough = (most // (MAY + 1) + 1) * 6 // 5 + 1, PARTS, MAY, 0, False
+        largest = (5 << band) // 2
+        groups, parts, may, cut, enough = (largest // 4 // (MAY + 1) + largest // 50 + 1) * 6 // 5 + 1, PARTS, MAY, 0, False
         while not enough:
             sigs, enough = _enumerated(elements, groups, parts, may, np.uint64((band << 8) + cut + 1))
-            yield sigs
+            yield (need << 12) + (band << 4) + cut, sigs
             if groups >= 1 << 31:  # as fine as the hashes are; each element is alone
                 enough = True
             groups, parts, may, cut = min(max(8, 4 << band) * 8**cut, 1 << 31), 1, 0, cut + 1
@@ -188,20 +190,20 @@ def _told(keys: np.ndarray, sets: np.ndarray, tags: np.ndarray) -> list[np.ndarr
     """Rows of a batch as (key, set_id, tag * 4 + kind): of a key that two sets of the batch have, kind 1, and one row more
     of kind 2 that says so; else 0."""
     order = np.lexsort((sets, keys))
-    keys, sets, tags = keys[order], sets[order], tags[order].astype(np.int32) * 4
+    keys, sets, tags = keys[order], sets[order], tags[order].astype(np.int64) * 4
     if len(keys):
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         run = np.cumsum(new) - 1
         several = np.zeros(run[-1] + 1, bool)
         several[run[1:][(sets[1:] != sets[:-1]) & ~new[1:]]] = True
-        tags += several[run].astype(np.int32)
+        tags += several[run]
         tell = np.flatnonzero(new)[several]
         keys, sets, tags = np.concatenate((keys, keys[tell])), np.concatenate((sets, sets[tell])), np.concatenate((tags, tags[tell] + 1))
     return [keys, sets, tags]
 
 
 def signature_rows(docs: DataFrame, names: dict[int, int] | None = None) -> DataFrame:
-    """sig, set_id, tag (kind) of each set's signatures, each set once a task."""
+    """sig, set_id, tag (with kind) of each set's signatures, each set once a task."""
 
     def make():
         seen = _Seen()
@@ -210,15 +212,15 @@ def signature_rows(docs: DataFrame, names: dict[int, int] | None = None) -> Data
             sigs, owner = [np.zeros(0, np.uint64)], []
             for i in seen.new(ids):
                 if bounds[i + 1] - bounds[i] >= 4:  # smaller sets link with equal ones only
-                    for sig in signatures(elements[bounds[i] : bounds[i + 1]]):
+                    for tag, sig in signatures(elements[bounds[i] : bounds[i + 1]]):
                         sigs.append(sig)
-                        owner.append((ids[i], len(sig)))
-            sets = np.repeat(np.array([x for x, _ in owner], np.int64), [n for _, n in owner])
-            return [pa.array(x) for x in _told(np.concatenate(sigs).view(np.int64), sets, np.zeros(len(sets), np.int32))]
+                        owner.append((ids[i], tag, len(sig)))
+            sets, tags = (np.repeat(np.array([x[i] for x in owner], np.int64), [x[2] for x in owner]) for i in (0, 1))
+            return [pa.array(x) for x in _told(np.concatenate(sigs).view(np.int64), sets, tags)]
 
         return work
 
-    return _sets(docs.select("text"), make, "sig long, set_id long, tag int", names)
+    return _sets(docs.select("text"), make, "sig long, set_id long, tag long", names)
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -254,7 +256,7 @@ def shared(rows: DataFrame) -> DataFrame:
                 yield out(k[:-1], s[:-1], t[:-1], near[:-1])
         if held is not None:
             (hk, hs, ht), before = held
-            yield out(np.array([hk], np.int64), np.array([hs], np.int64), np.array([ht], np.int32), np.array([before]))
+            yield out(np.array([hk], np.int64), np.array([hs], np.int64), np.array([ht], np.int64), np.array([before]))
 
     deal = F.when(F.col(tag) % 4 == 1, F.xxhash64(sid)).otherwise(F.col(key))
     return rows.repartition(deal).sortWithinPartitions(key, sid, tag).mapInArrow(run, rows.select(key, sid, tag).schema)
@@ -301,7 +303,7 @@ def _element_rows(sets: DataFrame) -> DataFrame:
                 told = _told(lists.flatten().to_numpy(), np.repeat(part.column(0).to_numpy(), n), np.repeat(part.column(1).to_numpy(), n))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["element", "set_id", "tag"])
 
-    return sets.mapInArrow(run, "element long, set_id long, tag int")
+    return sets.mapInArrow(run, "element long, set_id long, tag long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -371,8 +373,9 @@ def _close(a: str, b: str):
 def links(docs: DataFrame, folder: str, names: dict[int, int] | None = None) -> DataFrame:
     """set_id pairs (a, b) whose components are those of all links between different sets."""
     spark = docs.sparkSession
-    rows = materialise(shared(signature_rows(docs, names)).select("sig", "set_id"), f"{folder}/shared")
-    sets = materialise(sets_of(docs, materialise(rows.select("set_id").distinct(), f"{folder}/near"), names), f"{folder}/sets")
+    rows = materialise(shared(signature_rows(docs, names)), f"{folder}/shared")
+    near = rows.groupBy("set_id", "tag").count().filter(F.col("count") >= F.shiftright("tag", 12)).select("set_id").distinct()
+    sets = materialise(sets_of(docs, materialise(near, f"{folder}/near"), names), f"{folder}/sets")
     backed = shared(_element_rows(sets)).groupBy("set_id", F.col("tag").alias("n")).count().filter(F.col("count") * 5 >= F.col("n") * 4)
     backed = materialise(backed.select("set_id", "n"), f"{folder}/backed")
     sets = sets.join(backed.select("set_id"), "set_id", "left_semi")
