@@ -1,8 +1,10 @@
 """Secret scan: patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order models over the characters 33 to 126 are trained from labelled samples: random strings, and ordinary
-identifiers. A candidate (a run of LEAST or more key characters) is a secret if the mean log ratio of its transitions
-is over a threshold. Training and scoring are DataFrame expressions: no Python runs on executors. The models are tables
+identifiers. A candidate is a secret if the mean log ratio of its transitions is over a threshold. Candidates are runs of
+LEAST or more key characters, and their parts of letters and digits (PART or more, both among them), so that a secret
+in a path or joined to a name is not averaged away; a part shorter than LEAST needs more (STRICT), and one in a run that
+counts is not told again. Training and scoring are DataFrame expressions: no Python runs on executors. The models are tables
 of 94 x 94 ratios whatever the input; they become one constant array in the plan.
 
 Match offsets come from lengths: the text split at the matches gives what lies between them. The sums of lengths are
@@ -16,11 +18,9 @@ without ordinary samples scores by the random ones alone; other columns are igno
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_folder, materialise, work_folder  # noqa: F401
-
 # The patterns of the base kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_HINT = "(?i:password|passwd|secret|token|api_?key)"
@@ -35,6 +35,9 @@ BLOCK, SIZE, FIRST = 128, 94, 33
 ORDINARY_DOCS, RANDOM_STRINGS = 400, 4000
 #: Mean log-likelihood ratio of a transition from which a candidate counts as random.
 THRESHOLD = 0.5
+#: Least characters of a part of a run; the ratio from which one shorter than LEAST counts.
+PART, STRICT = 12, 1.5
+SEGMENT = f"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{{{PART},}}"
 
 
 def let(value: Column, body) -> Column:
@@ -71,13 +74,13 @@ def matches(text: Column, pattern: str) -> Column:
 
 def labelled_samples(docs: DataFrame, ordinary_docs: int = ORDINARY_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
     """sample, is_random. Random: digests in hex and base64, and their letters in one case. Ordinary: the words of about
-    ordinary_docs documents, chosen by a hash of doc_id, singly and joined in pairs as in snake_case and camelCase."""
+    ordinary_docs documents, chosen by a hash, singly and joined in pairs as in snake_case and camelCase."""
     spark = docs.sparkSession
     raw = spark.range(random_strings).select(F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256).alias("hex"), F.col("id"))
     key = F.translate(F.base64(F.unhex("hex")), "=\r\n", "")
     made = raw.select(F.when(F.col("id") % 4 == 0, F.substring("hex", 1, 40)).when(F.col("id") % 4 == 1, F.upper(F.regexp_replace(key, "[^A-Za-z0-9]", ""))).otherwise(key).alias("sample"), F.lit(True).alias("is_random"))
     share = ordinary_docs / max(1, docs.select("doc_id").count())
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)  # rows without an identifier are dealt by their text
     words = docs.select("doc_id", "text").filter(place < share).select(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w) > 3).alias("w"))
     plain = words.select(F.explode("w").alias("sample"))
     pairs = words.select(F.explode(F.transform("w", lambda w, i: F.when(i % 2 == 0, F.concat_ws("_", w, F.get(F.col("w"), i + 1))).otherwise(F.concat(F.lower(w), F.initcap(F.get(F.col("w"), i + 1)))))).alias("sample")).filter("sample is not null")
@@ -123,10 +126,13 @@ def scan_secrets(docs: DataFrame, model: list[float], keep: tuple[str, ...] = ("
         return F.transform(rows, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(base).alias("base"), (score(s) if score else F.lit(None).cast("double")).alias("score")))
 
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.coalesce("text", F.lit("")).alias("txt"))
-    rows = rows.withColumns({"assigned": found(ASSIGN, ASSIGN_HINT), "access": found(ACCESS), "hexes": found(HEX), "runs": found(CANDIDATE)})
+    rows = rows.withColumns({"assigned": found(ASSIGN, ASSIGN_HINT), "access": found(ACCESS), "hexes": found(HEX), "runs": found(CANDIDATE), "parts": found(SEGMENT)})
     assigned = F.filter("assigned", lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 1)) >= 12)
-    runs = F.filter(spans(F.col("runs"), 3, False, lambda s: ratio(s["match"], model)), lambda s: s["score"] > threshold)
-    every = F.array_sort(F.concat(spans(assigned, 0), spans(F.col("access"), 1), spans(F.col("hexes"), 2), runs))
+    scored = lambda column: spans(F.col(column), 3, False, lambda s: ratio(s["match"], model))
+    rows = rows.withColumns({"runs": F.filter(scored("runs"), lambda s: s["score"] > threshold), "parts": F.filter(scored("parts"), lambda s: s["score"] > F.when(s["end"] - s["start"] < LEAST, max(STRICT, threshold)).otherwise(threshold))})
+    inside = lambda s: F.exists("runs", lambda r: (r["start"] <= s["start"]) & (s["end"] <= r["end"]))
+    more = F.concat("runs", F.filter("parts", lambda s: ~inside(s)))
+    every = F.array_sort(F.concat(spans(assigned, 0), spans(F.col("access"), 1), spans(F.col("hexes"), 2), more))
     return rows.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), every.alias("spans"))
 
 
@@ -135,6 +141,3 @@ def written(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-
-def default_model(spark: SparkSession, docs: DataFrame) -> list[float]:
-    return train(labelled_samples(docs))
