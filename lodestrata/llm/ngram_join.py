@@ -55,7 +55,7 @@ WORDS = 5
 #: Parts of a group, and how many of them may differ.
 PARTS, MAY = 3, 1
 #: Bytes of text that are worked on at a time; elements of a block; members of a small bucket; bits of the map.
-SLICE, BLOCK, SMALL, BITS = 2_000_000, 1 << 19, 24, 1 << 27
+SLICE, BLOCK, SMALL, BITS = 1_000_000, 1 << 18, 24, 1 << 27
 
 
 def linked(a: int, b: int, common: int) -> bool:
@@ -297,7 +297,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, names: dict[int, int] | None = None
 def _element_rows(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in small(b, 4_000_000):
+            for part in small(b, 2_000_000):
                 lists = part.column(2)
                 n = np.diff(lists.offsets.to_numpy())
                 told = _told(lists.flatten().to_numpy(), np.repeat(part.column(0).to_numpy(), n), np.repeat(part.column(1).to_numpy(), n))
@@ -311,7 +311,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in small(batch, 16_000_000):
+            for part in small(batch, 8_000_000):
                 a, b, x, y = (part.column(i) for i in range(4))
                 flat, bounds = [c.flatten().to_numpy() for c in (x, y)], [c.offsets.to_numpy() - c.offsets[0].as_py() for c in (x, y)]
                 keep = []
