@@ -121,33 +121,34 @@ class Predictor:
     """Predicts by a model; remembers what unseen words add, MEMO numbers at most."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.most = model, max(1, MEMO // max(1, len(model.langs)))
-        self.memo: dict[str, np.ndarray] = {}
-
-    def _unseen(self, word: str) -> np.ndarray:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            found = self.memo[word] = self.model.unseen(word)
-        return found
+        self.model, self.known = model, len(model.words.names)
+        self.row, self.used = dict(model.words.row), 0
+        self.memo = np.zeros((max(1, MEMO // max(1, len(model.langs))), len(model.langs)))
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """For words that are known their row in the model, for others their row in the memo, after all known ones."""
+        if self.used + len(words) > len(self.memo):
+            self.row, self.used = dict(self.model.words.row), 0
+        rows = [*map(self.row.get, words)]
+        if None in rows:
+            for at, i in enumerate(rows):
+                if i is None:
+                    self.memo[self.used] = self.model.unseen(words[at])
+                    rows[at] = self.row[words[at]] = self.known + self.used
+                    self.used += 1
+        return np.array(rows)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not self.model.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        known, rows, times = self.model.words, [], []
-        total = np.zeros(len(self.model.langs))
-        for w, n in Counter(words).items():
-            row = known.row.get(w)
-            if row is None:
-                total += n * self._unseen(w)
-            else:
-                rows.append(row)
-                times.append(n)
-        if rows:
-            weights = np.array(times, float)
-            total += known.summed(np.array(rows), weights) + weights.sum() * known.floor
+        counts = Counter(words)
+        distinct, times, total = [*counts], np.fromiter(counts.values(), float, len(counts)), np.zeros(len(self.model.langs))
+        for at in range(0, len(distinct), len(self.memo)):
+            rows, weights = self._rows(distinct[at : at + len(self.memo)]), times[at : at + len(self.memo)]
+            old = rows < self.known
+            total += self.model.words.summed(rows[old], weights[old]) + weights[old].sum() * self.model.words.floor
+            total += weights[~old] @ self.memo[rows[~old] - self.known]
         # The share of the best, tempered by the root of the number of words: neighbouring words are not independent.
         p = np.exp((total - total.max()) / math.sqrt(len(words)))
         best = int(total.argmax())
