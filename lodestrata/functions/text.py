@@ -112,3 +112,19 @@ def should_embed(text: Column, least: int) -> Column:
 def identifier(name: Column) -> Column:
     """The last dotted part of a quoted SQL name, unquoted."""
     return F.regexp_replace(F.element_at(F.split(name, r"\."), -1), r'^[\["`]+|[\]"`]+$', "")
+
+
+def places(text: Column, pattern: str | Column) -> Column:
+    """array of (start, end, match) of a pattern's matches, in code points, for short texts; matches must not be empty."""
+    wanted = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hits = F.regexp_extract_all(text, wanted, F.lit(0))
+    pairs = F.arrays_zip(F.transform(F.split(text, wanted, -1), F.char_length).alias("gap"), hits.alias("hit"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+
+    def step(acc, p):
+        a = acc["at"] + F.coalesce(p["gap"], F.lit(0))
+        b = a + F.char_length(p["hit"])
+        one = F.array(F.struct(a.alias("start"), b.alias("end"), p["hit"].alias("match")))
+        return F.struct(F.coalesce(b, a).alias("at"), F.when(p["hit"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.coalesce(F.aggregate(pairs, start, step)["out"], F.array().cast("array<struct<start:int,end:int,match:string>>"))
