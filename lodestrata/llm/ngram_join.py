@@ -424,9 +424,8 @@ def _named(docs: DataFrame, folder: str) -> tuple[DataFrame, dict[int, int]]:
         names |= found
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
+def _labelled(docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, h1, h2, n_shingles and label: the same for all rows that links join."""
-    folder = work_folder(docs.sparkSession)
     members, names = _named(docs, folder)
     labels = components(links(docs, folder, names), f"{folder}/labels")
     known = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "h1", "h2", "n_shingles", F.coalesce("label", "set_id").alias("label"))
@@ -438,8 +437,10 @@ def _labelled(docs: DataFrame) -> DataFrame:
 
 def ngram_components(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included)."""
-    known = _labelled(docs)
-    least = known.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    folder = work_folder(docs.sparkSession)
+    known = _labelled(docs, folder)
+    # A plain table, so that Spark can split the rows of a label that very many documents have in the join.
+    least = materialise(known.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least")), f"{folder}/least")
     named = known.join(least, "label", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -450,7 +451,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     Rows without an identifier stay; of rows without words that share identifier and text one stays."""
     names = docs.columns
     h1, h2 = fresh_name("h1", names), fresh_name("h2", names)
-    known = _labelled(docs).filter("doc_id is not null")
+    known = _labelled(docs, work_folder(docs.sparkSession)).filter("doc_id is not null")
     row = F.struct("doc_id", "h1", "h2")
     stay = known.filter("n_shingles > 0").groupBy("label").agg(F.min(row).alias("r")).unionByName(known.filter("n_shingles = 0").select("label", row.alias("r")))
     stay = stay.select(F.col("r.doc_id").alias("doc_id"), F.col("r.h1").alias(h1), F.col("r.h2").alias(h2)).distinct()
