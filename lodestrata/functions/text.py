@@ -13,8 +13,9 @@ UNIT = "\x1f"
 ESTIMATE_SPLIT = r"""[\s.,;:()\[\]{}<>"'`!?@#$%^&*+=|\\~]+"""
 #: Suffixes of known languages (fixed values).
 SUFFIXES = {
-    ".py": "python", ".java": "java", ".cs": "csharp", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".sql": "sql", ".cbl": "cobol", ".cob": "cobol",
-    ".go": "go", ".rb": "ruby", ".php": "php", ".xml": "xml", ".vb": "vb",
+    ".cs": "csharp", ".java": "java", ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
+    ".cbl": "cobol", ".cob": "cobol", ".cpy": "cobol", ".copy": "cobol", ".pco": "cobol", ".sql": "sql", ".ddl": "sql", ".dml": "sql", ".psql": "sql", ".pgsql": "sql", ".tsql": "sql",
+    ".xml": "xml", ".jsp": "jsp", ".properties": "properties", ".css": "css", ".vm": "velocity", ".ent": "xml_entity", ".tld": "tld", ".xmi": "xmi",
 }
 
 
@@ -93,15 +94,20 @@ def last_glob(path: Column, globs: list[str]) -> Column:
     return verdict
 
 
-#: Signs of business logic (fixed values).
-LOGIC = (r"(^|[^A-Za-z0-9_])(if|else|switch|case|when|while|for)([^A-Za-z0-9_]|$)", r"(==|!=|<=|>=|&&|\|\|)", r"(^|[^A-Za-z0-9_])(validate|calculate|check|require|approve|reject)")
+# Signs of business logic (fixed values): terms of validation and mapping, and patterns of branching and policy.
+VALIDATION_TERMS = (
+    "required", "stringlength", "maxlength", "minlength", "range", "regularexpression", "emailaddress", "phone", "creditcard", "compare", "validation", "validate", "key", "foreignkey", "column", "table", "index", "notmapped", "concurrencycheck", "timestamp", "datatype",
+    "notnull", "notblank", "notempty", "size", "min", "max", "pattern", "valid", "validated", "positive", "negative", "past", "future", "digits", "assert", "constraint", "entity", "joincolumn", "onetomany", "manytoone", "manytomany",
+    "validator", "field_validator", "constr", "conint",
+)
+LOGIC = (
+    r"\bif\b", r"\belse\b", r"\bswitch\b", r"\bcase\b", r"\bfor\b", r"\bforeach\b", r"\bwhile\b", r"\breturn\b.*[<>=!]", r"\bthrow\b", r"\braise\b", r"==|!=|<=|>=|&&|\|\|", r"\bcheck\b", r"\bunique\b", r"\bnot\s+null\b", r"\bdefault\b", r"\bconstraint\b",
+)
 
 
 def has_logic(text: Column) -> Column:
-    found = F.lit(False)
-    for p in LOGIC:
-        found = found | text.rlike(p)
-    return found
+    """Whether a text has a validation term or a sign of branching, comparison or policy."""
+    return F.coalesce(text.rlike(rf"(?iU)\b(?:{'|'.join(VALIDATION_TERMS)})\b") | text.rlike("(?iU)" + "|".join(LOGIC)), F.lit(False))
 
 
 def should_embed(text: Column, least: int) -> Column:

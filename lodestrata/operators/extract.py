@@ -36,12 +36,13 @@ def source_slice(text: Column, start: Column, end: Column, around: int = 8) -> C
 
 
 def entity_body(text: Column, first: Column, last: Column, start_line: Column, end_line: Column) -> Column:
-    """By offsets if they are valid, else by lines, else null."""
-    by_offset = (first >= 0) & (last > first) & (last <= F.char_length(text))
+    """By offsets in bytes of UTF-8 if they are a span of the text, else by lines if they are, else null; bytes that are cut
+    out of a character become U+FFFD."""
+    by_offset = (first >= 0) & (last > first) & (last <= F.octet_length(text))
     by_line = (start_line >= 1) & (end_line >= start_line) & (end_line <= F.size(lines(text)))
     part = F.array_join(F.slice(lines(text), start_line, end_line - start_line + 1), "\n")
-    cut = F.substring(text, first + 1, last - first)
-    return F.when(by_offset | first.isNotNull(), cut).when(by_line | start_line.isNotNull(), part)
+    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), first + 1, last - first).cast("string"))
+    return F.when(by_offset, cut).when(by_line, part)
 
 
 def citations(rows: DataFrame, key: str, raw: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import innermost
+
 
 def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """refs (ref_id, name, language, path) with callee_id and confidence.
@@ -21,18 +23,55 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.select("ref_id", callee.alias("callee_id"), sure.cast("double").alias("confidence"), F.col("n").alias("candidates"))
 
 
-def edge_kind(ref_kind: Column, name: Column, evidence: Column) -> Column:
-    """The kind of an edge; the first rule that holds."""
-    up = F.upper(F.coalesce(evidence, F.lit("")))
-    direct = ("foreign_key", "associates", "has_field_of_type", "accepts_dto", "returns_dto", "uses_table", "uses_column", "maps_to", "invokes_subflow", "transitions_to")
-    return (
-        F.when(ref_kind == "extends", "inherits").when(ref_kind == "implements", "implements")
-        .when(ref_kind == "inherits_or_implements", F.when(name.rlike("^I[A-Z]"), "implements").otherwise("inherits"))
-        .when(ref_kind.isin(*direct), ref_kind)
-        .when(ref_kind == "import", "imports").when(up.contains("EXEC SQL"), "executes_sql").when(up.contains("EXEC CICS"), "executes_cics")
-        .when(up.contains("PERFORM "), "performs").when(ref_kind.isin("new", "instantiation") | up.contains("NEW "), "instantiates")
-        .when(ref_kind == "call", "calls").otherwise("references")
-    )
+# Kinds of references that are kinds of edges, those of XML files, and words by language.
+SAME_KIND = ("implements", "foreign_key", "associates", "has_field_of_type", "accepts_dto", "returns_dto")
+XML_KINDS = {
+    "hibernate_table": "uses_table", "hibernate_column": "uses_column", "hibernate_entity": "maps_to", "hibernate_association": "associates", "spring_bean_class": "instantiates",
+    "webflow_evaluate": "calls", "webflow_subflow": "invokes_subflow", "webflow_transition": "transitions_to",
+}
+TABLE_WORDS = ("FROM", "JOIN", "UPDATE", "INTO")
+CALL_WORDS = ("call", "invocation", "method_invocation", "object_creation")
+
+
+def _has(text: Column, *words: str) -> Column:
+    """Whether any of the words is in the text."""
+    found = F.lit(False)
+    for w in words:
+        found = found | text.contains(w)
+    return found
+
+
+def edge_kind(ref_kind: Column, name: Column, evidence: Column, language: Column, callee_kind: Column) -> Column:
+    """The kind of an edge, by the first rule that holds: rules are (of a language or all, test, kind)."""
+    kind, said = F.lower(F.coalesce(ref_kind, F.lit(""))), F.upper(F.coalesce(evidence, F.lit("")))
+    either = kind == "inherits_or_implements"
+    interface = F.coalesce(callee_kind == "interface_declaration", name.rlike("^I[A-Z]"))
+    xml = F.create_map(*(F.lit(x) for kv in XML_KINDS.items() for x in kv))
+    rules = [
+        (None, either & interface, F.lit("implements")), (None, either | (kind == "extends"), F.lit("inherits")), (None, kind.isin(*SAME_KIND), kind),
+        ("xml", F.lit(True), F.coalesce(xml[kind], F.lit("references"))),
+        ("cobol", _has(said, "EXEC SQL"), F.lit("executes_sql")), ("cobol", _has(said, "EXEC CICS"), F.lit("executes_cics")), ("cobol", _has(said, "PERFORM") | _has(kind, "perform"), F.lit("performs")), ("cobol", _has(said, "CALL"), F.lit("calls")),
+        ("cobol", _has(kind, "exec") & _has(kind, "sql"), F.lit("executes_sql")), ("cobol", _has(kind, "exec") & _has(kind, "cics"), F.lit("executes_cics")), ("cobol", _has(kind, "call"), F.lit("calls")),
+        ("sql", _has(kind, "exec", "call"), F.lit("calls")), ("sql", _has(said, *TABLE_WORDS) | _has(kind, "table_reference", "object_reference"), F.lit("uses_table")),
+        (None, _has(kind, "import", "using"), F.lit("imports")), (None, _has(kind, *CALL_WORDS), F.lit("calls")),
+    ]
+    out = F.lit("references")
+    for of, test, to in reversed(rules):
+        out = F.when(test if of is None else F.coalesce(language == of, F.lit(False)) & test, to).otherwise(out)
+    return out
+
+
+def edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """ref_id, caller_id, callee_id, edge_kind, confidence of refs (ref_id, name, kind, evidence, language, path, start_line,
+    end_line, enclosing_id) among symbols (symbol_id, name, qualified_name, kind, path, language, start_line, end_line).
+
+    The caller is the enclosing symbol if the reference names it, else the innermost symbol around its lines."""
+    found = resolve(refs, symbols)
+    around = innermost(refs.select("ref_id", "path", "start_line", "end_line"), symbols.select("symbol_id", "path", "start_line", "end_line"), "path", "ref_id", "symbol_id")
+    kinds = symbols.select(F.col("symbol_id").alias("callee_id"), F.col("kind").alias("callee_kind"))
+    rows = refs.join(found, "ref_id").join(around.select("ref_id", F.col("symbol_id").alias("around_id")), "ref_id").join(kinds, "callee_id", "left")
+    how = edge_kind(F.col("kind"), F.col("name"), F.col("evidence"), F.col("language"), F.col("callee_kind"))
+    return rows.select("ref_id", F.coalesce("enclosing_id", "around_id").alias("caller_id"), "callee_id", how.alias("edge_kind"), "confidence")
 
 
 def callers(edges: DataFrame, target_id, name: str, kinds: list[str] | None = None) -> DataFrame:

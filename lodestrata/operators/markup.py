@@ -15,7 +15,15 @@ DEFINITIONS = {
     "python": r"^\s*(?:class|def)\s+([A-Za-z_]\w*)", "java": r"^\s*(?:public|private|protected|static|final|abstract|\s)*(?:class|interface|enum)\s+([A-Za-z_]\w*)", "csharp": r"^\s*(?:public|private|internal|static|sealed|abstract|partial|\s)*(?:class|interface|struct|enum)\s+([A-Za-z_]\w*)",
     "sql": r"(?i)^\s*create\s+(?:table|view|procedure)\s+([\w.\[\]\"]+)", "cobol": r"^\s*([A-Z0-9-]+)\.\s*$",
 }
-PRIMITIVES = ["int", "long", "short", "byte", "char", "bool", "boolean", "float", "double", "decimal", "string", "String", "void", "object", "Object", "var", "List", "Map", "Set", "Optional", "Task", "IEnumerable"]
+PRIMITIVES = {
+    "csharp": ("int", "uint", "long", "ulong", "short", "ushort", "byte", "sbyte", "nint", "nuint", "bool", "char", "string", "object", "void", "decimal", "double", "float", "dynamic", "var", "Task", "ValueTask", "DateTime", "DateTimeOffset", "TimeSpan", "Guid"),
+    "java": ("int", "long", "short", "byte", "char", "boolean", "float", "double", "void", "String", "Object", "Integer", "Long", "Short", "Byte", "Character", "Boolean", "Float", "Double", "Void", "CharSequence"),
+    "python": ("int", "str", "float", "bool", "bytes", "bytearray", "complex", "object", "None", "list", "dict", "set", "tuple", "frozenset", "type", "Any", "Optional", "Union", "List", "Dict", "Set", "Tuple", "Sequence", "Mapping", "Iterable", "Callable"),
+    "typescript": ("string", "number", "boolean", "any", "void", "unknown", "never", "null", "undefined", "object", "symbol", "bigint", "this", "Promise", "Array"),
+    "javascript": ("string", "number", "boolean", "any", "void", "object", "undefined", "null"),
+}
+#: Containers whose arguments are the types meant.
+WRAPPERS = ("List", "Map", "Set", "Optional", "Collection", "Task", "IEnumerable", "IList", "ICollection", "Promise", "Array")
 
 
 def definitions(files: DataFrame, key: str) -> DataFrame:
@@ -42,11 +50,22 @@ def inheritance(files: DataFrame, key: str) -> DataFrame:
 
 
 def type_refs(files: DataFrame, key: str) -> DataFrame:
-    """key, line, name, type of typed fields and parameters; generics are unwrapped, primitive types left out."""
-    rows = files.select(key, F.posexplode(lines(F.col("text"))).alias("i", "t"))
-    found = rows.select(key, (F.col("i") + 1).cast("long").alias("line"), F.explode(F.regexp_extract_all("t", F.lit(r"\b([A-Za-z_][\w]*(?:<[\w<>, ]+>)?)\s+[a-z_]\w*\s*[;,)=]"), F.lit(1))).alias("raw"))
-    names = F.explode(F.filter(F.split("raw", r"[<>,\s]+"), lambda x: (x != "") & x.rlike("^[A-Z]") & ~x.isin(*PRIMITIVES)))
-    return found.select(key, "line", names.alias("type"))
+    """key, line, predicate, type of rows (key, language, text): has_field_of_type for typed fields, accepts_dto for
+    parameters, returns_dto for what a method returns. Generics are unwrapped, containers and the language's own types left out."""
+    rows = files.select(key, "language", F.posexplode(lines(F.col("text"))).alias("i", "t"))
+    typed = r"((?:[A-Za-z_][\w.]*)(?:<[\w<>, .\[\]]+>)?)(?:\[\])?"
+    method = F.regexp_extract("t", rf"^\s*(?:(?:public|private|protected|internal|static|final|abstract|virtual|override|async|synchronized)\s+)*{typed}\s+[A-Za-z_]\w*\s*\(([^)]*)\)\s*(?:throws\b[^{{;]*)?[{{;]", 1)
+    inside = F.regexp_extract("t", r"\b[A-Za-z_]\w*\s*\(([^)]*)\)\s*(?:throws\b[^{;]*)?[{;]", 1)
+    is_method = (method != "") & ~method.isin("new", "return", "throw", "else")
+    parameters = F.regexp_extract_all(inside, F.lit(rf"(?:^|,)\s*(?:final\s+|@\w+\s+|\[\w+\]\s*)*{typed}\s+[A-Za-z_]\w*"), F.lit(1))
+    field = F.regexp_extract("t", rf"^\s*(?:(?:public|private|protected|internal|static|final|readonly|volatile|transient)\s+)*{typed}\s+[A-Za-z_]\w*\s*(?:[;=]|\{{\s*get)", 1)
+    told = lambda p, names: F.transform(names, lambda x: F.struct(F.lit(p).alias("predicate"), x.alias("raw")))
+    found = F.when(is_method, F.concat(told("returns_dto", F.array(method)), told("accepts_dto", parameters))).when((field != "") & ~field.isin("return", "throw", "new", "package", "import", "using"), told("has_field_of_type", F.array(field)))
+    rows = rows.select(key, "language", (F.col("i") + 1).cast("long").alias("line"), F.explode(found).alias("f"))
+    names = F.explode(F.filter(F.split("f.raw", r"[<>,\s\[\]]+"), lambda x: x.rlike("^[A-Z]") & ~x.isin(*WRAPPERS)))
+    own = F.create_map(*(x for k, v in PRIMITIVES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    rows = rows.select(key, "language", "line", "f.predicate", names.alias("type"))
+    return rows.filter(~F.coalesce(F.array_contains(own[F.col("language")], F.col("type")), F.lit(False))).drop("language")
 
 
 def parse_xml(text: str | None) -> list[tuple[str, str, str, int]]:

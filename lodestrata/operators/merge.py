@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lifecycle (fixed values): allowed transitions, and ranks for the import guard.
-TRANSITIONS = (("draft", "reviewed"), ("draft", "rejected"), ("reviewed", "approved"), ("reviewed", "draft"), ("reviewed", "rejected"), ("approved", "superseded"), ("rejected", "draft"))
+TRANSITIONS = (
+    ("draft", "reviewed"), ("draft", "approved"), ("draft", "rejected"), ("reviewed", "approved"), ("reviewed", "rejected"), ("reviewed", "draft"), ("approved", "superseded"), ("approved", "rejected"), ("rejected", "draft"),
+)
 RANKS = {"draft": 0, "rejected": 0, "reviewed": 1, "approved": 2, "superseded": 3}
 
 
@@ -74,7 +76,8 @@ def transitions(changes: DataFrame, blocking: DataFrame) -> DataFrame:
 
 
 def rank_of(state: Column) -> Column:
-    out = F.lit(None).cast("int")
+    """The rank of a state; one that is not known ranks lowest."""
+    out = F.lit(0)
     for s, r in RANKS.items():
         out = F.when(state == s, r).otherwise(out)
     return out
@@ -94,3 +97,11 @@ def export_jsonl(parents: DataFrame, children: DataFrame, key: str, order: list[
     shape = F.transform(F.coalesce("k", F.array().cast(kids.schema["k"].dataType)), lambda c: F.struct(*(c[f].alias(f) for f in sorted(fields))))
     parts = {c: F.col(c) for c in parents.columns} | {name: shape}
     return parents.join(kids, key, "left").select(key, F.to_json(F.struct(*(parts[c].alias(c) for c in sorted(parts))), {"ignoreNullFields": "false"}).alias("line")).orderBy(key)
+
+
+def run_coverage(runs: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, not_accounted_for, complete of extractor payloads (JSON): the whole number under coverage.uncovered, null where it
+    is none or coverage was skipped; complete only if it is measured and 0."""
+    coverage = F.from_json(payload, "coverage struct<uncovered:string,skipped:boolean>")["coverage"]
+    n = F.when(~F.coalesce(coverage["skipped"], F.lit(False)) & coverage["uncovered"].rlike("^-?[0-9]+$"), coverage["uncovered"].cast("long"))
+    return runs.select(key, n.alias("not_accounted_for"), F.coalesce(n == 0, F.lit(False)).alias("complete"))

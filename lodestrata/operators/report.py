@@ -68,6 +68,28 @@ def majority(rows: DataFrame, key: str, value: str, sentinels: tuple[str, ...])
     return out.select(key, F.when(wins, F.col(f"top.{value}")).alias("winner"), F.when(wins, "majority").when(F.col("total") == 0, "none").otherwise("tie").alias("how"))
 
 
+def derive_subject(citations: DataFrame, statements: DataFrame, key: str) -> DataFrame:
+    """key, subject, subject_provenance of statements (key and the validator's COLUMNS): derived, the domain of more than half
+    of its citations (key, domain; a row a citation) that have one; else the subject slot of the statement, llm_named if all
+    citations are unassigned, derived_ambiguous if not."""
+    from .validate import COLUMNS, read
+
+    how = majority(citations, key, "domain", ("unassigned", "excluded")).select(key, "winner")
+    alone = citations.groupBy(key).agg(F.every(F.coalesce(F.col("domain") == "unassigned", F.lit(False))).alias("alone"))
+    slot = read(statements.select(key, *COLUMNS)).select(key, F.substring(F.col("text"), F.col("subject.start") + 1, F.col("subject.end") - F.col("subject.start")).alias("said"))
+    rows = slot.join(how, key, "left").join(alone, key, "left")
+    provenance = F.when(F.col("winner").isNotNull(), "derived").when(F.col("alone"), "llm_named").otherwise("derived_ambiguous")
+    return rows.select(key, F.coalesce("winner", "said").alias("subject"), provenance.alias("subject_provenance"))
+
+
+def rederived(stored: DataFrame, citations: DataFrame, statements: DataFrame, key: str) -> DataFrame:
+    """key, old_subject, old_provenance, subject, subject_provenance of the rows (key, subject, subject_provenance) that a new
+    derivation changes; only these are to be written."""
+    old = stored.select(key, F.col("subject").alias("old_subject"), F.col("subject_provenance").alias("old_provenance"))
+    both = old.join(derive_subject(citations, statements, key), key)
+    return both.filter(~(F.col("old_subject").eqNullSafe(F.col("subject")) & F.col("old_provenance").eqNullSafe(F.col("subject_provenance"))))
+
+
 def change_split(stored: DataFrame, found: DataFrame, key: str, digest: str) -> DataFrame:
     """key, status: added, deleted, changed or unchanged."""
     both = stored.select(key, F.col(digest).alias("old"), F.lit(True).alias("was")).join(found.select(key, F.col(digest).alias("new"), F.lit(True).alias("is")), key, "full_outer")

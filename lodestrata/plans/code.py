@@ -9,7 +9,7 @@ from ..operators import markup as M
 from ..sources.files import parsed_domains
 from .catalog import query, table
 
-JAVA = "public class C%d extends Base%d implements I%d, Shared<T> {\n  private Order%d order;\n  int plain;\n}"
+JAVA = "public class C%d extends Base%d implements I%d, Shared<T> {\n  private Order%d order;\n  int plain;\n  Integer boxed = 1;\n  public List<Item> find(Long id, Query q) throws Bad {\n    return new Foo(x);\n  }\n}"
 
 
 def _java(spark, d):
@@ -27,7 +27,7 @@ def ex3_inheritance(spark, d):
     return M.inheritance(_java(spark, d), "p_partkey")
 
 
-@query("SELECT p_partkey, 2::BIGINT AS line, concat('Order', p_partkey % 7) AS type FROM part")
+@query("SELECT p_partkey, 2::BIGINT AS line, 'has_field_of_type' AS predicate, concat('Order', p_partkey % 7) AS type FROM part UNION ALL SELECT p_partkey, 5, 'returns_dto', 'Item' FROM part UNION ALL SELECT p_partkey, 5, 'accepts_dto', 'Query' FROM part")
 def ex7_type_refs(spark, d):
     return M.type_refs(_java(spark, d), "p_partkey")
 
@@ -89,10 +89,13 @@ def sk8_vector_upsert(spark, d):
     return upsert(stored, ids.filter("vec_id % 10 = 0").select("vec_id", F.lit("new").alias("language"), F.lit("").alias("domain")), ["vec_id"])
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS lexical, b.k IS NOT NULL AS vector FROM (SELECT doc_id AS k FROM documents WHERE doc_id < 60) a FULL JOIN (SELECT vec_id AS k FROM embeddings WHERE vec_id BETWEEN 30 AND 90) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS lexical, b.k IS NOT NULL AS vector FROM (SELECT doc_id AS k FROM documents WHERE contains(lower(text), 'the')) a FULL JOIN (SELECT vec_id AS k FROM embeddings WHERE label = (SELECT min(label) FROM embeddings)) b ON a.k = b.k")
 def u2_candidate_union(spark, d):
-    a = table(spark, d, "documents").filter("doc_id < 60").select(F.col("doc_id").alias("k"), F.lit(True).alias("x"))
-    b = table(spark, d, "embeddings").filter("vec_id BETWEEN 30 AND 90").select(F.col("vec_id").alias("k"), F.lit(True).alias("y"))
+    """What two searches over all rows find, each candidate once, with the searches that found it."""
+    vectors = table(spark, d, "embeddings")
+    least = vectors.agg(F.min("label").alias("label"))
+    a = table(spark, d, "documents").filter(F.lower("text").contains("the")).select(F.col("doc_id").alias("k"), F.lit(True).alias("x"))
+    b = vectors.join(F.broadcast(least), "label", "left_semi").select(F.col("vec_id").alias("k"), F.lit(True).alias("y"))  # one row
     return a.join(b, "k", "full_outer").select("k", F.col("x").isNotNull().alias("lexical"), F.col("y").isNotNull().alias("vector"))
 
 

@@ -11,7 +11,7 @@ from .catalog import query, table
 from .texts import _win
 
 _spans = f"{_win}, s AS (SELECT doc_id, concat(doc_id, ':', chunk) AS span_id, start_line, end_line FROM c)"
-_cites = "k AS (SELECT item_id AS citation_id, item_id * 7 % 199 AS doc_id, item_id % 23 + 1 AS start_line, item_id % 23 + 1 + item_id % 6 AS end_line FROM benchmark)"
+_cites = "k AS (SELECT item_id AS citation_id, item_id * 7919 % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, item_id % 23 + 1 AS start_line, item_id % 23 + 1 + item_id % 6 AS end_line FROM benchmark)"
 
 
 def _windows(spark, d):
@@ -20,8 +20,8 @@ def _windows(spark, d):
 
 
 def _citations(spark, d):
-    i = F.col("item_id")
-    return table(spark, d, "benchmark").select(i.alias("citation_id"), (i * 7 % 199).alias("doc_id"), (i % 23 + 1).alias("start_line"), (i % 23 + 1 + i % 6).alias("end_line"))
+    i, last = F.col("item_id"), table(spark, d, "documents").agg((F.max("doc_id") + 1).alias("last"))
+    return table(spark, d, "benchmark").crossJoin(F.broadcast(last)).select(i.alias("citation_id"), (i * 7919 % F.col("last")).alias("doc_id"), (i % 23 + 1).alias("start_line"), (i % 23 + 1 + i % 6).alias("end_line"))
 
 
 @query(f"WITH {_spans}, {_cites} SELECT citation_id, k.doc_id, span_id FROM k LEFT JOIN s ON k.doc_id = s.doc_id AND s.start_line <= k.end_line AND s.end_line >= k.start_line")
@@ -69,37 +69,58 @@ def m1_anchor_resolution(spark, d):
     return I.anchors(_citations(spark, d), files, _windows(spark, d), "doc_id")
 
 
-_symbols = "sym AS (SELECT p_partkey AS symbol_id, p_brand AS path, CASE p_size % 2 WHEN 0 THEN 'java' ELSE 'cs' END AS language, p_size::BIGINT AS start_line, concat('n', p_partkey % 400) AS name, concat('q.n', p_partkey % 700) AS qualified_name FROM part)"
-_refs = "ref AS (SELECT event_id AS ref_id, concat(CASE event_id % 3 WHEN 0 THEN 'q.n' ELSE 'n' END, event_id % 900) AS name, CASE user_id % 3 WHEN 0 THEN 'java' WHEN 1 THEN 'cs' ELSE 'go' END AS language, concat('Brand#', user_id % 25) AS path FROM events)"
+_languages = "['java', 'cs', 'sql', 'cobol', 'xml', 'go']"
+_symbols = f"sym AS (SELECT p_partkey AS symbol_id, p_brand AS path, {_languages}[p_size % 4 + 1] AS language, p_size::BIGINT AS start_line, p_size::BIGINT + p_partkey % 30 AS end_line, concat('n', p_partkey % 400) AS name, concat('q.n', p_partkey % 700) AS qualified_name, ['class_declaration', 'interface_declaration', 'table'][p_partkey % 3 + 1] AS kind FROM part)"
+_refs = f"ref AS (SELECT event_id AS ref_id, concat(CASE event_id % 3 WHEN 0 THEN 'q.n' ELSE 'n' END, event_id % 900) AS name, {_languages}[user_id % 6 + 1] AS language, concat('Brand#', user_id % 25) AS path, event_id % 40 + 1 AS start_line, event_id % 40 + 1 + event_id % 3 AS end_line, CASE WHEN event_id % 11 = 0 THEN event_id % 50 END AS enclosing_id FROM events)"
+
+
+def _pick(values, k):
+    return F.get(F.array(*map(F.lit, values)), k.cast("int"))
+
+
+LANGUAGES = ("java", "cs", "sql", "cobol", "xml", "go")
+KINDS = ("extends", "implements", "inherits_or_implements", "method_invocation", "object_creation", "foreign_key", "using_directive", "zzz", "hibernate_table", "webflow_transition", "exec_sql_block", "table_reference", "perform_statement")
 
 
 def _symbol_rows(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("path"), F.when(F.col("p_size") % 2 == 0, "java").otherwise("cs").alias("language"), F.col("p_size").cast("long").alias("start_line"), F.concat(F.lit("n"), F.col("p_partkey") % 400).alias("name"), F.concat(F.lit("q.n"), F.col("p_partkey") % 700).alias("qualified_name"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").select(
+        k.alias("symbol_id"), F.col("p_brand").alias("path"), _pick(LANGUAGES, size % 4).alias("language"), size.cast("long").alias("start_line"), (size.cast("long") + k % 30).alias("end_line"),
+        F.concat(F.lit("n"), k % 400).alias("name"), F.concat(F.lit("q.n"), k % 700).alias("qualified_name"), _pick(("class_declaration", "interface_declaration", "table"), k % 3).alias("kind"),
+    )
 
 
 def _ref_rows(spark, d):
-    u = F.col("user_id") % 3
-    return table(spark, d, "events").select(F.col("event_id").alias("ref_id"), F.concat(F.when(F.col("event_id") % 3 == 0, "q.n").otherwise("n"), F.col("event_id") % 900).alias("name"), F.when(u == 0, "java").when(u == 1, "cs").otherwise("go").alias("language"), F.concat(F.lit("Brand#"), F.col("user_id") % 25).alias("path"))
+    e = F.col("event_id")
+    said = F.when(e % 7 == 0, "exec sql select x from t").when(e % 7 == 1, "PERFORM X").when(e % 7 == 2, "new Foo()").when(e % 7 == 3, "exec cics x").when(e % 7 == 4, "call y").otherwise(F.col("props"))
+    return table(spark, d, "events").select(
+        e.alias("ref_id"), F.concat(F.when(e % 3 == 0, "q.n").otherwise("n"), e % 900).alias("name"), _pick(LANGUAGES, F.col("user_id") % 6).alias("language"), F.concat(F.lit("Brand#"), F.col("user_id") % 25).alias("path"),
+        (e % 40 + 1).alias("start_line"), (e % 40 + 1 + e % 3).alias("end_line"), F.when(e % 11 == 0, e % 50).alias("enclosing_id"), _pick(KINDS, e % 13).alias("kind"), said.alias("evidence"), "user_id",
+    )
 
 
 @query(f"""WITH {_symbols}, {_refs}, n AS (SELECT symbol_id, path, language, start_line, unnest(list_distinct([name, qualified_name])) AS name FROM sym),
-    j AS (SELECT ref_id, symbol_id, n.language = ref.language AS own, row_number() OVER (PARTITION BY ref_id ORDER BY n.language = ref.language DESC NULLS LAST, n.path <> ref.path, n.path, start_line, symbol_id) AS i, count(symbol_id) OVER (PARTITION BY ref_id) AS k FROM ref LEFT JOIN n ON n.name = ref.name)
+    j AS (SELECT ref_id, symbol_id, n.language = ref.language AS own, row_number() OVER (PARTITION BY ref_id ORDER BY n.language = ref.language DESC NULLS LAST, n.path <> ref.path, n.path, n.start_line, symbol_id) AS i, count(symbol_id) OVER (PARTITION BY ref_id) AS k FROM ref LEFT JOIN n ON n.name = ref.name)
     SELECT ref_id, CASE WHEN k = 1 OR (k > 1 AND own) THEN symbol_id END AS callee_id, CASE WHEN k = 0 THEN 0.3 WHEN k = 1 THEN 0.85 WHEN own THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence, k AS candidates FROM j WHERE i = 1""")
 def j7_name_resolution(spark, d):
     return G.resolve(_ref_rows(spark, d), _symbol_rows(spark, d))
 
 
-_ev = "SELECT event_id, user_id, ['extends', 'implements', 'inherits_or_implements', 'call', 'new', 'foreign_key', 'import', 'zzz'][event_id % 8 + 1] AS kind, concat(CASE event_id % 5 WHEN 0 THEN 'IThing' WHEN 1 THEN 'Item' ELSE 'base' END, '') AS name, CASE event_id % 7 WHEN 0 THEN 'exec sql select' WHEN 1 THEN 'PERFORM X' WHEN 2 THEN 'new Foo()' WHEN 3 THEN 'exec cics x' ELSE props END AS evidence FROM events"
-_kind = """CASE WHEN kind = 'extends' THEN 'inherits' WHEN kind = 'implements' THEN 'implements' WHEN kind = 'inherits_or_implements' THEN CASE WHEN regexp_matches(name, '^I[A-Z]') THEN 'implements' ELSE 'inherits' END
-    WHEN kind = 'foreign_key' THEN kind WHEN kind = 'import' THEN 'imports' WHEN contains(upper(coalesce(evidence, '')), 'EXEC SQL') THEN 'executes_sql' WHEN contains(upper(coalesce(evidence, '')), 'EXEC CICS') THEN 'executes_cics' WHEN contains(upper(coalesce(evidence, '')), 'PERFORM ') THEN 'performs'
-    WHEN kind = 'new' OR contains(upper(coalesce(evidence, '')), 'NEW ') THEN 'instantiates' WHEN kind = 'call' THEN 'calls' ELSE 'references' END"""
+_ev = "SELECT event_id, user_id, [" + ", ".join(f"'{k}'" for k in KINDS) + f"][event_id % 13 + 1] AS kind, CASE event_id % 5 WHEN 0 THEN 'IThing' WHEN 1 THEN 'Item' ELSE 'base' END AS name, {_languages}[user_id % 6 + 1] AS language, CASE event_id % 4 WHEN 1 THEN 'interface_declaration' WHEN 2 THEN 'class_declaration' END AS callee_kind, CASE event_id % 7 WHEN 0 THEN 'exec sql select x from t' WHEN 1 THEN 'PERFORM X' WHEN 2 THEN 'new Foo()' WHEN 3 THEN 'exec cics x' WHEN 4 THEN 'call y' ELSE props END AS evidence FROM events"
+_said = "upper(coalesce(evidence, ''))"
+_kind = f"""CASE WHEN kind = 'inherits_or_implements' THEN CASE WHEN callee_kind = 'interface_declaration' THEN 'implements' WHEN callee_kind IS NOT NULL THEN 'inherits' WHEN regexp_matches(name, '^I[A-Z]') THEN 'implements' ELSE 'inherits' END
+    WHEN kind = 'implements' THEN 'implements' WHEN kind = 'extends' THEN 'inherits' WHEN kind = 'foreign_key' THEN 'foreign_key'
+    WHEN language = 'xml' THEN CASE kind WHEN 'hibernate_table' THEN 'uses_table' WHEN 'webflow_transition' THEN 'transitions_to' ELSE 'references' END
+    WHEN language = 'cobol' AND contains({_said}, 'EXEC SQL') THEN 'executes_sql' WHEN language = 'cobol' AND contains({_said}, 'EXEC CICS') THEN 'executes_cics' WHEN language = 'cobol' AND (contains({_said}, 'PERFORM') OR contains(kind, 'perform')) THEN 'performs'
+    WHEN language = 'cobol' AND contains({_said}, 'CALL') THEN 'calls' WHEN language = 'cobol' AND contains(kind, 'exec') AND contains(kind, 'sql') THEN 'executes_sql'
+    WHEN language = 'sql' AND contains(kind, 'exec') THEN 'calls' WHEN language = 'sql' AND (regexp_matches({_said}, 'FROM|JOIN|UPDATE|INTO') OR contains(kind, 'table_reference')) THEN 'uses_table'
+    WHEN contains(kind, 'import') OR contains(kind, 'using') THEN 'imports' WHEN contains(kind, 'invocation') OR contains(kind, 'object_creation') THEN 'calls' ELSE 'references' END"""
 
 
 def _edges(spark, d):
-    e = F.col("event_id")
-    kinds = F.array(*map(F.lit, ("extends", "implements", "inherits_or_implements", "call", "new", "foreign_key", "import", "zzz")))
-    rows = table(spark, d, "events").select("event_id", "user_id", F.get(kinds, (e % 8).cast("int")).alias("kind"), F.when(e % 5 == 0, "IThing").when(e % 5 == 1, "Item").otherwise("base").alias("name"), F.when(e % 7 == 0, "exec sql select").when(e % 7 == 1, "PERFORM X").when(e % 7 == 2, "new Foo()").when(e % 7 == 3, "exec cics x").otherwise(F.col("props")).alias("evidence"))
-    return rows.withColumn("edge_kind", G.edge_kind(F.col("kind"), F.col("name"), F.col("evidence")))
+    e = F.col("ref_id")
+    rows = _ref_rows(spark, d).withColumns({"name": F.when(e % 5 == 0, "IThing").when(e % 5 == 1, "Item").otherwise("base"), "callee_kind": F.when(e % 4 == 1, "interface_declaration").when(e % 4 == 2, "class_declaration")})
+    return rows.select(e.alias("event_id"), "user_id", G.edge_kind(F.col("kind"), F.col("name"), F.col("evidence"), F.col("language"), F.col("callee_kind")).alias("edge_kind"))
 
 
 @query(f"SELECT edge_kind, count(*) AS n, min(event_id) AS first_id FROM (SELECT *, {_kind} AS edge_kind FROM ({_ev})) GROUP BY 1")
@@ -108,18 +129,18 @@ def g2_edge_kind(spark, d):
 
 
 @query(f"""WITH {_symbols}, {_refs}, n AS (SELECT symbol_id, path, language, start_line, unnest(list_distinct([name, qualified_name])) AS name FROM sym),
-    j AS (SELECT ref_id, symbol_id, n.language = ref.language AS own, row_number() OVER (PARTITION BY ref_id ORDER BY n.language = ref.language DESC NULLS LAST, n.path <> ref.path, n.path, start_line, symbol_id) AS i, count(symbol_id) OVER (PARTITION BY ref_id) AS k FROM ref LEFT JOIN n ON n.name = ref.name),
-    e AS (SELECT event_id, {_kind} AS edge_kind FROM ({_ev}))
-    SELECT edge_kind, CASE WHEN k = 1 OR (k > 1 AND own) THEN symbol_id END AS callee_id, count(*) AS n FROM j JOIN e ON e.event_id = j.ref_id WHERE i = 1 GROUP BY 1, 2""")
+    j AS (SELECT ref_id, symbol_id, n.language = ref.language AS own, row_number() OVER (PARTITION BY ref_id ORDER BY n.language = ref.language DESC NULLS LAST, n.path <> ref.path, n.path, n.start_line, symbol_id) AS i, count(symbol_id) OVER (PARTITION BY ref_id) AS k FROM ref LEFT JOIN n ON n.name = ref.name),
+    c AS (SELECT ref_id, CASE WHEN k = 1 OR (k > 1 AND own) THEN symbol_id END AS callee_id, CASE WHEN k = 0 THEN 0.3 WHEN k = 1 THEN 0.85 WHEN own THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence FROM j WHERE i = 1),
+    a AS (SELECT ref_id, symbol_id AS around, row_number() OVER (PARTITION BY ref_id ORDER BY s.end_line - s.start_line, s.start_line, symbol_id) AS i FROM ref JOIN sym s ON s.path = ref.path AND s.start_line <= ref.start_line AND s.end_line >= ref.end_line),
+    e AS (SELECT v.* REPLACE (ref.name AS name, sym.kind AS callee_kind), ref_id, coalesce(enclosing_id, around) AS caller_id, callee_id, confidence FROM ({_ev}) v JOIN ref ON ref_id = event_id JOIN c USING (ref_id) LEFT JOIN (SELECT ref_id, around FROM a WHERE i = 1) a USING (ref_id) LEFT JOIN sym ON symbol_id = callee_id)
+    SELECT ref_id, caller_id, callee_id, {_kind} AS edge_kind, confidence FROM e""")
 def g1_edges(spark, d):
-    found = G.resolve(_ref_rows(spark, d), _symbol_rows(spark, d))
-    kinds = _edges(spark, d).select(F.col("event_id").alias("ref_id"), "edge_kind")
-    return found.join(kinds, "ref_id").groupBy("edge_kind", "callee_id").agg(F.count(F.lit(1)).alias("n"))
+    return G.edges(_ref_rows(spark, d), _symbol_rows(spark, d))
 
 
-@query(f"SELECT event_id, user_id, edge_kind FROM (SELECT *, {_kind} AS edge_kind FROM ({_ev})) WHERE user_id = 7 AND edge_kind IN ('calls', 'instantiates')")
+@query(f"SELECT event_id, user_id, edge_kind FROM (SELECT *, {_kind} AS edge_kind FROM ({_ev})) WHERE user_id = 7 AND edge_kind IN ('calls', 'implements')")
 def f4_edges_of(spark, d):
-    return _edges(spark, d).filter((F.col("user_id") == 7) & F.col("edge_kind").isin("calls", "instantiates")).select("event_id", "user_id", "edge_kind")
+    return _edges(spark, d).filter((F.col("user_id") == 7) & F.col("edge_kind").isin("calls", "implements"))
 
 
 @query("SELECT event_id, event_type, true AS fallback FROM events WHERE user_id % 2 = 0 AND event_type = 'click'")

@@ -59,7 +59,7 @@ def m5_candidate_upsert(spark, d):
 
 
 _states = "['draft', 'reviewed', 'approved', 'rejected', 'superseded']"
-_legal = "concat(old, '>', new) IN (" + ", ".join(f"'{a}>{b}'" for a, b in M.TRANSITIONS) + ")"
+_legal = "concat(old, '>', new) IN ('draft>reviewed', 'draft>approved', 'draft>rejected', 'reviewed>approved', 'reviewed>rejected', 'reviewed>draft', 'approved>superseded', 'approved>rejected', 'rejected>draft')"
 
 
 @query(f"""WITH c AS (SELECT o_orderkey AS id, {_states}[o_orderkey % 5 + 1] AS old, {_states}[o_custkey % 5 + 1] AS new, CASE WHEN o_orderkey % 7 <> 0 THEN 'p' END AS pattern FROM orders),
@@ -73,24 +73,40 @@ def m7_transitions(spark, d):
     return M.transitions(changes, blocking)
 
 
-@query(f"""WITH i AS (SELECT o_orderkey AS gr_id, {_states}[o_orderkey % 5 + 1] AS state, 'new' AS reviewer, o_totalprice AS price FROM orders), s AS (SELECT o_orderkey AS gr_id, {_states}[o_custkey % 5 + 1] AS state, o_orderpriority AS reviewer FROM orders WHERE o_orderkey % 3 <> 0),
+@query(f"""WITH i AS (SELECT o_orderkey AS gr_id, {_states[:-1]}, 'unheard of'][o_orderkey % 6 + 1] AS state, 'new' AS reviewer, o_totalprice AS price FROM orders), s AS (SELECT o_orderkey AS gr_id, {_states}[o_custkey % 5 + 1] AS state, o_orderpriority AS reviewer FROM orders WHERE o_orderkey % 3 <> 0),
     r AS (SELECT i.*, s.state AS s1, s.reviewer AS r1, coalesce((CASE i.state WHEN 'reviewed' THEN 1 WHEN 'approved' THEN 2 WHEN 'superseded' THEN 3 ELSE 0 END) < (CASE s.state WHEN 'reviewed' THEN 1 WHEN 'approved' THEN 2 WHEN 'superseded' THEN 3 WHEN 'draft' THEN 0 WHEN 'rejected' THEN 0 END), false) AS guarded FROM i LEFT JOIN s ON i.gr_id = s.gr_id)
     SELECT gr_id, CASE WHEN guarded THEN s1 ELSE state END AS state, CASE WHEN guarded THEN r1 ELSE reviewer END AS reviewer, price, guarded FROM r""")
 def m8_downgrade_guard(spark, d):
     states = F.array(*map(F.lit, ("draft", "reviewed", "approved", "rejected", "superseded")))
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    incoming = o.select(k.alias("gr_id"), F.get(states, (k % 5).cast("int")).alias("state"), F.lit("new").alias("reviewer"), F.col("o_totalprice").alias("price"))
+    incoming = o.select(k.alias("gr_id"), F.coalesce(F.get(states, (k % 6).cast("int")), F.lit("unheard of")).alias("state"), F.lit("new").alias("reviewer"), F.col("o_totalprice").alias("price"))
     stored = o.filter(k % 3 != 0).select(k.alias("gr_id"), F.get(states, (F.col("o_custkey") % 5).cast("int")).alias("state"), F.col("o_orderpriority").alias("reviewer"))
     return M.import_guard(stored, incoming, "gr_id", ["reviewer"], ["price"])
 
 
-_maj = """SELECT user_id AS id, event_type AS v, count(*) AS c FROM events GROUP BY 1, 2"""
+def _cited(spark, d):
+    """Events as citations: a user is a requirement, the kind of an event its domain; some users cite nothing but sentinels."""
+    e = table(spark, d, "events")
+    domain = F.when(F.col("user_id") % 13 == 0, "unassigned").when(F.col("user_id") % 13 == 1, F.when(F.col("event_id") % 2 == 0, "excluded").otherwise("unassigned")).when((F.col("event_type") == "view") & (F.col("user_id") % 2 == 0), "unassigned").otherwise(F.col("event_type"))
+    return e.select("user_id", domain.alias("domain"))
+
+
+def _stated(spark, d):
+    u = F.col("user_id")
+    text = F.format_string("The clerk %d must act.", u)
+    users = table(spark, d, "events").select("user_id").distinct()
+    return users.select("user_id", text.alias("statement"), F.lit("behavioral").alias("rule_class"), F.when(u % 3 != 0, "B-UNCOND").alias("pattern"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("enforcement_level"), F.lit(None).cast("array<string>").alias("terms"))
 
 
-@query(f"""WITH c AS ({_maj}), t AS (SELECT id, sum(CASE WHEN v <> 'view' THEN c ELSE 0 END) AS total, max(CASE WHEN v <> 'view' THEN c END) AS top FROM c GROUP BY 1)
-    SELECT t.id AS user_id, CASE WHEN top * 2 > total THEN (SELECT min(v) FROM c WHERE c.id = t.id AND c.c = t.top AND v <> 'view') END AS winner, CASE WHEN top * 2 > total THEN 'majority' WHEN total = 0 THEN 'none' ELSE 'tie' END AS how FROM t""")
-def a12_majority(spark, d):
-    return R.majority(table(spark, d, "events"), "user_id", "event_type", ("view",))
+_subject = """ci AS (SELECT user_id, CASE WHEN user_id % 13 = 0 THEN 'unassigned' WHEN user_id % 13 = 1 THEN CASE WHEN event_id % 2 = 0 THEN 'excluded' ELSE 'unassigned' END WHEN event_type = 'view' AND user_id % 2 = 0 THEN 'unassigned' ELSE event_type END AS v FROM events),
+    cn AS (SELECT user_id, v, count(*) AS c FROM ci GROUP BY 1, 2), tt AS (SELECT user_id, coalesce(sum(c) FILTER (v NOT IN ('unassigned', 'excluded')), 0) AS total, max(c) FILTER (v NOT IN ('unassigned', 'excluded')) AS top, bool_and(v = 'unassigned') AS alone FROM cn GROUP BY 1),
+    su AS (SELECT user_id, CASE WHEN top * 2 > total THEN (SELECT min(v) FROM cn WHERE cn.user_id = tt.user_id AND cn.c = tt.top AND v NOT IN ('unassigned', 'excluded')) WHEN user_id % 3 <> 0 THEN concat('The clerk ', user_id) END AS subject,
+        CASE WHEN top * 2 > total THEN 'derived' WHEN alone THEN 'llm_named' ELSE 'derived_ambiguous' END AS subject_provenance FROM tt)"""
+
+
+@query(f"WITH {_subject} SELECT user_id, subject, subject_provenance FROM su")
+def a12_subject(spark, d):
+    return R.derive_subject(_cited(spark, d), _stated(spark, d), "user_id")
 
 
 @query("""WITH o AS (SELECT doc_id, lang AS old FROM documents), n AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'en' ELSE lang END AS new FROM documents)
@@ -109,10 +125,12 @@ def m14_statement(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.coalesce(given(a), given(p), F.lit("This rule")), F.when(i % 2 == 0, "must").otherwise("is"), F.coalesce(given(t), given(p), F.lit("be reviewed"))).alias("statement"))
 
 
-@query("SELECT event_id, CASE WHEN event_type <> 'view' AND value >= 50 THEN CAST(floor(value) AS BIGINT) END AS not_accounted_for, coalesce(event_type <> 'view' AND value >= 50 AND floor(value) = 50, false) AS complete FROM events")
+@query("SELECT event_id, CASE WHEN event_type <> 'view' AND event_id % 3 = 0 THEN event_id % 4 END AS not_accounted_for, coalesce(event_type <> 'view' AND event_id % 3 = 0 AND event_id % 4 = 0, false) AS complete FROM events")
 def m15_run_coverage(spark, d):
-    n = F.when((F.col("event_type") != "view") & (F.col("value") >= 50), F.floor("value").cast("long"))
-    return table(spark, d, "events").select("event_id", n.alias("not_accounted_for"), (n.isNotNull() & (F.coalesce(n, F.lit(-1)) == 50)).alias("complete"))
+    """Payloads with a whole number, a text or nothing as uncovered, some of them skipped."""
+    e = F.col("event_id")
+    payload = F.when(e % 3 == 0, F.format_string('{"coverage": {"uncovered": %d, "skipped": %s}}', e % 4, F.when(F.col("event_type") == "view", "true").otherwise("false"))).when(e % 3 == 1, '{"coverage": {"uncovered": "many"}}')
+    return M.run_coverage(table(spark, d, "events").select("event_id", payload.alias("payload")), "event_id", "payload")
 
 
 @query("""WITH r AS (SELECT user_id, count(*) AS n_hits, count(*) FILTER (value < 20) AS bad FROM events GROUP BY 1)
@@ -155,13 +173,10 @@ def m6_citation_upsert(spark, d):
     return both.select("gr_id", "line", F.coalesce("new", "old").alias("hash"), moved.alias("moved"))
 
 
-@query(f"""WITH c AS ({_maj}), t AS (SELECT id, sum(c) AS total, max(c) AS top FROM c GROUP BY 1), w AS (SELECT t.id AS user_id, CASE WHEN top * 2 > total THEN (SELECT min(v) FROM c WHERE c.id = t.id AND c.c = t.top) END AS winner FROM t),
-    o AS (SELECT user_id, max_by(event_type, event_id) AS old FROM events GROUP BY 1) SELECT user_id, old, winner FROM o JOIN w USING (user_id) WHERE old IS DISTINCT FROM winner""")
+@query(f"WITH {_subject}, o AS (SELECT user_id, max_by(event_type, event_id) AS old_subject, CASE WHEN user_id % 2 = 0 THEN 'derived' ELSE 'llm_named' END AS old_provenance FROM events GROUP BY 1) SELECT user_id, old_subject, old_provenance, subject, subject_provenance FROM o JOIN su USING (user_id) WHERE old_subject IS DISTINCT FROM subject OR old_provenance IS DISTINCT FROM subject_provenance")
 def m10_rederive_changed(spark, d):
-    e = table(spark, d, "events")
-    old = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("old"))
-    now = R.majority(e, "user_id", "event_type", ()).select("user_id", "winner")
-    return old.join(now, "user_id").filter(~F.col("old").eqNullSafe(F.col("winner"))).select("user_id", "old", "winner")
+    stored = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("subject"), F.when(F.col("user_id") % 2 == 0, "derived").otherwise("llm_named").alias("subject_provenance"))
+    return R.rederived(stored, _cited(spark, d), _stated(spark, d), "user_id")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 11 = 0) THEN 'retired' ELSE o_orderstatus END AS state FROM orders")

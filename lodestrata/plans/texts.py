@@ -13,7 +13,8 @@ from .catalog import busy_table, query, table
 _win = """w AS (SELECT doc_id, l, unnest(range(0, CAST(ceil(greatest(len(l) - 20, 0) / 16) AS BIGINT) + 1)) AS chunk FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
     c AS (SELECT doc_id, chunk, chunk * 16 + 1 AS start_line, chunk * 16 + len(l[chunk * 16 + 1:chunk * 16 + 20]) AS end_line, array_to_string(l[chunk * 16 + 1:chunk * 16 + 20], chr(10)) AS chunk_text FROM w)"""
 _est = r"""CAST(len(list_filter(string_split_regex(text, '[\s.,;:()\[\]{}<>"''`!?@#$%^&*+=|\\~]+'), lambda x: x <> '')) AS BIGINT)"""
-_logic = "(regexp_matches(text, '(^|[^A-Za-z0-9_])(if|else|switch|case|when|while|for)([^A-Za-z0-9_]|$)') OR regexp_matches(text, '(==|!=|<=|>=|&&|\\|\\|)') OR regexp_matches(text, '(^|[^A-Za-z0-9_])(validate|calculate|check|require|approve|reject)'))"
+_terms = "required|stringlength|maxlength|minlength|range|regularexpression|emailaddress|phone|creditcard|compare|validation|validate|key|foreignkey|column|table|index|notmapped|concurrencycheck|timestamp|datatype|notnull|notblank|notempty|size|min|max|pattern|valid|validated|positive|negative|past|future|digits|assert|constraint|entity|joincolumn|onetomany|manytoone|manytomany|validator|field_validator|constr|conint"
+_logic = f"(regexp_matches(text, '(?i)(^|[^\\pL\\pN_])({_terms})([^\\pL\\pN_]|$)') OR regexp_matches(text, '(?i)(^|[^\\pL\\pN_])(if|else|switch|case|for|foreach|while|throw|raise|check|unique|not\\s+null|default|constraint)([^\\pL\\pN_]|$)') OR regexp_matches(text, '==|!=|<=|>=|&&|\\|\\|') OR regexp_matches(text, '(?i)(^|[^\\pL\\pN_])return([^\\pL\\pN_\\n][^\\n]*)?[<>=!]'))"
 
 
 @query(f"WITH {_win} SELECT doc_id, chunk, start_line, end_line, sha256(chunk_text) AS sha FROM c")
@@ -88,9 +89,9 @@ def m2_content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", X.key("ch1:", X.body(F.col("text"))).alias("content_hash"))
 
 
-@query("SELECT page_id, CASE regexp_extract(lower(url), '(\\.[^./]+)$', 1) WHEN '.js' THEN 'javascript' WHEN '.py' THEN 'python' WHEN '.xml' THEN 'xml' WHEN '.php' THEN 'php' END AS language FROM (SELECT page_id, concat(url, CASE page_id % 4 WHEN 0 THEN '.JS' WHEN 1 THEN '.py' WHEN 2 THEN '.zzz' ELSE '.xml' END) AS url FROM pages)")
+@query("SELECT page_id, map_extract_value(MAP {'.cs': 'csharp', '.java': 'java', '.py': 'python', '.js': 'javascript', '.jsx': 'javascript', '.mjs': 'javascript', '.cjs': 'javascript', '.ts': 'typescript', '.tsx': 'typescript', '.cbl': 'cobol', '.cob': 'cobol', '.cpy': 'cobol', '.copy': 'cobol', '.pco': 'cobol', '.sql': 'sql', '.ddl': 'sql', '.dml': 'sql', '.psql': 'sql', '.pgsql': 'sql', '.tsql': 'sql', '.xml': 'xml', '.jsp': 'jsp', '.properties': 'properties', '.css': 'css', '.vm': 'velocity', '.ent': 'xml_entity', '.tld': 'tld', '.xmi': 'xmi'}, regexp_extract(lower(url), '(\\.[^./]+)$', 1)) AS language FROM (SELECT page_id, concat(url, ['.JS', '.py', '.zzz', '.xml', '.cpy', '.DDL', '.jsp', '.mjs', '.go', '.rb', '.php', '.vm', '.ent', '.tld', '.xmi', '.css', '.properties', '.pco'][page_id % 18 + 1]) AS url FROM pages)")
 def sc10_language_by_suffix(spark, d):
-    made = F.concat("url", F.element_at(F.array(*map(F.lit, (".JS", ".py", ".zzz", ".xml"))), (F.col("page_id") % 4 + 1).cast("int")))
+    made = F.concat("url", F.element_at(F.array(*map(F.lit, (".JS", ".py", ".zzz", ".xml", ".cpy", ".DDL", ".jsp", ".mjs", ".go", ".rb", ".php", ".vm", ".ent", ".tld", ".xmi", ".css", ".properties", ".pco"))), (F.col("page_id") % 18 + 1).cast("int")))
     return table(spark, d, "pages").select("page_id", X.language(made).alias("language"))
 
 
@@ -154,12 +155,14 @@ def ex5_sql_columns(spark, d):
     return E.sql_columns(table(spark, d, "part").select("p_partkey", ddl.alias("ddl")), "p_partkey", "ddl")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN substr(text, 1, 20) WHEN n_chars % 3 = 1 THEN array_to_string(string_split(text, chr(10))[1:2], chr(10)) END AS entity FROM documents")
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '~~', 'g') AS t, n_chars % 5 AS k FROM documents), l AS (SELECT *, string_split(t, chr(10)) AS l FROM t)
+    SELECT doc_id, CASE WHEN k = 0 AND length(t) >= 20 THEN substr(t, 1, 20) WHEN k IN (0, 1) AND len(l) >= 2 THEN array_to_string(l[1:2], chr(10)) WHEN k = 2 THEN l[1] WHEN k = 3 AND len(l) >= 3 THEN array_to_string(l[2:3], chr(10)) END AS entity FROM l""")
 def m17_entity_body(spark, d):
-    k = F.col("n_chars") % 3
-    none = F.lit(None).cast("int")
-    rows = table(spark, d, "documents").select("doc_id", "text", F.when(k == 0, 0).otherwise(none).alias("a"), F.when(k == 0, 20).otherwise(none).alias("b"), F.when(k == 1, 1).otherwise(none).alias("s"), F.when(k == 1, 2).otherwise(none).alias("e"))
-    return rows.select("doc_id", E.entity_body(F.col("text"), F.col("a"), F.col("b"), F.col("s"), F.col("e")).alias("entity"))
+    """Valid offsets, lines only, negative offsets, offsets that are a point, and nothing at all."""
+    k = F.col("n_chars") % 5
+    pick = lambda *values: F.get(F.array(*(F.lit(v).cast("int") for v in values)), k.cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^\\x00-\\x7F]", "~~").alias("t"), pick(0, None, -1, 5, None).alias("a"), pick(20, None, 5, 5, None).alias("b"), pick(1, 1, 1, 2, None).alias("s"), pick(2, 2, 1, 3, None).alias("e"))
+    return rows.select("doc_id", E.entity_body(F.col("t"), F.col("a"), F.col("b"), F.col("s"), F.col("e")).alias("entity"))
 
 
 @query("SELECT 0.9::DOUBLE AS confidence, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|h2|title)[ >]', 1)) AS tag FROM pages) HAVING count(*) > 0")

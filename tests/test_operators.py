@@ -207,10 +207,10 @@ def test_merge_keeps_what_a_human_edited(spark):
 
 
 def test_lifecycle_and_import_guard(spark):
-    changes = spark.createDataFrame([(1, "draft", "approved", "p"), (2, "reviewed", "approved", None), (3, "reviewed", "approved", "p"), (4, "reviewed", "approved", "p")], "id long, old string, new string, pattern string")
-    assert rows(merge.transitions(changes, spark.createDataFrame([(4,)], "id long"))) == [(1, "illegal"), (2, "blocked"), (3, "ok"), (4, "blocked")]
+    changes = spark.createDataFrame([(1, "draft", "superseded", "p"), (5, "draft", "approved", "p"), (6, "approved", "rejected", None), (2, "reviewed", "approved", None), (3, "reviewed", "approved", "p"), (4, "reviewed", "approved", "p")], "id long, old string, new string, pattern string")
+    assert rows(merge.transitions(changes, spark.createDataFrame([(4,)], "id long"))) == [(1, "illegal"), (2, "blocked"), (3, "ok"), (4, "blocked"), (5, "ok"), (6, "ok")]
     stored = spark.createDataFrame([(1, "approved", "ann")], "id long, state string, reviewer string")
-    incoming = spark.createDataFrame([(1, "draft", "bob", 5), (2, "draft", "bob", 6)], "id long, state string, reviewer string, n int")
+    incoming = spark.createDataFrame([(1, "unheard of", "bob", 5), (2, "draft", "bob", 6)], "id long, state string, reviewer string, n int")
     assert rows(merge.import_guard(stored, incoming, "id", ["reviewer"], ["n"])) == [(1, "approved", "ann", 5, True), (2, "draft", "bob", 6, False)]
 
 
@@ -294,6 +294,35 @@ def test_keywords_slots_and_leaks(spark):
     assert validate.keywords(df.limit(0), "k").count() == validate.validate(df.limit(0), "k").count() == 0
 
 
+def test_subject_by_majority_or_statement(spark):
+    cites = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "unassigned"), (4, "a"), (4, "unassigned"), (4, "excluded"), (6, "excluded")], "k long, domain string")
+    df = statements(spark, *[("The clerk must act.", B, "B-UNCOND")] * 7)
+    got = {r.k: (r.subject, r.subject_provenance) for r in report.derive_subject(cites, df, "k").collect()}
+    said = "The clerk"
+    assert got == {0: (said, "derived_ambiguous"), 1: ("a", "derived"), 2: (said, "derived_ambiguous"), 3: (said, "llm_named"), 4: ("a", "derived"), 5: (said, "derived_ambiguous"), 6: (said, "derived_ambiguous")}
+
+
+def test_bodies_of_entities_and_coverage(spark):
+    body = lambda t, a, b, s, e: one(spark, extract.entity_body(F.col("t"), F.col("a"), F.col("b"), F.col("s"), F.col("e")), t=t, a=a, b=b, s=s, e=e)
+    assert body("ab", -1, 5, 1, 1) == "ab" and body("ab", 50, 60, 3, 4) is None and body("aé", 1, 3, 1, 1) == "é" and body("aé", 0, 2, 1, 1) == "a\ufffd"
+    assert body("a\nb\nc", 1, 1, 2, 3) == "b\nc" and body("a", 0, 2, 0, 1) is None
+    payloads = ['{"coverage": {"uncovered": 0}}', '{"coverage": {"uncovered": 3}}', '{"coverage": {"uncovered": 0, "skipped": true}}', '{"coverage": {"uncovered": "0.5"}}', "{}", None]
+    got = rows(merge.run_coverage(spark.createDataFrame(list(enumerate(payloads)), "k long, p string"), "k", "p"))
+    assert got == [(0, 0, True), (1, 3, False), (2, None, False), (3, None, False), (4, None, False), (5, None, False)]
+
+
+def test_kinds_of_edges(spark):
+    kind = lambda k, lang, said="", name="x", callee=None: one(spark, graph.edge_kind(*(F.col(c) for c in ("k", "n", "e", "l", "c"))), k=k, n=name, e=said, l=lang, c=callee)
+    assert [kind("inherits_or_implements", "csharp", name=n, callee=c) for n, c in (("IFoo", None), ("Foo", None), ("IFoo", "class_declaration"), ("Foo", "interface_declaration"))] == ["implements", "inherits", "inherits", "implements"]
+    assert kind("x", "sql", "select * from t") == "uses_table" and kind("x", "java", "select * from t") == "references" and kind("x", "java", "EXEC SQL") == "references" and kind("x", "cobol", "EXEC SQL") == "executes_sql"
+    assert kind("object_creation_expression", "java", "new Foo()") == "calls" and kind("hibernate_column", "xml") == "uses_column" and kind("method_call", "xml") == "references" and kind("using_directive", "csharp") == "imports"
+
+
+def test_signs_of_logic(spark):
+    logic = lambda t: one(spark, X.has_logic(F.col("t")), t=t)
+    assert all(map(logic, ["@Required", "x == y", "RAISE e", "not  null", "return a > b", "foreignkey(x)"])) and not any(map(logic, ["", "verify the vendor", "returned", "ifs and elses", "return a"])) and logic(None) is False
+
+
 def test_overfetch_and_shortfall(spark):
     found = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(20)], "k long, v string")
     assert rows(search.overfetched(found, [F.col("k")], F.col("v") == "a", 2)) == [(1, "a", 1), (3, "a", 2)]
@@ -324,7 +353,9 @@ def test_markup(spark):
     code = spark.createDataFrame([(1, "java", "public class A extends B implements C, D<E> {\n private Order order;\n void f(List<Item> xs) {}\n}"), (2, "python", "class P(Q):\n    def go(self): ...\n")], "k long, language string, text string")
     assert {(r.name, r.line) for r in markup.definitions(code, "k").collect()} == {("A", 1), ("P", 1), ("go", 2)}
     assert {(r.child, r.kind, r.parent) for r in markup.inheritance(code, "k").collect()} == {("A", "extends", "B"), ("A", "implements", "C"), ("A", "implements", "D"), ("P", "inherits_or_implements", "Q")}
-    assert {r.type for r in markup.type_refs(code, "k").collect()} == {"Order", "Item"}
+    assert {(r.predicate, r.type) for r in markup.type_refs(code, "k").collect()} == {("has_field_of_type", "Order"), ("accepts_dto", "Item")}
+    typed = spark.createDataFrame([(1, "csharp", "public Task<Claim> Get(Guid id, DateTime at, Filter f)\n{"), (2, "csharp", "public Guid Id { get; set; }\npublic Owner Who { get; set; }\npublic async Task<Claim> Find(Guid id, [From] Filter f) {\n return Make(x);"), (3, "java", "  Guid id;\n  return x;\n  private final Map<String, Order> all = of();")], "k long, language string, text string")
+    assert {(r.k, r.predicate, r.type) for r in markup.type_refs(typed, "k").collect()} == {(2, "has_field_of_type", "Owner"), (2, "returns_dto", "Claim"), (2, "accepts_dto", "Filter"), (3, "has_field_of_type", "Guid"), (3, "has_field_of_type", "Order")}
     xml = "<hibernate-mapping><class name='A' table='T'><property name='x' column='C'/></class></hibernate-mapping>"
     flow = "<flow><view-state id='s'><transition to='e'/></view-state></flow>"
     got = rows(markup.xml_facts(spark.createDataFrame([(1, xml), (2, flow), (3, "<broken"), (4, None)], "k long, text string"), "k"))
