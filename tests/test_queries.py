@@ -48,13 +48,17 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_without_llm(monkeypatch):
+@pytest.mark.parametrize("missing", ["lodestrata.llm", "public_tokenizers"])
+def test_entry_without_llm_or_what_it_needs(monkeypatch, missing):
     import builtins
+    import sys
 
     real = builtins.__import__
+    for name in [n for n in sys.modules if n.startswith("lodestrata.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
 
     def without(name, globals=None, locals=None, fromlist=(), level=0):
-        if name.startswith("lodestrata.llm") or name == "corpus_pipeline":
+        if name.startswith(missing) or (missing == "lodestrata.llm" and name == "corpus_pipeline"):
             raise ModuleNotFoundError(name=name)
         return real(name, globals, locals, fromlist, level)
 
