@@ -45,17 +45,36 @@ def entity_body(text: Column, first: Column, last: Column, start_line: Column, e
     return F.when(by_offset, cut).when(by_line, part)
 
 
-def citations(rows: DataFrame, key: str, raw: str) -> DataFrame:
-    """key, path, start_line, end_line of citations, a line each: path:a-b,c (all parts of a list must be ranges, or the entry is
-    dropped); a path alone is the whole file; bullets go."""
-    e = rows.select(key, F.explode(F.split(raw, "\n")).alias("e"))
-    e = e.select(key, F.trim(F.regexp_replace("e", r"^\s*[-*•]\s+", "")).alias("e")).filter("e != ''")
-    e = e.select(key, F.regexp_extract("e", "^([^:]+)", 1).alias("path"), F.when(F.col("e").contains(":"), F.split(F.regexp_extract("e", ":(.*)$", 1), ",")).alias("parts"))
-    ok = F.col("parts").isNull() | F.forall("parts", lambda p: F.trim(p).rlike(r"^\d+(-\d+)?$"))
-    e = e.filter(ok).select(key, "path", F.explode_outer("parts").alias("p"))
-    a, b = F.regexp_extract("p", r"(\d+)", 1), F.regexp_extract("p", r"-(\d+)", 1)
-    start = F.when(F.col("p").isNull(), 1).otherwise(F.nullif(a, F.lit("")).cast("long"))
-    end = F.when(F.col("p").isNull(), WHOLE_FILE).otherwise(F.coalesce(F.nullif(b, F.lit("")), F.nullif(a, F.lit(""))).cast("long"))
+RANGE = r"[0-9]+(?:-[0-9]*)?"
+RANGES = rf"{RANGE}(?:\s*,\s*{RANGE})*"
+
+
+def citations(rows: DataFrame, key: str, raw: str, strict: bool = False) -> DataFrame:
+    """key, path, start_line, end_line of citations, a JSON array of texts or a line each, list marks aside.
+
+    An entry is path:a-b,c (all of a list must be ranges), several such citations with commas between them (all must be
+    whole), or a path alone, which is the whole file; so is what ends like ranges but is none. strict fails there, and for a
+    broken array and an entry without a path, which are left out else."""
+    text = F.trim(F.coalesce(raw, F.lit("")))
+    listed, fail = text.startswith("["), lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), text))
+    array = F.from_json(text, "array<string>")
+    broken = fail("no array of citations") if strict else F.array().cast("array<string>")
+    entries = F.when(listed, F.coalesce(array, broken)).otherwise(F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c]"), lambda e: F.trim(e)), lambda e: e != ""))
+    e = rows.select(key, F.explode(F.transform(entries, lambda e: F.regexp_replace(F.regexp_replace(e, r"^[-*•\s]+", ""), r"\s+$", ""))).alias("e"))
+    e = e.filter(F.when(F.col("e") != "", True).otherwise(F.raise_error(F.lit("a citation without a path")).cast("boolean") if strict else F.lit(False)))
+    one = rf"\s*[^,]+:{RANGES}"
+    several = F.col("e").rlike(rf"^{one}(?:\s*,{one})+\s*$")
+    cut = F.transform(F.split("e", rf",(?!\s*{RANGE}\s*(?:,|$))"), lambda x: F.regexp_replace(F.trim(x), r"\s*,\s*", ","))
+    e = e.select(key, F.explode(F.when(several, cut).otherwise(F.array("e"))).alias("e"))
+    tail = F.regexp_extract("e", r"(?s)^.*:\s*([-0-9,]+)\s*$", 1)
+    e = e.select(key, "e", tail.alias("tail"), tail.rlike(rf"^{RANGE}(?:,{RANGE})*$").alias("good"))
+    if strict:
+        e = e.filter(F.when((F.col("tail") == "") | F.col("good"), True).otherwise(F.raise_error(F.concat(F.lit("no ranges: "), "e")).cast("boolean")))
+    path = F.when(F.col("good"), F.regexp_extract("e", r"(?s)^(.*):\s*[-0-9,]+\s*$", 1)).otherwise(F.col("e"))
+    e = e.select(key, F.trim(path).alias("path"), F.explode(F.when(F.col("good"), F.split("tail", ",")).otherwise(F.array(F.lit(None).cast("string")))).alias("p"))
+    a, b = F.regexp_extract("p", r"([0-9]+)", 1), F.regexp_extract("p", r"-([0-9]+)", 1)
+    start = F.when(F.col("p").isNull(), 1).otherwise(a.cast("long"))
+    end = F.when(F.col("p").isNull(), WHOLE_FILE).otherwise(F.coalesce(F.nullif(b, F.lit("")), a).cast("long"))
     return e.select(key, "path", start.cast("long").alias("start_line"), end.cast("long").alias("end_line"))
 
 

@@ -70,8 +70,9 @@ def sc11_extension_lookup(spark, d):
 
 @query("SELECT run_id, outcome, count(*) AS hits, min(event_id) AS first_offer FROM (SELECT user_id % 10 AS run_id, event_type AS outcome, event_id FROM events) GROUP BY 1, 2")
 def sk10_run_audit(spark, d):
-    e = table(spark, d, "events").select((F.col("user_id") % 10).alias("run_id"), F.col("event_type").alias("outcome"), "event_id")
-    return e.groupBy("run_id", "outcome").agg(F.count(F.lit(1)).alias("hits"), F.min("event_id").alias("first_offer"))
+    from ..operators.store import run_audit
+
+    return run_audit(table(spark, d, "events").select((F.col("user_id") % 10).alias("run_id"), F.col("event_type").alias("outcome"), F.col("event_id").alias("ordinal")))
 
 
 @query("""SELECT concat('{"c_custkey":', c_custkey, ',"c_mktsegment":"', c_mktsegment, '"}') AS line FROM customer""")

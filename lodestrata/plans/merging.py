@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge as M
 from ..operators import report as R
+from ..operators import store as S
 from .catalog import query, table
 
 _off = "o AS (SELECT event_id AS ordinal, concat(user_id, '/', event_type) AS dk, concat(user_id, '') AS dka FROM events WHERE event_id % 4 <> 0), st AS (SELECT concat('g', event_id) AS gr_id, concat(user_id, '/', event_type) AS dk, concat(user_id, '') AS dka FROM events WHERE event_id % 40 = 0)"
@@ -116,13 +117,12 @@ def a19_transitions(spark, d):
     return docs.filter(~F.col("old").eqNullSafe(F.col("new"))).groupBy("old", "new").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, trim(concat_ws(' ', coalesce(nullif(trim(a), ''), nullif(trim(p), ''), 'This rule'), CASE doc_id % 2 WHEN 0 THEN 'must' ELSE 'is' END, coalesce(nullif(trim(t), ''), nullif(trim(p), ''), 'be reviewed'))) AS statement
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Given.' ELSE concat_ws(' ', coalesce(nullif(trim(a), ''), nullif(trim(p), ''), 'This rule'), CASE doc_id % 3 WHEN 1 THEN 'always' ELSE 'must' END, coalesce(nullif(trim(t), ''), nullif(trim(p), ''), 'be reviewed')) END AS statement
     FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '  ' ELSE source END AS a, CASE doc_id % 5 WHEN 0 THEN lang END AS p, CASE doc_id % 7 WHEN 0 THEN 'apply ' END AS t FROM documents)""")
 def m14_statement(spark, d):
     i = F.col("doc_id")
-    given = lambda c: F.nullif(F.trim(c), F.lit(""))
-    a, p, t = F.when(i % 3 == 0, "  ").otherwise(F.col("source")), F.when(i % 5 == 0, F.col("lang")), F.when(i % 7 == 0, "apply ")
-    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.coalesce(given(a), given(p), F.lit("This rule")), F.when(i % 2 == 0, "must").otherwise("is"), F.coalesce(given(t), given(p), F.lit("be reviewed"))).alias("statement"))
+    made = S.statement(F.when(i % 4 == 0, "Given.").when(i % 4 == 1, " "), F.when(i % 3 == 0, "  ").otherwise(F.col("source")), F.when(i % 5 == 0, F.col("lang")), F.when(i % 7 == 0, "apply "), F.when(i % 3 == 1, "definitional").when(i % 3 == 2, "behavioral"))
+    return table(spark, d, "documents").select("doc_id", made.alias("statement"))
 
 
 @query("SELECT event_id, CASE WHEN event_type <> 'view' AND event_id % 3 = 0 THEN event_id % 4 END AS not_accounted_for, coalesce(event_type <> 'view' AND event_id % 3 = 0 AND event_id % 4 = 0, false) AS complete FROM events")
@@ -133,11 +133,14 @@ def m15_run_coverage(spark, d):
     return M.run_coverage(table(spark, d, "events").select("event_id", payload.alias("payload")), "event_id", "payload")
 
 
-@query("""WITH r AS (SELECT user_id, count(*) AS n_hits, count(*) FILTER (value < 20) AS bad FROM events GROUP BY 1)
-    SELECT user_id, CASE WHEN bad > n_hits / 4 THEN 'incomplete: many uncovered' ELSE 'incomplete: some uncovered' END AS reason FROM r WHERE bad > 0 AND user_id % 3 <> 0""")
+@query("""SELECT DISTINCT l_suppkey AS run_id, CASE WHEN l_suppkey % 4 = 0 THEN 'coverage not measured — completeness unknown' ELSE concat(l_suppkey % 4 - 1, ' chunks unaccounted for') END AS reason
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_suppkey % 4 <> 1 AND l_suppkey % 5 <> 0""")
 def m9_export_gate(spark, d):
-    r = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(F.col("value") < 20).alias("bad"))
-    return r.filter("bad > 0 AND user_id % 3 != 0").select("user_id", F.when(F.col("bad") > F.col("n_hits") / 4, "incomplete: many uncovered").otherwise("incomplete: some uncovered").alias("reason"))
+    """Finished orders as rows to export, suppliers as runs that gave them."""
+    k = F.col("s_suppkey")
+    runs = table(spark, d, "supplier").select(k.alias("run_id"), F.when(k % 4 != 0, k % 4 - 1).alias("not_accounted_for"), (k % 5 == 0).alias("gate_excluded"))
+    rows = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("gr_id"))
+    return S.blocking_runs(rows, table(spark, d, "lineitem").select(F.col("l_suppkey").alias("run_id"), F.col("l_orderkey").alias("gr_id")), runs)
 
 
 @query("""WITH k AS (SELECT l_orderkey, to_json(list({'l_linenumber': l_linenumber, 'l_partkey': l_partkey, 'l_returnflag': l_returnflag} ORDER BY l_linenumber, l_partkey, l_returnflag)) AS j FROM lineitem GROUP BY 1)
@@ -179,47 +182,71 @@ def m10_rederive_changed(spark, d):
     return R.rederived(stored, _cited(spark, d), _stated(spark, d), "user_id")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 11 = 0) THEN 'retired' ELSE o_orderstatus END AS state FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'retired' END ELSE o_orderstatus END AS state FROM orders")
 def m12_set_field(spark, d):
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", F.when(F.col("o_custkey") % 11 == 0, "retired").otherwise(F.col("o_orderstatus")).alias("state"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("state"))
+    edits = o.filter("o_custkey % 11 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "retired").alias("value"))
+    return S.set_field(o, "o_orderkey", "state", edits).select("o_orderkey", "state")
 
 
-@query("""SELECT event_id, list_count(list_filter([event_id % 3, event_id % 4], lambda x: x >= 0)) = CASE WHEN event_id % 5 = 0 THEN 3 ELSE 2 END AS valid, concat('{"columns":', CASE WHEN event_id % 5 = 0 THEN 3 ELSE 2 END, ',"rules":[', event_id % 3, ',', event_id % 4, ']}') AS canonical FROM events""")
+@query("SELECT s_suppkey AS run_id, s_suppkey % 3 = 0 OR s_suppkey % 4 = 0 AS gate_excluded, CASE WHEN s_suppkey % 4 = 0 THEN concat('old run of ', s_name) WHEN s_suppkey % 3 = 0 THEN 'first' END AS gate_excluded_reason FROM supplier")
+def m12_retire_runs(spark, d):
+    k = F.col("s_suppkey")
+    runs = table(spark, d, "supplier").select(k.alias("run_id"), (k % 3 == 0).alias("gate_excluded"), F.when(k % 3 == 0, "first").alias("gate_excluded_reason"))
+    retired = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(k.alias("run_id"), F.when(k % 4 == 0, F.concat(F.lit("old run of "), "s_name")).otherwise(" ").alias("reason"))
+    return S.retire_runs(runs, "run_id", retired)
+
+
+_wide = "event_id % 5 <> 0"
+_body = f"""CASE event_id % 4 WHEN 0 THEN CASE WHEN {_wide} THEN concat('{{"hitPolicy":"FIRST","inputs":[{{"expression":"x","label":"a","typeRef":"n"}}],"outputs":[{{"label":"o","typeRef":"n"}}],"rules":[{{"annotation":null,"inputEntries":["', event_id % 3, '"],"outputEntries":["y"]}}]}}') END
+    WHEN 1 THEN CASE WHEN {_wide} THEN concat('{{"initial":null,"states":["a","b"],"transitions":[{{"from":"a","guard":null,"to":"b","trigger":"t', event_id % 3, '"}}]}}') END
+    WHEN 2 THEN concat('{{"expression":"a*b","meter":"m","scale":"', event_id % 3, '","variables":[]}}') ELSE CASE WHEN {_wide} THEN '{{"expression":"a > 0","notation":"sql","scope":"row"}}' END END"""
+
+
+@query(f"SELECT event_id, body IS NOT NULL AS valid, body AS canonical FROM (SELECT event_id, {_body} AS body FROM events)")
 def m13_structured_body(spark, d):
-    i = F.col("event_id")
-    raw = F.format_string('{"rules": [%d, %d], "columns": %d}', i % 3, i % 4, F.when(i % 5 == 0, 3).otherwise(2))
-    body = F.from_json(raw, "columns int, rules array<int>")
-    rows = table(spark, d, "events").select("event_id", body.alias("b"))
-    return rows.select("event_id", (F.size("b.rules") == F.col("b.columns")).alias("valid"), F.to_json("b", {"ignoreNullFields": "false"}).alias("canonical"))
+    """All four shapes with their keys in another order and a key too many; a fifth of them with a row too wide, a field missing
+    or a word that is not allowed."""
+    e = F.col("event_id")
+    bad = lambda good, other: F.when(e % 5 != 0, F.lit(good)).otherwise(F.lit(other))
+    raw = (
+        F.when(e % 4 == 0, F.format_string('{"rules": [{"outputEntries": ["y"], "inputEntries": ["%d"%s]}], "more": 1, "hitPolicy": "FIRST", "inputs": [{"label": "a", "typeRef": "n", "expression": "x"}], "outputs": [{"typeRef": "n", "label": "o"}]}', e % 3, bad("", ', "z"')))
+        .when(e % 4 == 1, F.format_string('{"transitions": [{"to": "b", "from": "a"%s}], "states": ["a", "b"]}', F.when(e % 5 != 0, F.format_string(', "trigger": "t%d"', e % 3)).otherwise("")))
+        .when(e % 4 == 2, F.format_string('{"scale": "%d", "meter": "m", "expression": "a*b"}', e % 3)).otherwise(F.format_string('{"scope": "row", "notation": "%s", "expression": "a > 0"}', bad("sql", "latin")))
+    )
+    kind = F.get(F.array(*map(F.lit, S.BODIES)), (e % 4).cast("int"))
+    return S.structured_bodies(table(spark, d, "events").select("event_id", kind.alias("kind"), raw.alias("raw")), "event_id", "kind", "raw")
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'a' END AS rules FROM nation")
+@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 END::BIGINT AS n_rules, CASE n_nationkey % 4 WHEN 3 THEN NULL WHEN 1 THEN 'c1' ELSE 'r' END AS first_name FROM nation")
 def m16_either_key(spark, d):
     i = F.col("n_nationkey") % 4
-    return table(spark, d, "nation").select("n_nationkey", F.coalesce(F.when(i == 0, "a"), F.when(i == 1, "b"), F.when(i == 2, "a")).alias("rules"))
+    payload = F.when(i == 0, '{"rules": [{"name": "r"}]}').when(i == 1, '{"confirmedRules": [{"name": "c1"}, {"name": "c2"}]}').when(i == 2, '{"confirmedRules": [], "rules": [{"name": "r"}]}').otherwise("{}")
+    rows = table(spark, d, "nation").select("n_nationkey", S.rule_list(payload, "struct<name:string>").alias("rules"))
+    return rows.select("n_nationkey", F.when(F.col("rules").isNotNull(), F.size("rules").cast("long")).alias("n_rules"), F.get("rules", F.lit(0))["name"].alias("first_name"))
 
 
-@query("SELECT d.doc_id, sha256(d.text) AS content_hash FROM documents d JOIN documents e ON d.doc_id = e.doc_id AND sha256(d.text) = sha256(CASE WHEN e.doc_id % 7 = 0 THEN concat(e.text, 'x') ELSE e.text END) WHERE d.doc_id % 3 = 0")
+@query("SELECT doc_id, sha256(concat('body ', text)) AS content_hash FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 <> 0 AND text IS NOT NULL")
 def m18_hash_backfill(spark, d):
+    """A third of the documents stored without a hash; a seventh of the files changed since."""
     docs = table(spark, d, "documents")
-    disk = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha"))
-    stored = docs.filter("doc_id % 3 = 0").select("doc_id", F.sha2("text", 256).alias("sha"))
-    return stored.join(disk, ["doc_id", "sha"]).select("doc_id", F.col("sha").alias("content_hash"))
+    now = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    disk = docs.select("doc_id", F.sha2(now, 256).alias("sha"), F.sha2(F.concat(F.lit("body "), now), 256).alias("content_hash"))
+    stored = docs.select("doc_id", F.sha2("text", 256).alias("sha"), F.when(F.col("doc_id") % 3 != 0, "known").alias("content_hash"))
+    return S.hash_backfill(stored, disk, ["doc_id"])
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'callable' WHEN 'view' THEN 'type' ELSE 'other' END AS entity_class FROM events")
 def m19_kind_shim(spark, d):
-    shim = spark.createDataFrame([("click", "callable"), ("view", "type")], "event_type string, entity_class string")
-    return table(spark, d, "events").select("event_id", "event_type").join(F.broadcast(shim), "event_type", "left").select("event_id", F.coalesce("entity_class", F.lit("other")).alias("entity_class"))
+    return S.shimmed(table(spark, d, "events"), "event_type", {"click": "callable", "view": "type"}).select("event_id", "entity_class")
 
 
-@query("SELECT vec_id, concat('label=', label, ';domain=', coalesce(source, 'unassigned')) AS meta FROM embeddings LEFT JOIN documents ON vec_id = doc_id")
+@query("SELECT vec_id, concat('domain=', coalesce(source, 'unassigned'), ';label=', label) AS meta FROM embeddings LEFT JOIN documents ON vec_id = doc_id")
 def sk9_merge_metadata(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
-    meta = F.map_concat(F.create_map(F.lit("label"), F.col("label").cast("string")), F.create_map(F.lit("domain"), F.coalesce("source", F.lit("unassigned"))))
-    rows = table(spark, d, "embeddings").select("vec_id", "label").join(docs, "vec_id", "left").select("vec_id", meta.alias("m"))
-    return rows.select("vec_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("meta"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.create_map(F.lit("label"), F.col("label").cast("string"), F.lit("domain"), F.lit("old")).alias("meta"))
+    new = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("value"))
+    rows = S.merged_metadata(rows, "vec_id", "meta", "domain", new, "unassigned")
+    return rows.select("vec_id", F.array_join(F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("meta"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -121,10 +121,10 @@ def sc3_full_scan(spark, d):
 @query(r"""WITH e AS (SELECT doc_id, unnest([concat('src/a', doc_id, '.py:', doc_id % 50 + 1, '-', doc_id % 50 + 9, ',', doc_id % 7 + 60), concat('- lib/b.cs:', doc_id % 9 + 1), 'plain/path.sql', 'bad.py:1-x']) AS entry FROM documents)
     SELECT doc_id, concat('src/a', doc_id, '.py') AS path, doc_id % 50 + 1 AS start_line, doc_id % 50 + 9 AS end_line FROM documents
     UNION ALL SELECT doc_id, concat('src/a', doc_id, '.py'), doc_id % 7 + 60, doc_id % 7 + 60 FROM documents UNION ALL SELECT doc_id, 'lib/b.cs', doc_id % 9 + 1, doc_id % 9 + 1 FROM documents
-    UNION ALL SELECT doc_id, 'plain/path.sql', 1, 2147483647 FROM documents""")
+    UNION ALL SELECT doc_id, 'plain/path.sql', 1, 2147483647 FROM documents UNION ALL SELECT doc_id, 'bad.py:1-x', 1, 2147483647 FROM documents UNION ALL SELECT doc_id, 'A.java', 1, 2 FROM documents UNION ALL SELECT doc_id, 'B.java', 5, doc_id % 9 + 5 FROM documents UNION ALL SELECT doc_id, 'B.java', 90, 90 FROM documents""")
 def sc6_citations(spark, d):
     n = F.col("doc_id")
-    raw = F.concat_ws("\n", F.format_string("* src/a%d.py:%d-%d,%d", n, n % 50 + 1, n % 50 + 9, n % 7 + 60), F.format_string("- lib/b.cs:%d", n % 9 + 1), F.lit("plain/path.sql"), F.lit("bad.py:1-x"))
+    raw = F.concat_ws("\n", F.format_string("* src/a%d.py:%d-%d,%d", n, n % 50 + 1, n % 50 + 9, n % 7 + 60), F.format_string("- lib/b.cs:%d", n % 9 + 1), F.lit("plain/path.sql"), F.lit("bad.py:1-x"), F.format_string("A.java:1-2, B.java:5-%d, 90", n % 9 + 5))
     return E.citations(table(spark, d, "documents").select("doc_id", raw.alias("raw")), "doc_id", "raw")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
-from lodestrata.operators import domains, extract, graph, intervals, markup, merge, report, search, validate
+from lodestrata.operators import domains, extract, graph, intervals, markup, merge, provenance, report, search, store, validate
 from lodestrata.sources import files
 from lodestrata.streaming import incremental
 
@@ -346,7 +346,41 @@ def test_ddl_and_citations(spark):
     assert extract.parse_ddl(ddl) == [("t", "id", "INT", False, True, None), ("t", "na me", "DECIMAL(10, 2)", True, False, None), ("t", "r", "INT", False, False, "other"), ("u", "a", "text", False, False, None)]
     assert extract.parse_ddl(None) == []
     raw = spark.createDataFrame([(1, "- a/b.py:1-5,9\nc.sql\n\nbad:1-,2")], "k long, raw string")
-    assert rows(extract.citations(raw, "k", "raw")) == [(1, "a/b.py", 1, 5), (1, "a/b.py", 9, 9), (1, "c.sql", 1, 2**31 - 1)]
+    assert rows(extract.citations(raw, "k", "raw")) == [(1, "a/b.py", 1, 5), (1, "a/b.py", 9, 9), (1, "bad", 1, 1), (1, "bad", 2, 2), (1, "c.sql", 1, 2**31 - 1)]
+
+
+def test_citations_of_all_shapes(spark):
+    raws = ['["A.java:1-2, b/c d.java:5-9", "- e.sql", "x:y.py:7-"]', "A.java:24-26,62-70\n* B.java:3, B.java:9-11,14", "A.java:1-2, prose", "[broken", "C:1-2-3", None, "•"]
+    got = rows(extract.citations(spark.createDataFrame(list(enumerate(raws)), "k long, raw string"), "k", "raw"))
+    whole = 2**31 - 1
+    want = [(0, "A.java", 1, 2), (0, "b/c d.java", 5, 9), (0, "e.sql", 1, whole), (0, "x:y.py", 7, 7), (1, "A.java", 24, 26), (1, "A.java", 62, 70), (1, "B.java", 3, 3), (1, "B.java", 9, 11), (1, "B.java", 14, 14), (2, "A.java:1-2, prose", 1, whole), (4, "C:1-2-3", 1, whole)]
+    assert got == sorted(want, key=str)
+    for bad in ("[broken", "C:1-2-3", "- "):
+        with pytest.raises(Exception, match="array|ranges|path"):
+            extract.citations(spark.createDataFrame([(1, bad)], "k long, raw string"), "k", "raw", strict=True).collect()
+
+
+def test_provenance_and_tiers(spark):
+    files_ = [("a/own.tld", "<uri>http://my.org/x</uri>"), ("vendor/own.tld", '<x targetNamespace="urn:MY.org">'), ("b/other.xsd", '<x targetNamespace="urn:else">'), ("c/jquery-1.2.js", ""), ("vendor/x.py", None), ("src/x.py", "")]
+    df = spark.createDataFrame(files_, "path string, text string")
+    got = {r.path: (r.rule, r.detail, r.rescued) for r in provenance.third_party(df, ["my.org"], [r"jquery-[\d.]+js$"], ["vendor/"]).collect()}
+    assert got == {"a/own.tld": (None, None, False), "vendor/own.tld": (None, None, True), "b/other.xsd": ("declared_identity", "urn:else", False), "c/jquery-1.2.js": ("vendor_filename", r"jquery-[\d.]+js$", False), "vendor/x.py": ("vendored_globs", "vendor/", False), "src/x.py": (None, None, False)}
+    assert {r.path: r.rule for r in provenance.third_party(df, [], [], ["vendor/"]).collect()}["vendor/own.tld"] == "vendored_globs"
+    tree = [("src/a.py", 5), ("src/big.py", 99), ("src/a.zzz", 5), ("src/key.PEM", 5), ("lib/cacerts", 5), ("doc/a.pdf", 5), ("img/a.png", 5), ("src/gen/a.py", 5), ("gen.txt", 5), ("skip/a.py", 5)]
+    rows_ = provenance.tiered(spark.createDataFrame(tree, "path string, size_bytes long").withColumn("line_count", F.lit(2)), ["src/**"], ["skip/"], ["**/gen/**", "gen.txt"], 50)
+    assert {r.path: (r.tier, r.rejected_by, r.matched_glob) for r in rows_.collect()} == {
+        "src/a.py": ("indexed", None, None), "src/big.py": ("gap", "size_cap", None), "src/a.zzz": ("gap", "language", None), "src/key.PEM": ("credential", None, None), "lib/cacerts": ("credential", None, None), "doc/a.pdf": ("referenced_content", None, None),
+        "img/a.png": ("asset", None, None), "src/gen/a.py": ("first_party_excluded", None, "**/gen/**"), "gen.txt": ("first_party_excluded", None, "gen.txt"),
+    }
+    assert {r.tier: (r.files, r.size_bytes) for r in provenance.tier_totals(rows_.filter("tier != 'asset'")).collect()} == {"indexed": (1, 5), "credential": (2, 10), "referenced_content": (1, 5), "asset": (0, 0), "first_party_excluded": (2, 10), "gap": (2, 104)}
+
+
+def test_store_refuses_what_does_not_fit(spark):
+    df = spark.createDataFrame([(1, "behavioral", "B-COND", "draft", None, None, "x"), (2, "definitional", "B-COND", "odd", None, "strict", None), (3, None, None, "approved", None, None, "x"), (4, None, None, "approved", "delegated", None, "x")], "k long, rule_class string, pattern string, state string, disposition string, enforcement_level string, statement string")
+    got = rows(store.violations(df, "k", ["statement"], {"state": ["draft", "approved"]}))
+    assert got == [(2, "enforcement_level", "a definitional rule cannot have one"), (2, "pattern", "is of the other class"), (2, "state", "has a value that is not allowed"), (2, "statement", "is empty"), (3, "pattern", "an approved rule needs one")]
+    odd = spark.createDataFrame([(1, "invariant", "no json"), (2, "unknown", "{}"), (3, None, None), (4, "decision_table", "{}"), (5, "formula", '{"scale": "s", "meter": "m", "expression": "e", "variables": [{"name": "v"}]}')], "k long, kind string, body string")
+    assert rows(store.structured_bodies(odd, "k", "kind", "body")) == [(i, False, None) for i in range(1, 6)]
 
 
 def test_markup(spark):
