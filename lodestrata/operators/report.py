@@ -110,12 +110,27 @@ def first_seen(df: DataFrame, digest: str, key: str) -> DataFrame:
     return df.groupBy(digest).agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("members"))
 
 
+#: The named orders of a list of requirements.
+ORDERS = ("priority", "errors", "confidence", "name", "subject", "id")
+
+
+def in_order(rows: DataFrame, name: str) -> DataFrame:
+    """rows (gr_id, priority, errors, confidence_extraction, name, subject) in a named order; an unknown name means priority.
+    A full sort: Spark deals ranges, so no task holds all rows."""
+    last = lambda column, *values: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, values)), F.col(column)), F.lit(0)), F.lit(len(values) + 1))
+    urgent, unsure = last("priority", "P0", "P1"), last("confidence_extraction", "Low", "Medium")
+    by = {"priority": [urgent, F.desc("errors"), "name"], "errors": [F.desc("errors"), urgent, "name"], "confidence": [unsure, "name"], "name": ["name"], "subject": ["subject", "name"], "id": ["gr_id"]}
+    return rows.orderBy(*by.get(name.lower(), by["priority"]))
+
+
 def set_hash(df: DataFrame, item: Column) -> DataFrame:
-    """One row: the digest of all items in order. Items are hashed within 256 buckets first, so that no task gets them all
-    as text: the digest is that of the buckets' digests."""
-    rows = df.select(item.alias("item")).select("item", F.substring(F.sha2("item", 256), 1, 2).alias("bucket"))
-    parts = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", "h"))), ""), 256).alias("set_hash"))
+    """One row: the digest of all items in order. Items are hashed within 16^5 buckets (by their own digests), these within 256,
+    these together, so that no task holds more than a millionth of the items as text."""
+    digest = lambda column: F.sha2(F.array_join(F.array_sort(F.collect_list(column)), ""), 256)
+    rows = df.select(item.alias("item")).select("item", F.substring(F.sha2("item", 256), 1, 5).alias("bucket"))
+    fine = rows.groupBy("bucket").agg(digest("item").alias("h"))
+    coarse = fine.groupBy(F.substring("bucket", 1, 2).alias("top")).agg(digest(F.concat("bucket", "h")).alias("h"))
+    return coarse.agg(digest(F.concat("top", "h")).alias("set_hash"))
 
 
 def numbered(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:

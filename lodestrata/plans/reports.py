@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import provenance as V
 from ..operators import report as R
 from .catalog import query, table
 
@@ -95,13 +96,24 @@ def a14_counts_by_key(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(n_rows())
 
 
-@query("SELECT tier, count(doc_id) AS files, coalesce(sum(n_chars), 0)::BIGINT AS bytes, coalesce(sum(lines), 0)::BIGINT AS total_lines FROM (SELECT unnest(['core', 'small', 'foreign', 'vendored']) AS tier) LEFT JOIN (SELECT doc_id, n_chars, len(string_split(text, chr(10))) AS lines, CASE WHEN source = 'src0' THEN 'core' WHEN n_chars < 500 THEN 'small' WHEN lang <> 'en' THEN 'foreign' END AS tier FROM documents) USING (tier) GROUP BY 1")
+_files = r"""f AS (SELECT page_id, concat(CASE page_id % 9 WHEN 0 THEN 'skip/' WHEN 1 THEN 'vendor/' WHEN 2 THEN 'gen/' ELSE 'src/' END, page_id, ['.py', '.java', '.zzz', '.pem', '.pdf', '.png', '.tld'][page_id % 7 + 1]) AS path, length(html) AS size_bytes, len(string_split(html, chr(10))) AS line_count,
+    CASE WHEN page_id % 7 = 6 THEN concat('<uri>http://', CASE WHEN page_id % 2 = 0 THEN 'my.org' ELSE 'else.net' END, '/x</uri>') ELSE html END AS text FROM pages)"""
+
+
+def _tree(spark, d):
+    """Pages as files of a tree with folders and suffixes of all tiers, some of which state where they come from."""
+    i = F.col("page_id")
+    folder = F.when(i % 9 == 0, "skip/").when(i % 9 == 1, "vendor/").when(i % 9 == 2, "gen/").otherwise("src/")
+    end = F.get(F.array(*map(F.lit, (".py", ".java", ".zzz", ".pem", ".pdf", ".png", ".tld"))), (i % 7).cast("int"))
+    text = F.when(i % 7 == 6, F.concat(F.lit("<uri>http://"), F.when(i % 2 == 0, "my.org").otherwise("else.net"), F.lit("/x</uri>"))).otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.concat(folder, i.cast("string"), end).alias("path"), F.length("html").cast("long").alias("size_bytes"), F.size(F.split("html", "\n")).cast("long").alias("line_count"), text.alias("text"))
+
+
+@query(f"""WITH {_files}, t AS (SELECT size_bytes, line_count, CASE WHEN path LIKE '%.pem' THEN 'credential' WHEN path NOT LIKE 'src/%' AND path LIKE '%.pdf' THEN 'referenced_content' WHEN path NOT LIKE 'src/%' AND path LIKE '%.png' THEN 'asset'
+    WHEN path LIKE 'gen/%' THEN 'first_party_excluded' WHEN path NOT LIKE 'src/%' OR regexp_matches(path, '(zzz|pdf|png)$') OR size_bytes > 900 THEN 'gap' ELSE 'indexed' END AS tier FROM f WHERE path NOT LIKE 'skip/%')
+    SELECT tiers.tier, count(t.tier) AS files, coalesce(sum(size_bytes), 0)::BIGINT AS size_bytes, coalesce(sum(line_count), 0)::BIGINT AS line_count FROM (SELECT unnest(['indexed', 'credential', 'referenced_content', 'asset', 'first_party_excluded', 'gap']) AS tier) tiers LEFT JOIN t ON t.tier = tiers.tier GROUP BY 1""")
 def sc2_tiers(spark, d):
-    tier = F.when(F.col("source") == "src0", "core").when(F.col("n_chars") < 500, "small").when(F.col("lang") != "en", "foreign")
-    rows = table(spark, d, "documents").select(tier.alias("tier"), "n_chars", F.size(F.split("text", "\n")).alias("lines")).groupBy("tier").agg(F.count(F.lit(1)).alias("f"), F.sum("n_chars").alias("b"), F.sum("lines").alias("l"))
-    tiers = spark.createDataFrame([(t,) for t in ("core", "small", "foreign", "vendored")], "tier string")
-    zero = lambda c, n: F.coalesce(c, F.lit(0)).cast("long").alias(n)
-    return tiers.join(rows, "tier", "left").select("tier", zero("f", "files"), zero("b", "bytes"), zero("l", "total_lines"))
+    return V.tier_totals(V.tiered(_tree(spark, d), ["src/**"], ["skip/"], ["gen/**"], 900))
 
 
 @query("SELECT regexp_extract(url, '([a-z]+)(/|[?#]|$)', 1) AS suffix, count(*) AS n FROM pages GROUP BY 1")
@@ -144,9 +156,14 @@ def f2_list_page(spark, d):
     return R.page(_listed(spark, d), _order(), 2)
 
 
-@query(f"WITH {_list} SELECT o_orderkey, row_number() OVER (ORDER BY prio, o_totalprice DESC, o_orderkey) AS place FROM s ORDER BY place LIMIT 50")
-def s1_case_sort(spark, d):
-    return R.numbered(R.page(_listed(spark, d), _order(), 1, 50), _order(), "place").select("o_orderkey", "place")
+@query(f"""WITH {_list} SELECT o_orderkey AS gr_id, CASE prio WHEN 0 THEN 'P0' WHEN 1 THEN 'P1' ELSE 'P2' END AS priority, returned AS errors, CASE o_orderkey % 3 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END AS confidence_extraction, concat('n', o_orderkey % 97) AS name, concat('s', o_orderkey % 5) AS subject FROM s""")
+def s1_named_order(spark, d):
+    k, prio = F.col("o_orderkey"), F.col("prio")
+    rows = _listed(spark, d).select(
+        k.alias("gr_id"), F.when(prio == 0, "P0").when(prio == 1, "P1").otherwise("P2").alias("priority"), F.col("returned").alias("errors"), F.when(k % 3 == 0, "Low").when(k % 3 == 1, "Medium").otherwise("High").alias("confidence_extraction"),
+        F.concat(F.lit("n"), k % 97).alias("name"), F.concat(F.lit("s"), k % 5).alias("subject"),
+    )
+    return R.in_order(rows, "priority")
 
 
 @query(f"WITH {_list} SELECT count(*) AS total, ceil(count(*) / 25)::BIGINT AS pages FROM s")
@@ -154,22 +171,21 @@ def l2_page_total(spark, d):
     return _listed(spark, d).agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / 25).cast("long"))
 
 
-@query(f"SELECT doc_id, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) AS place FROM {_lab} ORDER BY place LIMIT 60")
+@query(f"SELECT doc_id, quality FROM {_lab} ORDER BY quality DESC NULLS LAST, doc_id")
 def s2_nulls_last(spark, d):
-    order = [F.desc_nulls_last("quality"), F.col("doc_id")]
-    return R.numbered(_labelled(spark, d).select("doc_id", "quality").orderBy(*order).limit(60), order, "place").select("doc_id", "place")
+    return _labelled(spark, d).select("doc_id", "quality").orderBy(F.desc_nulls_last("quality"), "doc_id")
 
 
-@query("SELECT page_id, url FROM pages ORDER BY length(url) DESC, url, page_id LIMIT 20")
+@query("SELECT page_id, url FROM pages ORDER BY length(url) DESC, url, page_id")
 def s3_longest_first(spark, d):
-    return table(spark, d, "pages").orderBy(F.desc(F.length("url")), "url", "page_id").limit(20).select("page_id", "url")
+    return table(spark, d, "pages").orderBy(F.desc(F.length("url")), "url", "page_id").select("page_id", "url")
 
 
-@query("SELECT event_id, concat(event_type, ':', event_id % 100) AS span FROM events ORDER BY event_type, event_id % 100, event_id LIMIT 40")
+@query("SELECT event_id, concat(event_type, ':', event_id % 100) AS span FROM events ORDER BY event_type, event_id % 100, event_id")
 def s4_numeric_span_sort(spark, d):
     span = F.concat_ws(":", "event_type", F.col("event_id") % 100)
     rows = table(spark, d, "events").select("event_id", span.alias("span"))
-    return rows.orderBy(F.substring_index("span", ":", 1), F.substring_index("span", ":", -1).cast("int"), "event_id").limit(40)
+    return rows.orderBy(F.substring_index("span", ":", 1), F.substring_index("span", ":", -1).cast("int"), "event_id")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%a%' AND NOT EXISTS (SELECT 1 FROM part WHERE p_name = 'a') ORDER BY p_name, p_partkey LIMIT 50")
@@ -182,26 +198,36 @@ def f6_facts_by_subject(spark, d):
     return R.filtered(table(spark, d, "events"), event_type="click", user_id=3).select("event_id", "event_type", "props")
 
 
-@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://m\.') AND NOT regexp_matches(url, '/en/') THEN '/fr/' WHEN regexp_matches(url, '/en/') THEN NULL WHEN regexp_matches(url, '/fr/') THEN '/fr/' END AS deciding FROM pages")
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(p, '^(.*/)?en/') THEN NULL WHEN regexp_matches(p, '^m\.[^/]*') THEN 'm.*' WHEN regexp_matches(p, '^(.*/)?fr/') THEN '**/fr/**' END AS deciding FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)""")
 def f7_last_glob(spark, d):
     from ..functions.text import last_glob
 
     path = F.regexp_replace("url", "^https?://", "")
-    found = last_glob(path, ["fr/**", "**/fr/**", "m.*", "!**/en/**"])
-    return table(spark, d, "pages").select("page_id", F.when(found.isNotNull(), "/fr/").alias("deciding"))
+    return table(spark, d, "pages").select("page_id", last_glob(path, ["fr/**", "**/fr/**", "m.*", "!**/en/**"]).alias("deciding"))
 
 
-@query(r"SELECT page_id, CASE WHEN contains(html, 'ad 7') THEN 'own' WHEN regexp_matches(url, 'example\.net') THEN 'vendor' WHEN regexp_matches(url, '/de/') THEN 'vendored_path' ELSE 'none' END AS rule, contains(html, 'ad 7') AND regexp_matches(url, 'example\.net') AS rescued FROM pages")
+@query(f"""WITH {_files}, s AS (SELECT page_id, path, nullif(regexp_extract(text, '<uri>([^<]+)</uri>', 1), '') AS said FROM f), o AS (SELECT *, CASE WHEN path LIKE '%.tld' THEN said END AS stated FROM s)
+    SELECT page_id, CASE WHEN stated IS NOT NULL THEN CASE WHEN NOT contains(stated, 'my.org') THEN 'declared_identity' END WHEN regexp_matches(path, '3[.]java$') THEN 'vendor_filename' WHEN path LIKE 'vendor/%' THEN 'vendored_globs' END AS rule,
+    CASE WHEN stated IS NOT NULL THEN CASE WHEN NOT contains(stated, 'my.org') THEN stated END WHEN regexp_matches(path, '3[.]java$') THEN '3[.]java$' WHEN path LIKE 'vendor/%' THEN 'vendor/' END AS detail, coalesce(contains(stated, 'my.org'), false) AND path LIKE 'vendor/%' AS rescued FROM o""")
 def f8_third_party(spark, d):
-    own, vendor, vendored = F.col("html").contains("ad 7"), F.col("url").rlike(r"example\.net"), F.col("url").rlike("/de/")
-    return table(spark, d, "pages").select("page_id", F.when(own, "own").when(vendor, "vendor").when(vendored, "vendored_path").otherwise("none").alias("rule"), (own & vendor).alias("rescued"))
+    return V.third_party(_tree(spark, d), ["my.org"], ["3[.]java$"], ["vendor/"]).select("page_id", "rule", "detail", "rescued")
+
+
+_gr = "g AS (SELECT o_orderkey AS gr_id, CASE o_orderkey % 3 WHEN 0 THEN 'behavioral' WHEN 1 THEN 'definitional' END AS rule_class, CASE o_custkey % 4 WHEN 0 THEN 'B-COND' WHEN 1 THEN 'D-NEC' END AS pattern, ['draft', 'approved', 'odd'][o_custkey % 3 + 1] AS state, CASE WHEN o_orderkey % 5 = 0 THEN 'delegated' END AS disposition, CASE WHEN o_orderkey % 2 = 0 THEN 'strict' END AS enforcement_level, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS statement FROM orders)"
+
 
+@query(f"""WITH {_gr} SELECT gr_id, 'statement' AS column_name, 'is empty' AS reason FROM g WHERE statement IS NULL UNION ALL SELECT gr_id, 'state', 'has a value that is not allowed' FROM g WHERE state = 'odd'
+    UNION ALL SELECT gr_id, 'enforcement_level', 'a definitional rule cannot have one' FROM g WHERE rule_class = 'definitional' AND enforcement_level IS NOT NULL UNION ALL SELECT gr_id, 'pattern', 'is of the other class' FROM g WHERE (rule_class = 'behavioral' AND pattern LIKE 'D-%') OR (rule_class = 'definitional' AND pattern LIKE 'B-%')
+    UNION ALL SELECT gr_id, 'pattern', 'an approved rule needs one' FROM g WHERE state = 'approved' AND pattern IS NULL AND disposition IS NULL""")
+def f10_violations(spark, d):
+    from ..operators.store import violations
 
-@query("SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_quantity > 49 THEN 'quantity' END, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'status' END, CASE WHEN l_discount > 0.09 THEN 'discount' END], lambda x: x IS NOT NULL), ',') AS violated FROM lineitem WHERE l_quantity > 49 OR (l_returnflag = 'R' AND l_linestatus = 'O') OR l_discount > 0.09")
-def f10_check_violations(spark, d):
-    checks = {"quantity": "l_quantity > 49", "status": "l_returnflag = 'R' AND l_linestatus = 'O'", "discount": "l_discount > 0.09"}
-    found = F.array_compact(F.array(*(F.when(F.expr(e), n) for n, e in checks.items())))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(found, ",").alias("violated")).filter("violated != ''")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, d, "orders").select(
+        k.alias("gr_id"), F.when(k % 3 == 0, "behavioral").when(k % 3 == 1, "definitional").alias("rule_class"), F.when(c % 4 == 0, "B-COND").when(c % 4 == 1, "D-NEC").alias("pattern"), F.when(c % 3 == 0, "draft").when(c % 3 == 1, "approved").otherwise("odd").alias("state"),
+        F.when(k % 5 == 0, "delegated").alias("disposition"), F.when(k % 2 == 0, "strict").alias("enforcement_level"), F.when(k % 7 != 0, F.col("o_orderpriority")).alias("statement"),
+    )
+    return violations(rows, "gr_id", ["statement"], {"state": ["draft", "approved", "reviewed"]})
 
 
 @query(f"SELECT doc_id, quality IS NOT DISTINCT FROM toxic AS unedited FROM {_lab}")

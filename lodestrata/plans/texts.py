@@ -48,8 +48,9 @@ def a15_text_dedupe(spark, d):
 
 
 @query("""WITH i AS (SELECT concat(doc_id::VARCHAR, chr(9), sha256(text), chr(10)) AS item FROM documents),
-    b AS (SELECT substr(sha256(item), 1, 2) AS bucket, sha256(array_to_string(list_sort(list(item)), '')) AS h FROM i GROUP BY 1)
-    SELECT sha256(array_to_string(list_sort(list(concat(bucket, h))), '')) AS set_hash FROM b""")
+    b AS (SELECT substr(sha256(item), 1, 5) AS bucket, sha256(array_to_string(list_sort(list(item)), '')) AS h FROM i GROUP BY 1),
+    c AS (SELECT substr(bucket, 1, 2) AS top, sha256(array_to_string(list_sort(list(concat(bucket, h))), '')) AS h FROM b GROUP BY 1)
+    SELECT sha256(array_to_string(list_sort(list(concat(top, h))), '')) AS set_hash FROM c""")
 def a16_set_hash(spark, d):
     return R.set_hash(table(spark, d, "documents"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.sha2("text", 256), F.lit("\n")))
 

@@ -147,6 +147,12 @@ def test_majority_needs_more_than_half(spark):
     assert rows(report.majority(df, "k", "v", ("unassigned",))) == [(1, "a", "majority"), (2, None, "tie"), (3, None, "none"), (4, "a", "majority")]
 
 
+def test_named_orders(spark):
+    df = spark.createDataFrame([(1, "P1", 0, "Low", "b", "s"), (2, "P9", 5, None, "a", "r"), (3, "P0", 1, "High", "c", "r"), (4, "P1", 2, "Medium", "d", "q")], "gr_id long, priority string, errors long, confidence_extraction string, name string, subject string")
+    ids_ = lambda n: [r.gr_id for r in report.in_order(df, n).collect()]
+    assert ids_("priority") == ids_("what") == [3, 4, 1, 2] and ids_("ERRORS") == [2, 4, 3, 1] and ids_("confidence") == [1, 4, 2, 3] and ids_("name") == [2, 1, 3, 4] and ids_("subject") == [4, 2, 3, 1] and ids_("id") == [1, 2, 3, 4]
+
+
 def test_name_search_and_pages(spark):
     df = spark.createDataFrame([(1, "Foo"), (2, "foobar"), (3, "Foo")], "k long, n string")
     assert [r.k for r in report.by_name(df, "n", "Foo", "k").collect()] == [1, 3]
