@@ -94,6 +94,10 @@ def test_deduplicated_keeps_columns(odd, none):
 
 
 def brute_components(rows):
+    return Counter(brute_ordered(rows))
+
+
+def brute_ordered(rows):
     sets = []
     for _, text, *_ in rows:
         w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(A_Z))
@@ -116,7 +120,7 @@ def brute_components(rows):
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[find(i)] = min(r[0], least.get(find(i), r[0]))
-    return Counter((r[0], len(sets[i]), (least.get(find(i)) if sets[i] else r[0])) for i, r in enumerate(rows))
+    return [(r[0], len(sets[i]), (least.get(find(i)) if sets[i] else r[0])) for i, r in enumerate(rows)]
 
 
 def test_ngram_odd(odd, none):
@@ -597,13 +601,44 @@ def test_pipeline(spark):
 
 
 def test_pipeline_stages_on_odd_and_no_rows(spark, odd, none):
+    """Each stage keeps exactly the rows that it must, with their own columns, and none of no rows."""
     import corpus_pipeline
 
-    for df in (odd, none):
-        for name, stage in corpus_pipeline.STAGES[:-1]:
-            out = stage(spark, df, SF)
-            assert out.columns == df.columns, name
-            assert out.count() <= df.count()
+    rows = odd_rows()
+    letters = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    group = defaultdict(list)
+    for r in rows:
+        group[(r[1] or "").translate(A_Z)].append(r)
+    last = lambda rs: max(rs, key=lambda r: -1 if r[0] is None else r[0])
+    components = dict(zip(map(id, rows), [c for _, _, c in brute_ordered(rows)], strict=True))
+    first = {id(r): r for r in rows if r[0] is None or r[0] == components[id(r)]}
+    want = {
+        "language ID": [(r[0], r[1]) for r in letters],
+        "exact dedup": [(last(rs)[0], last(rs)[1]) for rs in group.values()],
+        "n-gram Jaccard join": [*{(r[0], r[1]) for r in first.values() if r[0] is not None}, *((r[0], r[1]) for r in rows if r[0] is None)],
+        "PII": [(r[0], pii.redact(r[1])) for r in rows],
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        assert {(k, (t or "").translate(A_Z)) for k, t in got} == {(k, (t or "").translate(A_Z)) for k, t in want[name]}, name
+        assert sum(got.values()) == len(want[name]), name
+        assert stage(spark, none, SF).count() == 0, name
+
+
+def test_pipeline_leaves_no_folders(spark):
+    import os
+
+    import corpus_pipeline
+    from lodestrata.llm import _common
+
+    mark = _common.folders_made()
+    corpus_pipeline.run(spark, SF).count()
+    made = _common._made[mark:]
+    assert len(made) == 1 and os.listdir(made[0].removeprefix("file://")) == ["3"]  # the last stage's input
+    _common.drop_made(spark, mark)
+    assert not os.path.exists(made[0].removeprefix("file://"))
 
 
 def test_query_names_and_json(spark):
