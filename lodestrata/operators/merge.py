@@ -13,25 +13,29 @@ RANKS = {"draft": 0, "rejected": 0, "reviewed": 1, "approved": 2, "superseded":
 
 
 def outcomes(offers: DataFrame, stored: DataFrame) -> DataFrame:
-    """offers (ordinal, dk, dka) with outcome: merged (the key is stored or came before), candidate (another row, stored or
-    inserted before, has the anchor key) or new; gr_ref is the row that a merged offer goes to (stored id, else ordinal)."""
-    first = Window.partitionBy("dk").orderBy("ordinal")
-    by_key = stored.groupBy("dk").agg(F.min("gr_id").alias("stored_id"))
-    rows = offers.withColumn("first", F.min("ordinal").over(first)).join(by_key, "dk", "left")
+    """Stage one. offers (ordinal, dk, dka) with outcome: merged (the key is stored or came before), candidate (another row,
+    stored or inserted before, has the anchor key) or new; gr_ref is the row that an offer is in: the stored one of its key,
+    else the first offer's (its ordinal as text)."""
+    by_key = stored.groupBy("dk").agg(F.min("gr_id").alias("stored_id")).join(offers.select("dk").distinct(), "dk", "right")
+    first = offers.groupBy("dk").agg(F.min("ordinal").alias("first"))
+    rows = offers.join(by_key.join(first, "dk"), "dk")
     rows = rows.withColumn("inserts", F.col("stored_id").isNull() & (F.col("first") == F.col("ordinal")))
-    by_anchor = stored.groupBy("dka").agg(F.count(F.lit(1)).alias("stored_n"))
-    before = Window.partitionBy("dka").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(by_anchor, "dka", "left").withColumn("earlier", F.coalesce(F.sum(F.col("inserts").cast("int")).over(before), F.lit(0)))
-    drift = (F.coalesce("stored_n", F.lit(0)) > 0) | (F.col("earlier") > 0)
-    outcome = F.when(~F.col("inserts"), "merged").when(drift, "candidate").otherwise("new")
-    ref = F.when(F.col("inserts"), F.lit(None).cast("string")).otherwise(F.coalesce("stored_id", F.col("first").cast("string")))
-    return rows.select("ordinal", outcome.alias("outcome"), ref.alias("gr_ref"))
+    # The earliest insertion of an anchor decides for all later ones; groups are combined in each task, so that a common anchor is no single task's work.
+    earliest = rows.filter("inserts").groupBy("dka").agg(F.min("ordinal").alias("earliest"))
+    known = stored.select("dka").distinct().withColumn("anchored", F.lit(True))
+    rows = rows.join(earliest, "dka", "left").join(known, "dka", "left")
+    drift = F.coalesce("anchored", F.lit(False)) | (F.col("earliest") < F.col("ordinal"))
+    outcome = F.when(~F.col("inserts"), "merged").when(F.coalesce(drift, F.lit(False)), "candidate").otherwise("new")
+    return rows.select("ordinal", outcome.alias("outcome"), F.coalesce("stored_id", F.col("first").cast("string")).alias("gr_ref"))
 
 
 def drift_pairs(offers: DataFrame, stored: DataFrame) -> DataFrame:
-    """ordinal, other: each candidate with every stored row of its anchor key (rows inserted before it are in outcomes)."""
-    new = outcomes(offers, stored).filter("outcome = 'candidate'").select("ordinal")
-    return offers.join(new, "ordinal").join(stored.select("dka", F.col("gr_id").alias("other")), "dka").select("ordinal", "other")
+    """ordinal, other: each drift candidate with every stored row of its anchor key and every row inserted before it."""
+    found = outcomes(offers, stored)
+    new = offers.join(found.filter("outcome = 'candidate'").select("ordinal"), "ordinal")
+    inserted = offers.join(found.filter("outcome != 'merged'").select(F.col("ordinal").alias("at"), F.col("gr_ref").alias("other")), F.col("ordinal") == F.col("at")).select("dka", "at", "other")
+    others = stored.select("dka", F.lit(None).cast("long").alias("at"), F.col("gr_id").alias("other")).unionByName(inserted)
+    return new.join(others, "dka").filter(F.col("at").isNull() | (F.col("at") < F.col("ordinal"))).select("ordinal", "other").distinct()
 
 
 def overlap_pairs(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -40,6 +44,32 @@ def overlap_pairs(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.alias("a").join(stored.alias("b"), hit).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
 
 
+def merge_pairs(offers: DataFrame, stored: DataFrame, cites: DataFrame, stored_cites: DataFrame, near: DataFrame) -> DataFrame:
+    """Both stages. ordinal, other, reason, similarity of all pairs that an ingest raises: drift (the anchor key, then nothing
+    else is looked for), else semantic (near: ordinal, other, similarity, against what was stored before the run) and overlap.
+
+    Overlap is of an inserting offer's citations (cites: ordinal, path, start_line, end_line) with those of other rows: the
+    stored ones (stored_cites: gr_id and lines) and those of earlier offers, each for the row that its offer is in."""
+    found = outcomes(offers, stored)
+    drift = drift_pairs(offers, stored).select("ordinal", "other", F.lit("drift").alias("reason"), F.lit(None).cast("double").alias("similarity"))
+    second = found.filter("outcome = 'new'").select("ordinal", F.col("gr_ref").alias("own"))
+    semantic = near.join(second, "ordinal").filter(F.col("other") != F.col("own")).select("ordinal", "other", F.lit("semantic").alias("reason"), "similarity")
+    lines = ["path", "start_line", "end_line"]
+    earlier = cites.join(found.select("ordinal", "gr_ref"), "ordinal").select(F.col("gr_ref").alias("other"), F.col("ordinal").alias("at"), *lines)
+    others = stored_cites.select(F.col("gr_id").alias("other"), F.lit(None).cast("long").alias("at"), *lines).unionByName(earlier)
+    a, b = cites.join(second, "ordinal").alias("a"), others.alias("b")
+    hit = (F.col("a.path") == F.col("b.path")) & (F.col("a.start_line") <= F.col("b.end_line")) & (F.col("a.end_line") >= F.col("b.start_line")) & (F.col("a.own") != F.col("b.other")) & (F.col("b.at").isNull() | (F.col("b.at") < F.col("a.ordinal")))
+    overlap = a.join(b, hit).select("a.ordinal", "b.other").distinct().select("ordinal", "other", F.lit("overlap").alias("reason"), F.lit(None).cast("double").alias("similarity"))
+    return drift.unionByName(semantic).unionByName(overlap)
+
+
+def merge_outcomes(offers: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """ordinal, outcome, gr_ref after both stages: a new offer with any pair is a candidate."""
+    raised = pairs.select("ordinal").distinct().withColumn("raised", F.lit(True))
+    rows = outcomes(offers, stored).join(raised, "ordinal", "left")
+    return rows.select("ordinal", F.when((F.col("outcome") == "new") & F.col("raised"), "candidate").otherwise(F.col("outcome")).alias("outcome"), "gr_ref")
+
+
 def merged_fields(existing: DataFrame, incoming: DataFrame, key: str, owned: list[str], shadowed: list[str], human: list[str]) -> DataFrame:
     """existing rows after a merge: owned fields take what comes; shadowed ones only if unedited (live equals shadow,
     nulls too), their shadow always; human ones stay. changed says whether any value moved."""

@@ -9,31 +9,53 @@ from ..operators import report as R
 from ..operators import store as S
 from .catalog import query, table
 
-_off = "o AS (SELECT event_id AS ordinal, concat(user_id, '/', event_type) AS dk, concat(user_id, '') AS dka FROM events WHERE event_id % 4 <> 0), st AS (SELECT concat('g', event_id) AS gr_id, concat(user_id, '/', event_type) AS dk, concat(user_id, '') AS dka FROM events WHERE event_id % 40 = 0)"
+_off = "o AS (SELECT event_id AS ordinal, concat(user_id, '/', event_type, '/', event_id % 7) AS dk, concat(user_id, '/', event_id % 5) AS dka FROM events WHERE event_id % 4 <> 0), st AS (SELECT concat('g', event_id) AS gr_id, concat(user_id, '/', event_type, '/', event_id % 7) AS dk, concat(user_id, '/', event_id % 5) AS dka FROM events WHERE event_id % 40 = 0)"
+_lines = "concat('f', event_id % 97) AS path, event_id * 7919 % 2000 AS start_line, event_id * 7919 % 2000 + event_id % 3 AS end_line"
 _out = f"""{_off}, b AS (SELECT *, min(ordinal) OVER (PARTITION BY dk) AS first, (SELECT min(gr_id) FROM st WHERE st.dk = o.dk) AS sid FROM o),
-    c AS (SELECT *, sid IS NULL AND first = ordinal AS ins FROM b),
+    c AS (SELECT *, sid IS NULL AND first = ordinal AS ins, coalesce(sid, first::VARCHAR) AS gr_ref FROM b),
     e AS (SELECT *, coalesce(sum(ins::INT) OVER (PARTITION BY dka ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 OR EXISTS (SELECT 1 FROM st WHERE st.dka = c.dka) AS drift FROM c),
-    r AS (SELECT ordinal, dka, CASE WHEN NOT ins THEN 'merged' WHEN drift THEN 'candidate' ELSE 'new' END AS outcome, CASE WHEN NOT ins THEN coalesce(sid, first::VARCHAR) END AS gr_ref FROM e)"""
+    r AS (SELECT ordinal, dka, CASE WHEN NOT ins THEN 'merged' WHEN drift THEN 'candidate' ELSE 'new' END AS outcome, gr_ref FROM e),
+    dp AS (SELECT DISTINCT r.ordinal, x.other FROM r JOIN (SELECT dka, NULL AS at_, gr_id AS other FROM st UNION ALL SELECT dka, ordinal, gr_ref FROM r WHERE outcome <> 'merged') x ON x.dka = r.dka WHERE outcome = 'candidate' AND (at_ IS NULL OR at_ < ordinal)),
+    ct AS (SELECT event_id AS ordinal, {_lines} FROM events WHERE event_id % 4 <> 0),
+    oc AS (SELECT concat('g', event_id) AS other, NULL AS at_, {_lines} FROM events WHERE event_id % 40 = 0 UNION ALL SELECT gr_ref, ordinal, path, start_line, end_line FROM ct JOIN r USING (ordinal)),
+    op AS (SELECT DISTINCT a.ordinal, oc.other FROM ct a JOIN r USING (ordinal) JOIN oc ON oc.path = a.path AND a.start_line <= oc.end_line AND a.end_line >= oc.start_line WHERE outcome = 'new' AND oc.other <> gr_ref AND (at_ IS NULL OR at_ < a.ordinal)),
+    sp AS (SELECT event_id AS ordinal, concat('g', event_id // 40 * 40) AS other, round(1 / (1 + event_id % 10 / 10.0::DOUBLE), 6) AS similarity FROM events WHERE event_id % 11 = 0 AND event_id % 4 <> 0),
+    pr AS (SELECT ordinal, other, 'drift' AS reason, NULL::DOUBLE AS similarity FROM dp UNION ALL SELECT ordinal, other, 'overlap', NULL FROM op UNION ALL SELECT ordinal, other, 'semantic', similarity FROM sp JOIN r USING (ordinal) WHERE outcome = 'new' AND other <> gr_ref),
+    fin AS (SELECT ordinal, CASE WHEN outcome = 'new' AND ordinal IN (SELECT ordinal FROM pr) THEN 'candidate' ELSE outcome END AS outcome, gr_ref FROM r)"""
 
 
 def _offers(spark, d):
-    e = table(spark, d, "events").select("event_id", F.concat_ws("/", "user_id", "event_type").alias("dk"), F.col("user_id").cast("string").alias("dka"))
-    return e.filter("event_id % 4 != 0").withColumnRenamed("event_id", "ordinal"), e.filter("event_id % 40 = 0").select(F.concat(F.lit("g"), "event_id").alias("gr_id"), "dk", "dka")
+    e = F.col("event_id")
+    rows = table(spark, d, "events").select("event_id", F.concat_ws("/", "user_id", "event_type", e % 7).alias("dk"), F.concat_ws("/", "user_id", e % 5).alias("dka"))
+    return rows.filter("event_id % 4 != 0").withColumnRenamed("event_id", "ordinal"), rows.filter("event_id % 40 = 0").select(F.concat(F.lit("g"), "event_id").alias("gr_id"), "dk", "dka")
+
+
+def _pairs(spark, d):
+    e = F.col("event_id")
+    lines = table(spark, d, "events").select("event_id", F.concat(F.lit("f"), e % 97).alias("path"), (e * 7919 % 2000).alias("start_line"), (e * 7919 % 2000 + e % 3).alias("end_line"))
+    cites, stored = lines.filter("event_id % 4 != 0").withColumnRenamed("event_id", "ordinal"), lines.filter("event_id % 40 = 0").withColumn("gr_id", F.concat(F.lit("g"), "event_id"))
+    near = table(spark, d, "events").filter("event_id % 11 = 0 AND event_id % 4 != 0").select(e.alias("ordinal"), F.concat(F.lit("g"), (F.floor(e / 40) * 40).cast("string")).alias("other"), F.round(1 / (1 + e % 10 / 10.0), 6).alias("similarity"))
+    return M.merge_pairs(*_offers(spark, d), cites, stored, near)
 
 
-@query(f"WITH {_out} SELECT ordinal, outcome, gr_ref FROM r")
+@query(f"WITH {_out} SELECT ordinal, outcome, gr_ref FROM fin")
 def m3_merge_outcomes(spark, d):
-    return M.outcomes(*_offers(spark, d))
+    return M.merge_outcomes(*_offers(spark, d), _pairs(spark, d))
+
+
+@query(f"WITH {_out} SELECT ordinal, other, reason, similarity FROM pr")
+def m3_pairs(spark, d):
+    return _pairs(spark, d)
 
 
-@query(f"WITH {_out} SELECT r.ordinal, st.gr_id AS other FROM r JOIN st ON st.dka = r.dka WHERE outcome = 'candidate'")
+@query(f"WITH {_out} SELECT ordinal, other FROM dp")
 def m3_drift_pairs(spark, d):
     return M.drift_pairs(*_offers(spark, d))
 
 
-@query(f"WITH {_out} SELECT outcome, count(*) AS n FROM r GROUP BY 1")
+@query(f"WITH {_out} SELECT outcome, count(*) AS n FROM fin GROUP BY 1")
 def a18_outcome_tally(spark, d):
-    return M.outcomes(*_offers(spark, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return m3_merge_outcomes(spark, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH e AS (SELECT o_orderkey AS gr_id, o_orderstatus AS category, CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE o_orderpriority END AS statement, CASE o_orderkey % 5 WHEN 0 THEN 'x' WHEN 1 THEN NULL ELSE o_orderpriority END AS statement_extracted, o_custkey AS reviewer FROM orders),

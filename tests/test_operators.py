@@ -181,28 +181,42 @@ def test_upsert_twice_changes_nothing(spark):
 # --- merging -------------------------------------------------------------------------------------------------------
 
 
-def naive_outcomes(offers, stored):
-    out, ids, anchors = {}, {}, defaultdict(int)
+def naive_merge(offers, stored, cites, stored_cites, near):
+    """One offer after the other: (outcome, row) of each, and all pairs."""
+    ids, anchors, rows_, out, pairs = {}, defaultdict(set), [(g, *c) for g, *c in stored_cites], {}, set()
     for gr, dk, dka in sorted(stored):
         ids.setdefault(dk, gr)
-        anchors[dka] += 1
+        anchors[dka].add(gr)
     for o, dk, dka in sorted(offers):
+        own = [c for i, *c in cites if i == o]
         if dk in ids:
             out[o] = ("merged", ids[dk])
-            continue
-        out[o] = ("candidate" if anchors[dka] else "new", None)
-        ids[dk] = str(o)
-        anchors[dka] += 1
-    return out
+        else:
+            ids[dk], found = str(o), {(o, x, "drift") for x in anchors[dka]}
+            if not found:
+                found = {(o, x, "semantic") for i, x, _ in near if i == o} | {(o, g, "overlap") for g, p, a, b in rows_ for q, c, e in own if p == q and a <= e and b >= c and g != str(o)}
+            out[o] = ("candidate" if found else "new", str(o))
+            anchors[dka].add(str(o))
+            pairs |= found
+        rows_ += [(out[o][1], *c) for c in own]
+    return out, pairs
 
 
 def test_merge_outcomes_against_the_sequential_rule(spark):
     rng = random.Random(11)
+    line = lambda: (f"f{rng.randrange(6)}", (a := rng.randrange(60)), a + rng.randrange(4))
     for _ in range(3):
-        offers = [(i, f"k{rng.randrange(12)}", f"a{rng.randrange(5)}") for i in range(40)]
-        stored = [(f"g{i}", f"k{rng.randrange(12)}", f"a{rng.randrange(9)}") for i in range(4)]
-        got = merge.outcomes(spark.createDataFrame(offers, "ordinal long, dk string, dka string"), spark.createDataFrame(stored, "gr_id string, dk string, dka string"))
-        assert {r.ordinal: (r.outcome, r.gr_ref) for r in got.collect()} == naive_outcomes(offers, stored)
+        offers = [(i, f"k{rng.randrange(40)}", f"a{rng.randrange(30)}") for i in range(40)]
+        stored = [(f"g{i}", f"k{rng.randrange(40)}", f"a{rng.randrange(60)}") for i in range(4)]
+        cites, stored_cites = [(rng.randrange(40), *line()) for _ in range(50)], [(f"g{rng.randrange(4)}", *line()) for _ in range(8)]
+        near = [(i, f"g{rng.randrange(4)}", 0.5) for i in rng.sample(range(40), 6)]
+        o, s = spark.createDataFrame(offers, "ordinal long, dk string, dka string"), spark.createDataFrame(stored, "gr_id string, dk string, dka string")
+        lines = "path string, start_line long, end_line long"
+        pairs = merge.merge_pairs(o, s, spark.createDataFrame(cites, f"ordinal long, {lines}"), spark.createDataFrame(stored_cites, f"gr_id string, {lines}"), spark.createDataFrame(near, "ordinal long, other string, similarity double")).cache()
+        want, want_pairs = naive_merge(offers, stored, cites, stored_cites, near)
+        got = {r.ordinal: (r.outcome, r.gr_ref) for r in merge.merge_outcomes(o, s, pairs).collect()}
+        assert got == want and {(r.ordinal, r.other, r.reason) for r in pairs.collect()} == want_pairs
+        assert {x for x, _ in got.values()} == {"merged", "new", "candidate"}
 
 
 def test_merge_keeps_what_a_human_edited(spark):
