@@ -20,6 +20,19 @@ def windows(files: DataFrame, key: str, text: str, most: int = 120, overlap: int
     return rows.select(key, F.col("chunk").cast("long").alias("chunk"), (F.col("chunk") * stride + 1).cast("long").alias("start_line"), (F.col("chunk") * stride + F.size(part)).cast("long").alias("end_line"), F.array_join(part, "\n").alias("chunk_text"))
 
 
+def chunked(files: DataFrame, symbols: DataFrame, key: str, text: str, most_tokens: int = 1400, lines: int = 120, again: int = 12, least: float = 0.30) -> DataFrame:
+    """key, kind, start_line, end_line, chunk_text: a file's symbols (key, start, end: offsets, start_line, end_line) that are
+    not blank and have 2 * most_tokens tokens at most, if these cover enough of its lines; else its windows."""
+    cut = F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start"))
+    spans = symbols.filter("start < end AND start_line <= end_line").join(files.select(key, text), key).withColumn("chunk_text", cut)
+    spans = spans.filter((F.trim(F.translate("chunk_text", "\n\r\t", "   ")) != "") & (X.token_estimate(F.col("chunk_text")) <= 2 * most_tokens))
+    totals = files.select(key, F.size(X.lines(F.col(text))).alias("total"))
+    good = spans.groupBy(key).agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("covered")).join(totals, key).filter(F.col("covered") / F.col("total") >= least).select(key)
+    own = spans.join(good, key, "left_semi").select(key, F.lit("symbol").alias("kind"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "chunk_text")
+    rest = windows(files.join(good, key, "left_anti"), key, text, lines, again).select(key, F.lit("window").alias("kind"), "start_line", "end_line", "chunk_text")
+    return own.unionByName(rest)
+
+
 def overlap(a: str, b: str) -> Column:
     return (F.col(f"{a}.start_line") <= F.col(f"{b}.end_line")) & (F.col(f"{a}.end_line") >= F.col(f"{b}.start_line"))
 

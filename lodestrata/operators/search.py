@@ -6,6 +6,9 @@ before one small merge. Every ranking is total: rounded score, then identifier.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +17,124 @@ from ..functions.text import tokens
 K1, B, FUSION = 1.2, 0.75, 60
 
 
-def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score of the documents with all terms; the text is cut into tokens once, nothing is exploded."""
+class RawQuery:
+    """A query in raw syntax: words, "phrases" and prefix*, side by side (all must be there, binds closest), with NOT, AND and
+    OR (in this order, in capitals) and parentheses. matches(w) tests an array of tokens; terms are the words to rank by."""
+
+    def __init__(self, raw: str):
+        self.parts, self.at, self.terms = re.findall(r'"[^"]*"|[()]|[^\s()"]+', raw), 0, []
+        self.matches = self._either()
+        if self.at < len(self.parts):
+            raise ValueError(f"what does {self.parts[self.at]} belong to in {raw}?")
+
+    def _next(self) -> str | None:
+        return self.parts[self.at] if self.at < len(self.parts) else None
+
+    def _joined(self, word: str, inner, join):
+        left = inner()
+        while self._next() == word:
+            self.at += 1
+            left = (lambda a, b: lambda w: join(a(w), b(w)))(left, inner())
+        return left
+
+    def _either(self):
+        return self._joined("OR", self._all, lambda a, b: a | b)
+
+    def _all(self):
+        return self._joined("AND", self._without, lambda a, b: a & b)
+
+    def _without(self):
+        kept = len(self.terms)
+        left = self._beside()
+        while self._next() == "NOT":
+            self.at, kept = self.at + 1, len(self.terms)
+            right = self._beside()
+            del self.terms[kept:]  # what must be absent is no reason to rank
+            left = (lambda a, b: lambda w: a(w) & ~b(w))(left, right)
+        return left
+
+    def _beside(self):
+        left = self._one()
+        while self._next() not in (None, ")", "OR", "AND", "NOT"):
+            left = (lambda a, b: lambda w: a(w) & b(w))(left, self._one())
+        return left
+
+    def _one(self):
+        part = self._next()
+        self.at += 1
+        if part == "(":
+            inside = self._either()
+            if self._next() != ")":
+                raise ValueError("a parenthesis is not closed")
+            self.at += 1
+            return inside
+        if part in (None, ")", "OR", "AND", "NOT"):
+            raise ValueError(f"a term is missing before {part or 'the end'}")
+        words = re.findall("[a-z0-9]+", part.lower())
+        if not words:
+            raise ValueError(f"{part} has no word")
+        if part.endswith("*") and len(words) == 1:
+            return lambda w: F.exists(w, _starts(words[0]))
+        self.terms += words
+        if len(words) == 1:
+            return lambda w: F.array_contains(w, words[0])
+        return lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).contains(f" {' '.join(words)} ")
+
+
+def keyword_search(rows: DataFrame, raw: str, k: int = 20, states: list[str] | None = None, key: str = "doc_id", text: str = "text", state: str = "state") -> DataFrame:
+    """key, score, rank, dropped of the k best matches of a raw query; states filters after ranking (ranks stay as they were),
+    and dropped says of how many of the k it let none through."""
+    query = RawQuery(raw)
+    top = ranked(bm25(rows, [*dict.fromkeys(query.terms)], key, text, query.matches), [F.desc("score"), F.col(key)], k)
+    kept = rows if states is None else rows.filter(F.col(state).isin(states))
+    hits = top.join(kept.select(key).withColumn("kept", F.lit(True)), key, "left")
+    n = hits.agg(F.count_if(F.col("kept").isNull()).alias("dropped"))  # one row
+    return hits.filter("kept").select(key, "score", "rank").crossJoin(F.broadcast(n))
+
+
+def semantic_search(rows: DataFrame, vectors: DataFrame, query: DataFrame, k: int, states: list[str] | None = None, key: str = "doc_id", state: str = "state") -> DataFrame:
+    """key, dist, rank, n_rows, n_vectors: the k nearest of the rows in these states (filtered before the search), and how many
+    such rows there are and have a vector (vectors: key, embedding)."""
+    inside = (rows if states is None else rows.filter(F.col(state).isin(states))).select(key)
+    found = vectors.join(inside, key, "left_semi")
+    n = inside.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(found.agg(F.count(F.lit(1)).alias("n_vectors")))  # two single rows
+    return nearest(found, query, k, key).crossJoin(F.broadcast(n))
+
+
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(term, key, tf) and (key, len), to be written once, the former dealt and sorted by term: a search then reads its terms."""
     words = docs.select(key, tokens(F.col(text)).alias("w"))
-    counted = words.select(key, F.size("w").alias("len"), *((F.size("w") - F.size(F.array_remove("w", t))).alias(f"f{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))))
-    rows = counted.filter(" AND ".join(f"f{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row of sums
+    counts = words.select(key, F.explode("w").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    return counts, words.select(key, F.size("w").alias("len"))
+
+
+def bm25_postings(counts: DataFrame, lengths: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
+    """bm25 from postings: key, score of the documents with all terms."""
+    hits = counts.filter(F.col("term").isin(terms))
+    found = hits.groupBy(key).agg(*(F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"f{i}") for i, t in enumerate(terms)))
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl")).crossJoin(hits.agg(*(F.count_if(F.col("term") == t).alias(f"n{i}") for i, t in enumerate(terms))))
+    rows = found.filter(" AND ".join(f"f{i} > 0" for i in range(len(terms)))).join(lengths, key).crossJoin(F.broadcast(stats))  # one row
+    return rows.select(key, F.round(_score(len(terms)), 6).alias("score"))
+
+
+def _score(n: int) -> Column:
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(n):
         raw = F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
         score = score + idf * (F.col(f"f{i}") * (K1 + 1)) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return rows.select(key, F.round(score, 6).alias("score"))
+    return score
+
+
+def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", matches=None) -> DataFrame:
+    """key, score of the documents with all terms, or of those that matches (a test of an array of tokens) lets through; the
+    text is cut into tokens once, nothing is exploded."""
+    words = docs.select(key, tokens(F.col(text)).alias("w"))
+    hit = matches(F.col("w")) if matches else reduce(lambda a, b: a & b, (F.array_contains("w", t) for t in terms))
+    counted = words.select(key, hit.alias("hit"), F.size("w").alias("len"), *((F.size("w") - F.size(F.array_remove("w", t))).alias(f"f{i}") for i, t in enumerate(terms)))
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))))
+    rows = counted.filter("hit").crossJoin(F.broadcast(stats))  # one row of sums
+    return rows.select(key, F.round(_score(len(terms)), 6).alias("score"))
 
 
 def prefix_and(docs: DataFrame, prefixes: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,7 +231,6 @@ def near_pairs_in_blocks(incoming: DataFrame, stored: DataFrame, most: float, k:
 
 def hash_embedding(docs: DataFrame, dim: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, embedding: tokens hashed by an 8-byte blake2b into dim places, scaled to unit length (all 0 without tokens)."""
-    import re
     from hashlib import blake2b
 
     import numpy as np

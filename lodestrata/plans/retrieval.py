@@ -51,11 +51,18 @@ def r2_bm25_topk(spark, d):
     return _lexical(busy_table(spark, d, "documents"))
 
 
-@query(f"WITH {_bm}, t AS (SELECT doc_id, lang, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY rank LIMIT 20) SELECT doc_id, score, rank FROM t WHERE lang = 'en'")
-def r3_filter_after_rank(spark, d):
-    docs = busy_table(spark, d, "documents")
-    top = S.ranked(S.bm25(docs, ["the", "and"]), [F.desc("score"), F.col("doc_id")], 20)
-    return docs.filter("lang = 'en'").select("doc_id").join(F.broadcast(top), "doc_id").select("doc_id", "score", "rank")  # 20 rows
+@query(f"WITH {_bm} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY rank LIMIT 40")
+def r2_bm25_postings(spark, d):
+    """The same ranking from postings; a user writes them once and reads them at each search."""
+    counts, lengths = S.postings(busy_table(spark, d, "documents"))
+    return S.ranked(S.bm25_postings(counts, lengths, ["the", "and"]), [F.desc("score"), F.col("doc_id")], 40)
+
+
+@query(f"""WITH {_bm}, ws AS (SELECT doc_id, {_tok} AS w FROM documents), m AS (SELECT doc_id FROM ws WHERE len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0 AND NOT contains(concat(' ', array_to_string(w, ' '), ' '), ' of the ')),
+    t AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b JOIN m USING (doc_id) ORDER BY rank LIMIT 20)
+    SELECT doc_id, score, rank, (SELECT count(*) FROM t JOIN documents USING (doc_id) WHERE lang IS NULL OR lang NOT IN ('en', 'de')) AS dropped FROM t JOIN documents USING (doc_id) WHERE lang IN ('en', 'de')""")
+def r3_keyword_search(spark, d):
+    return S.keyword_search(busy_table(spark, d, "documents"), '(the AND and) AND th* NOT "of the"', 20, ["en", "de"], state="lang")
 
 
 @query(f"WITH w AS (SELECT doc_id, {_tok} AS w FROM documents) SELECT doc_id FROM w WHERE len(list_filter(w, lambda x: starts_with(x, 'tion'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'ever'))) = 0 AND len(list_filter(w, lambda x: starts_with(x, 'the'))) > 0")
@@ -82,6 +89,13 @@ def r6_vector_shortfall(spark, d):
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count("vec_id").alias("n_vectors"), F.count_if(F.col("vec_id").isNull()).alias("shortfall"))
 
 
+@query(f"""WITH {_knn}, i AS (SELECT doc_id FROM documents WHERE lang IN ('en', 'fr')), r AS (SELECT vec_id AS doc_id, dist, row_number() OVER (ORDER BY dist, vec_id) AS rank FROM d WHERE vec_id IN (SELECT doc_id FROM i) ORDER BY rank LIMIT 40)
+    SELECT doc_id, dist, rank, (SELECT count(*) FROM i) AS n_rows, (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM i)) AS n_vectors FROM r""")
+def r6_semantic_search(spark, d):
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    return S.semantic_search(table(spark, d, "documents"), v, v.filter("doc_id = 0").select(F.col("embedding").alias("q")), 40, ["en", "fr"], state="lang")
+
+
 @query(f"WITH {_bm}, {_lex.format(where='')}, {_knn}, {_vec.format(where='')}, {_rrf.strip()}")
 def r7_rrf(spark, d):
     return S.fuse(_lexical(busy_table(spark, d, "documents")), _vector(table(spark, d, "embeddings")), "doc_id", 10)

@@ -31,6 +31,18 @@ def ch2_symbol_gate(spark, d):
     return E.symbol_gate(spans.withColumn("tokens", X.token_estimate(F.col("chunk_text"))), docs.select("doc_id", F.size(X.lines(F.col("text"))).alias("total")), "doc_id", 130)
 
 
+@query(f"""WITH {_win}, d AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS total, CASE doc_id % 3 WHEN 0 THEN 40 WHEN 1 THEN length(text) ELSE 0 END AS z, CASE doc_id % 3 WHEN 0 THEN 1 ELSE total END AS e FROM documents),
+    s AS (SELECT doc_id, substr(text, 1, z) AS chunk_text, e, total FROM d WHERE z > 0), k AS (SELECT * FROM s WHERE trim(replace(replace(replace(chunk_text, chr(10), ' '), chr(13), ' '), chr(9), ' ')) <> '' AND {_est.replace('text', 'chunk_text')} <= 260), good AS (SELECT * FROM k WHERE e / total >= 0.3)
+    SELECT doc_id, 'symbol' AS kind, 1::BIGINT AS start_line, e::BIGINT AS end_line, sha256(chunk_text) AS sha FROM good UNION ALL SELECT doc_id, 'window', start_line, end_line, sha256(chunk_text) FROM c WHERE doc_id NOT IN (SELECT doc_id FROM good)""")
+def ch2_chunks(spark, d):
+    """A third of the documents with one symbol in their first line, a third with one over all of it, a third with none."""
+    docs, i = busy_table(spark, d, "documents"), F.col("doc_id") % 3
+    end = F.when(i == 0, 40).when(i == 1, F.char_length("text")).otherwise(0)
+    symbols = docs.select("doc_id", F.lit(0).alias("start"), end.alias("end"), F.lit(1).alias("start_line"), F.when(i == 0, 1).otherwise(F.size(X.lines(F.col("text")))).alias("end_line"))
+    found = I.chunked(docs.select("doc_id", "text"), symbols, "doc_id", "text", 130, 20, 4)
+    return found.select("doc_id", "kind", "start_line", "end_line", F.sha2("chunk_text", 256).alias("sha"))
+
+
 @query(f"SELECT doc_id, {_est} AS tokens FROM documents")
 def ch4_token_estimate(spark, d):
     return busy_table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))

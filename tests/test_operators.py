@@ -62,6 +62,20 @@ def test_bm25_needs_all_terms_and_floors_idf(spark):
     assert only == set()
 
 
+def test_raw_queries_rank_filter_and_refuse(spark):
+    docs = spark.createDataFrame([(1, "cat dog", "draft"), (2, "cat bird", "approved"), (3, "dog cat fish", "draft"), (4, None, "draft"), (5, "catalog of birds", "draft")], "doc_id long, text string, state string")
+    ids_ = lambda q, **kw: sorted(r.doc_id for r in search.keyword_search(docs, q, **kw).collect())
+    assert ids_("cat") == [1, 2, 3] and ids_("cat dog") == [1, 3] and ids_('"cat dog"') == [1] and ids_("cat*") == [1, 2, 3, 5] and ids_("bird OR fish") == [2, 3] and ids_("cat NOT dog") == [2]
+    assert ids_("cat AND (dog OR bird) NOT fish") == [1, 2] and ids_("dog OR bird NOT cat") == [1, 3]
+    found = search.keyword_search(docs, "cat", 20, ["draft"]).collect()
+    assert {r.doc_id for r in found} == {1, 3} and {r.dropped for r in found} == {1} and max(r.rank for r in found) <= 3
+    for bad in ("cat AND", "(cat", "cat )", "OR cat", "***"):
+        with pytest.raises(ValueError):
+            search.RawQuery(bad)
+    counts, lengths = search.postings(docs)
+    assert rows(search.bm25_postings(counts, lengths, ["cat", "dog"])) == rows(search.bm25(docs, ["cat", "dog"]))
+
+
 def test_near_pairs_check_the_size_of_the_query_set(spark):
     v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "vec_id long, embedding array<float>")
     got = rows(search.near_pairs(v.filter("vec_id = 2"), v, 1.0, 5))
