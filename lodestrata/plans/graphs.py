@@ -11,7 +11,7 @@ from .catalog import query, table
 from .texts import _win
 
 _spans = f"{_win}, s AS (SELECT doc_id, concat(doc_id, ':', chunk) AS span_id, start_line, end_line FROM c)"
-_cites = "k AS (SELECT item_id AS citation_id, item_id * 7919 % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, item_id % 23 + 1 AS start_line, item_id % 23 + 1 + item_id % 6 AS end_line FROM benchmark)"
+_cites = "k AS (SELECT item_id AS citation_id, item_id // 3 * 7919 % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, item_id % 23 + 1 AS start_line, item_id % 23 + 1 + item_id % 6 AS end_line FROM benchmark)"
 
 
 def _windows(spark, d):
@@ -21,7 +21,7 @@ def _windows(spark, d):
 
 def _citations(spark, d):
     i, last = F.col("item_id"), table(spark, d, "documents").agg((F.max("doc_id") + 1).alias("last"))
-    return table(spark, d, "benchmark").crossJoin(F.broadcast(last)).select(i.alias("citation_id"), (i * 7919 % F.col("last")).alias("doc_id"), (i % 23 + 1).alias("start_line"), (i % 23 + 1 + i % 6).alias("end_line"))
+    return table(spark, d, "benchmark").crossJoin(F.broadcast(last)).select(i.alias("citation_id"), (F.floor(i / 3) * 7919 % F.col("last")).alias("doc_id"), (i % 23 + 1).alias("start_line"), (i % 23 + 1 + i % 6).alias("end_line"))
 
 
 @query(f"WITH {_spans}, {_cites} SELECT citation_id, k.doc_id, span_id FROM k LEFT JOIN s ON k.doc_id = s.doc_id AND s.start_line <= k.end_line AND s.end_line >= k.start_line")
