@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import busy_table as table
-from . import byte_bpe, chat, chat_sql, exact_dedup, language, licenses, media, ngram_join, packing, pii, secrets
+from . import byte_bpe, chat, chat_sql, exact_dedup, fim, language, licenses, media, ngram_join, packing, phrases, pii, secrets, simhash
 
 
 def base_count(kind: int | str) -> Column:
@@ -72,7 +72,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_chat, op3_language, op4_ngram_join, op5_byte_bpe, op6_media, op7_secrets, op8_licenses, op9_pii, op10_exact_dedup)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_chat, op3_language, op4_ngram_join, op5_byte_bpe, op6_media, op7_secrets, op8_licenses, op9_pii, op10_exact_dedup, op11_fill_in_middle, op12_simhash, op13_collocations)}
 
 ORACLES = {
     "op2_chat": chat_sql.SQL,
@@ -93,4 +107,27 @@ ORACLES = {
         l AS (SELECT a, b FROM c WHERE 100 * k >= 80 * (na + nb - k)),
         r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
         SELECT s.doc_id, CAST(len(s.set) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1) m USING (doc_id)""",
+    # Units by pattern, as a list; parts of the list joined again.
+    "op11_fill_in_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256(concat('42:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS d FROM documents),
+        u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, list_transform([0, 1, 2, 3], lambda i: CAST(concat('0x', d[8 * i + 1:8 * i + 8]) AS BIGINT)) AS h FROM t),
+        c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+              CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) WHEN 'spm' THEN concat('<S>', suf, '<P>', pre, '<M>', mid) ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    # All runs of words counted outright, in 128-bit integers.
+    "op13_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+        tot AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY 1),
+        g AS (SELECT lang, len(p) AS size, array_to_string(p, ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f FROM (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4, 5], lambda n: list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])))) AS p FROM w) GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE size > 1),
+        k AS (SELECT c.*, unnest(range(1, size)) AS k FROM c),
+        s AS (SELECT k.lang, k.phrase, k.f AS a, k, x.f AS l, y.f AS r, n, 1000 * k.f * n // (x.f * y.f) AS score FROM k JOIN g x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k], ' ') JOIN g y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k + 1:], ' ') JOIN tot ON tot.lang = k.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        h AS (SELECT lang, f, unnest(flatten(list_transform(range(2, size), lambda n: list_transform(range(1, size - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))))) AS phrase FROM c),
+        v AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = b.lang AND h.phrase = b.phrase AND 100 * h.f >= 100 * b.a))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM v
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
