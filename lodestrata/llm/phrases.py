@@ -42,7 +42,7 @@ UNKNOWN = "und"
 #: Words of a phrase; least frequency; phrases a language; per cent of a candidate's frequency from which a longer one subsumes it.
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Rows of a sketch; cells of a block; bytes of text a group, and a cell; bytes that are cut into words at a time.
-ROWS, BLOCK, GROUP, DENSITY, SLICE = 2, 1 << 20, 16_000_000, 16, 1 << 21
+ROWS, BLOCK, GROUP, DENSITY, SLICE = 2, 1 << 21, 6_000_000, 16, 1 << 20
 
 _table = bytes(ord("\n") if c in BREAKS else ord(" ") if c in GAPS else c for c in range(256))
 _weights = np.random.default_rng(13).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,12 +80,17 @@ def word_hashes(words: Words, language: str) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
 
 
-def cells(hashes: np.ndarray, at: np.ndarray, n: int, row: int, bits: int) -> np.ndarray:
-    """The cell in a row of the sketch of the runs of n words that begin at these places; hashes are those of the words in order."""
+def run_hashes(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words that begins at these places; hashes are those of the words in order."""
     total = hashes[at] * _weights[0]
     for i in range(1, n):
         total += hashes[at + i] * _weights[i]
-    return (mix(total + np.uint64(n)) ^ _seeds[row]) * _weights[15 - row] >> np.uint64(64 - bits)
+    return mix(total + np.uint64(n))
+
+
+def cells(runs: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The cell of each run in a row of the sketch."""
+    return (runs ^ _seeds[row]) * _weights[15 - row] >> np.uint64(64 - bits)
 
 
 def starts_of(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -120,17 +125,16 @@ def _sketch(bits: int, longest: int):
     """group, row, block, first, steps, counts: a group's sketch."""
 
     def run(table: pa.Table) -> pa.Table:
-        group, found = table.column("grp")[0].as_py(), [[] for _ in range(ROWS)]
+        group, found = table.column("grp")[0].as_py(), []
         for lang, texts in by_language(table).items():
             words = Words()
             ids = numbered(texts, words)
             hashes = word_hashes(words, lang)[ids]
-            for n, at in starts_of(ids, longest):
-                for row in range(ROWS):
-                    found[row].append(cells(hashes, at, n, row, bits))
-        out = []
-        for row in range(ROWS):
-            cell, count = np.unique(np.concatenate(found[row]), return_counts=True)
+            found += [run_hashes(hashes, at, n) for n, at in starts_of(ids, longest)]
+        runs, out = np.concatenate(found), []
+        del found
+        for row in range(ROWS):  # one after the other, so that a task holds the cells of one row
+            cell, count = np.unique(cells(runs, row, bits), return_counts=True)
             count = np.minimum(count, 255).astype(np.uint8)
             block = cell // np.uint64(BLOCK)
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(cell) else [0]
@@ -205,8 +209,10 @@ def _count(bits: int, longest: int):
                 if n > 1:
                     at = at[at + n - 1 < len(ids)]
                     at = at[(before[at] >= 0) & (before[at + 1] >= 0) & (one[at + n - 1] != 0)]
+                runs = run_hashes(hashes, at, n)
                 for row in range(ROWS):
-                    at = at[alive[row].holds(cells(hashes, at, n, row, bits))]
+                    some = alive[row].holds(cells(runs, row, bits))
+                    at, runs = at[some], runs[some]
                 key = one[at] if n == 1 else before[at] << 32 | one[at + n - 1]
                 kinds, where, counts = np.unique(key, return_inverse=True, return_counts=True)
                 if not len(kinds):
