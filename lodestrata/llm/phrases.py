@@ -11,12 +11,14 @@ cells grows with the texts, so that the share of false survivors does not, and n
 
 Second pass: each group counts, exactly, the runs whose cells all survived and whose own parts did too (a run is at most
 as frequent as its parts). Words are told apart by themselves and longer runs by the run before and its last word, not
-by hashes. Sums over all groups are exact counts; those under the least frequency go.
+by hashes. Sums over all groups are exact counts; those under the least frequency go. Counts travel as lists, by buckets
+of phrases: a phrase is a row only when its sum is known.
 
 Then candidates are scored at their lowest-scoring cut, and dropped if a longer candidate that holds them is as
 frequent. These are joins of the table of frequent runs.
 
-The texts are stored once with the number of their group; a group has about GROUP bytes of text, or one long text.
+The texts are stored once with the number of their group; a group has about GROUP bytes of text, or one long text. The
+first pass reads them as they lie; only the second deals them, to bring each group together with its answers.
 
 Defined results: a null text counts as empty, a null language as und; repeated rows count each; a table without frequent
 phrases gives no rows; other columns are ignored.
@@ -28,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ._common import materialise, work_folder
+from ._common import materialise, small, work_folder
 from .shingles import mix
 
 # What ends a piece, what separates words.
@@ -41,6 +45,8 @@ BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 UNKNOWN = "und"
 #: Words of a phrase; least frequency; phrases a language; per cent of a candidate's frequency from which a longer one subsumes it.
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
+#: Languages up to which their totals are sent to all tasks.
+LANGUAGES = 100_000
 #: Rows of a sketch; cells of a block; bytes of text a group, and a cell; bytes that are cut into words at a time.
 ROWS, BLOCK, GROUP, DENSITY, SLICE = 2, 1 << 21, 6_000_000, 16, 1 << 20
 
@@ -103,9 +109,9 @@ def starts_of(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]
         yield n, at
 
 
-def by_language(table: pa.Table) -> dict[str, list[str]]:
+def by_language(langs: list[str], texts: list[str]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
-    for lang, text in zip(table.column("lang").to_pylist(), table.column("text").to_pylist(), strict=True):
+    for lang, text in zip(langs, texts, strict=True):
         out.setdefault(lang, []).append(text)
     return out
 
@@ -116,22 +122,45 @@ def packed_cells(found: np.ndarray) -> bytes:
     return steps.astype("<u1" if steps.max() < 1 << 8 else "<u2" if steps.max() < 1 << 16 else "<u4").tobytes()
 
 
-def unpacked_cells(first: int, steps: pa.BinaryScalar, n: int) -> np.ndarray:
-    data = steps.as_buffer()
-    return np.cumsum(np.frombuffer(data, f"<u{data.size // n}"), dtype=np.int64) + first
+def unpacked_cells(first: int, steps: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, f"<u{len(steps) // n}"), dtype=np.int64) + first
+
+
+def _dealt(most: int):
+    """Adds grp: the group of each text, about most bytes each, rows of one group one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, filled = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            size = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+            ends = filled + np.cumsum(size, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part + (ends - size) // most)], names=["lang", "text", "grp"])
+            filled = int(ends[-1]) if len(ends) else filled
+
+    return run
+
+
+SKETCH = pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("steps", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())])
+ANSWER = pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("steps", pa.binary())])
+COUNTS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("size", pa.list_(pa.int32())), ("phrase", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
+RUNS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)]
 
 
 def _sketch(bits: int, longest: int):
-    """group, row, block, first, steps, counts: a group's sketch."""
+    """A group's sketch: of each row and block the cells that are not empty, which of them hold several, and how many."""
 
-    def run(table: pa.Table) -> pa.Table:
-        group, found = table.column("grp")[0].as_py(), []
-        for lang, texts in by_language(table).items():
+    def one(group: int, langs: list[str], texts: list[str]) -> pa.RecordBatch:
+        found, out = [np.zeros(0, np.uint64)], []
+        for lang, said in by_language(langs, texts).items():
             words = Words()
-            ids = numbered(texts, words)
+            ids = numbered(said, words)
             hashes = word_hashes(words, lang)[ids]
             found += [run_hashes(hashes, at, n) for n, at in starts_of(ids, longest)]
-        runs, out = np.concatenate(found), []
+        runs = np.concatenate(found)
         del found
         for row in range(ROWS):  # one after the other, so that a task holds the cells of one row
             cell, count = np.unique(cells(runs, row, bits), return_counts=True)
@@ -139,35 +168,48 @@ def _sketch(bits: int, longest: int):
             block = cell // np.uint64(BLOCK)
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(cell) else [0]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                out.append((group, row, int(block[a]), int(cell[a]), packed_cells(cell[a:b]), count[a:b].tobytes()))
-        return pa.Table.from_pylist([dict(zip(SKETCH.names, x, strict=True)) for x in out], SKETCH)
+                several = count[a:b] > 1
+                out.append((group, row, int(block[a]), int(cell[a]), int(b - a), packed_cells(cell[a:b]), np.packbits(several).tobytes(), count[a:b][several].tobytes()))
+        return pa.RecordBatch.from_arrays(_rows(out, SKETCH), schema=SKETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A group that a reader cuts in two gives two sketches, which are added like any others.
+        group, langs, texts = None, [], []
+        for batch in batches:
+            for part in small(batch, GROUP):
+                for lang, text, g in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if g != group and texts:
+                        yield one(group, langs, texts)
+                        langs, texts = [], []
+                    group = g
+                    langs.append(lang)
+                    texts.append(text)
+        if texts:
+            yield one(group, langs, texts)
 
     return run
 
 
-SKETCH = pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())])
-ANSWER = pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("cells", pa.binary())])
-
-
 def _merge(least: int):
-    """grp, row, cells: of each group's cells in one block those whose merged count reaches the least frequency."""
+    """Of each group's cells in one block those whose merged count reaches the least frequency."""
 
     def run(table: pa.Table) -> pa.Table:
         base, row = table.column("block")[0].as_py() * BLOCK, table.column("row")[0].as_py()
         total, out = np.zeros(BLOCK, np.uint32), []
 
         def parts():
-            for g, f, steps, counts in zip(*(table.column(c) for c in ("grp", "first", "steps", "counts")), strict=True):
-                count = np.frombuffer(counts.as_buffer(), np.uint8)
-                yield g.as_py(), unpacked_cells(f.as_py() - base, steps, len(count)), count
-
-        for _, at, count in parts():
-            total[at] += count  # a group has a cell once
-        for g, at, _ in parts():
+            for g, f, n, steps, many, counts in zip(*(table.column(c) for c in ("grp", "first", "n", "steps", "many", "counts")), strict=True):
+                n = n.as_py()
+                yield g.as_py(), unpacked_cells(f.as_py() - base, steps.as_py(), n), np.unpackbits(np.frombuffer(many.as_py(), np.uint8), count=n).astype(bool), np.frombuffer(counts.as_py(), np.uint8)
+
+        for _, at, many, counts in parts():
+            total[at] += 1  # a sketch has a cell once
+            total[at[many]] += counts - np.uint8(1)
+        for g, at, _, _ in parts():
             at = at[total[at] >= min(least, 255)]
             if len(at):
-                out.append((g, row, (at + base).astype("<i8").tobytes()))
-        return pa.Table.from_pylist([dict(zip(ANSWER.names, x, strict=True)) for x in out], ANSWER)
+                out.append((g, row, int(at[0]) + base, len(at), packed_cells(at)))
+        return pa.Table.from_arrays(_rows(out, ANSWER), schema=ANSWER)
 
     return run
 
@@ -188,44 +230,65 @@ class Survivors:
         return out
 
 
-def _count(bits: int, longest: int):
-    """lang, size, phrase, f: a group's exact counts of the runs that survive; size 0: all its words."""
+def _count(bits: int, longest: int, buckets: int):
+    """A group's exact counts of the runs that survive (size 0: all its words), in lists by bucket."""
+
+    def counted(lang: str, said: list[str], alive: list[Survivors]) -> Iterator[tuple[np.ndarray, int, list[str], np.ndarray]]:
+        """bucket, size, phrase, f of a language's runs, a size at a time."""
+        words = Words()
+        ids = numbered(said, words)
+        hashes, names = word_hashes(words, lang)[ids], list(words)
+        yield np.zeros(1, np.int64), 0, [""], np.array([(ids != 0).sum()])
+        at, one = np.flatnonzero(ids), ids.astype(np.int64)
+        before: np.ndarray | None = None  # at each place the number of the run that begins there, -1 if it did not survive
+        spelled: list[bytes] = []
+        for n in range(1, longest + 1):
+            if n > 1:
+                at = at[at + n - 1 < len(ids)]
+                at = at[(before[at] >= 0) & (before[at + 1] >= 0) & (one[at + n - 1] != 0)]
+            runs = run_hashes(hashes, at, n)
+            for row in range(ROWS):
+                some = alive[row].holds(cells(runs, row, bits))
+                at, runs = at[some], runs[some]
+            key = one[at] if n == 1 else before[at] << 32 | one[at + n - 1]
+            kinds, first, where, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            if not len(kinds):
+                return
+            spelled = [names[k] if n == 1 else spelled[k >> 32] + b" " + names[k & 0xFFFFFFFF] for k in kinds.tolist()]
+            before = np.full(len(ids), -1, np.int64)
+            before[at] = where
+            yield (runs[first] % np.uint64(buckets)).astype(np.int64), n, [s.decode("utf-8", "surrogatepass") for s in spelled], counts
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        lang_, size_, phrase_, f_ = [], [], [], []
         alive = []
         for row in range(ROWS):
-            mine = [np.frombuffer(c.as_buffer(), "<i8") for r, c in zip(answers.column("row").to_pylist(), answers.column("cells"), strict=True) if r == row]
-            alive.append(Survivors(np.sort(np.concatenate([np.zeros(0, "<i8"), *mine])).astype(np.uint64)))
-        for lang, said in by_language(texts).items():
-            words = Words()
-            ids = numbered(said, words)
-            hashes, names = word_hashes(words, lang)[ids], list(words)
-            lang_.append(lang), size_.append(0), phrase_.append(""), f_.append(int((ids != 0).sum()))
-            at, one = np.flatnonzero(ids), ids.astype(np.int64)
-            before: np.ndarray | None = None  # at each place the number of the run that begins there, -1 if it did not survive
-            spelled: list[bytes] = []
-            for n in range(1, longest + 1):
-                if n > 1:
-                    at = at[at + n - 1 < len(ids)]
-                    at = at[(before[at] >= 0) & (before[at + 1] >= 0) & (one[at + n - 1] != 0)]
-                runs = run_hashes(hashes, at, n)
-                for row in range(ROWS):
-                    some = alive[row].holds(cells(runs, row, bits))
-                    at, runs = at[some], runs[some]
-                key = one[at] if n == 1 else before[at] << 32 | one[at + n - 1]
-                kinds, where, counts = np.unique(key, return_inverse=True, return_counts=True)
-                if not len(kinds):
-                    break
-                if n == 1:
-                    spelled = [names[k] for k in kinds.tolist()]
-                else:
-                    spelled = [spelled[k >> 32] + b" " + names[k & 0xFFFFFFFF] for k in kinds.tolist()]
-                before = np.full(len(ids), -1, np.int64)
-                before[at] = where
-                lang_.extend([lang] * len(kinds)), size_.extend([n] * len(kinds)), f_.extend(counts.tolist())
-                phrase_.extend(s.decode("utf-8", "surrogatepass") for s in spelled)
-        return pa.Table.from_arrays([pa.array(lang_, pa.string()), pa.array(size_, pa.int32()), pa.array(phrase_, pa.string()), pa.array(f_, pa.int64())], names=["lang", "size", "phrase", "f"])
+            mine = [unpacked_cells(f, s, n) for r, f, n, s in zip(*(answers.column(c).to_pylist() for c in ("row", "first", "n", "steps")), strict=True) if r == row]
+            alive.append(Survivors(np.unique(np.concatenate([np.zeros(0, np.int64), *mine])).astype(np.uint64)))
+        tables = []
+        for lang, said in by_language(texts.column("lang").to_pylist(), texts.column("text").to_pylist()).items():
+            found = list(counted(lang, said, alive))
+            bucket = np.concatenate([x[0] for x in found])
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).astype(np.int32)
+            lists = [pa.array(np.concatenate([np.full(len(x[3]), x[1], np.int32) for x in found])), pa.array([p for x in found for p in x[2]], pa.string()), pa.array(np.concatenate([x[3] for x in found]).astype(np.int64))]
+            lists = [pa.ListArray.from_arrays(pa.array(starts), x.take(pa.array(order))) for x in lists]
+            tables.append(pa.Table.from_arrays([pa.array(bucket[starts[:-1]]), pa.array([lang] * (len(starts) - 1), pa.string()), *lists], schema=COUNTS))
+        return pa.concat_tables([*tables, COUNTS.empty_table()])
+
+    return run
+
+
+def _sum(least: int):
+    """The runs of one bucket with their frequency in all groups, if it reaches the least."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at = pc.list_parent_indices(table.column("f").combine_chunks())
+        flat = [pc.list_flatten(table.column(c).combine_chunks()) for c in ("size", "phrase", "f")]
+        rows = pa.Table.from_arrays([table.column("lang").combine_chunks().take(at), *flat], names=RUNS.names)
+        total = rows.group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")])
+        total = total.filter(pc.or_(pc.greater_equal(total.column("f_sum"), least), pc.equal(total.column("size"), 0)))
+        return total.select(["lang", "size", "phrase", "f_sum"]).rename_columns(RUNS.names).cast(RUNS)
 
     return run
 
@@ -236,14 +299,12 @@ def frequent_runs(docs: DataFrame, folder: str, least: int = LEAST, longest: int
     ship(spark)
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(spark.sparkContext.defaultParallelism, -(-size // GROUP))
-    bits = max(20, int(size // DENSITY).bit_length())
-    texts = materialise(rows.withColumn("grp", F.pmod(F.monotonically_increasing_id(), F.lit(groups))), f"{folder}/texts")
-    sketches = texts.groupBy("grp").applyInArrow(_sketch(bits, longest), "grp long, row int, block long, first long, steps binary, counts binary")
-    # Written, as the sketch is not wanted a second time and its shuffle can go when the answers are there.
-    answers = materialise(sketches.groupBy("row", "block").applyInArrow(_merge(least), "grp long, row int, cells binary"), f"{folder}/answers")
-    parts = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_count(bits, longest), "lang string, size int, phrase string, f long")
-    return parts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0))
+    bits, buckets = max(21, int(size // DENSITY).bit_length()), max(spark.sparkContext.defaultParallelism, size // GROUP // 8)
+    texts = materialise(rows.mapInArrow(_dealt(GROUP), "lang string, text string, grp long"), f"{folder}/texts")
+    sketches = texts.mapInArrow(_sketch(bits, longest), "grp long, row int, block long, first long, n long, steps binary, many binary, counts binary")
+    answers = materialise(sketches.groupBy("row", "block").applyInArrow(_merge(least), "grp long, row int, first long, n long, steps binary"), f"{folder}/answers")
+    parts = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_count(bits, longest, buckets), "bucket long, lang string, size array<int>, phrase array<string>, f array<long>")
+    return parts.groupBy("bucket").applyInArrow(_sum(least), "lang string, size int, phrase string, f long")
 
 
 def score(a: str, n: str, left: str, right: str) -> Column:
@@ -262,6 +323,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     runs = materialise(frequent_runs(docs, folder, least, longest), f"{folder}/runs")
     counted = runs.filter("size > 0").select("lang", "phrase", "f")
     totals = runs.filter("size = 0").select("lang", F.col("f").alias("n"))
+    if totals.count() <= LANGUAGES:
+        totals = F.broadcast(totals)
     words = F.split("phrase", " ")
     candidates = runs.filter("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), words.alias("w"))
     joined = lambda start, n: F.array_join(F.slice("w", start, n), " ")
