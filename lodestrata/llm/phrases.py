@@ -48,7 +48,7 @@ LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Languages up to which their totals are sent to all tasks.
 LANGUAGES = 100_000
 #: Rows of a sketch; cells of a block; bytes of text a group, and a cell; bytes that are cut into words at a time.
-ROWS, BLOCK, GROUP, DENSITY, SLICE = 2, 1 << 21, 6_000_000, 16, 1 << 20
+ROWS, BLOCK, GROUP, DENSITY, SLICE = 2, 1 << 21, 6_000_000, 32, 1 << 20
 
 _table = bytes(ord("\n") if c in BREAKS else ord(" ") if c in GAPS else c for c in range(256))
 _weights = np.random.default_rng(13).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,14 +116,23 @@ def by_language(langs: list[str], texts: list[str]) -> dict[str, list[str]]:
     return out
 
 
+def squeezed(data: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(data).tobytes(), "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True), np.uint8)
+
+
 def packed_cells(found: np.ndarray) -> bytes:
-    """Cells in ascending order as differences, in as few bytes each as the largest needs."""
-    steps = np.diff(found, prepend=found[:1])
-    return steps.astype("<u1" if steps.max() < 1 << 8 else "<u2" if steps.max() < 1 << 16 else "<u4").tobytes()
+    """Cells in ascending order as differences of three bytes: all first bytes, all second ones, all third ones, compressed."""
+    steps = np.diff(found, prepend=found[:1]).astype("<u4")
+    return squeezed(steps.view(np.uint8).reshape(-1, 4)[:, :3].T)
 
 
 def unpacked_cells(first: int, steps: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(steps, f"<u{len(steps) // n}"), dtype=np.int64) + first
+    low, mid, high = unsqueezed(steps, 3 * n).reshape(3, n).astype(np.int64)
+    return np.cumsum(low | mid << 8 | high << 16) + first
 
 
 def _dealt(most: int):
@@ -142,7 +151,7 @@ def _dealt(most: int):
 
 SKETCH = pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("steps", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())])
 ANSWER = pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("steps", pa.binary())])
-COUNTS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("size", pa.list_(pa.int32())), ("phrase", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
+COUNTS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("phrase", pa.list_(pa.string())), ("f", pa.list_(pa.int32()))])
 RUNS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
@@ -169,7 +178,7 @@ def _sketch(bits: int, longest: int):
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(cell) else [0]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 several = count[a:b] > 1
-                out.append((group, row, int(block[a]), int(cell[a]), int(b - a), packed_cells(cell[a:b]), np.packbits(several).tobytes(), count[a:b][several].tobytes()))
+                out.append((group, row, int(block[a]), int(cell[a]), int(b - a), packed_cells(cell[a:b]), squeezed(np.packbits(several)), squeezed(count[a:b][several])))
         return pa.RecordBatch.from_arrays(_rows(out, SKETCH), schema=SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +206,14 @@ def _merge(least: int):
         base, row = table.column("block")[0].as_py() * BLOCK, table.column("row")[0].as_py()
         total, out = np.zeros(BLOCK, np.uint32), []
 
+        def several(n, many, counts):
+            where = np.unpackbits(unsqueezed(many, -(-n // 8)), count=n).astype(bool)
+            return where, unsqueezed(counts, int(where.sum()))
+
         def parts():
             for g, f, n, steps, many, counts in zip(*(table.column(c) for c in ("grp", "first", "n", "steps", "many", "counts")), strict=True):
                 n = n.as_py()
-                yield g.as_py(), unpacked_cells(f.as_py() - base, steps.as_py(), n), np.unpackbits(np.frombuffer(many.as_py(), np.uint8), count=n).astype(bool), np.frombuffer(counts.as_py(), np.uint8)
+                yield g.as_py(), unpacked_cells(f.as_py() - base, steps.as_py(), n), *several(n, many.as_py(), counts.as_py())
 
         for _, at, many, counts in parts():
             total[at] += 1  # a sketch has a cell once
@@ -231,14 +244,14 @@ class Survivors:
 
 
 def _count(bits: int, longest: int, buckets: int):
-    """A group's exact counts of the runs that survive (size 0: all its words), in lists by bucket."""
+    """A group's exact counts of the runs that survive (the empty phrase: all its words), in lists by bucket."""
 
-    def counted(lang: str, said: list[str], alive: list[Survivors]) -> Iterator[tuple[np.ndarray, int, list[str], np.ndarray]]:
-        """bucket, size, phrase, f of a language's runs, a size at a time."""
+    def counted(lang: str, said: list[str], alive: list[Survivors]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+        """bucket, phrase, f of a language's runs, a size at a time."""
         words = Words()
         ids = numbered(said, words)
         hashes, names = word_hashes(words, lang)[ids], list(words)
-        yield np.zeros(1, np.int64), 0, [""], np.array([(ids != 0).sum()])
+        yield np.zeros(1, np.int64), [""], np.array([(ids != 0).sum()])
         at, one = np.flatnonzero(ids), ids.astype(np.int64)
         before: np.ndarray | None = None  # at each place the number of the run that begins there, -1 if it did not survive
         spelled: list[bytes] = []
@@ -257,7 +270,7 @@ def _count(bits: int, longest: int, buckets: int):
             spelled = [names[k] if n == 1 else spelled[k >> 32] + b" " + names[k & 0xFFFFFFFF] for k in kinds.tolist()]
             before = np.full(len(ids), -1, np.int64)
             before[at] = where
-            yield (runs[first] % np.uint64(buckets)).astype(np.int64), n, [s.decode("utf-8", "surrogatepass") for s in spelled], counts
+            yield (runs[first] % np.uint64(buckets)).astype(np.int64), [s.decode("utf-8", "surrogatepass") for s in spelled], counts
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         alive = []
@@ -271,7 +284,7 @@ def _count(bits: int, longest: int, buckets: int):
             order = np.argsort(bucket, kind="stable")
             bucket = bucket[order]
             starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).astype(np.int32)
-            lists = [pa.array(np.concatenate([np.full(len(x[3]), x[1], np.int32) for x in found])), pa.array([p for x in found for p in x[2]], pa.string()), pa.array(np.concatenate([x[3] for x in found]).astype(np.int64))]
+            lists = [pa.array([p for x in found for p in x[1]], pa.string()), pa.array(np.concatenate([x[2] for x in found]).astype(np.int32))]
             lists = [pa.ListArray.from_arrays(pa.array(starts), x.take(pa.array(order))) for x in lists]
             tables.append(pa.Table.from_arrays([pa.array(bucket[starts[:-1]]), pa.array([lang] * (len(starts) - 1), pa.string()), *lists], schema=COUNTS))
         return pa.concat_tables([*tables, COUNTS.empty_table()])
@@ -284,11 +297,12 @@ def _sum(least: int):
 
     def run(table: pa.Table) -> pa.Table:
         at = pc.list_parent_indices(table.column("f").combine_chunks())
-        flat = [pc.list_flatten(table.column(c).combine_chunks()) for c in ("size", "phrase", "f")]
-        rows = pa.Table.from_arrays([table.column("lang").combine_chunks().take(at), *flat], names=RUNS.names)
-        total = rows.group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")])
-        total = total.filter(pc.or_(pc.greater_equal(total.column("f_sum"), least), pc.equal(total.column("size"), 0)))
-        return total.select(["lang", "size", "phrase", "f_sum"]).rename_columns(RUNS.names).cast(RUNS)
+        phrase, f = (pc.list_flatten(table.column(c).combine_chunks()) for c in ("phrase", "f"))
+        rows = pa.Table.from_arrays([table.column("lang").combine_chunks().take(at), phrase, f], names=["lang", "phrase", "f"])
+        total = rows.group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        total = total.filter(pc.or_(pc.greater_equal(total.column("f_sum"), least), pc.equal(total.column("phrase"), "")))
+        size = pc.if_else(pc.equal(total.column("phrase"), ""), 0, pc.add(pc.count_substring(total.column("phrase"), " "), 1))
+        return pa.Table.from_arrays([total.column("lang"), size, total.column("phrase"), total.column("f_sum")], names=RUNS.names).cast(RUNS)
 
     return run
 
@@ -303,7 +317,7 @@ def frequent_runs(docs: DataFrame, folder: str, least: int = LEAST, longest: int
     texts = materialise(rows.mapInArrow(_dealt(GROUP), "lang string, text string, grp long"), f"{folder}/texts")
     sketches = texts.mapInArrow(_sketch(bits, longest), "grp long, row int, block long, first long, n long, steps binary, many binary, counts binary")
     answers = materialise(sketches.groupBy("row", "block").applyInArrow(_merge(least), "grp long, row int, first long, n long, steps binary"), f"{folder}/answers")
-    parts = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_count(bits, longest, buckets), "bucket long, lang string, size array<int>, phrase array<string>, f array<long>")
+    parts = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_count(bits, longest, buckets), "bucket long, lang string, phrase array<string>, f array<int>")
     return parts.groupBy("bucket").applyInArrow(_sum(least), "lang string, size int, phrase string, f long")
 
 
