@@ -45,6 +45,8 @@ BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 UNKNOWN = "und"
 #: Words of a phrase; least frequency; phrases a language; per cent of a candidate's frequency from which a longer one subsumes it.
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
+#: Neighbouring groups (2 to the power of) that are counted together.
+NEAR = 2
 #: Languages up to which their totals are sent to all tasks.
 LANGUAGES = 100_000
 #: Rows of a sketch; cells of a block; bytes of text a group, and a cell; bytes that are cut into words at a time.
@@ -151,7 +153,7 @@ def _dealt(most: int):
 
 SKETCH = pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("steps", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())])
 ANSWER = pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("steps", pa.binary())])
-COUNTS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("phrase", pa.list_(pa.string())), ("f", pa.list_(pa.int32()))])
+COUNTS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("phrase", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
 RUNS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
@@ -272,22 +274,25 @@ def _count(bits: int, longest: int, buckets: int):
             before[at] = where
             yield (runs[first] % np.uint64(buckets)).astype(np.int64), [s.decode("utf-8", "surrogatepass") for s in spelled], counts
 
+    def alive_in(answers: pa.Table, group: int) -> list[Survivors]:
+        mine: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(ROWS)]
+        for r, f, n, s in zip(*(answers.filter(pc.equal(answers.column("grp"), group)).column(c).to_pylist() for c in ("row", "first", "n", "steps")), strict=True):
+            mine[r].append(unpacked_cells(f, s, n))
+        return [Survivors(np.unique(np.concatenate(x)).astype(np.uint64)) for x in mine]
+
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        alive = []
-        for row in range(ROWS):
-            mine = [unpacked_cells(f, s, n) for r, f, n, s in zip(*(answers.column(c).to_pylist() for c in ("row", "first", "n", "steps")), strict=True) if r == row]
-            alive.append(Survivors(np.unique(np.concatenate([np.zeros(0, np.int64), *mine])).astype(np.uint64)))
-        tables = []
-        for lang, said in by_language(texts.column("lang").to_pylist(), texts.column("text").to_pylist()).items():
-            found = list(counted(lang, said, alive))
-            bucket = np.concatenate([x[0] for x in found])
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).astype(np.int32)
-            lists = [pa.array([p for x in found for p in x[1]], pa.string()), pa.array(np.concatenate([x[2] for x in found]).astype(np.int32))]
-            lists = [pa.ListArray.from_arrays(pa.array(starts), x.take(pa.array(order))) for x in lists]
-            tables.append(pa.Table.from_arrays([pa.array(bucket[starts[:-1]]), pa.array([lang] * (len(starts) - 1), pa.string()), *lists], schema=COUNTS))
-        return pa.concat_tables([*tables, COUNTS.empty_table()])
+        found = []
+        for group in pc.unique(texts.column("grp")).to_pylist():  # neighbours, one after the other; what they count is added up here
+            alive, rows = alive_in(answers, group), texts.filter(pc.equal(texts.column("grp"), group))
+            for lang, said in by_language(rows.column("lang").to_pylist(), rows.column("text").to_pylist()).items():
+                for bucket, phrase, f in counted(lang, said, alive):
+                    found.append(pa.table({"bucket": bucket, "lang": pa.array([lang] * len(f), pa.string()), "phrase": pa.array(phrase, pa.string()), "f": f.astype(np.int64)}))
+        total = pa.concat_tables(found).group_by(["bucket", "lang", "phrase"]).aggregate([("f", "sum")]).sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+        bucket, lang = total.column("bucket").to_numpy(), total.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1]), [True]))).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(starts), total.column(c).combine_chunks()) for c in ("phrase", "f_sum")]
+        first = pa.array(starts[:-1])
+        return pa.Table.from_arrays([total.column("bucket").take(first), total.column("lang").take(first), *lists], schema=COUNTS)
 
     return run
 
@@ -317,7 +322,8 @@ def frequent_runs(docs: DataFrame, folder: str, least: int = LEAST, longest: int
     texts = materialise(rows.mapInArrow(_dealt(GROUP), "lang string, text string, grp long"), f"{folder}/texts")
     sketches = texts.mapInArrow(_sketch(bits, longest), "grp long, row int, block long, first long, n long, steps binary, many binary, counts binary")
     answers = materialise(sketches.groupBy("row", "block").applyInArrow(_merge(least), "grp long, row int, first long, n long, steps binary"), f"{folder}/answers")
-    parts = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_count(bits, longest, buckets), "bucket long, lang string, phrase array<string>, f array<int>")
+    near = F.shiftright("grp", NEAR)
+    parts = texts.groupBy(near.alias("near")).cogroup(answers.groupBy(near.alias("near"))).applyInArrow(_count(bits, longest, buckets), "bucket long, lang string, phrase array<string>, f array<long>")
     return parts.groupBy("bucket").applyInArrow(_sum(least), "lang string, size int, phrase string, f long")
 
 
