@@ -14,13 +14,15 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     One candidate (by name or qualified name): 0.85. Several: one of the same language, of the same file first, then by
     (path, start_line, symbol_id), at 0.70; none of the language 0.40, no candidate 0.30, both without a callee."""
     names = symbols.select("symbol_id", "path", "language", "start_line", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name"))
-    pairs = refs.alias("r").join(names.alias("s"), "name", "left")
-    order = F.struct((F.col("s.path") != F.col("r.path")).cast("int").alias("o"), F.col("s.path"), F.col("s.start_line"), F.col("s.symbol_id"))
-    own = F.col("s.language") == F.col("r.language")
-    found = pairs.groupBy("r.ref_id").agg(F.count("s.symbol_id").alias("n"), F.min(F.when(own, order)).alias("own"), F.min(order).alias("any"))
-    callee = F.when(F.col("n") == 1, F.col("any.symbol_id")).when(F.col("n") > 1, F.col("own.symbol_id"))
-    sure = F.when(F.col("n") == 0, 0.30).when(F.col("n") == 1, 0.85).when(F.col("own").isNotNull(), 0.70).otherwise(0.40)
-    return found.select("ref_id", callee.alias("callee_id"), sure.cast("double").alias("confidence"), F.col("n").alias("candidates"))
+    # Of a name's candidates, however many, three rows can be the answer; they are found once a name, not once a reference.
+    every = names.groupBy("name").agg(F.count("symbol_id").alias("n"), F.min("symbol_id").alias("any"))
+    own = names.groupBy("name", "language").agg(F.min(F.struct("path", "start_line", "symbol_id")).alias("own"))
+    near = names.groupBy("name", "language", "path").agg(F.min(F.struct("start_line", "symbol_id")).alias("near"))
+    found = refs.select("ref_id", "name", "language", "path").join(every, "name", "left").join(own, ["name", "language"], "left").join(near, ["name", "language", "path"], "left")
+    n, best = F.coalesce("n", F.lit(0)), F.coalesce("near.symbol_id", "own.symbol_id")
+    callee = F.when(n == 1, F.col("any")).when(n > 1, best)
+    sure = F.when(n == 0, 0.30).when(n == 1, 0.85).when(best.isNotNull(), 0.70).otherwise(0.40)
+    return found.select("ref_id", callee.alias("callee_id"), sure.cast("double").alias("confidence"), n.alias("candidates"))
 
 
 # Kinds of references that are kinds of edges, those of XML files, and words by language.

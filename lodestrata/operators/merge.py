@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import meeting
+
 #: Lifecycle (fixed values): allowed transitions, and ranks for the import guard.
 TRANSITIONS = (
     ("draft", "reviewed"), ("draft", "approved"), ("draft", "rejected"), ("reviewed", "approved"), ("reviewed", "rejected"), ("reviewed", "draft"), ("approved", "superseded"), ("approved", "rejected"), ("rejected", "draft"),
@@ -15,58 +17,62 @@ RANKS = {"draft": 0, "rejected": 0, "reviewed": 1, "approved": 2, "superseded":
 def outcomes(offers: DataFrame, stored: DataFrame) -> DataFrame:
     """Stage one. offers (ordinal, dk, dka) with outcome: merged (the key is stored or came before), candidate (another row,
     stored or inserted before, has the anchor key) or new; gr_ref is the row that an offer is in: the stored one of its key,
-    else the first offer's (its ordinal as text)."""
-    by_key = stored.groupBy("dk").agg(F.min("gr_id").alias("stored_id")).join(offers.select("dk").distinct(), "dk", "right")
-    first = offers.groupBy("dk").agg(F.min("ordinal").alias("first"))
-    rows = offers.join(by_key.join(first, "dk"), "dk")
-    rows = rows.withColumn("inserts", F.col("stored_id").isNull() & (F.col("first") == F.col("ordinal")))
-    # The earliest insertion of an anchor decides for all later ones; groups are combined in each task, so that a common anchor is no single task's work.
-    earliest = rows.filter("inserts").groupBy("dka").agg(F.min("ordinal").alias("earliest"))
-    known = stored.select("dka").distinct().withColumn("anchored", F.lit(True))
-    rows = rows.join(earliest, "dka", "left").join(known, "dka", "left")
-    drift = F.coalesce("anchored", F.lit(False)) | (F.col("earliest") < F.col("ordinal"))
-    outcome = F.when(~F.col("inserts"), "merged").when(F.coalesce(drift, F.lit(False)), "candidate").otherwise("new")
-    return rows.select("ordinal", outcome.alias("outcome"), F.coalesce("stored_id", F.col("first").cast("string")).alias("gr_ref"))
-
-
-def drift_pairs(offers: DataFrame, stored: DataFrame) -> DataFrame:
-    """ordinal, other: each drift candidate with every stored row of its anchor key and every row inserted before it."""
-    found = outcomes(offers, stored)
-    new = offers.join(found.filter("outcome = 'candidate'").select("ordinal"), "ordinal")
-    inserted = offers.join(found.filter("outcome != 'merged'").select(F.col("ordinal").alias("at"), F.col("gr_ref").alias("other")), F.col("ordinal") == F.col("at")).select("dka", "at", "other")
-    others = stored.select("dka", F.lit(None).cast("long").alias("at"), F.col("gr_id").alias("other")).unionByName(inserted)
-    return new.join(others, "dka").filter(F.col("at").isNull() | (F.col("at") < F.col("ordinal"))).select("ordinal", "other").distinct()
+    else the first offer's (its ordinal as text).
+
+    Offers and stored rows are aggregated together, once by each key; groups are combined in each task, so that a common key is
+    no single task's work."""
+    known = stored.select("dk", "dka", F.lit(None).cast("long").alias("ordinal"), F.col("gr_id").alias("stored_id"))
+    by_key = offers.select("dk", "ordinal", F.lit(None).cast("string").alias("stored_id")).unionByName(known.drop("dka")).groupBy("dk").agg(F.min("stored_id").alias("stored_id"), F.min("ordinal").alias("first"))
+    rows = offers.join(by_key, "dk").withColumn("inserts", F.col("stored_id").isNull() & (F.col("first") == F.col("ordinal")))
+    # An anchor's stored row, or else its earliest insertion, decides for all later ones.
+    seen = rows.filter("inserts").select("dka", "ordinal").unionByName(known.select("dka", F.lit(-1).cast("long").alias("ordinal")))
+    rows = rows.join(seen.groupBy("dka").agg(F.min("ordinal").alias("earliest")), "dka", "left")
+    drift = F.coalesce(F.col("earliest") < F.col("ordinal"), F.lit(False))
+    outcome = F.when(~F.col("inserts"), "merged").when(drift, "candidate").otherwise("new")
+    return rows.select("ordinal", "dka", outcome.alias("outcome"), F.coalesce("stored_id", F.col("first").cast("string")).alias("gr_ref"))
+
+
+def drift_pairs(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """ordinal, other: each drift candidate of stage one (found) with every stored row of its anchor key and every row inserted
+    before it."""
+    new = found.filter("outcome = 'candidate'").select("ordinal", "dka")
+    inserted = found.filter("outcome != 'merged'").select("dka", F.col("ordinal").alias("at"), F.col("gr_ref").alias("other"))
+    others = stored.select("dka", F.lit(-1).cast("long").alias("at"), F.col("gr_id").alias("other")).unionByName(inserted)
+    return new.join(others, "dka").filter(F.col("at") < F.col("ordinal")).select("ordinal", "other").distinct()
 
 
 def overlap_pairs(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Pairs (id, other) whose citations (path, start_line, end_line) overlap on one file, each once, not with itself."""
-    hit = (F.col("a.path") == F.col("b.path")) & (F.col("a.start_line") <= F.col("b.end_line")) & (F.col("a.end_line") >= F.col("b.start_line")) & (F.col("a.id") != F.col("b.id"))
-    return incoming.alias("a").join(stored.alias("b"), hit).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
+    return meeting(incoming, stored, "path").select(F.col("r.id").alias("id"), F.col("s.id").alias("other")).filter("id != other").distinct()
 
 
-def merge_pairs(offers: DataFrame, stored: DataFrame, cites: DataFrame, stored_cites: DataFrame, near: DataFrame) -> DataFrame:
-    """Both stages. ordinal, other, reason, similarity of all pairs that an ingest raises: drift (the anchor key, then nothing
-    else is looked for), else semantic (near: ordinal, other, similarity, against what was stored before the run) and overlap.
+def second_stage(found: DataFrame, cites: DataFrame, stored_cites: DataFrame, near: DataFrame) -> DataFrame:
+    """ordinal, other, reason, similarity of the pairs that offers which stage one (found) calls new raise: semantic (near:
+    ordinal, other, similarity, against what was stored before the run) and overlap.
 
     Overlap is of an inserting offer's citations (cites: ordinal, path, start_line, end_line) with those of other rows: the
     stored ones (stored_cites: gr_id and lines) and those of earlier offers, each for the row that its offer is in."""
-    found = outcomes(offers, stored)
-    drift = drift_pairs(offers, stored).select("ordinal", "other", F.lit("drift").alias("reason"), F.lit(None).cast("double").alias("similarity"))
     second = found.filter("outcome = 'new'").select("ordinal", F.col("gr_ref").alias("own"))
     semantic = near.join(second, "ordinal").filter(F.col("other") != F.col("own")).select("ordinal", "other", F.lit("semantic").alias("reason"), "similarity")
     lines = ["path", "start_line", "end_line"]
-    earlier = cites.join(found.select("ordinal", "gr_ref"), "ordinal").select(F.col("gr_ref").alias("other"), F.col("ordinal").alias("at"), *lines)
-    others = stored_cites.select(F.col("gr_id").alias("other"), F.lit(None).cast("long").alias("at"), *lines).unionByName(earlier)
-    a, b = cites.join(second, "ordinal").alias("a"), others.alias("b")
-    hit = (F.col("a.path") == F.col("b.path")) & (F.col("a.start_line") <= F.col("b.end_line")) & (F.col("a.end_line") >= F.col("b.start_line")) & (F.col("a.own") != F.col("b.other")) & (F.col("b.at").isNull() | (F.col("b.at") < F.col("a.ordinal")))
-    overlap = a.join(b, hit).select("a.ordinal", "b.other").distinct().select("ordinal", "other", F.lit("overlap").alias("reason"), F.lit(None).cast("double").alias("similarity"))
-    return drift.unionByName(semantic).unionByName(overlap)
+    cited = cites.join(found.select("ordinal", "outcome", F.col("gr_ref").alias("own")), "ordinal")
+    others = stored_cites.select(F.col("gr_id").alias("other"), F.lit(-1).cast("long").alias("at"), *lines).unionByName(cited.select(F.col("own").alias("other"), F.col("ordinal").alias("at"), *lines))
+    hit = meeting(cited.filter("outcome = 'new'").select("ordinal", "own", *lines), others, "path").filter((F.col("s.at") < F.col("r.ordinal")) & (F.col("r.own") != F.col("s.other")))
+    overlap = hit.select("r.ordinal", "s.other").distinct().select("ordinal", "other", F.lit("overlap").alias("reason"), F.lit(None).cast("double").alias("similarity"))
+    return semantic.unionByName(overlap)
+
+
+def merge_pairs(found: DataFrame, stored: DataFrame, cites: DataFrame, stored_cites: DataFrame, near: DataFrame) -> DataFrame:
+    """Both stages: ordinal, other, reason, similarity of all pairs that an ingest raises: drift (the anchor key, then nothing
+    else is looked for), else what the second stage finds. found is stage one, which the caller writes once."""
+    drift = drift_pairs(found, stored).select("ordinal", "other", F.lit("drift").alias("reason"), F.lit(None).cast("double").alias("similarity"))
+    return drift.unionByName(second_stage(found, cites, stored_cites, near))
 
 
-def merge_outcomes(offers: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFrame:
-    """ordinal, outcome, gr_ref after both stages: a new offer with any pair is a candidate."""
+def merge_outcomes(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """ordinal, outcome, gr_ref after both stages: an offer that stage one calls new is a candidate if it has any pair."""
     raised = pairs.select("ordinal").distinct().withColumn("raised", F.lit(True))
-    rows = outcomes(offers, stored).join(raised, "ordinal", "left")
+    rows = found.join(raised, "ordinal", "left")
     return rows.select("ordinal", F.when((F.col("outcome") == "new") & F.col("raised"), "candidate").otherwise(F.col("outcome")).alias("outcome"), "gr_ref")
 
 

@@ -26,7 +26,7 @@ def _citations(spark, d):
 
 @query(f"WITH {_spans}, {_cites} SELECT citation_id, k.doc_id, span_id FROM k LEFT JOIN s ON k.doc_id = s.doc_id AND s.start_line <= k.end_line AND s.end_line >= k.start_line")
 def j3_overlap_join(spark, d):
-    return I.overlapping(_citations(spark, d), _windows(spark, d), "doc_id").select("r.citation_id", "r.doc_id", "s.span_id")
+    return I.overlapping(_citations(spark, d), _windows(spark, d), "doc_id", "citation_id").select("r.citation_id", "r.doc_id", "s.span_id")
 
 
 @query(f"""WITH {_win}, w2 AS (SELECT concat('/repo/src/f', doc_id % 50, '/m', doc_id, '.py') AS path, concat(doc_id, ':', chunk) AS chunk_id, start_line, end_line FROM c),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import merge as M
 from ..operators import report as R
 from ..operators import store as S
+from ..tables import written
 from .catalog import query, table
 
 _off = "o AS (SELECT event_id AS ordinal, concat(user_id, '/', event_type, '/', event_id % 7) AS dk, concat(user_id, '/', event_id % 5) AS dka FROM events WHERE event_id % 4 <> 0), st AS (SELECT concat('g', event_id) AS gr_id, concat(user_id, '/', event_type, '/', event_id % 7) AS dk, concat(user_id, '/', event_id % 5) AS dka FROM events WHERE event_id % 40 = 0)"
@@ -30,27 +31,36 @@ def _offers(spark, d):
     return rows.filter("event_id % 4 != 0").withColumnRenamed("event_id", "ordinal"), rows.filter("event_id % 40 = 0").select(F.concat(F.lit("g"), "event_id").alias("gr_id"), "dk", "dka")
 
 
-def _pairs(spark, d):
+def _stage_one(spark, d):
+    """Stage one, written once, and the stored rows."""
+    offers, stored = _offers(spark, d)
+    return written(M.outcomes(offers, stored)), stored
+
+
+def _cited_lines(spark, d):
+    """Citations of offers and stored rows, and what is near by meaning."""
     e = F.col("event_id")
     lines = table(spark, d, "events").select("event_id", F.concat(F.lit("f"), e % 97).alias("path"), (e * 7919 % 2000).alias("start_line"), (e * 7919 % 2000 + e % 3).alias("end_line"))
     cites, stored = lines.filter("event_id % 4 != 0").withColumnRenamed("event_id", "ordinal"), lines.filter("event_id % 40 = 0").withColumn("gr_id", F.concat(F.lit("g"), "event_id"))
     near = table(spark, d, "events").filter("event_id % 11 = 0 AND event_id % 4 != 0").select(e.alias("ordinal"), F.concat(F.lit("g"), (F.floor(e / 40) * 40).cast("string")).alias("other"), F.round(1 / (1 + e % 10 / 10.0), 6).alias("similarity"))
-    return M.merge_pairs(*_offers(spark, d), cites, stored, near)
+    return cites, stored, near
 
 
 @query(f"WITH {_out} SELECT ordinal, outcome, gr_ref FROM fin")
 def m3_merge_outcomes(spark, d):
-    return M.merge_outcomes(*_offers(spark, d), _pairs(spark, d))
+    found, _ = _stage_one(spark, d)
+    return M.merge_outcomes(found, M.second_stage(found, *_cited_lines(spark, d)))
 
 
 @query(f"WITH {_out} SELECT ordinal, other, reason, similarity FROM pr")
 def m3_pairs(spark, d):
-    return _pairs(spark, d)
+    found, stored = _stage_one(spark, d)
+    return M.merge_pairs(found, stored, *_cited_lines(spark, d))
 
 
 @query(f"WITH {_out} SELECT ordinal, other FROM dp")
 def m3_drift_pairs(spark, d):
-    return M.drift_pairs(*_offers(spark, d))
+    return M.drift_pairs(*_stage_one(spark, d))
 
 
 @query(f"WITH {_out} SELECT outcome, count(*) AS n FROM fin GROUP BY 1")

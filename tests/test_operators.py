@@ -226,9 +226,10 @@ def test_merge_outcomes_against_the_sequential_rule(spark):
         near = [(i, f"g{rng.randrange(4)}", 0.5) for i in rng.sample(range(40), 6)]
         o, s = spark.createDataFrame(offers, "ordinal long, dk string, dka string"), spark.createDataFrame(stored, "gr_id string, dk string, dka string")
         lines = "path string, start_line long, end_line long"
-        pairs = merge.merge_pairs(o, s, spark.createDataFrame(cites, f"ordinal long, {lines}"), spark.createDataFrame(stored_cites, f"gr_id string, {lines}"), spark.createDataFrame(near, "ordinal long, other string, similarity double")).cache()
+        found = merge.outcomes(o, s).cache()
+        pairs = merge.merge_pairs(found, s, spark.createDataFrame(cites, f"ordinal long, {lines}"), spark.createDataFrame(stored_cites, f"gr_id string, {lines}"), spark.createDataFrame(near, "ordinal long, other string, similarity double")).cache()
         want, want_pairs = naive_merge(offers, stored, cites, stored_cites, near)
-        got = {r.ordinal: (r.outcome, r.gr_ref) for r in merge.merge_outcomes(o, s, pairs).collect()}
+        got = {r.ordinal: (r.outcome, r.gr_ref) for r in merge.merge_outcomes(found, pairs).collect()}
         assert got == want and {(r.ordinal, r.other, r.reason) for r in pairs.collect()} == want_pairs
         assert {x for x, _ in got.values()} == {"merged", "new", "candidate"}
 
