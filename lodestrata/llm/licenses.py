@@ -15,7 +15,9 @@ gives an empty one; other columns may be kept by name.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -164,34 +166,54 @@ class LicenceScanner:
         return {"n_words": len(words), "base": sorted(base), "spans": spans}
 
     def _chains(self, sequence: int, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, float]]:
-        """Runs (end in the text, end in the template, length) in order of the text, as the spans of the best chains."""
-        out, size, todo = [], self.sizes[sequence], [(0, len(runs))]
-        while todo:
-            low, high = todo.pop()
-            if low >= high:
+        """Runs (end in the text, end in the template, length) in order of the text, as the spans of the best chains.
+
+        The chain that covers most is taken, then the best of what is left on either side. What it leaves on its left keeps its
+        chains; on its right only those are computed anew that came through what was taken, which are within a gap of it. So
+        the work grows with the runs, times those within a gap of one."""
+        size, n = self.sizes[sequence], len(runs)
+        covered, first, before, reach = [0] * n, [0] * n, [-1] * n, [0] * n
+        alive = bytearray(b"\1") * n
+
+        def extend(j: int, low: int) -> None:
+            """The best chain that ends with run j and has no run before low."""
+            at, end, length = runs[j]
+            covered[j], first[j], before[j] = length, at - length, -1
+            for i in range(max(low, reach[j]), j):  # what ends within the gap allowed; at most a template's worth of places each
+                a, e, _ = runs[i]
+                if a < at and e < end:
+                    gain = covered[i] + min(length, at - a, end - e)
+                    if gain > covered[j]:
+                        covered[j], first[j], before[j] = gain, first[i], i
+
+        ends = [at for at, _, _ in runs]
+        for j, (at, _, length) in enumerate(runs):
+            reach[j] = bisect_left(ends, at - length - size)
+            extend(j, 0)
+        heap, out = [(-c, j) for j, c in enumerate(covered)], []
+        heapify(heap)
+        while heap:
+            most, best = heappop(heap)
+            if not alive[best] or covered[best] != -most:
                 continue
-            covered, first, back = [0] * (high - low), [0] * (high - low), 0
-            for j in range(low, high):
-                at, end, length = runs[j]
-                covered[j - low], first[j - low] = length, at - length
-                while runs[back + low][0] < at - length - size:
-                    back += 1
-                for i in range(back + low, j):  # what ends within the gap allowed; at most a template's worth of places each
-                    a, e, _ = runs[i]
-                    if a < at and e < end:
-                        gain = covered[i - low] + min(length, at - a, end - e)
-                        if gain > covered[j - low]:
-                            covered[j - low], first[j - low] = gain, first[i - low]
-            best = max(range(high - low), key=lambda j: (covered[j], -j))
-            start, stop = first[best], runs[low + best][0]
+            start, stop = first[best], runs[best][0]
             out.append((self.labels[sequence], start, stop, covered[best], covered[best] / size))
-            todo += [(low, self._first(runs, low, high, lambda r: r[0] > start)), (self._first(runs, low, high, lambda r: r[0] - r[2] >= stop), high)]
+            low, high = best, best + 1
+            while low and alive[low - 1] and runs[low - 1][0] > start:
+                low -= 1
+            while high < n and alive[high] and runs[high][0] - runs[high][2] < stop:
+                high += 1
+            alive[low:high] = bytes(high - low)
+            changed, last, j = set(), high - 1, high
+            while j < n and alive[j] and ends[j] - 2 * size <= ends[last]:  # no run is longer than the template, nor a gap
+                if 0 <= before[j] < high or before[j] in changed:
+                    extend(j, high)
+                    changed.add(j)
+                    last = j
+                    heappush(heap, (-covered[j], j))
+                j += 1
         return sorted(out, key=lambda s: s[1])
 
-    @staticmethod
-    def _first(runs, low, high, test) -> int:
-        return next((j for j in range(low, high) if test(runs[j])), high)
-
 
 SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("matched", T.LongType()), T.StructField("score", T.DoubleType())])
 FIELDS = [
