@@ -2,9 +2,9 @@
 
 Two first-order models over the characters 33 to 126 are trained from labelled samples: random strings, and ordinary
 identifiers. A candidate is a secret if the mean log ratio of its transitions is over a threshold. Candidates are runs of
-LEAST or more key characters, and their parts of letters and digits (PART or more, both among them), so that a secret
-in a path or joined to a name is not averaged away; a part shorter than LEAST needs more (STRICT), and one in a run that
-counts is not told again. Training and scoring are DataFrame expressions: no Python runs on executors. The models are tables
+LEAST or more key characters, and parts of letters and digits (PART or more, both among them) of runs that do not count
+or are shorter, so that a secret in a path or joined to a name is not averaged away; a part shorter than LEAST needs more
+(STRICT). Parts are looked for run by run. Training and scoring are DataFrame expressions: no Python runs on executors. The models are tables
 of 94 x 94 ratios whatever the input; they become one constant array in the plan.
 
 Match offsets come from lengths: the text split at the matches gives what lies between them. The sums of lengths are
@@ -28,7 +28,6 @@ ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 #: Candidates for the models: shorter runs are not told apart well.
 LEAST = 20
-CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 KINDS = ("assign", "access", "hex", "random")
 BLOCK, SIZE, FIRST = 128, 94, 33
 #: Ordinary documents that the model is trained from, about; random strings made for it.
@@ -37,6 +36,7 @@ ORDINARY_DOCS, RANDOM_STRINGS = 400, 4000
 THRESHOLD = 0.5
 #: Least characters of a part of a run; the ratio from which one shorter than LEAST counts.
 PART, STRICT = 12, 1.5
+FIELD = f"[A-Za-z0-9+/_=-]{{{PART},}}"
 SEGMENT = f"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{{{PART},}}"
 
 
@@ -114,6 +114,22 @@ def ratio(token: Column, model: list[float]) -> Column:
     return let(codes, mean)
 
 
+def _random_spans(field: Column, model: list[float], threshold: float) -> Column:
+    """What is random in one run of key characters: the run itself if it is long enough and counts, else its parts that do. A
+    part lies in one run, so none is looked for among the others."""
+
+    def span(start: Column, end: Column, score: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"), F.lit(False).alias("base"), score.alias("score"))
+
+    def told(whole: Column) -> Column:
+        hits = F.transform(matches(field["match"], SEGMENT), lambda p: span(field["start"] + p["start"], field["start"] + p["end"], ratio(p["match"], model)))
+        parts = F.filter(hits, lambda s: s["score"] > F.when(s["end"] - s["start"] < LEAST, max(STRICT, threshold)).otherwise(threshold))
+        none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,score:double>>")
+        return F.when(whole > threshold, F.array(span(field["start"], field["end"], whole))).when(F.rlike(field["match"], F.lit(SEGMENT)), parts).otherwise(none)
+
+    return let(F.when(field["end"] - field["start"] >= LEAST, ratio(field["match"], model)), told)
+
+
 def scan_secrets(docs: DataFrame, model: list[float], keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """The columns in keep, and spans: array of (start, kind, end, base, score), by start, then kind as listed.
     kind is an index of KINDS; score is the mean log ratio of a candidate, null for base spans."""
@@ -126,12 +142,9 @@ def scan_secrets(docs: DataFrame, model: list[float], keep: tuple[str, ...] = ("
         return F.transform(rows, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(base).alias("base"), (score(s) if score else F.lit(None).cast("double")).alias("score")))
 
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.coalesce("text", F.lit("")).alias("txt"))
-    rows = rows.withColumns({"assigned": found(ASSIGN, ASSIGN_HINT), "access": found(ACCESS), "hexes": found(HEX), "runs": found(CANDIDATE), "parts": found(SEGMENT)})
+    rows = rows.withColumns({"assigned": found(ASSIGN, ASSIGN_HINT), "access": found(ACCESS), "hexes": found(HEX), "fields": found(FIELD)})
     assigned = F.filter("assigned", lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 1)) >= 12)
-    scored = lambda column: spans(F.col(column), 3, False, lambda s: ratio(s["match"], model))
-    rows = rows.withColumns({"runs": F.filter(scored("runs"), lambda s: s["score"] > threshold), "parts": F.filter(scored("parts"), lambda s: s["score"] > F.when(s["end"] - s["start"] < LEAST, max(STRICT, threshold)).otherwise(threshold))})
-    inside = lambda s: F.exists("runs", lambda r: (r["start"] <= s["start"]) & (s["end"] <= r["end"]))
-    more = F.concat("runs", F.filter("parts", lambda s: ~inside(s)))
+    more = F.flatten(F.transform("fields", lambda f: _random_spans(f, model, threshold)))
     every = F.array_sort(F.concat(spans(assigned, 0), spans(F.col("access"), 1), spans(F.col("hexes"), 2), more))
     return rows.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), every.alias("spans"))
 

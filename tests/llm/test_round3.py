@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 import xxhash
 from test_llm import SCHEMA, odd_rows
 
-from lodestrata.llm import fim, phrases, queries, simhash
+from lodestrata.llm import fim, licenses, phrases, queries, secrets, simhash
 from lodestrata.llm._common import work_folder
 
 SF = "/root/testdata/sf0.001"
@@ -273,3 +275,101 @@ def test_exact_scores_past_64_bits(spark):
 def test_collocation_query(spark):
     rows = [(r.lang, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert {tuple(r) for r in queries.op13_collocations(spark, SF).collect()} == brute_collocations(rows, 100)
+
+
+# --- long texts, and the contract's columns of the scans, from the patterns alone ------------------------------------------
+
+
+def test_licences_in_a_text_of_several_megabytes():
+    """Work grows with the excerpts: 10^5 of them take about five times what 2 * 10^4 take."""
+    scanner, rng, took = licenses.LicenceScanner(), random.Random(1), []
+    words = [licenses.words_of(t) for _, t in licenses.TEMPLATES]
+    for n in (20_000, 100_000):
+        out = []
+        for _ in range(n):
+            t = rng.choice(words)
+            i = rng.randrange(max(1, len(t) - 14))
+            out += t[i : i + 14] + ["zzz"] * rng.randrange(3)
+        began = time.process_time()
+        assert len(scanner.scan(" ".join(out))["spans"]) > n / 4
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 2 and took[1] < 60
+
+
+def test_secrets_in_a_text_of_several_megabytes(spark):
+    """Random keys in long runs that do not count as a whole: each is found, in time that grows with their number."""
+    rng, took = random.Random(2), []
+    model = secrets.train(secrets.labelled_samples(spark.read.parquet(f"{SF}/documents.parquet")))
+    for n in (10_000, 100_000):
+        keys = ["".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=24)) for _ in range(n)]
+        text = " ".join(keys)
+        began = time.time()
+        (row,) = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+        took.append(time.time() - began)
+        assert sum(not s.base for s in row.spans) > 0.95 * n
+    assert took[1] < 15 * took[0] + 5 and took[1] < 120
+
+
+def spans_digest(found):
+    return sha(",".join(f"{k}:{a}:{b}" for k, a, b in found))
+
+
+def luhn(digits):
+    total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits))))
+    return total % 10 == 0
+
+
+def base_secrets(text):
+    assign = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 12]
+    access = [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return assign, access, [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+
+
+def base_pii(text):
+    email = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    ip = [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    card = [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    return email, ip, card, [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
+
+
+def test_scan_queries_give_the_contracts_columns(spark):
+    """op7, op8 and op9: counts, digests and places of the base, by Python's patterns."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op7_secrets(spark, SF).collect():
+        kinds = base_secrets(texts[r.doc_id])
+        order = {"assign": 0, "access": 1, "hex": 2}
+        found = sorted((x for k in kinds for x in k), key=lambda x: (x[1], order[x[0]]))
+        assert [r.n_assign, r.n_access, r.n_hex] == [len(k) for k in kinds] and r.base_sha256 == spans_digest(found)
+        assert {f"{k}:{a}:{b}" for k, a, b in found} <= set(r.spans.split(","))
+    for r in queries.op9_pii(spark, SF).collect():
+        kinds = base_pii(texts[r.doc_id])
+        found = [x for k in kinds for x in k]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(k) for k in kinds] and r.base_sha256 == spans_digest(found)
+        assert {f"{k}:{a}:{b}" for k, a, b in found} <= set(r.spans.split(","))
+    phrases_ = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    for r in queries.op8_licenses(spark, SF).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id]))
+        places = sorted((i, label) for p, label in phrases_.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        want = (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})))
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
+
+
+def test_other_queries_give_a_row_or_more_for_every_document(spark):
+    """op1, op3 to op6 and op10 run over the whole table; their values are held against brute force by their operators' tests."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids, held = {r.doc_id for r in docs.collect()}, {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs.collect()}
+    for query in (queries.op1_packing, queries.op4_ngram_join, queries.op5_byte_bpe, queries.op6_media, queries.op10_exact_dedup):
+        assert {r.doc_id for r in query(spark, SF).select("doc_id").collect()} == ids
+    assert {r.doc_id: r.held_out for r in queries.op3_language(spark, SF).collect()} == held
+    pieces = queries.op1_packing(spark, SF).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append((p.start, p.length, p.doc_tokens))
+        by_sequence[p.sequence_id].append((p.offset, p.length))
+    for cuts in by_doc.values():
+        cuts.sort()
+        assert [c[0] for c in cuts] == [sum(x[1] for x in cuts[:i]) for i in range(len(cuts))] and sum(c[1] for c in cuts) == cuts[0][2]
+    for cuts in by_sequence.values():
+        cuts.sort()
+        assert [c[0] for c in cuts] == [sum(x[1] for x in cuts[:i]) for i in range(len(cuts))] and sum(c[1] for c in cuts) <= 2048
