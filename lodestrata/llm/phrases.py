@@ -17,8 +17,9 @@ of phrases: a phrase is a row only when its sum is known.
 Then candidates are scored at their lowest-scoring cut, and dropped if a longer candidate that holds them is as
 frequent. These are joins of the table of frequent runs.
 
-The texts are stored once with the number of their group; a group has about GROUP bytes of text, or one long text. The
-first pass reads them as they lie; only the second deals them, to bring each group together with its answers.
+The texts are stored once, compressed, a row for each language of a group; a group has about GROUP bytes of text, or one
+long text. The first pass reads them as they lie; only the second deals them, to bring each group together with its
+answers.
 
 Defined results: a null text counts as empty, a null language as und; repeated rows count each; a table without frequent
 phrases gives no rows; other columns are ignored.
@@ -68,18 +69,21 @@ class Words(dict):
         return n
 
 
-def numbered(texts: list[str], words: Words) -> np.ndarray:
-    """The numbers of all words of the texts, and 0 where a piece ends (after each text, too)."""
-    out = []
-    for text in texts:
-        data, low = (text or "").encode("utf-8", "surrogatepass").lower().translate(_table) + b"\n", 0
-        while low < len(data):  # long texts in slices that end between words
-            ends = [x for x in (data.find(b" ", low + SLICE), data.find(b"\n", low + SLICE)) if x >= 0]
-            high = min(ends, default=len(data) - 1) + 1
-            tokens = data[low:high].replace(b"\n", b" \n ").split(b" ")
-            out.append(np.fromiter((words[t] for t in tokens if t), np.int32))
-            low = high
-    return np.concatenate(out) if out else np.zeros(0, np.int32)
+def plain(texts: list[str]) -> bytes:
+    """Texts as bytes with a-z for A-Z, line ends where pieces end (after each text, too) and spaces between words."""
+    return b"".join([t.encode("utf-8", "surrogatepass").lower().translate(_table) + b"\n" for t in texts])
+
+
+def numbered(data: bytes, words: Words) -> np.ndarray:
+    """The numbers of all words of plain texts, and 0 where a piece ends."""
+    out, low = [np.zeros(0, np.int32)], 0
+    while low < len(data):  # in slices that end between words
+        ends = [x for x in (data.find(b" ", low + SLICE), data.find(b"\n", low + SLICE)) if x >= 0]
+        high = min(ends, default=len(data) - 1) + 1
+        tokens = data[low:high].replace(b"\n", b" \n ").split(b" ")
+        out.append(np.fromiter((words[t] for t in tokens if t), np.int32))
+        low = high
+    return np.concatenate(out)
 
 
 def word_hashes(words: Words, language: str) -> np.ndarray:
@@ -111,13 +115,6 @@ def starts_of(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]
         yield n, at
 
 
-def by_language(langs: list[str], texts: list[str]) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for lang, text in zip(langs, texts, strict=True):
-        out.setdefault(lang, []).append(text)
-    return out
-
-
 def squeezed(data: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(data).tobytes(), "zstd", asbytes=True)
 
@@ -138,19 +135,31 @@ def unpacked_cells(first: int, steps: bytes, n: int) -> np.ndarray:
 
 
 def _dealt(most: int):
-    """Adds grp: the group of each text, about most bytes each, rows of one group one after the other."""
+    """grp, lang, n, said: groups of texts of about most bytes, in one compressed row for each language of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, filled = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            size = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
-            ends = filled + np.cumsum(size, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part + (ends - size) // most)], names=["lang", "text", "grp"])
-            filled = int(ends[-1]) if len(ends) else filled
+        group, filled, held = TaskContext.get().partitionId() << 32, 0, {}
+
+        def rows() -> pa.RecordBatch:
+            data = {lang: b"".join(said) for lang, said in held.items()}
+            return pa.RecordBatch.from_arrays(_rows([(group, lang, len(d), pa.compress(d, "zstd", asbytes=True)) for lang, d in data.items()], TEXTS), schema=TEXTS)
+
+        for batch in batches:
+            for part in small(batch, most):
+                for lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    held.setdefault(lang, []).append(plain([text]))
+                    filled += len(held[lang][-1])
+                    if filled >= most:
+                        yield rows()
+                        group, filled = group + 1, 0
+                        held.clear()
+        if held:
+            yield rows()
 
     return run
 
 
+TEXTS = pa.schema([("grp", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("said", pa.binary())])
 SKETCH = pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("steps", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())])
 ANSWER = pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("steps", pa.binary())])
 COUNTS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("phrase", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
@@ -164,9 +173,9 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
 def _sketch(bits: int, longest: int):
     """A group's sketch: of each row and block the cells that are not empty, which of them hold several, and how many."""
 
-    def one(group: int, langs: list[str], texts: list[str]) -> pa.RecordBatch:
+    def one(group: int, texts: list[tuple[str, bytes]]) -> pa.RecordBatch:
         found, out = [np.zeros(0, np.uint64)], []
-        for lang, said in by_language(langs, texts).items():
+        for lang, said in texts:
             words = Words()
             ids = numbered(said, words)
             hashes = word_hashes(words, lang)[ids]
@@ -185,18 +194,16 @@ def _sketch(bits: int, longest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A group that a reader cuts in two gives two sketches, which are added like any others.
-        group, langs, texts = None, [], []
+        group, texts = None, []
         for batch in batches:
-            for part in small(batch, GROUP):
-                for lang, text, g in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if g != group and texts:
-                        yield one(group, langs, texts)
-                        langs, texts = [], []
-                    group = g
-                    langs.append(lang)
-                    texts.append(text)
+            for g, lang, n, said in zip(*batch.columns, strict=True):
+                if g.as_py() != group and texts:
+                    yield one(group, texts)
+                    texts = []
+                group = g.as_py()
+                texts.append((lang.as_py(), pa.decompress(said.as_buffer(), n.as_py(), "zstd", asbytes=True)))
         if texts:
-            yield one(group, langs, texts)
+            yield one(group, texts)
 
     return run
 
@@ -248,7 +255,7 @@ class Survivors:
 def _count(bits: int, longest: int, buckets: int):
     """A group's exact counts of the runs that survive (the empty phrase: all its words), in lists by bucket."""
 
-    def counted(lang: str, said: list[str], alive: list[Survivors]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    def counted(lang: str, said: bytes, alive: list[Survivors]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
         """bucket, phrase, f of a language's runs, a size at a time."""
         words = Words()
         ids = numbered(said, words)
@@ -284,8 +291,9 @@ def _count(bits: int, longest: int, buckets: int):
         found = []
         for group in pc.unique(texts.column("grp")).to_pylist():  # neighbours, one after the other; what they count is added up here
             alive, rows = alive_in(answers, group), texts.filter(pc.equal(texts.column("grp"), group))
-            for lang, said in by_language(rows.column("lang").to_pylist(), rows.column("text").to_pylist()).items():
-                for bucket, phrase, f in counted(lang, said, alive):
+            for lang, n, said in zip(*(rows.column(c) for c in ("lang", "n", "said")), strict=True):
+                lang = lang.as_py()
+                for bucket, phrase, f in counted(lang, pa.decompress(said.as_buffer(), n.as_py(), "zstd", asbytes=True), alive):
                     found.append(pa.table({"bucket": bucket, "lang": pa.array([lang] * len(f), pa.string()), "phrase": pa.array(phrase, pa.string()), "f": f.astype(np.int64)}))
         total = pa.concat_tables(found).group_by(["bucket", "lang", "phrase"]).aggregate([("f", "sum")]).sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
         bucket, lang = total.column("bucket").to_numpy(), total.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -319,7 +327,7 @@ def frequent_runs(docs: DataFrame, folder: str, least: int = LEAST, longest: int
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits, buckets = max(21, int(size // DENSITY).bit_length()), max(spark.sparkContext.defaultParallelism, size // GROUP // 8)
-    texts = materialise(rows.mapInArrow(_dealt(GROUP), "lang string, text string, grp long"), f"{folder}/texts")
+    texts = materialise(rows.mapInArrow(_dealt(GROUP), "grp long, lang string, n long, said binary"), f"{folder}/texts")
     sketches = texts.mapInArrow(_sketch(bits, longest), "grp long, row int, block long, first long, n long, steps binary, many binary, counts binary")
     answers = materialise(sketches.groupBy("row", "block").applyInArrow(_merge(least), "grp long, row int, first long, n long, steps binary"), f"{folder}/answers")
     near = F.shiftright("grp", NEAR)

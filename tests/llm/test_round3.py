@@ -260,7 +260,7 @@ def test_collocations_of_odd_and_no_rows(spark, odd):
 def test_words_of_a_text_longer_than_a_slice():
     text = "Alpha beta, " * 400_000 + "y" * 3_000_000 + " end"
     words = phrases.Words()
-    ids = phrases.numbered([text, "beta"], words)
+    ids = phrases.numbered(phrases.plain([text, "beta"]), words)
     names = list(words)
     assert Counter(names[i] for i in ids.tolist()) == {b"alpha": 400_000, b"beta": 400_001, b"\n": 400_002, b"y" * 3_000_000: 1, b"end": 1}
 
