@@ -47,11 +47,11 @@ UNKNOWN = "und"
 #: Words of a phrase; least frequency; phrases a language; per cent of a candidate's frequency from which a longer one subsumes it.
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Neighbouring groups (2 to the power of) that are counted together.
-NEAR = 2
+NEAR = 3
 #: Languages up to which their totals are sent to all tasks.
 LANGUAGES = 100_000
 #: Rows of a sketch; cells of a block; bytes of text a group, and a cell; bytes that are cut into words at a time.
-ROWS, BLOCK, GROUP, DENSITY, SLICE = 2, 1 << 21, 6_000_000, 32, 1 << 20
+ROWS, BLOCK, GROUP, DENSITY, SLICE = 2, 1 << 21, 6_000_000, 64, 1 << 20
 
 _table = bytes(ord("\n") if c in BREAKS else ord(" ") if c in GAPS else c for c in range(256))
 _weights = np.random.default_rng(13).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
