@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import postings as P
 from ..operators import search as S
+from ..tables import work_folder
 from .catalog import busy_table, query, table
 
 _tok = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -65,6 +67,23 @@ def r3_keyword_search(spark, d):
     return S.keyword_search(busy_table(spark, d, "documents"), '(the AND and) AND th* NOT "of the"', 20, ["en", "de"], state="lang")
 
 
+_units = f"""WITH w AS (SELECT doc_id, {_tok} AS w FROM documents),
+    c AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: starts_with(x, 'th'))) AS f0, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS f1,
+        len(list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('by', 'for') AND list_contains(w[i:i + 4], 'by') AND list_contains(w[i:i + 4], 'for'))) AS f2, len(list_filter(w, lambda x: x = 'hablees')) AS f3 FROM w),
+    s AS (SELECT count(*) AS n, avg(len) AS avgdl, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1, count(*) FILTER (f2 > 0) AS n2 FROM c),
+    i AS (SELECT *, greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 0) AS i0, greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 0) AS i1, greatest(ln((n - n2 + 0.5) / (n2 + 0.5)), 0) AS i2, 1.2 * (1 - 0.75 + 0.75 * len / avgdl) AS k FROM c, s WHERE f0 > 0 AND (f1 > 0 OR f2 > 0) AND f3 = 0),
+    b AS (SELECT doc_id, round(CASE WHEN i0 = 0 THEN 1e-6 ELSE i0 END * (f0 * 2.2) / (f0 + k) + CASE WHEN i1 = 0 THEN 1e-6 ELSE i1 END * (f1 * 2.2) / (f1 + k) + CASE WHEN i2 = 0 THEN 1e-6 ELSE i2 END * (f2 * 2.2) / (f2 + k), 6) AS score FROM i)
+    SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY rank LIMIT 40"""
+
+
+@query(_units)
+def r3_stored_index(spark, d):
+    """A prefix, a phrase, nearness and a column filter, matched and ranked from an index that is written once."""
+    folder = work_folder(spark)
+    P.write_index(busy_table(spark, d, "documents"), folder)
+    return P.search_index(spark, folder, 'th* AND ("of the" OR NEAR(by for, 3)) NOT text:hablees', 40).withColumnRenamed("key", "doc_id")
+
+
 @query(f"WITH w AS (SELECT doc_id, {_tok} AS w FROM documents) SELECT doc_id FROM w WHERE len(list_filter(w, lambda x: starts_with(x, 'tion'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'ever'))) = 0 AND len(list_filter(w, lambda x: starts_with(x, 'the'))) > 0")
 def r4_prefix_and(spark, d):
     found = S.prefix_and(busy_table(spark, d, "documents"), ["tion", "the"])
