@@ -73,13 +73,17 @@ def language(path: Column) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """A path glob as a regular expression: ** crosses folders, * and ? do not; without a slash it matches in any folder."""
+    """A path glob as a regular expression: ** crosses folders, *, ? and [classes] do not; without a slash it matches in any
+    folder. A bracket that is not closed is a letter."""
     out, i, g = "", 0, glob.lstrip("/")
     while i < len(g):
         if g[i : i + 3] == "**/":
             out, i = out + "(?:.*/)?", i + 3
         elif g[i : i + 2] == "**":
             out, i = out + ".*", i + 2
+        elif g[i] == "[" and (end := g.find("]", i + 2)) > 0:
+            negated = g[i + 1] in "!^" and end > i + 2
+            out, i = out + f"(?!/)[{'^' * negated}{re.sub(r'([\\[^&])', r'\\\1', g[i + 1 + negated : end])}]", end + 1
         else:
             out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(g[i], re.escape(g[i])), i + 1
     anywhere = "" if "/" in glob.rstrip("/") else "(?:.*/)?"

@@ -138,6 +138,8 @@ def export_jsonl(parents: DataFrame, children: DataFrame, key: str, order: list[
 def run_coverage(runs: DataFrame, key: str, payload: str) -> DataFrame:
     """key, not_accounted_for, complete of extractor payloads (JSON): the whole number under coverage.uncovered, null where it
     is none or coverage was skipped; complete only if it is measured and 0."""
-    coverage = F.from_json(payload, "coverage struct<uncovered:string,skipped:boolean>")["coverage"]
-    n = F.when(~F.coalesce(coverage["skipped"], F.lit(False)) & coverage["uncovered"].rlike("^-?[0-9]+$"), coverage["uncovered"].cast("long"))
+    said = F.try_parse_json(payload)
+    number = F.schema_of_variant(F.try_variant_get(said, "$.coverage.uncovered", "variant")) == "BIGINT"  # a text of digits is no number
+    skipped = F.coalesce(F.try_variant_get(said, "$.coverage.skipped", "boolean"), F.lit(False))
+    n = F.when(~skipped & number, F.try_variant_get(said, "$.coverage.uncovered", "long"))
     return runs.select(key, n.alias("not_accounted_for"), F.coalesce(n == 0, F.lit(False)).alias("complete"))

@@ -46,10 +46,11 @@ def filtered(df: DataFrame, limit: int | None = None, order: str | None = None,
 
 
 def by_name(df: DataFrame, column: str, name: str, key: str, limit: int = 50) -> DataFrame:
-    """Rows with exactly that name; only if there are none, those that contain it, whatever the case."""
+    """Rows with exactly that name; only if there are none, those that contain it, whatever the case; % and _ in it stand for
+    any characters and for any one."""
     exact = df.filter(F.col(column) == name)
     some = exact.limit(1).select(F.lit(1).alias("one"))
-    like = df.filter(F.lower(F.col(column)).contains(name.lower())).join(F.broadcast(some), F.lit(True), "left_anti")
+    like = df.filter(F.lower(F.col(column)).like("%" + name.lower().replace("\\", "\\\\") + "%")).join(F.broadcast(some), F.lit(True), "left_anti")
     return exact.unionByName(like).orderBy(column, key).limit(limit)
 
 

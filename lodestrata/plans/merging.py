@@ -159,9 +159,9 @@ def m14_statement(spark, d):
 
 @query("SELECT event_id, CASE WHEN event_type <> 'view' AND event_id % 3 = 0 THEN event_id % 4 END AS not_accounted_for, coalesce(event_type <> 'view' AND event_id % 3 = 0 AND event_id % 4 = 0, false) AS complete FROM events")
 def m15_run_coverage(spark, d):
-    """Payloads with a whole number, a text or nothing as uncovered, some of them skipped."""
+    """Payloads with a whole number, a text (of digits, too) or nothing as uncovered, some of them skipped."""
     e = F.col("event_id")
-    payload = F.when(e % 3 == 0, F.format_string('{"coverage": {"uncovered": %d, "skipped": %s}}', e % 4, F.when(F.col("event_type") == "view", "true").otherwise("false"))).when(e % 3 == 1, '{"coverage": {"uncovered": "many"}}')
+    payload = F.when(e % 3 == 0, F.format_string('{"coverage": {"uncovered": %d, "skipped": %s}}', e % 4, F.when(F.col("event_type") == "view", "true").otherwise("false"))).when(e % 6 == 1, '{"coverage": {"uncovered": "many"}}').when(e % 6 == 4, '{"coverage": {"uncovered": "5"}}')
     return M.run_coverage(table(spark, d, "events").select("event_id", payload.alias("payload")), "event_id", "payload")
 
 

@@ -42,10 +42,10 @@ def _vector(vectors, where=None):
     return S.ranked(found, [F.col("dist"), F.col("vec_id")], 40).withColumnRenamed("vec_id", "doc_id")
 
 
-@query(f"SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9_]+')[1:12], ' ') AS cleaned, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS BIGINT) AS n, CAST(len(list_distinct({_tok})) AS BIGINT) AS n_distinct FROM documents")
+@query(f"SELECT doc_id, array_to_string(regexp_extract_all(text, '[\\pL\\pM\\pN_]+'), ' ') AS cleaned, CAST(len(regexp_extract_all(text, '[\\pL\\pM\\pN_]+')) AS BIGINT) AS n, CAST(len(list_distinct({_tok})) AS BIGINT) AS n_distinct FROM documents")
 def r1_query_tokens(spark, d):
-    found = F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(found, 1, 12), " ").alias("cleaned"), F.size(found).cast("long").alias("n"), F.size(F.array_distinct(X.tokens(F.col("text")))).cast("long").alias("n_distinct"))
+    found = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))  # words of all scripts
+    return table(spark, d, "documents").select("doc_id", F.array_join(found, " ").alias("cleaned"), F.size(found).cast("long").alias("n"), F.size(F.array_distinct(X.tokens(F.col("text")))).cast("long").alias("n_distinct"))
 
 
 @query(f"WITH {_bm} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY rank LIMIT 40")
