@@ -124,17 +124,36 @@ def identifier(name: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(name, r"\."), -1), r'^[\["`]+|[\]"`]+$', "")
 
 
+CUT = "\x00"
+
+
 def places(text: Column, pattern: str | Column) -> Column:
-    """array of (start, end, match) of a pattern's matches, in code points, for short texts; matches must not be empty."""
+    """array of (start, end, match) of a pattern's matches, in code points; matches must not be empty. A text without any
+    costs one test. Ends are running sums over blocks of matches, so that many matches in a text cost little more each."""
     wanted = F.lit(pattern) if isinstance(pattern, str) else pattern
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     hits = F.regexp_extract_all(text, wanted, F.lit(0))
-    pairs = F.arrays_zip(F.transform(F.split(text, wanted, -1), F.char_length).alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    # split() compiles its pattern for each row, but not one of a single character
+    gaps = F.when(F.contains(text, F.lit(CUT)), F.split(text, wanted, -1)).otherwise(F.split(F.regexp_replace(text, wanted, F.lit(CUT)), CUT, -1))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct((F.char_length(g) + F.char_length(h)).alias("step"), F.char_length(h).alias("long"), h.alias("match")))
+    return F.when(F.rlike(text, wanted), _let(pairs, _placed)).otherwise(none)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _placed(pairs: Column) -> Column:
+    """Places of (step from the last match's end to this one's, length, match)."""
+    block = 64
+    total = lambda first, n: F.aggregate(F.slice(pairs, first, n), F.lit(0), lambda s, p: s + p["step"])
+    sums = F.transform(F.sequence(F.lit(0), ((F.size(pairs) - 1) / block).cast("int")), lambda b: total(b * block + 1, F.lit(block)))
+    before = F.aggregate(sums, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
 
-    def step(acc, p):
-        a = acc["at"] + F.coalesce(p["gap"], F.lit(0))
-        b = a + F.char_length(p["hit"])
-        one = F.array(F.struct(a.alias("start"), b.alias("end"), p["hit"].alias("match")))
-        return F.struct(F.coalesce(b, a).alias("at"), F.when(p["hit"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def one(before, p, i):
+        b = (i / block).cast("int")
+        end = F.get(before, b) + total(b * block + 1, i % block + 1)
+        return F.struct((end - p["long"]).alias("start"), end.alias("end"), p["match"].alias("match"))
 
-    return F.coalesce(F.aggregate(pairs, start, step)["out"], F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    return _let(before, lambda before: F.transform(pairs, lambda p, i: one(before, p, i)))

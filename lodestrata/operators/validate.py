@@ -174,7 +174,7 @@ def leak_places() -> Column:
     """Places of technical terms: the row's own terms of three characters or more, shapes of code, and words of frameworks;
     none within a value that may be a literal."""
     quoted = lambda t: F.concat(F.lit(r"(?U)\b\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-    own = F.flatten(F.transform(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.char_length(t) >= 3), lambda t: _all(quoted(t))))
+    own = F.flatten(F.transform(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.char_length(t) >= 3), lambda t: F.when(F.contains(F.col("text"), t), _all(quoted(t))).otherwise(_none())))
     found = F.array_sort(F.array_distinct(F.concat(own, *(_all(UNICODE + p) for p in CODE_SHAPES), _all(terms_pattern(FRAMEWORK)))))
     free = F.when(F.col("pattern").isin("D-CONST", "D-INFER"), F.col("value"))
     return F.filter(found, lambda p: ~F.coalesce((free["start"] <= p["start"]) & (p["end"] <= free["end"]), F.lit(False)))
@@ -256,7 +256,7 @@ def validate(rows: DataFrame, key: str) -> DataFrame:
 
 def keywords(rows: DataFrame, key: str) -> DataFrame:
     """key, keyword, keyword_class, kind, span of the modal keywords; a pair (may ... only) has two spans, comma-joined."""
-    rows = read(rows.select(key, *COLUMNS)).select(key, F.explode("marks").alias("m"))
+    rows = read(rows.select(key, *COLUMNS)).select(key, F.explode_outer("marks").alias("m")).filter("m IS NOT NULL")  # outer: see validate
     dash = lambda a, b: F.concat_ws("-", F.col(a).cast("string"), F.col(b).cast("string"))
     span = F.when(F.col("m.gap_end").isNotNull(), F.concat_ws(",", dash("m.start", "m.gap_start"), dash("m.gap_end", "m.end"))).otherwise(dash("m.start", "m.end"))
     return rows.select(key, F.col("m.word").alias("keyword"), F.col("m.cls").alias("keyword_class"), "m.kind", span.alias("span"))
@@ -266,13 +266,13 @@ def slots(rows: DataFrame, key: str) -> DataFrame:
     """key, slot, span, words, unsure of the slots of each statement that are filled; unsure if no template applies."""
     rows = read(rows.select(key, *COLUMNS))
     filled = F.array(*(F.struct(F.lit(s).alias("slot"), F.col(s).alias("p")) for s in ("subject", "condition", "action", "value")))
-    rows = rows.select(key, "text", "sure", F.explode(F.filter(filled, lambda x: x["p"].isNotNull())).alias("s"))
+    rows = rows.select(key, "text", "sure", F.explode_outer(F.filter(filled, lambda x: x["p"].isNotNull())).alias("s")).filter("s IS NOT NULL")
     return rows.select(key, "s.slot", _span(F.col("s.p")).alias("span"), F.substring(F.col("text"), F.col("s.p.start") + 1, F.col("s.p.end") - F.col("s.p.start")).alias("words"), (~F.col("sure")).alias("unsure"))
 
 
 def leaks(rows: DataFrame, key: str) -> DataFrame:
     """key, span, words of the technical terms in each statement."""
-    rows = read(rows.select(key, *COLUMNS)).select(key, "text", F.explode(leak_places()).alias("p"))
+    rows = read(rows.select(key, *COLUMNS)).select(key, "text", F.explode_outer(leak_places()).alias("p")).filter("p IS NOT NULL")
     return rows.select(key, _span(F.col("p")).alias("span"), F.substring(F.col("text"), F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("words"))
 
 
