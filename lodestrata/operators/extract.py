@@ -1,9 +1,7 @@
-"""Extraction: regular expressions by line, facts, citations, slices and SQL table definitions."""
+"""Extraction: regular expressions by line, facts, citations and slices."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,53 +74,3 @@ def citations(rows: DataFrame, key: str, raw: str, strict: bool = False) -> Data
     start = F.when(F.col("p").isNull(), 1).otherwise(a.cast("long"))
     end = F.when(F.col("p").isNull(), WHOLE_FILE).otherwise(F.coalesce(F.nullif(b, F.lit("")), a).cast("long"))
     return e.select(key, "path", start.cast("long").alias("start_line"), end.cast("long").alias("end_line"))
-
-
-_noise = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", re.S)
-_create = re.compile(r"\bCREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([^\s(]+)\s*\(", re.I)
-_constraint = re.compile(r"^\s*(?:CONSTRAINT|PRIMARY|FOREIGN|UNIQUE|CHECK|KEY|INDEX)\b", re.I)
-
-
-def _plain(name: str) -> str:
-    return name.split(".")[-1].strip('[]"`')
-
-
-def parse_ddl(ddl: str | None) -> list[tuple[str, str, str, bool, bool, str | None]]:
-    """(table, column, type, not null, primary key, referenced table) of each column in CREATE TABLE statements."""
-    text = _noise.sub(lambda m: " " * len(m[0]), ddl or "")
-    out = []
-    for m in _create.finditer(text):
-        depth, part, parts = 1, [], []
-        for c in text[m.end() :]:
-            depth += (c == "(") - (c == ")")
-            if depth == 0:
-                break
-            if c == "," and depth == 1:
-                parts.append("".join(part))
-                part = []
-            else:
-                part.append(c)
-        for p in [*parts, "".join(part)]:
-            if _constraint.match(p) or not (found := re.match(r'\s*("[^"]+"|\[[^\]]+\]|`[^`]+`|\S+)\s+(\w+(?:\s*\([^)]*\))?)', p)):
-                continue
-            ref = re.search(r"\bREFERENCES\s+([^\s(]+)", p, re.I)
-            out.append((_plain(m[1]), _plain(found[1]), found[2], bool(re.search(r"\bNOT\s+NULL\b", p, re.I)), bool(re.search(r"\bPRIMARY\s+KEY\b", p, re.I)), _plain(ref[1]) if ref else None))
-    return out
-
-
-def sql_columns(files: DataFrame, key: str, ddl: str) -> DataFrame:
-    """key, table_name, column_name, data_type, not_null, is_primary, refers_to of the columns in SQL definitions."""
-    import pandas as pd
-
-    from ..shipping import ship
-
-    ship(files.sparkSession)
-    names = ["table_name", "column_name", "data_type", "not_null", "is_primary", "refers_to"]
-
-    def run(batches):
-        for b in batches:
-            rows = [(k, *x) for k, t in zip(b[key], b[ddl], strict=True) for x in parse_ddl(t)]
-            yield pd.DataFrame(rows, columns=[key, *names])
-
-    kind = files.schema[key].dataType.simpleString()
-    return files.select(key, ddl).mapInPandas(run, f"{key} {kind}, table_name string, column_name string, data_type string, not_null boolean, is_primary boolean, refers_to string")

@@ -1,10 +1,7 @@
-"""Extraction from code and XML by pattern: definitions with containers, inheritance, types, and XML dialects."""
+"""Extraction from code by pattern: definitions with containers, inheritance and types."""
 
 from __future__ import annotations
 
-import re
-import xml.parsers.expat
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,55 +63,3 @@ def type_refs(files: DataFrame, key: str) -> DataFrame:
     own = F.create_map(*(x for k, v in PRIMITIVES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     rows = rows.select(key, "language", "line", "f.predicate", names.alias("type"))
     return rows.filter(~F.coalesce(F.array_contains(own[F.col("language")], F.col("type")), F.lit(False))).drop("language")
-
-
-def parse_xml(text: str | None) -> list[tuple[str, str, str, int]]:
-    """(predicate, subject, object, line) of a mapping, flow or bean file, by its root element; nothing of other or broken ones."""
-    out, stack, root = [], [], []
-    parser = xml.parsers.expat.ParserCreate()
-
-    def opened(tag, attrs):
-        tag = tag.split(":")[-1]
-        root.append(tag)
-        subject = next((s for s in reversed(stack) if s), "")
-        name = attrs.get("name") or attrs.get("id") or ""
-        line = parser.CurrentLineNumber
-        if root[0] == "hibernate-mapping":
-            if tag == "class":
-                out.append(("maps_to", attrs.get("name", ""), attrs.get("table", ""), line))
-            elif tag in ("property", "id"):
-                out.append(("has_column", subject, attrs.get("column") or name, line))
-            elif tag in ("many-to-one", "one-to-many", "one-to-one"):
-                out.append(("associates", subject, attrs.get("class", ""), line))
-        elif root[0] == "flow":
-            if tag == "transition" and attrs.get("to"):
-                out.append(("transitions_to", subject, attrs["to"], line))
-            elif tag == "subflow-state":
-                out.append(("invokes_subflow", name, attrs.get("subflow", ""), line))
-        elif root[0] == "beans":
-            if tag == "bean":
-                out.append(("instantiates", name, attrs.get("class", ""), line))
-            elif attrs.get("ref"):
-                out.append(("references", subject, attrs["ref"], line))
-        stack.append(name if tag != "property" else "")
-
-    parser.StartElementHandler, parser.EndElementHandler = opened, lambda _: stack.pop()
-    try:
-        parser.Parse(re.sub(r"<!DOCTYPE[^>]*>", "", text or ""), True)
-    except xml.parsers.expat.ExpatError:
-        return []
-    return out
-
-
-def xml_facts(files: DataFrame, key: str) -> DataFrame:
-    import pandas as pd
-
-    from ..shipping import ship
-
-    ship(files.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame([(k, *x) for k, t in zip(b[key], b["text"], strict=True) for x in parse_xml(t)], columns=[key, "predicate", "subject", "object", "line"])
-
-    return files.select(key, "text").mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, predicate string, subject string, object string, line long")

@@ -161,13 +161,6 @@ def ex4_facts_by_intent(spark, d):
     return E.facts(table(spark, d, "pages"), "page_id", "html", "<([a-z0-9]+)[ >]", intents)
 
 
-@query()
-def ex5_sql_columns(spark, d):
-    """DDL made from part: one table a brand, found again as columns and foreign keys."""
-    ddl = F.format_string("-- %s, x INT\nCREATE TABLE [dbo].[t_%d] (id INT PRIMARY KEY, \"name\" VARCHAR(10, 2) NOT NULL, /* c INT, */ ref_id INT REFERENCES other(id), CHECK (id > 0));", "p_name", "p_partkey")
-    return E.sql_columns(table(spark, d, "part").select("p_partkey", ddl.alias("ddl")), "p_partkey", "ddl")
-
-
 @query("""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '~~', 'g') AS t, n_chars % 5 AS k FROM documents), l AS (SELECT *, string_split(t, chr(10)) AS l FROM t)
     SELECT doc_id, CASE WHEN k = 0 AND length(t) >= 20 THEN substr(t, 1, 20) WHEN k IN (0, 1) AND len(l) >= 2 THEN array_to_string(l[1:2], chr(10)) WHEN k = 2 THEN l[1] WHEN k = 3 AND len(l) >= 3 THEN array_to_string(l[2:3], chr(10)) END AS entity FROM l""")
 def m17_entity_body(spark, d):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
-from lodestrata.operators import domains, extract, graph, intervals, markup, merge, provenance, report, search, store, validate
+from lodestrata.operators import ddl, dialects, domains, extract, graph, intervals, markup, merge, provenance, report, search, store, validate
 from lodestrata.sources import files
 from lodestrata.streaming import incremental
 
@@ -377,9 +377,10 @@ def test_domains_in_a_column_fail_if_they_are_no_json(spark):
 
 
 def test_ddl_and_citations(spark):
-    ddl = "CREATE TABLE [dbo].[t] (id INT PRIMARY KEY, -- c INT,\n \"na me\" DECIMAL(10, 2) NOT NULL, r INT REFERENCES x.other(id), CONSTRAINT k CHECK (id > 0)); CREATE TABLE IF NOT EXISTS u (a text"
-    assert extract.parse_ddl(ddl) == [("t", "id", "INT", False, True, None), ("t", "na me", "DECIMAL(10, 2)", True, False, None), ("t", "r", "INT", False, False, "other"), ("u", "a", "text", False, False, None)]
-    assert extract.parse_ddl(None) == []
+    sql = "CREATE TABLE [dbo].[t] (id INT PRIMARY KEY, -- c INT,\n \"na me\" DECIMAL(10, 2) NOT NULL, r INT REFERENCES x.other(id), CONSTRAINT k CHECK (id > 0)); CREATE TABLE IF NOT EXISTS u (a text); CREATE TABLE cut (b text"
+    frame = spark.createDataFrame([(1, sql), (2, None), (3, "")], "k long, t string")
+    got = ddl.sql_columns(frame, "k", "t").collect()
+    assert [(r.table_name, r.column_name, r.data_type, r.not_null, r.is_primary, r.refers_to) for r in got] == [("t", "id", "INT", False, True, None), ("t", "na me", "DECIMAL(10, 2)", True, False, None), ("t", "r", "INT", False, False, "other"), ("u", "a", "text", False, False, None)]
     raw = spark.createDataFrame([(1, "- a/b.py:1-5,9\nc.sql\n\nbad:1-,2")], "k long, raw string")
     assert rows(extract.citations(raw, "k", "raw")) == [(1, "a/b.py", 1, 5), (1, "a/b.py", 9, 9), (1, "bad", 1, 1), (1, "bad", 2, 2), (1, "c.sql", 1, 2**31 - 1)]
 
@@ -427,7 +428,7 @@ def test_markup(spark):
     assert {(r.k, r.predicate, r.type) for r in markup.type_refs(typed, "k").collect()} == {(2, "has_field_of_type", "Owner"), (2, "returns_dto", "Claim"), (2, "accepts_dto", "Filter"), (3, "has_field_of_type", "Guid"), (3, "has_field_of_type", "Order")}
     xml = "<hibernate-mapping><class name='A' table='T'><property name='x' column='C'/></class></hibernate-mapping>"
     flow = "<flow><view-state id='s'><transition to='e'/></view-state></flow>"
-    got = rows(markup.xml_facts(spark.createDataFrame([(1, xml), (2, flow), (3, "<broken"), (4, None)], "k long, text string"), "k"))
+    got = rows(dialects.xml_facts(spark.createDataFrame([(1, xml), (2, flow), (3, "<broken"), (4, None)], "k long, text string"), "k"))
     assert [r[:4] for r in got] == [(1, "has_column", "A", "C"), (1, "maps_to", "A", "T"), (2, "transitions_to", "s", "e")]
 
 
