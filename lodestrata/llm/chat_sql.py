@@ -41,9 +41,10 @@ reach(qc, qt, c, t) AS (SELECT conv_id, turn, pc, pt FROM up WHERE target IS NOT
 ring AS (SELECT qc, qt FROM reach WHERE qc = c AND qt = t),
 cut AS (SELECT DISTINCT arg_min({{'c': b.qc, 't': b.qt}}, {{'c': b.qc, 't': b.qt}}) AS x FROM ring a JOIN reach r ON r.qc = a.qc AND r.qt = a.qt JOIN ring b ON b.qc = r.c AND b.qt = r.t GROUP BY a.qc, a.qt),
 tree AS (SELECT up.*, x IS NOT NULL AS is_cut FROM up LEFT JOIN cut ON x.c = conv_id AND x.t = turn),
-walk(conv_id, turn, thread_conv, thread_turn, depth) AS (SELECT conv_id, turn, conv_id, turn, 0::BIGINT FROM tree WHERE pc IS NULL OR is_cut
-    UNION ALL SELECT tree.conv_id, tree.turn, thread_conv, thread_turn, depth + 1 FROM walk JOIN tree ON pc = walk.conv_id AND pt = walk.turn AND NOT is_cut)
+walk(conv_id, turn, thread_conv, thread_turn, depth, path) AS (SELECT conv_id, turn, conv_id, turn, 0::BIGINT, [{{'c': conv_id, 't': turn}}] FROM tree WHERE pc IS NULL OR is_cut
+    UNION ALL SELECT tree.conv_id, tree.turn, thread_conv, thread_turn, depth + 1, list_append(path, {{'c': tree.conv_id, 't': tree.turn}}) FROM walk JOIN tree ON pc = walk.conv_id AND pt = walk.turn AND NOT is_cut),
+spot AS (SELECT *, row_number() OVER (PARTITION BY thread_conv, thread_turn ORDER BY path) - 1 AS position FROM walk)
 SELECT m.conv_id, m.turn, m.role, body, coalesce(n_passages, 0) AS n_passages, coalesce(n_linked, 0) AS n_linked, coalesce(max_level, 0)::BIGINT AS max_level,
-    CASE WHEN NOT is_cut THEN pc END AS reply_conv, CASE WHEN NOT is_cut THEN pt END AS reply_turn, CASE WHEN is_cut OR pc IS NULL THEN NULL WHEN target IS NOT NULL THEN 'quote' ELSE 'turn' END AS reply_by, thread_conv, thread_turn, depth
-FROM m JOIN bodies USING (rid) LEFT JOIN counts USING (rid) LEFT JOIN tree ON tree.conv_id = m.conv_id AND tree.turn = m.turn LEFT JOIN walk ON walk.conv_id = m.conv_id AND walk.turn = m.turn
+    CASE WHEN NOT is_cut THEN pc END AS reply_conv, CASE WHEN NOT is_cut THEN pt END AS reply_turn, CASE WHEN is_cut OR pc IS NULL THEN NULL WHEN target IS NOT NULL THEN 'quote' ELSE 'turn' END AS reply_by, thread_conv, thread_turn, depth, position
+FROM m JOIN bodies USING (rid) LEFT JOIN counts USING (rid) LEFT JOIN tree ON tree.conv_id = m.conv_id AND tree.turn = m.turn LEFT JOIN spot ON spot.conv_id = m.conv_id AND spot.turn = m.turn
 """

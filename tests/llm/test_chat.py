@@ -83,7 +83,7 @@ def test_worked_cases(spark):
     ]
     got = [tuple(r) for r in formatted(spark, rows).collect()]
     assert len(got) == len(rows)
-    by = {r[:2]: r[3:] for r in got}
+    by = {r[:2]: r[3:-1] for r in got}
     assert by[1, 0] == ("How do I sort a list?\nIt is long.", 0, 0, 0, None, None, None, 1, 0, 0)
     assert by[1, 1] == ("Use sorted().\n\nIt is stable.", 1, 1, 1, 1, 0, "quote", 1, 0, 1)
     assert by[1, 2] == ("Thanks", 2, 2, 2, 1, 1, "quote", 1, 0, 2)
@@ -91,7 +91,7 @@ def test_worked_cases(spark):
     assert by[2, 0] == ("Is it?", 1, 1, 1, 1, 1, "quote", 1, 0, 2) and by[2, 1] == ("", 0, 0, 0, 2, 0, "turn", 1, 0, 3)
     assert by[3, 1][3:] == (1, 3, 0, "quote", 3, 0, 1) and by[3, 9][4:] == (3, 1, "turn", 3, 0, 2) and by[None, 0][4:] == (None,) * 6
     ordered = [r[:2] for r in map(tuple, chat.conversations(formatted(spark, rows)).collect()) if None not in r[:2]]
-    assert ordered == [(1, 0), (1, 1), (1, 2), (2, 0), (1, 3), (2, 1), (3, 0), (3, 0), (3, 1), (3, 9)]
+    assert ordered == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (3, 0), (3, 0), (3, 1), (3, 9)]
     assert formatted(spark, rows[:0] or []).count() == 0
 
 
@@ -103,8 +103,21 @@ def test_its_own_conversation_does_not_hide_the_original(spark):
 
 def test_circles_and_parts(spark):
     ring = [(1, 0, "x", "> two\none"), (2, 0, "x", "> one\ntwo"), (2, 1, "x", "more")]
-    got = {(r.conv_id, r.turn): tuple(r)[7:] for r in formatted(spark, ring).collect()}
+    got = {(r.conv_id, r.turn): tuple(r)[7:-1] for r in formatted(spark, ring).collect()}
     assert got == {(1, 0): (None, None, None, 1, 0, 0), (2, 0): (1, 0, "quote", 1, 0, 1), (2, 1): (2, 0, "turn", 1, 0, 2)}
     rows = [(1, 0, "x", "c\nd"), (1, 1, "x", "a\nb\nc\nd\ne"), (1, 2, "x", "z"), (1, 3, "x", "> a\n> b\n> c\n> d"), (1, 4, "x", "> a\n>\n> new\n> d\n> e")]
     got = {(r.conv_id, r.turn): (r.reply_turn, r.reply_by) for r in formatted(spark, rows).collect()}
     assert got[1, 3] == (1, "quote") and got[1, 4] == (1, "quote")
+
+
+def test_branches_stay_together(spark, monkeypatch):
+    """Two branches of one root, an answer in each, and many answers to one message, put in order in one task and in groups."""
+    rows = [(1, 0, "x", "root words here"), (2, 0, "x", "> root words here\nfirst branch"), (3, 0, "x", "> root words here\nsecond branch"), (4, 0, "x", "> first branch\nanswer one"), (5, 0, "x", "> second branch\nanswer two"), (2, 1, "x", "own next"), (1, 1, "x", "tail")]
+    got = [(r.conv_id, r.turn, r.position) for r in chat.conversations(formatted(spark, rows)).collect()]
+    assert got == [(1, 0, 0), (1, 1, 1), (2, 0, 2), (2, 1, 3), (4, 0, 4), (3, 0, 5), (5, 0, 6)]
+    rows = [(0, 0, "x", "the question"), *((i, t, "x", "> the question\nsaid %d" % i if t == 0 else "more") for i in range(1, 41) for t in range(3))]
+    assert [(r.conv_id, r.turn) for r in chat.conversations(formatted(spark, rows)).collect()] == [(r[0], r[1]) for r in rows]
+    monkeypatch.setattr(chat, "SIBLINGS", 8)
+    found = chat.conversations(formatted(spark, rows)).collect()
+    assert [r.position for r in found] == list(range(121)) and [r.conv_id for r in found[1::3]] == [r.conv_id for r in found[3::3]]
+    assert [r.turn for r in found[1:]] == [0, 1, 2] * 40 and sorted(r.conv_id for r in found[1::3]) == list(range(1, 41))
