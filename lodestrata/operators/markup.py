@@ -58,8 +58,44 @@ def type_refs(files: DataFrame, key: str) -> DataFrame:
     field = F.regexp_extract("t", rf"^\s*(?:(?:public|private|protected|internal|static|final|readonly|volatile|transient)\s+)*{typed}\s+[A-Za-z_]\w*\s*(?:[;=]|\{{\s*get)", 1)
     told = lambda p, names: F.transform(names, lambda x: F.struct(F.lit(p).alias("predicate"), x.alias("raw")))
     found = F.when(is_method, F.concat(told("returns_dto", F.array(method)), told("accepts_dto", parameters))).when((field != "") & ~field.isin("return", "throw", "new", "package", "import", "using"), told("has_field_of_type", F.array(field)))
-    rows = rows.select(key, "language", (F.col("i") + 1).cast("long").alias("line"), F.explode(found).alias("f"))
+    return _own_types(rows.select(key, "language", (F.col("i") + 1).cast("long").alias("line"), F.explode(found).alias("f")), key)
+
+
+def _own_types(rows: DataFrame, key: str) -> DataFrame:
+    """key, line, predicate, type of rows with f (predicate, raw): the names in raw that are types of the program's own."""
     names = F.explode(F.filter(F.split("f.raw", r"[<>,\s\[\]]+"), lambda x: x.rlike("^[A-Z]") & ~x.isin(*WRAPPERS)))
     own = F.create_map(*(x for k, v in PRIMITIVES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     rows = rows.select(key, "language", "line", "f.predicate", names.alias("type"))
     return rows.filter(~F.coalesce(F.array_contains(own[F.col("language")], F.col("type")), F.lit(False))).drop("language")
+
+
+#: What may stand before a name in TypeScript.
+_modifiers = r"(?:(?:export|default|public|private|protected|static|async|readonly|abstract|override|declare|function|get|set)\s+)*"
+#: Languages with types after names: patterns of a function (parameters, result), a parameter and a field.
+ANNOTATED = {
+    "python": (r"^\s*(?:async\s+)?def\s+\w+\s*\((.*)\)\s*(?:->\s*([^:]+?))?\s*:", r"(?:^|,)\s*\*{0,2}\w+\s*:\s*((?:[^,=\[\]]|\[[^\]]*\])+)", r"^\s*(?:self\.)?\w+\s*:\s*([A-Za-z_][\w.|\[\], ]*?)\s*(?:=[^=].*|#.*)?$"),
+    "typescript": (rf"^\s*{_modifiers}[\w$]+\s*(?:<[^>]*>)?\(([^()]*)\)\s*(?::\s*([^{{;=]+?))?\s*(?:\{{|;|=>|$)", r"(?:^|,)\s*(?:@\w+\(?\)?\s+)?(?:(?:public|private|protected|readonly)\s+)*(?:\.\.\.)?[\w$]+\??\s*:\s*((?:[^,=<>]|<[^>]*>)+)", rf"^\s*{_modifiers}[\w$]+[?!]?\s*:\s*([A-Za-z_][^=;(){{]*?)\s*(?:=.*)?;\s*(?://.*)?$"),
+}
+ANNOTATED["javascript"] = ANNOTATED["typescript"]
+
+
+def annotated_type_refs(files: DataFrame, key: str) -> DataFrame:
+    """As type_refs, for languages that write types after names; functions and fields of one line."""
+    rows = files.select(key, "language", F.posexplode(lines(F.col("text"))).alias("i", "t"))
+    told = lambda p, names: F.transform(F.filter(names, lambda x: x != ""), lambda x: F.struct(F.lit(p).alias("predicate"), plain(x).alias("raw")))
+    plain = lambda x: F.regexp_replace(x, r"[A-Za-z_]\w*\.|[|&]", " ")  # noqa: E731  packages, and signs between types
+    found = F.lit(None)
+    for language, (function, parameter, field) in ANNOTATED.items():
+        part = lambda p, i: F.regexp_extract("t", p, i)
+        in_function = F.concat(told("returns_dto", F.array(part(function, 2))), told("accepts_dto", F.regexp_extract_all(part(function, 1), F.lit(parameter), F.lit(1))))
+        of_language = F.when(F.col("t").rlike(function), in_function).otherwise(told("has_field_of_type", F.array(part(field, 1))))
+        found = F.when(F.col("language") == language, of_language).otherwise(found)
+    return _own_types(rows.select(key, "language", (F.col("i") + 1).cast("long").alias("line"), F.explode(found).alias("f")), key)
+
+
+def thrown(files: DataFrame, key: str) -> DataFrame:
+    """key, line, type of what methods declare to throw (Java), names without their packages; a clause of one line."""
+    rows = files.filter("language = 'java'").select(key, F.posexplode(lines(F.col("text"))).alias("i", "t"))
+    clause = F.regexp_extract("t", r"\)\s*throws\s+([\w.$, ]+)", 1)
+    rows = rows.filter(F.col("t").contains("throws")).select(key, (F.col("i") + 1).cast("long").alias("line"), F.explode(F.split(clause, r"\s*,\s*")).alias("name"))
+    return rows.select(key, "line", F.trim(F.substring_index("name", ".", -1)).alias("type")).filter("type != ''")

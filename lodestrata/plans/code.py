@@ -34,6 +34,26 @@ def ex7_type_refs(spark, d):
     return M.type_refs(_java(spark, d), "p_partkey")
 
 
+TYPED = {
+    "python": "class C%d(B):\n    owner: Order%d = None\n    async def find(self, id: int, q: Optional[Query] = None, *rest: m.Item) -> List[Claim%d]:\n        total: int = 1\n",
+    "typescript": "export class C%d {\n  private order?: Order%d;\n  async find(id: number, q: Query = x, ...rest: Item[]): Promise<Claim%d> {\n    return new Foo(x);\n",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT p_partkey, {line}::BIGINT AS line, '{p}' AS predicate, {t} AS type FROM part" for line, p, t in ((2, "has_field_of_type", "concat('Order', p_partkey % 7)"), (3, "returns_dto", "concat('Claim', p_size)"), (3, "accepts_dto", "'Query'"), (3, "accepts_dto", "'Item'"))))
+def ex7_annotated_types(spark, d):
+    """Types after names, in Python and TypeScript by turns."""
+    k = F.col("p_partkey")
+    text = [F.format_string(t, k, k % 7, "p_size") for t in TYPED.values()]
+    rows = table(spark, d, "part").select("p_partkey", F.when(k % 2 == 0, "python").otherwise("typescript").alias("language"), F.when(k % 2 == 0, text[0]).otherwise(text[1]).alias("text"))
+    return M.annotated_type_refs(rows, "p_partkey")
+
+
+@query("SELECT p_partkey, 5::BIGINT AS line, 'Bad' AS type FROM part")
+def ex7_thrown(spark, d):
+    return M.thrown(_java(spark, d), "p_partkey")
+
+
 @query("SELECT p_partkey, 'maps_to' AS predicate, concat('E', p_partkey) AS subject, concat('t', p_size) AS object, 1::BIGINT AS line FROM part UNION ALL SELECT p_partkey, 'has_column', concat('E', p_partkey), 'c1', 2 FROM part")
 def ex8_xml_facts(spark, d):
     text = F.format_string("<hibernate-mapping><class name='E%d' table='t%d'>\n<property name='x' column='c1'/></class></hibernate-mapping>", "p_partkey", "p_size")

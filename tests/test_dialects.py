@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import places
-from lodestrata.operators import ddl, dialects
+from lodestrata.operators import ddl, dialects, markup
 
 
 def test_ddl_entries():
@@ -60,3 +60,15 @@ def test_places_of_many_matches(spark):
     for r in got:
         assert [(p.start, p.end, p.match) for p in r.p] == [(m.start(), m.end(), m[0]) for m in re.finditer("ab|no", texts[r.i])]
     assert time.time() - began < 60
+
+
+def test_types_after_names(spark):
+    files = [
+        (1, "python", "x: Order\nif a: Bee\ndef f(a: Foo, b: Dict[str, Bar] = {}) -> Optional[m.Baz]:\ndef g(self):\nelse:\nn: int = 1  # Note: Thing"),
+        (2, "typescript", "export interface A {\n  b: Map<string, Bar>;\n  c(d?: Dee): void;\n  e: string;\n}\nfunction f(a: Foo): Promise<Baz> {\nconst o = { key: Value };"),
+        (3, "java", "Order o;\n void f() throws java.io.IOException, Bad {\n // throws nothing"), (4, "python", None), (5, None, "x: Order"),
+    ]
+    df = spark.createDataFrame(files, "k long, language string, text string")
+    got = sorted((r.k, r.line, r.predicate, r.type) for r in markup.annotated_type_refs(df, "k").collect())
+    assert got == [(1, 1, "has_field_of_type", "Order"), (1, 3, "accepts_dto", "Bar"), (1, 3, "accepts_dto", "Foo"), (1, 3, "returns_dto", "Baz"), (2, 2, "has_field_of_type", "Bar"), (2, 3, "accepts_dto", "Dee"), (2, 6, "accepts_dto", "Foo"), (2, 6, "returns_dto", "Baz")]
+    assert [(r.k, r.line, r.type) for r in markup.thrown(df, "k").collect()] == [(3, 2, "IOException"), (3, 2, "Bad")]
