@@ -47,24 +47,42 @@ def parse(text: str | None) -> list[tuple]:
     return out
 
 
+#: Elements of a batch that a task hands back.
+BATCH = 8192
+
+
 def elements(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, root, root_line, ord, tag, line, attrs, up_ord, up_tag, up_line, up_attrs."""
-    import pandas as pd
+    """key, root, root_line, ord, tag, line, attrs, up_ord, up_tag, up_line, up_attrs. Files share batches of about BATCH elements."""
+    import pyarrow as pa
 
     from ..shipping import ship
 
     ship(files.sparkSession)
-    names = ["root", "root_line", "ord", "tag", "line", "attrs", "up_ord", "up_tag", "up_line", "up_attrs"]
+    attrs = pa.map_(pa.string(), pa.string())
+    columns = {"root": pa.string(), "root_line": pa.int64(), "ord": pa.int64(), "tag": pa.string(), "line": pa.int64(), "attrs": attrs, "up_ord": pa.int64(), "up_tag": pa.string(), "up_line": pa.int64(), "up_attrs": attrs}
+
+    def batch(keys, at, rows):
+        said = lambda v, kind: pa.array([None if x is None else list(x.items()) for x in v] if kind == attrs else v, kind)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *map(said, zip(*rows, strict=True), columns.values())], names=["k", *columns])
 
     def run(batches):
         for b in batches:
-            for k, t in zip(b["k"], b["t"], strict=True):
-                rows = pd.DataFrame([(k, *x) for x in parse(t)], columns=["k", *names], dtype=object)
-                yield rows.astype({"root_line": "Int64", "ord": "Int64", "line": "Int64", "up_ord": "Int64", "up_line": "Int64"})
+            keys, at, rows = b.column("k"), [], []
+            for i, t in enumerate(b.column("t")):
+                found = parse(t.as_py())
+                for first in range(0, len(found), BATCH):
+                    part = found[first : first + BATCH]
+                    at += [i] * len(part)
+                    rows += part
+                    if len(rows) >= BATCH:
+                        yield batch(keys, at, rows)
+                        at, rows = [], []
+            if rows:
+                yield batch(keys, at, rows)
 
     kind = files.schema[key].dataType.simpleString()
     schema = f"k {kind}, root string, root_line long, ord long, tag string, line long, attrs map<string,string>, up_ord long, up_tag string, up_line long, up_attrs map<string,string>"
-    return files.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema).withColumnRenamed("k", key)
+    return files.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def _said(name: str, of: str = "attrs") -> Column:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dialects as X
 from ..operators import dialects as X
 from ..operators import graph as G
 from ..operators import markup as M
 from ..sources.files import parsed_domains
-from .catalog import query, table
+from .catalog import busy_table, query, table
 
 JAVA = "public class C%d extends Base%d implements I%d, Shared<T> {\n  private Order%d order;\n  int plain;\n  Integer boxed = 1;\n  public List<Item> find(Long id, Query q) throws Bad {\n    return new Foo(x);\n  }\n}"
 
@@ -57,7 +56,7 @@ def ex7_thrown(spark, d):
 @query("SELECT p_partkey, 'maps_to' AS predicate, concat('E', p_partkey) AS subject, concat('t', p_size) AS object, 1::BIGINT AS line FROM part UNION ALL SELECT p_partkey, 'has_column', concat('E', p_partkey), 'c1', 2 FROM part")
 def ex8_xml_facts(spark, d):
     text = F.format_string("<hibernate-mapping><class name='E%d' table='t%d'>\n<property name='x' column='c1'/></class></hibernate-mapping>", "p_partkey", "p_size")
-    return X.xml_facts(table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey")
+    return X.xml_facts(busy_table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey")
 
 
 @query("SELECT concat(l_orderkey, '>', l_partkey) AS id, min(l_orderkey) AS caller, min(l_partkey) AS callee FROM lineitem WHERE l_orderkey % 3 <> 0 OR l_linenumber < 3 GROUP BY 1")
