@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ddl as D
 from ..operators import dialects as X
 from ..operators import graph as G
-from .catalog import query, table
+from .catalog import busy_table, query, table
 
 MAPPING = "<?xml version='1.0'?>\n<!DOCTYPE hibernate-mapping [<!ELEMENT any (#PCDATA)>]>\n<hibernate-mapping><class name='m.E%d' table='t%d'><id name='id' column='ID'/>\n<property name='x'><column name='c%d'/></property>\n<joined-subclass name='m.S' table='s'>\n<many-to-many class='m.E%d'/></joined-subclass></class></hibernate-mapping>"
 FLOW = "<flow>\n<on-start><evaluate expression='boot.up(%d)'/></on-start>\n<view-state id='s%d'><transition to='end'/>\n<evaluate expression='a.go(1) and b.stop()'/></view-state>\n<subflow-state id='u' subflow='f%d'/></flow>"
@@ -25,7 +25,7 @@ def _xml(spark, d):
     k = F.col("p_partkey")
     beans = F.format_string("<beans>\n<bean id='b%d' class='m.Impl%d'/></beans>", k, "p_size")
     text = F.when(k % 4 == 0, F.format_string(MAPPING, k, "p_size", "p_size", k + 1)).when(k % 4 == 1, F.format_string(FLOW, k, k, "p_size")).when(k % 4 == 2, beans)
-    rows = table(spark, d, "part").select(k, F.coalesce(text, F.lit("<notes><class name='x'/></notes>")).alias("text"))
+    rows = busy_table(spark, d, "part").select(k, F.coalesce(text, F.lit("<notes><class name='x'/></notes>")).alias("text"))
     return X.elements(rows, "p_partkey"), F.concat(F.lit("file"), k.cast("string"))
 
 
