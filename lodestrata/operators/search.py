@@ -197,36 +197,143 @@ def fuse(lexical: DataFrame, vector: DataFrame, key: str, k: int, constant: int
 def near_pairs(incoming: DataFrame, stored: DataFrame, most: float, k: int, key: str = "vec_id", bound: int = 100_000) -> DataFrame:
     """For each incoming row, the k nearest stored ones within a distance, and similarity 1 / (1 + distance).
 
-    incoming is a stated query set; it is sent to all tasks, so its size is checked. near_pairs_in_blocks takes any size."""
+    incoming is a stated query set, so its size is checked. near_pairs_in_blocks takes any size."""
     if incoming.limit(bound + 1).count() > bound:
         raise ValueError(f"more than {bound} incoming rows: pass them in blocks")
-    return _near(incoming, stored, most, k, key)
+    return _near(incoming, stored, most, k, key, 1)
 
 
-def _near(incoming: DataFrame, stored: DataFrame, most: float, k: int, key: str) -> DataFrame:
-    q = F.broadcast(incoming.select(F.col(key).alias("incoming_id"), F.col("embedding").alias("q")))
-    pairs = stored.join(q, F.col(key) != F.col("incoming_id")).select("incoming_id", F.col(key).alias("stored_id"), F.round(distance(F.col("embedding"), F.col("q")), 6).alias("dist")).filter(F.col("dist") <= most)
+#: Numbers of the stored rows, and of the incoming ones, that one task compares.
+STORED, INCOMING = 1 << 20, 1 << 22
+#: More than a distance can change when it is rounded to 6 digits, there and back.
+ROUNDED = 2e-6
+
+
+def _near(incoming: DataFrame, stored: DataFrame, most: float, k: int, key: str, n: int) -> DataFrame:
+    """near_pairs, incoming dealt by key into n blocks: each block meets each slice of the stored rows in a task of its own,
+    which hands back what may be among the k nearest; ranks are given over all of these."""
+    from ..shipping import ship
+
+    spark, cores = incoming.sparkSession, incoming.sparkSession.sparkContext.defaultParallelism
+    kind = "array<float>" if all(x.schema["embedding"].dataType.simpleString() == "array<float>" for x in (incoming, stored)) else "array<double>"
+    whole = lambda x: x.filter(F.col(key).isNotNull() & ~F.coalesce(F.exists("embedding", lambda v: v.isNull() | F.isnan(v)), F.lit(True))).select(F.col(key).alias("id"), F.col("embedding").cast(kind).alias("v"))
+    asked, there = whole(incoming), whole(stored)
+    numbers = there.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
+    slices = max(-(-numbers // STORED), -(-cores // n))
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = asked.select("id", "v", _block(n, "id").alias("block"), each(slices).alias("slice"), F.lit(False).alias("stored"))
+    there = there.select("id", "v", each(n).alias("block"), F.pmod(F.xxhash64("id", "v"), F.lit(slices)).alias("slice"), F.lit(True).alias("stored"))
+    cells = asked.unionByName(there).repartitionById(n * slices, (F.col("block") * slices + F.col("slice")).cast("int")).sortWithinPartitions("stored")
+    id_kind = cells.schema["id"].dataType.simpleString()
+    ship(spark)
+    found = cells.select("id", "v", "stored").mapInArrow(lambda batches: _near_in_cell(batches, most, k), f"incoming_id {id_kind}, stored_id {id_kind}, d double")
+    pairs = found.select(F.col("incoming_id").cast(incoming.schema[key].dataType), F.col("stored_id").cast(stored.schema[key].dataType), F.round("d", 6).alias("dist")).filter(F.col("dist") <= most)
     place = F.row_number().over(Window.partitionBy("incoming_id").orderBy("dist", "stored_id"))
     return pairs.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k).withColumn("similarity", F.round(1 / (1 + F.col("dist")), 6))
 
 
+def _block(n: int, key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n))
+
+
+def _near_in_cell(batches, most: float, k: int):
+    """Batches (incoming_id, stored_id, d) of Arrow batches (id, v, stored), incoming rows first: all pairs that may be among
+    the k nearest of an incoming row. Vectors of different lengths make no pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    asked, known = {}, None
+    for b in batches:
+        is_stored = b.column("stored").to_numpy(zero_copy_only=False)
+        sizes = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
+        for side in (False, True):
+            for size in np.unique(sizes):
+                at = pa.array(np.flatnonzero((sizes == size) & (is_stored == side)))
+                if not len(at):
+                    continue
+                ids, v = b.column("id").take(at), b.column("v").take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+                if not side:
+                    asked.setdefault(size, []).append((ids, v))
+                    continue
+                if known is None:  # the last incoming row has been read
+                    known = {n: (pa.concat_arrays([i for i, _ in x]), np.concatenate([q for _, q in x])) for n, x in asked.items()}
+                    best = {n: np.full(len(q), float(most)) for n, (_, q) in known.items()}
+                if size in known:
+                    for r, c, d in _nearest(known[size], ids, v, best[size], k):
+                        yield pa.RecordBatch.from_arrays([known[size][0].take(pa.array(r)), ids.take(pa.array(c)), pa.array(d)], names=["incoming_id", "stored_id", "d"])
+
+
+def _nearest(asked, ids, v, best, k: int, chunk: int = 256):
+    """(incoming rows, stored rows, distances) of pairs within best, a distance for each incoming row that at least k stored
+    rows are known to be within (at first the largest one asked for); it shrinks as nearer ones are found.
+
+    A product of matrices gives distances up to an error; what may be near enough is computed as distance() does it, so that
+    sums are the same to the last bit. Of equal distances the k smallest identifiers stay."""
+    import numpy as np
+    import pandas as pd
+
+    queries, q_ids, s_ids = asked[1], asked[0].to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
+    order = np.argsort(s_ids, kind="stable")
+    s_ids, s = s_ids[order], v[order]
+    if len(s_ids) < 2 or (s_ids[1:] != s_ids[:-1]).all():
+        # Of equal vectors the smallest identifiers suffice, and one more where the incoming row is among them.
+        equal = np.unique(s.view(np.dtype((np.void, max(1, s.strides[0])))).ravel(), return_inverse=True)[1] if s.shape[1] else np.zeros(len(s), int)
+        few = pd.Series(equal).groupby(equal).cumcount().to_numpy() <= k
+        s_ids, s, order = s_ids[few], s[few], order[few]
+    with np.errstate(over="ignore", invalid="ignore"):
+        s_norm = np.einsum("ij,ij->i", s, s)
+        for first in range(0, len(queries), chunk):
+            q, near = queries[first : first + chunk], best[first : first + chunk]
+            q_norm = np.einsum("ij,ij->i", q, q)
+            about = q @ s.T
+            about *= -2
+            about += q_norm[:, None]
+            about += s_norm
+            lo, hi = np.searchsorted(s_ids, q_ids[first : first + chunk], "left"), np.searchsorted(s_ids, q_ids[first : first + chunk], "right")
+            for i in np.flatnonzero(lo < hi):
+                about[i, lo[i] : hi[i]] = np.inf
+            error = 8 * (q.shape[1] + 4) * np.finfo(float).eps * (q_norm + s_norm.max())
+            limit = near + error + ROUNDED
+            hit = ~(about > limit[:, None])
+            many = np.flatnonzero(hit.sum(1) > k)
+            if len(many) and k < len(s):
+                limit[many] = np.fmin(limit[many], np.partition(about[many], k - 1, axis=1)[:, k - 1] + 2 * error[many] + ROUNDED)
+                hit[many] = ~(about[many] > limit[many][:, None])
+            r, c = np.nonzero(hit)
+            own = (c >= lo[r]) & (c < hi[r])
+            r, c = r[~own], c[~own]
+            d = np.empty(len(r))
+            for at in range(0, len(r), 1 << 15):
+                part = slice(at, at + (1 << 15))
+                gap = q[r[part]] - s[c[part]]
+                d[part] = np.add.accumulate(gap * gap, axis=1)[:, -1] if q.shape[1] else 0.0
+            keep = d <= near[r] + ROUNDED
+            r, c, d = r[keep], c[keep], d[keep]
+            by = np.lexsort((c, d, r))
+            r, c, d = r[by], c[by], d[by]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            full = place == k - 1
+            near[r[full]] = np.minimum(near[r[full]], d[full])
+            fresh = np.r_[True, (r[1:] != r[:-1]) | (d[1:] != d[:-1])] if len(r) else np.zeros(0, bool)
+            tied = np.arange(len(r)) - np.maximum.accumulate(np.where(fresh, np.arange(len(r)), 0)) if len(r) else np.zeros(0, int)
+            keep = (d <= near[r] + ROUNDED) & (tied < k)
+            if keep.any():
+                yield r[keep] + first, order[c[keep]], d[keep]
+
+
 def near_pairs_in_blocks(incoming: DataFrame, stored: DataFrame, most: float, k: int, key: str = "vec_id", bound: int = 100_000) -> DataFrame:
-    """near_pairs for any number of incoming rows: they are dealt by key into blocks of at most bound rows, each of which
-    is sent to all tasks in turn. More than bound rows of one key are refused; rows without a key have no pairs."""
-    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    """near_pairs for any number of incoming rows: they are dealt by key into blocks of at most bound rows (fewer if they are
+    long). More than bound rows of one key are refused; rows without a key have no pairs."""
     incoming = incoming.filter(F.col(key).isNotNull())
-    rows, n = incoming.count(), 1
+    rows, numbers = incoming.agg(F.count(F.lit(1)), F.sum(F.size("embedding").cast("long"))).first()
+    n = max(1, -(-(numbers or 0) // INCOMING))
     if rows > bound:
-        n = -(-2 * rows // bound)
-        while incoming.groupBy(block(n).alias("b")).count().agg(F.max("count")).first()[0] > bound:
+        n = max(n, -(-2 * rows // bound))
+        while incoming.groupBy(_block(n, key).alias("b")).count().agg(F.max("count")).first()[0] > bound:
             if n > rows * rows:
                 raise ValueError(f"more than {bound} incoming rows of one key")
             n *= 2
-    parts = [_near(incoming if n == 1 else incoming.filter(block(n) == i), stored, most, k, key) for i in range(n)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    return _near(incoming, stored, most, k, key, n)
 
 
 def hash_embedding(docs: DataFrame, dim: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
