@@ -12,7 +12,7 @@ message that this one replies to; without one it replies to the turn before it.
 
 Replies make trees. A message's thread is the root of its tree, its depth the number of replies up to it, its position its
 place in the thread when each answer is followed by all that answers it before the next one comes (answers to one message
-in order of conv_id and turn; if they are more than SIBLINGS, in groups by hash, in that order within each). Ordered by
+in order of conv_id and turn, however many there are: they are put in order by ranges). Ordered by
 (thread_conv, thread_turn, position) each conversation and each branch of it stands together, every message after what it
 replies to. Where quotations between conversations run in a circle, the smallest (conv_id, turn) at which a run begins there
 replies to nothing.
@@ -42,7 +42,7 @@ BLANKS = " \t\n\x0b\f\r"
 #: Turns of a bucket, a power of two.
 BITS = 7
 BUCKET = 1 << BITS
-#: Answers to one message that are put in order by one task.
+#: Answers that are put in order by one task, about; results do not depend on it.
 SIBLINGS = 1 << 16
 
 
@@ -220,10 +220,12 @@ def threads(spots: DataFrame, replies: DataFrame, folder: str) -> tuple[DataFram
     return found, replies
 
 
-def _before(runs: DataFrame) -> DataFrame:
-    """node, prev of runs (node, up) that answer something: the answer to the same message before each, null for the first."""
-    many = runs.groupBy("up").agg(F.count(F.lit(1)).alias("n"))
-    runs = runs.select("node", "up").join(many, "up").select("node", "up", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SIBLINGS)).alias("part"))
+def _before(runs: DataFrame, folder: str) -> DataFrame:
+    """node, prev of runs (node, up) that answer something: the answer to the same message before each, null for the first.
+    A range of (up, node) is one task's work; the first answer in a range comes after the last one in the range before."""
+    ranges = -(-runs.count() // SIBLINGS)
+    runs = runs.select("node", "up").repartitionByRange(max(1, ranges), "up", "node").withColumn("part", F.spark_partition_id())
+    runs = materialise(runs, folder)  # where ranges end is settled once
     groups = runs.groupBy("up", "part").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     bridges = groups.select("node", F.lag("last").over(Window.partitionBy("up").orderBy("part")).alias("bridge")).filter("bridge is not null")
     runs = runs.select("node", "up", F.lag("node").over(Window.partitionBy("up", "part").orderBy("node")).alias("prev"))
@@ -244,7 +246,8 @@ def positions(spots: DataFrame, folder: str) -> DataFrame:
     runs = at.groupBy("conv_id", "head").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("head", "turn").join(nodes, ["conv_id", "turn"]).select(_at().alias("node"), "size", "up")
     ends = at.select(_at().alias("up"), _at(turn="head").alias("above"))
     runs = materialise(runs.join(ends, "up", "left").select("node", "size", F.col("above").alias("up")), f"{folder}/tree")
-    answers = materialise(_before(runs.filter("up is not null")), f"{folder}/answers")
+    answers = materialise(_before(runs.filter("up is not null"), f"{folder}/ranges"), f"{folder}/answers")
+    drop_folder(spark, f"{folder}/ranges")
     # The last answer is the one that comes before no other.
     last = answers.join(answers.select(F.col("prev").alias("node")), "node", "left_anti").select(F.col("up").alias("node"), F.col("node").alias("last"))
     runs = runs.join(answers.select("node", "prev"), "node", "left").join(last, "node", "left").filter("up is not null or last is not null")
