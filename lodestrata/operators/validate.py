@@ -7,10 +7,13 @@ of places. Places are code points, end exclusive; -1 stands for the whole row. N
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import places
+from ..tables import written
 
 # Keywords with class and kind, keywords of each pattern, levels and word lists.
 KEYWORDS = {
@@ -240,23 +243,41 @@ def _span(place: Column) -> Column:
     return F.when(place["start"] < 0, "").otherwise(F.concat_ws("-", place["start"].cast("string"), place["end"].cast("string")))
 
 
-def validate(rows: DataFrame, key: str) -> DataFrame:
-    """key, finding_id, severity, span, evaluated of rows (COLUMNS); span is start-end, empty for the whole row."""
+#: Different rows whose findings may be sent to all tasks; more are joined by a shuffle, with the same result.
+FEW = 10_000
+
+
+def checked(rows: DataFrame, key: str) -> DataFrame:
+    """key, found: the findings of each of rows (COLUMNS) as an array of (finding_id, severity, span, evaluated). What rows say is
+    checked once however many say it; the findings of different rows are a table of their own, which goes when the driver ends."""
     def told(name: str, severity: str, where: Column, done: bool) -> Column:
         return F.transform(where, lambda p: F.struct(F.lit(name).alias("finding_id"), p["start"].alias("start"), p["end"].alias("end"), F.lit(severity).alias("severity"), F.lit(done).alias("evaluated")))
 
-    found = []
+    each = []
     for name, severity, where, undecided in checks():
         decided = told(name, severity, where, True)
-        found.append(decided if undecided is None else F.when(undecided, told(name, severity, _row(F.lit(True)), False)).otherwise(decided))
-    # The outer form keeps the optimizer from testing the array before it is made, which would expand all steps into one test.
-    rows = read(rows.select(key, *COLUMNS)).select(key, F.explode_outer(F.array_distinct(F.concat(*found))).alias("f")).filter("f IS NOT NULL")
-    return rows.select(key, "f.finding_id", "f.severity", _span(F.col("f")).alias("span"), "f.evaluated")
+        each.append(decided if undecided is None else F.when(undecided, told(name, severity, _row(F.lit(True)), False)).otherwise(decided))
+    found = read(rows.select(*COLUMNS).distinct()).select(*COLUMNS, F.array_distinct(F.concat(*each)).alias("f"))
+    finding = lambda f: F.struct(f["finding_id"].alias("finding_id"), f["severity"].alias("severity"), _span(f).alias("span"), f["evaluated"].alias("evaluated"))
+    found = written(found.select(*(F.col(c).alias(f"of_{c}") for c in COLUMNS), F.transform("f", finding).alias("found")))
+    found = F.broadcast(found) if found.count() <= FEW else found.hint("merge")
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in COLUMNS))
+    return rows.select(key, *COLUMNS).join(found, same).select(key, "found")
+
+
+def listed(found: DataFrame, key: str) -> DataFrame:
+    """key, finding_id, severity, span, evaluated of checked rows."""
+    return found.select(key, F.explode("found").alias("f")).select(key, "f.*")
+
+
+def validate(rows: DataFrame, key: str) -> DataFrame:
+    """key, finding_id, severity, span, evaluated of rows (COLUMNS); span is start-end, empty for the whole row."""
+    return listed(checked(rows, key), key)
 
 
 def keywords(rows: DataFrame, key: str) -> DataFrame:
     """key, keyword, keyword_class, kind, span of the modal keywords; a pair (may ... only) has two spans, comma-joined."""
-    rows = read(rows.select(key, *COLUMNS)).select(key, F.explode_outer("marks").alias("m")).filter("m IS NOT NULL")  # outer: see validate
+    rows = read(rows.select(key, *COLUMNS)).select(key, F.explode_outer("marks").alias("m")).filter("m IS NOT NULL")  # outer: so that the optimizer does not test the array before it is made, which would expand all steps into one test
     dash = lambda a, b: F.concat_ws("-", F.col(a).cast("string"), F.col(b).cast("string"))
     span = F.when(F.col("m.gap_end").isNotNull(), F.concat_ws(",", dash("m.start", "m.gap_start"), dash("m.gap_end", "m.end"))).otherwise(dash("m.start", "m.end"))
     return rows.select(key, F.col("m.word").alias("keyword"), F.col("m.cls").alias("keyword_class"), "m.kind", span.alias("span"))
@@ -282,9 +303,13 @@ def blocking(findings: DataFrame, key: str) -> DataFrame:
 
 
 def refreshed(findings: DataFrame, changed: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """Stored findings after some rows changed (they are checked anew) and some went (their findings go)."""
+    """Stored findings after some rows changed (they are checked anew) and some went (their findings go). The stored ones are
+    a list, or as checked() gives them, row by row; the result is a list."""
     kept = findings.join(changed.select(key).unionByName(gone.select(key)), key, "left_anti")
-    return kept.unionByName(validate(changed.join(gone.select(key), key, "left_anti"), key))
+    anew = checked(changed.join(gone.select(key), key, "left_anti"), key)
+    if "found" in findings.columns:
+        return listed(kept.unionByName(anew), key)
+    return kept.unionByName(listed(anew, key))
 
 
 def native_findings(rows: DataFrame, key: str) -> DataFrame:

@@ -100,4 +100,4 @@ def v5_refreshed(spark, d):
     """Findings after a third of the rows lost their pattern and a seventh of them went."""
     rows = _rows(spark, d)
     changed = rows.filter("gr_id % 3 = 0").withColumn("pattern", F.lit(None).cast("string"))
-    return V.refreshed(V.validate(rows, "gr_id"), changed, rows.filter("gr_id % 7 = 0"), "gr_id")
+    return V.refreshed(V.checked(rows, "gr_id"), changed, rows.filter("gr_id % 7 = 0"), "gr_id")
