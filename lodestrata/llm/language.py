@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ PER_LANGUAGE, WORDS, GRAMS = 800, 50_000, 60_000
 ENTRIES, LEAST = 1_000_000, 2
 #: Added for each order that an unseen word steps down.
 STEP = math.log(0.4)
-#: Numbers (words times languages) that a worker remembers of unseen words.
-MEMO = 2_000_000
+#: Numbers (words times languages) that a task remembers of unseen words, and those that it looks at together.
+MEMO, TOGETHER = 500_000, 200_000
 UNKNOWN = "und"
 _word = re.compile(r"[^\W\d_]+")
 
@@ -69,11 +70,12 @@ class Logs:
         logs = np.log1p(np.fromiter((r[2] for r in rows), float, len(rows)))
         return Logs([rows[i][1] for i in new], np.array([*new, len(rows)]), langs, logs, -np.log(totals + max(1, len(new))))
 
-    def summed(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The weighted sum over these names of what they have above the floor, by language."""
+    def summed(self, rows: np.ndarray, weights: np.ndarray, groups: np.ndarray, n_groups: int) -> np.ndarray:
+        """For each group and language the weighted sum over the group's names of what they have above the floor."""
         first, n = self.bounds[rows], self.bounds[rows + 1] - self.bounds[rows]
         at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.langs[at], weights=self.logs[at] * np.repeat(weights, n), minlength=len(self.floor))
+        cells = np.repeat(groups * len(self.floor), n) + self.langs[at]
+        return np.bincount(cells, self.logs[at] * np.repeat(weights, n), n_groups * len(self.floor)).reshape(n_groups, len(self.floor))
 
     def parts(self) -> tuple:
         return self.names, self.bounds, self.langs, self.logs, self.floor
@@ -102,11 +104,25 @@ class LanguageModel:
 
     def unseen(self, word: str) -> np.ndarray:
         """What a word that is not known adds to each language."""
-        for down, n in enumerate(ORDERS):
-            known = [i for g in grams_of(word, n) if (i := self.grams.row.get(g)) is not None]
-            if known:
-                return down * STEP + self.grams.floor + self.grams.summed(np.array(known), np.full(len(known), 1 / len(known)))
-        return np.full(len(self.langs), len(ORDERS) * STEP)
+        return self.all_unseen([word])[0]
+
+    def all_unseen(self, words: list[str]) -> np.ndarray:
+        """A row a word, with what it adds to each language; the n-grams of many words are summed together."""
+        out, begun, found = np.empty((len(words), len(self.langs))), 0, []
+        row, most, waiting = self.grams.row.get, max(1, TOGETHER // max(1, len(self.langs))), 0
+        for at, word in enumerate(words, 1):
+            for n in ORDERS:
+                known = [i for i in map(row, grams_of(word, n)) if i is not None]
+                if known:
+                    break
+            found.append((known, ORDERS.index(n) if known else len(ORDERS)))
+            waiting += len(known)
+            if waiting >= most or at == len(words):
+                sizes = np.array([len(k) for k, _ in found])
+                sums = self.grams.summed(np.fromiter(chain.from_iterable(k for k, _ in found), np.int64, waiting), np.repeat(1 / np.maximum(sizes, 1), sizes), np.repeat(np.arange(len(found)), sizes), len(found))
+                out[begun:at] = np.array([d for _, d in found])[:, None] * STEP + np.where(sizes[:, None] > 0, self.grams.floor, 0) + sums
+                begun, found, waiting = at, [], 0
+        return out
 
 
 def kept_of(most: int, langs: list[str]) -> int:
@@ -118,41 +134,63 @@ def all_grams(word: str) -> list[str]:
 
 
 class Predictor:
-    """Predicts by a model; remembers what unseen words add, MEMO numbers at most."""
+    """Predicts by a model, many texts at a time; remembers what unseen words add, MEMO numbers at most."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.known = model, len(model.words.names)
-        self.row, self.used = dict(model.words.row), 0
-        self.memo = np.zeros((max(1, MEMO // max(1, len(model.langs))), len(model.langs)))
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        """For words that are known their row in the model, for others their row in the memo, after all known ones."""
-        if self.used + len(words) > len(self.memo):
-            self.row, self.used = dict(self.model.words.row), 0
-        rows = [*map(self.row.get, words)]
-        if None in rows:
-            for at, i in enumerate(rows):
-                if i is None:
-                    self.memo[self.used] = self.model.unseen(words[at])
-                    rows[at] = self.row[words[at]] = self.known + self.used
-                    self.used += 1
-        return np.array(rows)
+        self.model, self.seen = model, {}
+        n_langs = max(1, len(model.langs))
+        self.memo, self.most = np.zeros((max(1, MEMO // n_langs), len(model.langs))), max(1, min(MEMO, TOGETHER) // n_langs)
+
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        """The row in the memo of each of these unseen words, self.most at most."""
+        if len(self.seen) + len(words) > len(self.memo):
+            self.seen = {}
+        if new := [w for w in dict.fromkeys(words) if w not in self.seen]:
+            at = len(self.seen)
+            self.memo[at : at + len(new)] = self.model.all_unseen(new)
+            self.seen.update(zip(new, range(at, at + len(new)), strict=True))
+        return np.array([self.seen[w] for w in words])
+
+    def _totals(self, counts: list[Counter]) -> np.ndarray:
+        """For each text's words and their numbers, the sum by language."""
+        n, n_langs, words = len(counts), len(self.model.langs), [*chain.from_iterable(counts)]
+        times = np.fromiter(chain.from_iterable(c.values() for c in counts), float, len(words))
+        text, total = np.repeat(np.arange(n), [len(c) for c in counts]), np.zeros((n, n_langs))
+        for at in range(0, len(words), self.most):
+            part, weights, groups = words[at : at + self.most], times[at : at + self.most], text[at : at + self.most]
+            rows = [*map(self.model.words.row.get, part)]
+            new = [i for i, r in enumerate(rows) if r is None]
+            if new:
+                memo = self.memo[self._unseen([part[i] for i in new])] * weights[new][:, None]
+                cells = (groups[new] * n_langs)[:, None] + np.arange(n_langs)
+                total += np.bincount(cells.ravel(), memo.ravel(), n * n_langs).reshape(n, n_langs)
+            old = np.array([r is not None for r in rows])
+            total += self.model.words.summed(np.array([r for r in rows if r is not None], np.int64), weights[old], groups[old], n)
+            total += np.bincount(groups[old], weights[old], n)[:, None] * self.model.words.floor
+        return total
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out, places, counts, lengths, waiting = [(UNKNOWN, 0.0)] * len(texts), [], [], [], 0
+        for at, text in enumerate(texts, 1):
+            words = words_of(text)
+            if self.model.langs and any(c.isalpha() for w in words for c in w):
+                places.append(at - 1)
+                counts.append(Counter(words))
+                lengths.append(len(words))
+                waiting += 1 + len(counts[-1])
+            if places and (waiting >= self.most or at == len(texts)):
+                total = self._totals(counts)
+                # The share of the best, tempered by the root of the number of words: neighbouring words are not independent.
+                p = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(lengths)[:, None])
+                best = total.argmax(axis=1)
+                scores = p[np.arange(len(p)), best] / p.sum(axis=1)
+                for i, j, score in zip(places, best.tolist(), scores.tolist(), strict=True):
+                    out[i] = self.model.langs[j], score
+                places, counts, lengths, waiting = [], [], [], 0
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not self.model.langs or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        counts = Counter(words)
-        distinct, times, total = [*counts], np.fromiter(counts.values(), float, len(counts)), np.zeros(len(self.model.langs))
-        for at in range(0, len(distinct), len(self.memo)):
-            rows, weights = self._rows(distinct[at : at + len(self.memo)]), times[at : at + len(self.memo)]
-            old = rows < self.known
-            total += self.model.words.summed(rows[old], weights[old]) + weights[old].sum() * self.model.words.floor
-            total += weights[~old] @ self.memo[rows[~old] - self.known]
-        # The share of the best, tempered by the root of the number of words: neighbouring words are not independent.
-        p = np.exp((total - total.max()) / math.sqrt(len(words)))
-        best = int(total.argmax())
-        return self.model.langs[best], float(p[best] / p.sum())
+        return self.predict_all([text])[0]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -166,7 +204,7 @@ def _counted(rows: DataFrame, names, text: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in small(b, 8_000_000):
+            for part in small(b, 2_000_000):
                 found: dict[str, Counter] = defaultdict(Counter)
                 for lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found[lang].update(names(t))
@@ -206,10 +244,9 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
 
     def start():
         langs, words, grams = sent.value
-        predictor = Predictor(LanguageModel(langs, Logs(*words), Logs(*grams)))
-        return lambda texts: [predictor.predict(t) for t in texts]
+        return Predictor(LanguageModel(langs, Logs(*words), Logs(*grams))).predict_all
 
-    return map_texts(docs, start, [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())], list(keep), most=4_000_000)
+    return map_texts(docs, start, [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())], list(keep), most=1_000_000)
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
