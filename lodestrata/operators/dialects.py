@@ -115,22 +115,28 @@ def _identifier(key: str, qualified: Column, line: Column) -> Column:
 def xml_symbols(rows: DataFrame, key: str, stem: Column) -> DataFrame:
     """key, symbol_id, name, qualified_name, kind, entity_class, line of elements; stem is a file's name without suffixes: the
     name of a flow, and of a file of another dialect."""
-    root, tag, first = F.col("root"), F.col("tag"), F.col("ord") == 0
-    name, qualified = _symbol("", stem)
-    struct = lambda n, q, kind, what: F.struct(n.alias("name"), q.alias("qualified_name"), kind.alias("kind"), F.lit(what).alias("entity_class"))
-    owner = F.coalesce(_simple(_class("up_attrs")), F.lit("<class>"))
-    field = (root == MAPPING) & tag.isin(*FIELDS) & F.col("up_ord").isNotNull() & _said("name").isNotNull()
-    of_file = F.coalesce(F.nullif(stem, F.lit("")), root)
-    found = (
-        F.when((root == MAPPING) & tag.isin(*CLASSES), struct(name, qualified, F.lit("hibernate_class_mapping"), "type"))
-        .when(field, struct(_said("name"), F.concat(owner, F.lit("."), _said("name")), F.concat(F.lit("hibernate_"), tag), "field"))
-        .when((root == FLOW) & first, struct(stem, stem, F.lit("webflow_flow"), "other"))
-        .when((root == FLOW) & tag.isin(*STATES), struct(name, qualified, F.replace(tag, F.lit("-"), F.lit("_")), "other"))
-        .when((root == BEANS) & (tag == "bean"), struct(name, qualified, F.lit("spring_bean"), "type"))
-        .when(first & ~root.isin(MAPPING, FLOW, BEANS), struct(of_file, of_file, F.lit("xml_document"), "other"))
-    )
-    rows = rows.select(key, "line", found.alias("s")).filter("s IS NOT NULL")
-    return rows.select(key, _identifier(key, F.col("s.qualified_name"), F.col("line")).alias("symbol_id"), "s.*", "line")
+    root, tag, first, what = F.col("root"), F.col("tag"), F.col("ord") == 0, F.col("entity_class")
+    of_mapping = F.when(tag.isin(*CLASSES), "hibernate_class_mapping").when(tag.isin(*FIELDS) & F.col("up_ord").isNotNull() & (F.col("attrs")["name"] != ""), F.concat(F.lit("hibernate_"), tag))
+    of_flow = F.when(first, "webflow_flow").when(tag.isin(*STATES), F.replace(tag, F.lit("-"), F.lit("_")))
+    kind = F.when(root == MAPPING, of_mapping).when(root == FLOW, of_flow).when(root == BEANS, F.when(tag == "bean", "spring_bean")).when(first, "xml_document")
+    entity_class = F.when((root == BEANS) | (root == MAPPING) & tag.isin(*CLASSES), "type").when(root == MAPPING, "field").otherwise("other")
+    rows = rows.filter(kind.isNotNull()).withColumns({"kind": kind, "entity_class": entity_class, "_stem": stem})
+    # In steps, so that each attribute is looked up once: one long expression becomes code that the JVM does not compile.
+    rows = rows.withColumn("_of", F.when(what == "field", F.col("up_attrs")).otherwise(F.col("attrs")))
+    rows = rows.withColumns({f"_{n}": F.element_at(of, F.lit(n)) for of, n in (("attrs", "id"), ("attrs", "name"), ("attrs", "class"), ("_of", "entity-name"))} | {"_of": F.element_at("_of", F.lit("name"))})
+    some_of, some_entity, some_class, some_id, some_name = (F.nullif(F.col(n), F.lit("")) for n in ("_of", "_entity-name", "_class", "_id", "_name"))
+    rows = rows.withColumn("_full", F.when(root == BEANS, some_class).otherwise(F.coalesce(some_of, some_entity)))
+    rows = rows.withColumn("_last", F.substring_index("_full", ".", -1))
+    last, is_state = F.nullif(F.col("_last"), F.lit("")), (root == FLOW) & ~first
+    name = (
+        F.when(what == "field", F.col("_name")).when(root == MAPPING, F.coalesce(last, F.lit("<anonymous-class>"))).when(root == BEANS, F.coalesce(some_id, some_name, last, F.lit("<bean>")))
+        .when(is_state, F.coalesce(some_id, F.lit("<state>"))).when(root == FLOW, F.col("_stem")).otherwise(F.coalesce(F.nullif(F.col("_stem"), F.lit("")), root))
+    )
+    rows = rows.withColumn("name", name)
+    owner = F.when(what == "field", F.coalesce(last, F.lit("<class>"))).when(is_state, F.col("_stem"))
+    qualified = F.when((what == "field") | is_state, F.concat(owner, F.lit("."), "name")).when(root == MAPPING, F.coalesce("_full", "name")).otherwise(F.col("name"))
+    rows = rows.withColumn("qualified_name", qualified)
+    return rows.select(key, _identifier(key, F.col("qualified_name"), F.col("line")).alias("symbol_id"), "name", "qualified_name", "kind", "entity_class", "line")
 
 
 def xml_refs(rows: DataFrame, key: str, stem: Column) -> DataFrame:
