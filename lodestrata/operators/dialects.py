@@ -61,8 +61,19 @@ def elements(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     attrs = pa.map_(pa.string(), pa.string())
     columns = {"root": pa.string(), "root_line": pa.int64(), "ord": pa.int64(), "tag": pa.string(), "line": pa.int64(), "attrs": attrs, "up_ord": pa.int64(), "up_tag": pa.string(), "up_line": pa.int64(), "up_attrs": attrs}
 
+    def said(values, kind):
+        """A column; attributes as flat lists, as pairs cost several times as much."""
+        if kind != attrs:
+            return pa.array(values, kind)
+        offsets, names, texts = [], [], []
+        for x in values:
+            offsets.append(None if x is None else len(names))
+            if x:
+                names.extend(x)
+                texts.extend(x.values())
+        return pa.MapArray.from_arrays(pa.array([*offsets, len(names)], pa.int32()), pa.array(names, pa.string()), pa.array(texts, pa.string()))
+
     def batch(keys, at, rows):
-        said = lambda v, kind: pa.array([None if x is None else list(x.items()) for x in v] if kind == attrs else v, kind)
         return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *map(said, zip(*rows, strict=True), columns.values())], names=["k", *columns])
 
     def run(batches):
