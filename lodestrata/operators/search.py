@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -209,33 +210,47 @@ STORED, INCOMING = 1 << 20, 1 << 22
 ROUNDED = 2e-6
 
 
-def _near(incoming: DataFrame, stored: DataFrame, most: float, k: int, key: str, n: int) -> DataFrame:
-    """near_pairs, incoming dealt by key into n blocks: each block meets each slice of the stored rows in a task of its own,
-    which hands back what may be among the k nearest; ranks are given over all of these."""
+def _near(incoming: DataFrame, stored: DataFrame, most: float, k: int, key: str, n: int, parts: dict[int, int] | None = None) -> DataFrame:
+    """near_pairs, incoming dealt by key into n blocks and the further parts of some: each block meets each slice of the stored
+    rows in a task of its own, which hands back what may be among the k nearest; ranks are given over all of these."""
     from ..shipping import ship
 
     spark, cores = incoming.sparkSession, incoming.sparkSession.sparkContext.defaultParallelism
     kind = "array<float>" if all(x.schema["embedding"].dataType.simpleString() == "array<float>" for x in (incoming, stored)) else "array<double>"
     whole = lambda x: x.filter(F.col(key).isNotNull() & ~F.coalesce(F.exists("embedding", lambda v: v.isNull() | F.isnan(v)), F.lit(True))).select(F.col(key).alias("id"), F.col("embedding").cast(kind).alias("v"))
     asked, there = whole(incoming), whole(stored)
+    place, n = _place(n, parts or {}, "id"), n + sum(m - 1 for m in (parts or {}).values())
     numbers = there.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
     slices = max(-(-numbers // STORED), -(-cores // n))
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = asked.select("id", "v", _block(n, "id").alias("block"), each(slices).alias("slice"), F.lit(False).alias("stored"))
+    asked = asked.select("id", "v", place.alias("block"), each(slices).alias("slice"), F.lit(False).alias("stored"))
     there = there.select("id", "v", each(n).alias("block"), F.pmod(F.xxhash64("id", "v"), F.lit(slices)).alias("slice"), F.lit(True).alias("stored"))
     cells = asked.unionByName(there).repartitionById(n * slices, (F.col("block") * slices + F.col("slice")).cast("int")).sortWithinPartitions("stored")
     id_kind = cells.schema["id"].dataType.simpleString()
     ship(spark)
     found = cells.select("id", "v", "stored").mapInArrow(lambda batches: _near_in_cell(batches, most, k), f"incoming_id {id_kind}, stored_id {id_kind}, d double")
     pairs = found.select(F.col("incoming_id").cast(incoming.schema[key].dataType), F.col("stored_id").cast(stored.schema[key].dataType), F.round("d", 6).alias("dist")).filter(F.col("dist") <= most)
-    place = F.row_number().over(Window.partitionBy("incoming_id").orderBy("dist", "stored_id"))
-    return pairs.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k).withColumn("similarity", F.round(1 / (1 + F.col("dist")), 6))
+    rank = F.row_number().over(Window.partitionBy("incoming_id").orderBy("dist", "stored_id"))
+    return pairs.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).withColumn("similarity", F.round(1 / (1 + F.col("dist")), 6))
 
 
 def _block(n: int, key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n))
 
 
+def _place(n: int, parts: dict[int, int], key: str) -> Column:
+    """_block, but a block that parts names is dealt by another hash into so many: the first keeps its number, the others are
+    numbered from n on. Only such blocks cost more cells."""
+    block = _block(n, key)
+    if not parts:
+        return block
+    ends = list(accumulate(parts[b] - 1 for b in parts))
+    known = F.create_map(*(F.lit(x) for b, end in zip(parts, ends, strict=True) for x in (b, end)))
+    many = F.create_map(*(F.lit(x) for b in parts for x in (b, parts[b])))
+    part = F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.try_element_at(many, block))
+    return F.when(part > 0, n + F.try_element_at(known, block) - part).otherwise(block)
+
+
 def _near_in_cell(batches, most: float, k: int):
     """Batches (incoming_id, stored_id, d) of Arrow batches (id, v, stored), incoming rows first: all pairs that may be among
     the k nearest of an incoming row. Vectors of different lengths make no pairs."""
@@ -326,14 +341,14 @@ def near_pairs_in_blocks(incoming: DataFrame, stored: DataFrame, most: float, k:
     long). More than bound rows of one key are refused; rows without a key have no pairs."""
     incoming = incoming.filter(F.col(key).isNotNull())
     rows, numbers = incoming.agg(F.count(F.lit(1)), F.sum(F.size("embedding").cast("long"))).first()
-    n = max(1, -(-(numbers or 0) // INCOMING))
+    n, parts = max(1, -(-(numbers or 0) // INCOMING)), {}
     if rows > bound:
         n = max(n, -(-2 * rows // bound))
-        while incoming.groupBy(_block(n, key).alias("b")).count().agg(F.max("count")).first()[0] > bound:
-            if n > rows * rows:
+        while large := {r.b for r in incoming.groupBy(_block(n, key).alias("b"), _place(n, parts, key).alias("p")).count().filter(F.col("count") > bound).collect()}:
+            parts |= {b: 2 * parts.get(b, 1) for b in large}
+            if max(parts.values()) > rows * rows:
                 raise ValueError(f"more than {bound} incoming rows of one key")
-            n *= 2
-    return _near(incoming, stored, most, k, key, n)
+    return _near(incoming, stored, most, k, key, n, parts)
 
 
 def hash_embedding(docs: DataFrame, dim: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
