@@ -278,7 +278,7 @@ def _near_in_cell(batches, most: float, k: int):
                         yield pa.RecordBatch.from_arrays([known[size][0].take(pa.array(r)), ids.take(pa.array(c)), pa.array(d)], names=["incoming_id", "stored_id", "d"])
 
 
-def _nearest(asked, ids, v, best, k: int, chunk: int = 256):
+def _nearest(asked, ids, v, best, k: int, chunk: int = 128):
     """(incoming rows, stored rows, distances) of pairs within best, a distance for each incoming row that at least k stored
     rows are known to be within (at first the largest one asked for); it shrinks as nearer ones are found.
 
@@ -297,24 +297,27 @@ def _nearest(asked, ids, v, best, k: int, chunk: int = 256):
         s_ids, s, order = s_ids[few], s[few], order[few]
     with np.errstate(over="ignore", invalid="ignore"):
         s_norm = np.einsum("ij,ij->i", s, s)
+        right = np.column_stack([s * -2, np.ones(len(s)), s_norm]).T
         for first in range(0, len(queries), chunk):
             q, near = queries[first : first + chunk], best[first : first + chunk]
             q_norm = np.einsum("ij,ij->i", q, q)
-            about = q @ s.T
-            about *= -2
-            about += q_norm[:, None]
-            about += s_norm
+            about = np.column_stack([q, q_norm, np.ones(len(q))]) @ right
             lo, hi = np.searchsorted(s_ids, q_ids[first : first + chunk], "left"), np.searchsorted(s_ids, q_ids[first : first + chunk], "right")
             for i in np.flatnonzero(lo < hi):
                 about[i, lo[i] : hi[i]] = np.inf
             error = 8 * (q.shape[1] + 4) * np.finfo(float).eps * (q_norm + s_norm.max())
             limit = near + error + ROUNDED
             hit = ~(about > limit[:, None])
-            many = np.flatnonzero(hit.sum(1) > k)
-            if len(many) and k < len(s):
-                limit[many] = np.fmin(limit[many], np.partition(about[many], k - 1, axis=1)[:, k - 1] + 2 * error[many] + ROUNDED)
-                hit[many] = ~(about[many] > limit[many][:, None])
-            r, c = np.nonzero(hit)
+            if 16 * np.count_nonzero(hit) > hit.size and k < len(s):  # else the k nearest are looked for among the hits below
+                limit = np.fmin(limit, np.partition(about, k - 1, axis=1)[:, k - 1] + 2 * error + ROUNDED)
+                hit = ~(about > limit[:, None])
+            r, c = np.divmod(np.flatnonzero(hit), len(s))
+            by = np.lexsort((about[r, c], r))
+            r, c = r[by], c[by]
+            a, full = about[r, c], np.arange(len(r)) - np.searchsorted(r, r) == k - 1
+            limit[r[full]] = np.fmin(limit[r[full]], a[full] + 2 * error[r[full]] + ROUNDED)
+            keep = ~(a > limit[r])
+            r, c = r[keep], c[keep]
             own = (c >= lo[r]) & (c < hi[r])
             r, c = r[~own], c[~own]
             d = np.empty(len(r))
